@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wickwork.llm import exact_dedup, url_filter
+from wickwork.llm import bpe, exact_dedup, token_count, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(_read(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
@@ -19,10 +23,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.grouped(_read(spark, sf_dir, "documents"))
 
 
+def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
+        "op2_token_counts": op2_token_counts,
         "op4_url_filters": op4_url_filters,
         "op7_exact_dedup": op7_exact_dedup,
+        "op10_bpe_encode_decode": op10_bpe_encode_decode,
     }
 
 
