@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wickwork.llm import bpe, exact_dedup, token_count, url_filter
+from wickwork.llm import bpe, exact_dedup, mixing, token_count, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.grouped(_read(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents")).drop("w_key")
+
+
 def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_read(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def queries() -> dict:
         "op2_token_counts": op2_token_counts,
         "op4_url_filters": op4_url_filters,
         "op7_exact_dedup": op7_exact_dedup,
+        "op9_mixing": op9_mixing,
         "op10_bpe_encode_decode": op10_bpe_encode_decode,
     }
 
