@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wickwork.llm import bpe, exact_dedup, mixing, token_count, url_filter
+from wickwork.llm import bpe, exact_dedup, knn, langid, mixing, token_count, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_read(spark, sf_dir, "documents"))
 
@@ -19,6 +23,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.grouped(_read(spark, sf_dir, "documents"))
 
@@ -33,8 +41,10 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_voronoi_topk": op1_voronoi_topk,
         "op2_token_counts": op2_token_counts,
         "op4_url_filters": op4_url_filters,
+        "op6_language_id": op6_language_id,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_mixing": op9_mixing,
         "op10_bpe_encode_decode": op10_bpe_encode_decode,
@@ -43,6 +53,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_voronoi_topk": knn.ORACLE_SQL,
         "op4_url_filters": url_filter.ORACLE_SQL,
         "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     }
