@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wickwork.llm import bpe, exact_dedup, knn, langid, mixing, token_count, url_filter
+from wickwork.llm import bpe, exact_dedup, knn, langid, mixing, quality, token_count, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_read(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
@@ -43,6 +47,7 @@ def queries() -> dict:
     return {
         "op1_voronoi_topk": op1_voronoi_topk,
         "op2_token_counts": op2_token_counts,
+        "op3_quality": op3_quality,
         "op4_url_filters": op4_url_filters,
         "op6_language_id": op6_language_id,
         "op7_exact_dedup": op7_exact_dedup,
