@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wickwork.llm import bpe, exact_dedup, knn, langid, mixing, quality, token_count, url_filter
+from wickwork.llm import bpe, exact_dedup, knn, langid, mixing, ngram_join, quality, token_count, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(_read(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def queries() -> dict:
         "op2_token_counts": op2_token_counts,
         "op3_quality": op3_quality,
         "op4_url_filters": op4_url_filters,
+        "op5_ngram_join": op5_ngram_join,
         "op6_language_id": op6_language_id,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_mixing": op9_mixing,
