@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wickwork.llm import bpe, exact_dedup, knn, langid, mixing, ngram_join, quality, token_count, url_filter
+from wickwork.llm import bpe, exact_dedup, knn, langid, mixing, ngram_join, pii, quality, token_count, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.grouped(_read(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).drop("w_key")
 
@@ -56,6 +60,7 @@ def queries() -> dict:
         "op5_ngram_join": op5_ngram_join,
         "op6_language_id": op6_language_id,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_pii": op8_pii,
         "op9_mixing": op9_mixing,
         "op10_bpe_encode_decode": op10_bpe_encode_decode,
     }
