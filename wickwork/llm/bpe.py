@@ -20,6 +20,7 @@ only where asked for.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -49,6 +50,7 @@ class Codec:
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.names: dict[int, str] = {}
+        self.batches = pieces.Batches(self.tok)
 
     def name(self, i: int) -> str:
         if i not in self.names:
@@ -61,9 +63,8 @@ class Codec:
 
     def encode(self, batch: list[str]) -> list[list[int]]:
         """Ids of each piece."""
-        short = [p for p in batch if len(p) <= self.leaf]
-        done = iter(self.tok.encode_batch_fast(short, add_special_tokens=False))
-        return [next(done).ids if len(p) <= self.leaf else self.long(p) for p in batch]
+        done = iter(self.batches.ids([p for p in batch if len(p) <= self.leaf]))
+        return [next(done) if len(p) <= self.leaf else self.long(p) for p in batch]
 
     def long(self, piece: str) -> list[int]:
         out: list[int] = []
@@ -84,7 +85,9 @@ class Codec:
         while max(map(len, level)) > self.leaf:
             level = [h for s in level for h in ((s[: len(s) // 2], s[len(s) // 2 :]) if len(s) > self.leaf else (s,))]
         texts = [s.encode() for s in level]
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
         ids = [e.ids for e in self.plain.encode_batch_fast(level, add_special_tokens=False)]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         while len(ids) > 1:
             joined, bytes_ = [], []
             for k in range(0, len(ids) - 1, 2):
@@ -134,30 +137,31 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path, leaf)
+        entry = {i: t for t, i in codec.tok.get_vocab(with_added_tokens=True).items()}
+        name = [entry.get(i, "") for i in range(max(entry) + 1)]
+        number = list(map(str, range(len(name))))
 
         def entries(batch: list[str]) -> list[tuple]:
-            return [(len(x), " ".join(map(str, x)), " ".join(map(codec.name, x)), x if ids else None) for x in codec.encode(batch)]
+            return [(len(x), " ".join([number[i] for i in x]), " ".join([name[i] for i in x]), x if ids else None) for x in codec.encode(batch)]
 
         cache = pieces.PieceCache(entries)
         for batch in batches:
-            n, coded, decoded, lists = [], [], [], []
-            for text in batch.column(n_keep).to_pylist():
-                count, h, d, first, out = 0, hashlib.sha256(), hashlib.sha256(), True, []
-                for segment in pieces.segments(text or ""):
-                    found = [x for x in cache.lookup(pieces.split(segment)) if x[0]]
-                    if found:
-                        gap = "" if first else " "
-                        count += sum(x[0] for x in found)
-                        h.update((gap + " ".join([x[1] for x in found])).encode())
-                        d.update((gap + " ".join([x[2] for x in found])).encode())
-                        first = False
+            found = batch.column(n_keep).to_pylist()
+            n, lists = [0] * len(found), [[] for _ in found]
+            coded, decoded = [hashlib.sha256() for _ in found], [hashlib.sha256() for _ in found]
+            for group in pieces.grouped(found):
+                known = cache.load([p for _, p in group])
+                for i, p in group:
+                    hit = [x for x in map(known.__getitem__, p) if x[0]]
+                    if hit:
+                        gap = " " if n[i] else ""
+                        n[i] += sum([x[0] for x in hit])
+                        coded[i].update((gap + " ".join([x[1] for x in hit])).encode())
+                        decoded[i].update((gap + " ".join([x[2] for x in hit])).encode())
                         if ids:
-                            for x in found:
-                                out += x[3]
-                n.append(count)
-                coded.append(h.hexdigest())
-                decoded.append(d.hexdigest())
-                lists.append(out)
+                            for x in hit:
+                                lists[i] += x[3]
+            coded, decoded = [h.hexdigest() for h in coded], [h.hexdigest() for h in decoded]
             columns = [batch.column(k) for k in range(n_keep)] + [pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
             columns += [pa.array(lists, pa.list_(pa.int32()))] * ids
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])

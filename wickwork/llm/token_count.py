@@ -27,13 +27,15 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         tok = pieces.load(path)
         tok.no_truncation()
         tok.no_padding()
-        cache = pieces.PieceCache(lambda b: [len(e) for e in tok.encode_batch_fast(b, add_special_tokens=False)])
+        batched = pieces.Batches(tok)
+        cache = pieces.PieceCache(lambda b: [len(ids) for ids in batched.ids(b)])
         for batch in batches:
-            n_bytes, n_tokens = [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                n_bytes.append(len(text.encode()))
-                n_tokens.append(sum(sum(cache.lookup(pieces.split(s))) for s in pieces.segments(text)))
+            found = batch.column(1).to_pylist()
+            n_bytes, n_tokens = [len((t or "").encode()) for t in found], [0] * len(found)
+            for group in pieces.grouped(found):
+                lengths = cache.load([p for _, p in group])
+                for i, p in group:
+                    n_tokens[i] += sum(map(lengths.__getitem__, p))
             n = pa.array(n_tokens, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), n, pa.array([x > limit for x in n_tokens], pa.bool_())], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
