@@ -25,14 +25,14 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_t
 
 
 def interval_extreme(left: DataFrame, right: DataFrame, by: list[str], start: str, end: str, ts: str, value: Column, out: str, largest: bool, cell: int = 86400) -> DataFrame:
-    """``left`` (with a unique ``w_id`` added) and the largest or smallest ``value`` of right rows with ``start <= ts < end``."""
+    """``left`` and the largest or smallest ``value`` of right rows with ``start <= ts < end``; found once per distinct interval."""
     agg = F.max if largest else F.min
-    left = left.withColumn("w_id", F.monotonically_increasing_id())
     cells = F.sequence(F.floor(epoch(start) / cell), F.floor(epoch(end) / cell))
-    spans = left.where(F.col(start) < F.col(end)).select(*by, "w_id", F.col(start).alias("w_s"), F.col(end).alias("w_e"), F.explode(cells).alias("w_cell"))
+    spans = left.where(F.col(start) < F.col(end)).select(*by, F.col(start).alias("w_s"), F.col(end).alias("w_e"), cells.alias("w_cells")).distinct()
     rows = right.select(*by, F.col(ts).alias("w_t"), value.alias("w_v")).withColumn("w_cell", F.floor(epoch("w_t") / cell))
-    hit = spans.join(rows, [*by, "w_cell"]).where("w_t >= w_s and w_t < w_e").groupBy("w_id").agg(agg("w_v").alias(out))
-    return left.join(hit, "w_id", "left").drop("w_id")
+    hit = spans.withColumn("w_cell", F.explode("w_cells")).join(rows, [*by, "w_cell"]).where("w_t >= w_s and w_t < w_e").groupBy(*by, "w_s", "w_e").agg(agg("w_v").alias(out))
+    hit = hit.withColumnRenamed("w_s", start).withColumnRenamed("w_e", end)
+    return left.join(hit, [*by, start, end], "left")
 
 
 def first_touch(orders: DataFrame, bars: DataFrame, by: list[str], order_id: str, after: str, until: str | None, touches: Column, bounds: Column, keep: list[str], cell: int = 86400) -> DataFrame:
