@@ -905,3 +905,65 @@ def x1_stream_bars(spark, sf_dir):
     """Hourly bars of a tick stream once the watermark has passed them."""
     out = _drained(spark, streaming.tumbling(streaming.unique_ticks(_tick_stream(spark, sf_dir), "10 minutes"), HOUR))
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@job(
+    "x2_stream_forming",
+    o.sql(o.bars(), final="SELECT source, ticker, ts, open, high, low, close, volume FROM bars"),
+)
+def x2_stream_forming(spark, sf_dir):
+    """Still-forming hourly bars in update mode; the last update of each bar, which a sink keyed by bar would hold."""
+    out, state = path(spark, "stream"), path(spark, "stream-state")
+    bars = streaming.tumbling(_tick_stream(spark, sf_dir).withWatermark("ts", "10 minutes"), HOUR)
+    keep = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(out)
+    bars.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    seen = spark.read.schema(bars.schema.add("batch", "long")).parquet(out)
+    row = F.struct("open", "high", "low", "close", "volume")
+    last = seen.groupBy(*KEY, "ts").agg(F.max_by(row, F.struct("volume", "batch")).alias("b"))
+    return last.select(*KEY, F.col("ts").cast("timestamp_ntz").alias("ts"), "b.*")
+
+
+@job(
+    "x3_stream_session_bars",
+    o.sql(o.bars(), o.steps([4 * HOUR], HOUR), final="SELECT source, ticker, tf_seconds, ts, open, high, low, close, volume FROM closed"),
+)
+def x3_stream_session_bars(spark, sf_dir):
+    """Session-bounded four-hour bars with keyed state, over a stream of hourly bars written day by day."""
+    b = _hours(spark, sf_dir)
+    inst = instruments(b)
+    rows = b.drop("tf_seconds").join(inst.select(*KEY, *resample.SESSION), list(KEY)).withColumn("tf_seconds", F.lit(4 * HOUR).cast("long"))
+    rows = sessions.bucket_bounds(rows).select(*KEY, "tf_seconds", *[F.col(c).cast("timestamp").alias(c) for c in ("ts", "open_utc", "close_utc")], "open", "high", "low", "close", "volume")
+    where = path(spark, "stream-in")
+    rows.write.parquet(where)
+    stream = spark.readStream.schema(rows.schema).parquet(where).withWatermark("ts", "1 hour")
+    out = _drained(spark, streaming.session_bars(stream, HOUR))
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+FLAG = f"""cd AS (SELECT source || ':' || ticker || ':' || n AS trade_id, source, ticker, n AS signal_no, 'buy' AS side, next_ts AS entry_time, next_open AS entry_price, close * 0.98::DOUBLE AS stop_loss, close * 1.04::DOUBLE AS take_profit FROM sg WHERE {CROSS} AND next_ts IS NOT NULL),
+h0 AS (SELECT c.trade_id, min(b.ts) AS x FROM cd c JOIN sg b ON b.source = c.source AND b.ticker = c.ticker AND b.ts > c.entry_time AND (b.low <= stop_loss OR b.high >= take_profit) GROUP BY 1),
+cn AS (SELECT c.*, b.n AS exit_no, b.ts AS exit_time, CASE WHEN b.low <= stop_loss THEN 'stop_loss' WHEN b.high >= take_profit THEN 'take_profit' END AS exit_reason,
+ CASE WHEN b.low <= stop_loss THEN least(stop_loss, b.open) WHEN b.high >= take_profit THEN greatest(take_profit, b.open) END AS exit_price, row_number() OVER (PARTITION BY c.source, c.ticker ORDER BY signal_no) AS i
+ FROM cd c LEFT JOIN h0 USING (trade_id) LEFT JOIN sg b ON b.source = c.source AND b.ticker = c.ticker AND b.ts = h0.x),
+walk AS (SELECT source, ticker, i, trade_id, true AS taken, coalesce(exit_no, 1000000000) AS free FROM cn WHERE i = 1
+ UNION ALL SELECT c.source, c.ticker, c.i, c.trade_id, c.signal_no >= w.free, CASE WHEN c.signal_no < w.free THEN w.free ELSE coalesce(c.exit_no, 1000000000) END FROM walk w JOIN cn c ON c.source = w.source AND c.ticker = w.ticker AND c.i = w.i + 1),
+bt AS (SELECT source, ticker, exit_price - entry_price AS net_pnl FROM cn JOIN walk USING (source, ticker, i) WHERE taken AND exit_time IS NOT NULL)"""
+
+
+@job(
+    "strategy_sma_cross",
+    "WITH RECURSIVE " + ",\n".join([*CROSS_CTES, FLAG])
+    + """\nSELECT source, ticker, count(*) AS num_trades, round(avg((net_pnl > 0)::INT), 6) + 0.0 AS win_rate, round(CASE WHEN count(*) FILTER (WHERE net_pnl < 0) = 0 THEN 'inf'::DOUBLE ELSE coalesce(sum(net_pnl) FILTER (WHERE net_pnl > 0), 0) / -sum(net_pnl) FILTER (WHERE net_pnl < 0) END, 6) + 0.0 AS profit_factor,
+ round(sum(net_pnl), 6) + 0.0 AS net_pnl FROM bt GROUP BY 1, 2""",
+)
+def strategy_sma_cross(spark, sf_dir):
+    """The whole path: bars, forming trend, signals, fills, brackets, one position at a time, statistics per symbol."""
+    s = written(_cross(spark, sf_dir), "signals")
+    c = s.where("enter and next_ts is not null").select(
+        F.concat_ws(":", *KEY, F.col("n").cast("string")).alias("trade_id"), *KEY, F.col("n").alias("signal_no"), F.lit("buy").alias("side"), F.col("next_ts").alias("entry_time"), F.col("next_open").alias("entry_price"), "stop_loss", "take_profit"
+    )
+    x = fills.bracket_exits(c, s)
+    no = s.select(*KEY, F.col("ts").alias("exit_time"), F.col("n").cast("double").alias("exit_no"))
+    taken = signals.gate(x.join(no, [*KEY, "exit_time"], "left"))
+    done = taken.where("exit_time is not null").withColumns({"size": F.lit(1.0), "contract_size": F.lit(1.0), "entry_commission": F.lit(0.0), "exit_commission": F.lit(0.0), "financing": F.lit(0.0)})
+    return rounded(metrics.trade_stats(fills.blotter(done), list(KEY)))
