@@ -61,6 +61,7 @@ def test_matches_brute_force(spark, monkeypatch, k, percent, frequent, block):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "CHUNK", 4)
+    monkeypatch.setattr(ngram_join, "SMALL", 24 if block > 100 else 3)
     rows = table(k * percent + frequent, 350)
     rows += [(9000, None), (9001, ""), (9002, " \n"), (None, rows[3][1]), (None, None), (9003, "été x\xa0y"), (9004, "ÉTÉ x\xa0y"), (9005, "one two"), (9006, "ONE  two"), (5, rows[5][1]), (9005, "quite another text than the one before it")]
     df = spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, n int").repartition(5)

@@ -9,11 +9,12 @@ A document's tokens are its distinct shingles (``k`` words, A-Z lowered). Two do
   fall into a few classes; the prefix is extended until ``rare + sum(max(0, tokens of a class - 1)) > e``. Then
   linked documents share a rare token or two tokens of one class in their prefixes, so rare tokens are indexed
   alone and frequent ones as pairs within their class.
-* In each index bucket all members are verified against the smallest one; links are contracted to
-  components. Only buckets that still hold several components are compared further: in blocks of
-  ``BLOCK`` members per task, pairs across components that pass the size bound and a lower bound of the
-  symmetric difference (the Hamming distance of parity sketches) are verified. No pair within a
-  component is made, and no link that could join two components is skipped, so components are exact.
+* Candidates are all pairs of an index bucket of up to ``SMALL`` members, and in a larger bucket its members with the
+  smallest one. Those that pass the size bound and a lower bound of the symmetric difference (the Hamming distance of
+  parity sketches) are verified, and links are contracted to components. Only large buckets that still hold
+  several components are compared further: in blocks of ``BLOCK`` members per task, pairs across components that
+  pass the same bounds are verified. No link that could join two components is skipped, so components are exact, and
+  no large bucket's pairs are all made.
 * Verification compares whole sets, computed anew from the whole texts; the texts of nodes in shared buckets
   are gathered once. Groups of a bucket leader are dealt in chunks of ``CHUNK`` partners.
 
@@ -40,9 +41,9 @@ from wickwork.llm.common import small_batches, texts, written
 from wickwork.llm.components import components
 
 #: log2 of the cells of the count table, count beyond which a token is frequent (also at least 4 x the mean), most classes.
-BITS, FREQUENT, CLASSES = 18, 1000, 8
-#: Partners verified with one leader in a task, members of a bucket compared in a task, 64-bit words of a sketch.
-CHUNK, BLOCK, SKETCH = 128, 512, 16
+BITS, FREQUENT, CLASSES = 22, 1000, 8
+#: Partners verified with one leader in a task, members of a small bucket, of a block of a larger one, 64-bit words of a sketch.
+CHUNK, SMALL, BLOCK, SKETCH = 128, 24, 512, 16
 
 
 def slack(n, percent: int):
@@ -75,22 +76,33 @@ def token_counts(docs: DataFrame, k: int) -> np.ndarray:
                 total += np.bincount((np.concatenate(sets) >> np.uint64(64 - BITS)).astype(np.int64), minlength=2**BITS)
         part = TaskContext.get().partitionId() % 64
         if total.any():
-            yield pa.RecordBatch.from_pydict({"block": pa.array(range(blocks), pa.int32()), "part": pa.array([part] * blocks, pa.int32()), "sums": pa.array([r.tobytes() for r in total.reshape(blocks, width)], pa.binary())})
+            for b, r in enumerate(total.reshape(blocks, width)):
+                yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "part": pa.array([part], pa.int32()), "sums": pa.array([_packed(r)], pa.binary())})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(width, np.int64)
         for b in rows["sums"]:
-            total += np.frombuffer(b, np.int64)
-        return pd.DataFrame({"block": rows["block"].iloc[:1], "part": rows["part"].iloc[:1], "sums": [total.tobytes()]})
+            total += _unpacked(b)
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "part": rows["part"].iloc[:1], "sums": [_packed(total)]})
 
     schema = "block int, part int, sums binary"
     sums = docs.mapInArrow(run, schema).groupBy("block", "part").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema).collect()
     out = np.zeros((blocks, width), np.int64)
     for r in sums:
-        out[r["block"]] = np.frombuffer(r["sums"], np.int64)
+        out[r["block"]] = _unpacked(r["sums"])
     return out.ravel()
 
 
+def _packed(sums: np.ndarray) -> bytes:
+    """Sums in as few bytes each as the largest needs, that number first."""
+    kind = np.min_scalar_type(int(sums.max()))
+    return bytes([kind.itemsize]) + sums.astype(kind).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.dtype(f"u{raw[0]}"), offset=1).astype(np.int64)
+
+
 def signatures(tokens: np.ndarray, count: np.ndarray, percent: int, frequent: float, n_classes: int) -> np.ndarray:
     """Index entries of one set: its prefix's rare tokens, and pairs of frequent ones of a class."""
     n = len(tokens)
@@ -117,31 +129,32 @@ def signatures(tokens: np.ndarray, count: np.ndarray, percent: int, frequent: fl
     return np.concatenate(out)
 
 
-def sketch(tokens: np.ndarray) -> bytes:
+def sketch(tokens: np.ndarray) -> np.ndarray:
     """Parity of the tokens per bit: two sets differ in at least as many tokens as their sketches in bits."""
     bit = np.bincount((words.mix(tokens) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(bit.astype(np.uint8)).tobytes()
+    return np.packbits(bit.astype(np.uint8)).view(np.int64)
 
 
 def index(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(id, n, k1, k2, sigs) per row; docs: (id, t)."""
+    """(id, n, k1, k2, sigs, bits) per row; docs: (id, t)."""
     counts = token_counts(docs.select("t"), k)
     frequent, n_classes = max(FREQUENT, 4 * counts.sum() / len(counts)), classes(percent)
     table = docs.sparkSession.sparkContext.broadcast(counts.astype(np.float32))  # 2**BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, k1, k2, sigs = [], [], [], []
+            n, k1, k2, sigs, bits = [], [], [], [], []
             for s in document_sets(*texts(batch, "t"), k):
                 n.append(len(s))
                 k1.append(int(words.mix(s).sum().view(np.int64)) if len(s) else 0)
                 k2.append(int(words.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().view(np.int64)) if len(s) else 0)
+                bits.append(sketch(s))
                 sigs.append(np.unique(signatures(s, table.value[(s >> np.uint64(64 - BITS)).astype(np.int64)], percent, frequent, n_classes)).view(np.int64))
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in sigs])].astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), lists], names=["id", "n", "k1", "k2", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), lists, pa.array(bits, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "sigs", "bits"])
 
-    return docs.select("id", "t").mapInArrow(run, "id long, n long, k1 long, k2 long, sigs array<long>")
+    return docs.select("id", "t").mapInArrow(run, "id long, n long, k1 long, k2 long, sigs array<long>, bits array<long>")
 
 
 def verify(pairs: DataFrame, held: DataFrame, k: int, percent: int) -> DataFrame:
@@ -173,7 +186,7 @@ def _block_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Pairs across components of two blocks of a bucket that the bounds leave."""
     i, j = rows["i"].iloc[0], rows["j"].iloc[0]
     left, right = rows[rows["block"] == i], rows[rows["block"] == j]
-    bits = [np.frombuffer(b"".join(x["bits"]), np.uint64).reshape(len(x), SKETCH) for x in (left, right)]
+    bits = [np.stack(list(x["bits"])).view(np.uint64) for x in (left, right)]
     (na, nb), (la, lb), (ia, ib) = ([x[c].to_numpy() for x in (left, right)] for c in ("n", "label", "node"))
     out_a, out_b = [], []
     for r in range(len(left)):
@@ -191,32 +204,49 @@ def _block_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": np.concatenate([z, *out_a]), "b": np.concatenate([z, *out_b])})
 
 
+def plausible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link; marks: (node, n, bits)."""
+    x = pairs.join(marks.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a")
+    x = x.join(marks.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
+    far = F.expr(" + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(SKETCH)))
+    size = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return x.where(size & (far * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))).select("a", "b")
+
+
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
     """Per row: id, ``n_shingles`` and ``component_id``."""
     small_batches(docs.sparkSession)
     plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("t"))
     rows = written(index(plain, k, percent), "ngram-index")
     key = ["n", "k1", "k2"]
-    nodes = written(rows.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("node")), "ngram-nodes")
-    entries = rows.where("size(sigs) > 0").join(nodes.withColumnRenamed("node", "id"), [*key, "id"], "left_semi").dropDuplicates(["id", *key])
-    entries = entries.select(F.explode("sigs").alias("sig"), F.col("id").alias("node"), "n")
-    buckets = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "n")).alias("first")).where("members > 1")
-    members = written(entries.join(buckets, "sig").select("sig", "node", "n", "members", F.col("first.node").alias("lead"), F.col("first.n").alias("lead_n")), "ngram-members")
-    held = written(plain.join(members.select(F.col("node").alias("id")).distinct(), "id"), "ngram-texts")
-    fits = 100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")
-    star = members.where((F.col("node") != F.col("lead")) & fits).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    named = rows.where("n > 0 and id is not null").select("id", *key)
+    nodes = written(named.groupBy(*key).agg(F.min("id").alias("node")), "ngram-nodes")
+    firsts = rows.where("size(sigs) > 0").join(nodes.withColumnRenamed("node", "id"), [*key, "id"], "left_semi").select(F.col("id").alias("node"), "n", "sigs", "bits")
+    firsts = written(firsts, "ngram-firsts")
+    entries = firsts.select(F.explode("sigs").alias("sig"), "node", "n").distinct()
+    buckets = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lead"))
+    members = written(entries.join(buckets.where("members > 1"), "sig"), "ngram-members")
+    marks = firsts.select("node", "n", "bits").dropDuplicates(["node"])
+    few = members.where(f"members <= {SMALL}").select("sig", "node", "n")
+    one, two = few.select("sig", F.col("node").alias("a"), F.col("n").alias("n_a")), few.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"))
+    size = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    pairs = one.join(two, "sig").where((F.col("a") < F.col("b")) & size).select("a", "b")
+    star = members.where(f"members > {SMALL} and node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    pairs = written(plausible(pairs.union(star).distinct(), marks, percent), "ngram-pairs")
+    large = members.where(f"members > {SMALL}")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("node")).distinct()
+    held = written(plain.join(wanted, "id"), "ngram-texts")
     # rows of one id are one node, whatever their sets
-    same = rows.where("n > 0 and id is not null").join(nodes, key).groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
-    links = written(verify(star, held, k, percent).union(same), "ngram-links")
+    same = named.join(nodes, key).groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
+    links = written(verify(pairs, held, k, percent).union(same), "ngram-links")
     labels = components(links)
 
-    # what is left: buckets of three or more members in several components
-    placed = members.where("members > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("sig", "node", "n", "members", "label")
+    # what is left: large buckets in several components
+    placed = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("sig", "node", "n", "members", "label")
     state = placed.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.max("members").alias("m"))
     state = state.where("low <> high").groupBy("m", "who").agg(F.min("sig").alias("sig")).select("sig")  # one of the buckets with equal members
-    open_ = placed.join(state, "sig", "left_semi")
-    marks = held.select("id", "t").mapInArrow(lambda it: (_marks(b, k) for b in it), "node long, bits binary").dropDuplicates(["node"])
-    open_ = open_.join(marks, "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    open_ = placed.join(state, "sig", "left_semi").join(marks.select("node", "bits"), "node")
+    open_ = open_.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     units = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     units = units.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "label", "bits")
     more = written(units.groupBy("sig", "i", "j").applyInPandas(lambda u: _block_pairs(u, percent), "a long, b long").distinct(), "ngram-pairs")
@@ -224,12 +254,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
         links = written(verify(more, held, k, percent), "ngram-links")
         if links.limit(1).count():
             labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
-    named = rows.join(nodes, key, "left").join(labels, "node", "left")
-    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "node", "id")).alias("component_id"))
-
-
-def _marks(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(s) for s in document_sets(*texts(batch, "t"), k)], pa.binary())], names=["node", "bits"])
+    out = rows.select("id", *key).join(nodes, key, "left").join(labels, "node", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "node", "id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
