@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from wickwork.llm.common import held_out, small_batches
 
 WINDOW, PER_LANGUAGE, SAMPLE = 2048, 400, 8000
+#: Times the sample that is looked at per language, and most languages (the most frequent ones) that are learned.
+OVER, MAX_LANGUAGES = 4, 1000
 #: n-grams of the presence vectors, landmarks, ridge.
 FEATURES, LANDMARKS, RIDGE = 4096, 192, 1e-3
 CODES = 64  # 0: no letter; 1 to 40: frequent letters; the rest: hashed
@@ -148,6 +150,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fits on the bounded sample; ``None`` if there is nothing to learn from."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
     rows = rows.select(F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, WINDOW).alias("t"), F.col(lang_col).alias("l"))
+    counts = rows.groupBy("l").count().orderBy(F.col("count").desc(), "l").limit(MAX_LANGUAGES).collect()
+    if not counts:
+        return None
+    # a share of each language's rows by hash, about OVER times what is needed, so that no task gathers a whole language
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, OVER * PER_LANGUAGE / r["count"]))])
+    rows = rows.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < share[F.col("l")] * (1 << 20))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("n") <= PER_LANGUAGE)
     sample = rows.orderBy("n", "h", "l", "t").limit(SAMPLE).collect()
     return Model([r["t"] for r in sample], [r["l"] for r in sample]) if sample else None
