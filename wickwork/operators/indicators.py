@@ -106,7 +106,7 @@ def adx(bars: DataFrame, period: int = 14, by=SERIES) -> DataFrame:
     b = b.withColumn("w_dx", F.when(total == 0, F.lit(0.0)).otherwise(100 * F.abs(F.col("plus_di") - F.col("minus_di")) / total))
     b = _wilder(b.withColumn("w_n2", F.when(F.col("n") > period, F.col("n") - period)), "adx", F.col("w_dx"), "w_n2", period, by)
     warm = F.col("n") >= 2 * period
-    b = b.withColumn("plus_di", F.when(warm, F.col("plus_di"))).withColumn("minus_di", F.when(warm, F.col("minus_di"))).withColumn("adx", F.when(warm, F.col("adx")))
+    b = b.withColumn("plus_di", F.when(warm, F.col("plus_di"))).withColumn("minus_di", F.when(warm, F.col("minus_di"))).withColumn("adx", F.when(warm, F.least("adx", F.lit(100.0))))
     return b.drop("w_tr", "w_n1", "w_n2", "w_up", "w_down", "w_pdm", "w_mdm", "w_str", "w_spdm", "w_smdm", "w_dx")
 
 
