@@ -133,6 +133,15 @@ def test_asof_ties_and_strictness(spark):
     assert got[("a", day(2))] is None
 
 
+def test_asof_over_cells(spark):
+    rng, t = random.Random(3), datetime(2023, 1, 1)
+    at = lambda: t + timedelta(hours=rng.randint(0, 5000))
+    left, right = [(rng.choice("ab"), at(), i) for i in range(300)], [(rng.choice("ab"), x, float(i)) for i, x in enumerate({at() for _ in range(40)})]
+    l, r = spark.createDataFrame(left, "k string, t timestamp_ntz, i int"), spark.createDataFrame(right, "k string, r timestamp_ntz, v double")
+    got = {x["i"]: x["v"] for x in joins.asof(l, r, ["k"], "t", "r", ["v"], cell=7 * 86400).collect()}
+    assert got == {i: max(((y, v) for kk, y, v in right if kk == k and y <= x), default=(None, None))[1] for k, x, i in left}
+
+
 def test_first_touch_opens_the_right_cells(spark):
     rng, t = random.Random(9), datetime(2023, 1, 1, 12)
     rows = [("s", "a", t + timedelta(hours=i), rng.uniform(90, 110)) for i in range(400)]

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wickwork.functions.sessions import epoch
 from wickwork.operators import joins
 from wickwork.schema import KEY
 
@@ -91,10 +92,12 @@ def with_signal_close(exits: DataFrame, close_ts: str = "close_ts", close_open:
 def moving_levels(trades: DataFrame, changes: DataFrame, bars: DataFrame, by=KEY) -> DataFrame:
     """Bars of each trade after its entry with the levels in force: the last change before the bar, null in a change leaves a level.
 
-    ``changes``: trade_id, ts, stop_loss, take_profit. One row per trade and bar until the first touch, by (key, time) joins
-    of the trade's life: give trades an ``until`` column.
+    ``changes``: trade_id, ts, stop_loss, take_profit. One row per trade and bar of its life, which ends at ``until``: the days of a
+    life meet the bars of each day.
     """
-    steps = trades.join(bars, list(by)).where((F.col("ts") > F.col("entry_time")) & (F.col("ts") <= F.col("until"))).select("trade_id", "side", "ts", "open", "high", "low", "stop_loss", "take_profit")
+    day = lambda c: F.floor(epoch(c) / 86400)
+    lives = trades.where("until > entry_time").withColumn("w_day", F.explode(F.sequence(day("entry_time"), day("until"))))
+    steps = lives.join(bars.withColumn("w_day", day("ts")), [*by, "w_day"]).where((F.col("ts") > F.col("entry_time")) & (F.col("ts") <= F.col("until"))).select("trade_id", "side", "ts", "open", "high", "low", "stop_loss", "take_profit")
     rows = steps.select("trade_id", "ts", F.lit(1).alias("w_o"), F.struct("side", "open", "high", "low").alias("w_bar"), F.lit(None).cast("double").alias("sl"), F.lit(None).cast("double").alias("tp"), F.col("stop_loss").alias("sl0"), F.col("take_profit").alias("tp0"))
     rows = rows.unionByName(changes.select("trade_id", "ts", F.lit(0).alias("w_o"), F.lit(None).cast(rows.schema["w_bar"].dataType).alias("w_bar"), F.col("stop_loss").alias("sl"), F.col("take_profit").alias("tp"), F.lit(None).cast("double").alias("sl0"), F.lit(None).cast("double").alias("tp0")))
     w = Window.partitionBy("trade_id").orderBy("ts", "w_o").rowsBetween(Window.unboundedPreceding, 0)
@@ -182,9 +185,15 @@ def financing(trades: DataFrame, bars: DataFrame, by=KEY) -> DataFrame:
     ``bars`` with ``local_date``; ``trades`` with size, contract_size, annual_rate, entry_time, exit_time (null: open).
     """
     w = Window.partitionBy(*by).orderBy("ts")
-    days = bars.withColumn("prev_close", F.lag("close").over(w)).withColumn("w_new", F.col("local_date") != F.lag("local_date").over(w)).where("w_new").select(*by, F.col("ts").alias("day_ts"), "prev_close")
-    paid = trades.join(days, list(by)).where((F.col("day_ts") > F.col("entry_time")) & (F.col("exit_time").isNull() | (F.col("day_ts") <= F.col("exit_time"))))
-    return paid.groupBy("trade_id").agg(F.sum(F.abs(F.col("prev_close") * F.col("size") * F.col("contract_size")) * F.col("annual_rate") / 365).alias("financing"))
+    days = bars.withColumn("prev_close", F.lag("close").over(w)).withColumn("w_new", F.col("local_date") != F.lag("local_date").over(w)).where("w_new")
+    # running sums up to the exit less those up to the entry: two as-of joins instead of a range join
+    total = F.sum(F.abs("prev_close")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    days = days.select(*by, F.col("ts").alias("day_ts"), total.alias("paid"))
+    life = trades.select("trade_id", *by, "size", "contract_size", "annual_rate", "entry_time", F.coalesce("exit_time", F.expr("TIMESTAMP_NTZ'9999-12-31 00:00:00'")).alias("w_end"))
+    life = joins.asof(life, days, list(by), "entry_time", "day_ts", ["paid"], prefix="entry_")
+    life = joins.asof(life, days, list(by), "w_end", "day_ts", ["paid"], prefix="exit_")
+    days_paid = F.coalesce("exit_paid", F.lit(0.0)) - F.coalesce("entry_paid", F.lit(0.0))
+    return life.select("trade_id", (days_paid * F.abs(F.col("size") * F.col("contract_size")) * F.col("annual_rate") / 365).alias("financing"))
 
 
 def blotter(trades: DataFrame) -> DataFrame:

@@ -14,14 +14,24 @@ from pyspark.sql import functions as F
 from wickwork.functions.sessions import epoch
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str], strict: bool = False, prefix: str = "") -> DataFrame:
-    """``left`` with ``values`` of the latest right row at or before (``strict``: before) its time, null if none."""
-    names = left.columns
-    lr = left.select(*[F.col(c).alias(f"w_{c}") for c in by], F.col(left_ts).alias("w_ts"), F.struct(*names).alias("w_left"), F.lit(None).cast(right.select(F.struct(right_ts, *values)).schema[0].dataType).alias("w_right"), F.lit(0 if strict else 1).alias("w_o"))
-    rr = right.select(*[F.col(c).alias(f"w_{c}") for c in by], F.col(right_ts).alias("w_ts"), F.lit(None).cast(lr.schema["w_left"].dataType).alias("w_left"), F.struct(right_ts, *values).alias("w_right"), F.lit(1 if strict else 0).alias("w_o"))
-    w = Window.partitionBy(*[f"w_{c}" for c in by]).orderBy("w_ts", "w_o").rowsBetween(Window.unboundedPreceding, 0)
-    got = lr.unionByName(rr).withColumn("w_last", F.last("w_right", ignorenulls=True).over(w)).where("w_left is not null")
-    return got.select("w_left.*", *[F.col(f"w_last.{v}").alias(f"{prefix}{v}") for v in values])
+def asof(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str], strict: bool = False, prefix: str = "", cell: int = 30 * 86400) -> DataFrame:
+    """``left`` with ``values`` of the latest right row at or before (``strict``: before) its time, null if none.
+
+    Rows are dealt by (key, time cell), so that one long series spreads over tasks; what a cell inherits comes from a small
+    table of each cell's last right row.
+    """
+    keys = [f"w_{c}" for c in by]
+    r = right.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(right_ts).alias("w_ts"), F.struct(right_ts, *values).alias("w_right"), F.lit(1 if strict else 0).alias("w_o"))
+    lr = left.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(left_ts).alias("w_ts"), F.struct(*left.columns).alias("w_left"), F.lit(None).cast(r.schema["w_right"].dataType).alias("w_right"), F.lit(0 if strict else 1).alias("w_o"))
+    rows = lr.unionByName(r.withColumn("w_left", F.lit(None).cast(lr.schema["w_left"].dataType))).withColumn("w_cell", F.floor(epoch("w_ts") / cell))
+    ends = rows.groupBy(*keys, "w_cell").agg(F.max_by("w_right", F.when(F.col("w_right").isNotNull(), F.col("w_ts"))).alias("w_end"))
+    before = Window.partitionBy(*keys).orderBy("w_cell").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "w_cell", F.last("w_end", ignorenulls=True).over(before).alias("w_in"))
+    w = Window.partitionBy(*keys, "w_cell").orderBy("w_ts", "w_o").rowsBetween(Window.unboundedPreceding, 0)
+    got = rows.withColumn("w_last", F.last("w_right", ignorenulls=True).over(w)).where("w_left is not null")
+    same = [F.col(f"w_l.{k}").eqNullSafe(F.col(f"w_e.{k}")) for k in keys] + [F.col("w_l.w_cell").eqNullSafe(F.col("w_e.w_cell"))]
+    got = got.alias("w_l").join(ends.alias("w_e"), same, "left").withColumn("w_found", F.coalesce("w_l.w_last", "w_e.w_in"))
+    return got.select("w_left.*", *[F.col(f"w_found.{v}").alias(f"{prefix}{v}") for v in values])
 
 
 def interval_extreme(left: DataFrame, right: DataFrame, by: list[str], start: str, end: str, ts: str, value: Column, out: str, largest: bool, cell: int = 86400) -> DataFrame:
@@ -35,27 +45,31 @@ def interval_extreme(left: DataFrame, right: DataFrame, by: list[str], start: st
     return left.join(hit, [*by, start, end], "left")
 
 
-def first_touch(orders: DataFrame, bars: DataFrame, by: list[str], order_id: str, after: str, until: str | None, touches: Column, bounds: Column, keep: list[str], cell: int = 86400) -> DataFrame:
+def first_touch(orders: DataFrame, bars: DataFrame, by: list[str], order_id: str, after: str, until: str | None, touches: Column, bounds: Column, keep: list[str], cells: tuple[int, ...] = (64 * 86400, 8 * 86400, 86400)) -> DataFrame:
     """For each order the first bar with ``ts > after`` (and ``ts <= until``) that ``touches``; ``keep``: bar columns to return.
 
     ``touches`` is over order and bar columns; ``bounds`` is the same test over a cell's largest ``high`` and smallest ``low``
-    (columns ``high`` and ``low``): it must hold wherever a bar of the cell touches.
-    Orders first meet the cells' summaries, one row per key and cell; the first cells that may touch are then opened.
+    (columns ``high`` and ``low``): it must hold wherever a bar of the cell touches, and hold nowhere else.
+    Orders meet the summaries of the longest cells of their key first and, level by level, only the cells that may hold the first touch
+    are opened: at most two per order and level. ``cells``: lengths in seconds, each a multiple of the next.
     """
-    cells = bars.withColumn("w_cell", F.floor(epoch("ts") / cell)).groupBy(*by, "w_cell").agg(F.max("high").alias("high"), F.min("low").alias("low"), F.max("ts").alias("w_last"), F.min("ts").alias("w_first"))
-    o = orders.withColumn("w_from", F.floor(epoch(after) / cell))
-    window = (F.col("w_cell") >= F.col("w_from")) & (F.col("w_last") > F.col(after))
-    if until:
-        window &= F.col(until).isNull() | (F.col("w_first") <= F.col(until))
-    may = o.join(cells, by).where(window & bounds)
-    # a whole cell that may touch does touch: later ones are not opened
-    sure = F.min(F.when(F.col("w_first") > F.col(after), F.col("w_cell"))).over(Window.partitionBy(order_id))
-    may = may.withColumn("w_sure", sure).where("w_sure is null or w_cell <= w_sure").select(*by, *[c for c in orders.columns if c not in by], "w_cell")
-    b = bars.select(*by, "ts", "open", "high", "low", "close", *[c for c in keep if c not in ("ts", "open", "high", "low", "close")]).withColumn("w_cell", F.floor(epoch("ts") / cell))
+    order_cols = [c for c in orders.columns if c not in by]
+    b = bars.select(*by, "ts", "open", "high", "low", "close", *[c for c in keep if c not in ("ts", "open", "high", "low", "close")]).withColumn("w_e", epoch("ts"))
+    may = orders.select(*by, *order_cols)
+    for level, secs in enumerate(cells):
+        up = [] if level == 0 else [F.floor(F.col("w_e") / cells[level - 1]).alias("w_cell")]
+        summary = b.groupBy(*by, *up, F.floor(F.col("w_e") / secs).alias("w_next")).agg(F.max("high").alias("high"), F.min("low").alias("low"), F.max("ts").alias("w_last"), F.min("ts").alias("w_first"))
+        in_time = F.col("w_last") > F.col(after)
+        if until:
+            in_time &= F.col(until).isNull() | (F.col("w_first") <= F.col(until))
+        may = may.join(summary, [*by, "w_cell"] if level else by).where(in_time & bounds)
+        # a whole cell that may touch does touch: later ones are not opened
+        sure = F.min(F.when(F.col("w_first") > F.col(after), F.col("w_next"))).over(Window.partitionBy(order_id))
+        may = may.withColumn("w_sure", sure).where("w_sure is null or w_next <= w_sure").select(*by, *order_cols, F.col("w_next").alias("w_cell"))
     in_time = F.col("ts") > F.col(after)
     if until:
         in_time &= F.col(until).isNull() | (F.col("ts") <= F.col(until))
-    hit = may.join(b, [*by, "w_cell"]).where(in_time & touches)
+    hit = may.join(b.withColumn("w_cell", F.floor(F.col("w_e") / cells[-1])).drop("w_e"), [*by, "w_cell"]).where(in_time & touches)
     return hit.groupBy(order_id).agg(F.min_by(F.struct(*keep), "ts").alias("w_hit")).select(order_id, *[F.col(f"w_hit.{c}").alias(f"hit_{c}") for c in keep])
 
 
