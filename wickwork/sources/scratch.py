@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _local() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def path(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and spark.sparkContext.master.startswith("local["):  # one machine, as in tests
+        base = _local()
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/wickwork-{name}-{uuid.uuid4().hex}"
