@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +22,16 @@ def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
         spark.conf.set(key, rows)
 
 
+@cache
+def _local() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and spark.sparkContext.master.startswith("local["):  # one machine, as in tests
+        base = _local()
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/wickwork-{name}-{uuid.uuid4().hex}"
