@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wickwork.operators import indicators, joins, recurrence, resample
+from wickwork.operators import series as series_module
 from wickwork.streaming import bars as streaming
 
 BAR = "source string, ticker string, tf_seconds long, ts timestamp_ntz, open double, high double, low double, close double, volume double"
@@ -65,7 +66,8 @@ class Pusher:
 
 
 @pytest.mark.parametrize("start", [datetime(2023, 3, 8), datetime(2023, 10, 20)])
-def test_resampling(spark, start):
+def test_resampling(spark, monkeypatch, start):
+    monkeypatch.setattr(series_module, "CELL", 3 * 86400)
     rows, inst, want_steps, want_closed = [], [], [], []
     for name, s in SESSIONS.items():
         inst.append(("s", name, *s))
@@ -107,6 +109,16 @@ def test_recurrence_in_chunks(spark, monkeypatch, chunk):
         assert all(a is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) for a, b in zip(got, want, strict=True))
 
 
+def test_lookbacks_in_chunks(spark):
+    data = series(8, datetime(2023, 5, 1), 400)
+    b = indicators.numbered(spark.createDataFrame([("s", "utc", 900, *r) for r in data], BAR))
+    assert [r["n"] for r in b.orderBy("ts").collect()] == list(range(1, 401))
+    fns = {20: lambda x, by: indicators.bollinger(indicators.sma(x, 20, by=by), by=by), 2: lambda x, by: indicators.fair_value_gap(indicators.fractals(x, by), by)}
+    for lookback, fn in fns.items():
+        whole = sorted(map(str, fn(b, resample.SERIES).collect()))
+        assert sorted(map(str, series_module.in_chunks(b, lookback, fn, resample.SERIES, rows=32).collect())) == whole
+
+
 def test_forming_average_equals_full_history(spark):
     data = series(5, datetime(2023, 5, 1), 300)
     b = spark.createDataFrame([("s", "utc", 900, *r) for r in data], BAR)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wickwork.functions.sessions import epoch
 from wickwork.operators import joins
+from wickwork.operators.series import with_running
 from wickwork.schema import KEY
 
 
@@ -217,7 +218,6 @@ def equity_curve(trades: DataFrame, bars: DataFrame, start_cash: float, by=KEY)
     moves = opened.unionByName(ended).withColumn("close", F.lit(None).cast("double")).withColumn("w_o", F.lit(0))
     zero = F.lit(0.0)
     rows = bars.select(*by, "ts", zero.alias("d_cash"), zero.alias("d_a"), zero.alias("d_b"), zero.alias("d_pos"), "close", F.lit(1).alias("w_o")).unionByName(moves)
-    w = Window.partitionBy(*by).orderBy("ts", "w_o").rowsBetween(Window.unboundedPreceding, 0)
-    total = lambda c: F.sum(c).over(w)
-    out = rows.withColumn("equity", F.lit(start_cash) + total("d_cash") + F.col("close") * total("d_a") - total("d_b")).withColumn("position", total("d_pos"))
+    rows = with_running(rows, tuple(by), ["ts", "w_o"], {"s_cash": F.col("d_cash"), "s_a": F.col("d_a"), "s_b": F.col("d_b"), "position": F.col("d_pos")})
+    out = rows.withColumn("equity", F.lit(start_cash) + F.col("s_cash") + F.col("close") * F.col("s_a") - F.col("s_b"))
     return out.where("w_o = 1").select(*by, "ts", "equity", "position")

@@ -1,6 +1,7 @@
 """Indicators over closed bars: one row per bar, null until enough bars have been seen.
 
-``bars`` have a number ``n`` per series (``numbered``). ``by`` are the columns of a series.
+``bars`` have a number ``n`` per series (``numbered``). ``by`` are the columns of a series. Averages with memory spread a long series over
+tasks themselves; for those with a fixed lookback ``series.in_chunks`` does it.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from pyspark.sql import functions as F
 from wickwork.operators.recurrence import ema as _ema
 from wickwork.operators.recurrence import wilder as _wilder
 from wickwork.operators.resample import SERIES
+from wickwork.operators.series import with_running
 
 
 def numbered(bars: DataFrame, by=SERIES, order: str = "ts") -> DataFrame:
-    return bars.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+    return with_running(bars, tuple(by), [order], {"n": F.lit(1)})
 
 
 def _series(by):

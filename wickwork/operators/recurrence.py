@@ -21,24 +21,27 @@ def smoothed(df: DataFrame, out: str, x: Column, no: str, period: int, keep: flo
     ``no`` numbers the valid rows of a series from 1 (null: row takes no part).
     """
     df = df.withColumn("w_x", x).withColumn("w_no", F.col(no))
-    series = Window.partitionBy(*by)
-    df = df.withColumn("w_seed", F.sum(F.when(F.col("w_no") <= period, F.col("w_x"))).over(series) / period)
+    seeds = df.where(F.col("w_no") <= period).groupBy(*by).agg((F.sum("w_x") / period).alias("w_seed"))
     df = df.withColumn("w_t", F.when(F.col("w_no") >= period, F.col("w_no") - period))
-    term = F.when(F.col("w_t") == 0, F.col("w_seed")).when(F.col("w_t") > 0, F.col("w_x") * weight)
-    if keep <= 0:
-        return df.withColumn(out, F.when(F.col("w_t") >= 0, term)).drop("w_x", "w_no", "w_seed", "w_t")
-    chunk = min(CHUNK, max(1, int(280 / -math.log10(keep)))) if keep < 1 else CHUNK  # keep ** -chunk stays finite
-    df = df.withColumn("w_term", term).withColumn("w_chunk", F.floor(F.col("w_t") / chunk)).withColumn("w_i", F.col("w_t") % chunk)
+    keep = max(keep, 0.0)
+    chunk = CHUNK if keep in (0.0, 1.0) else min(CHUNK, max(1, int(280 / -math.log10(keep))))  # keep ** -chunk stays finite
+    df = df.withColumn("w_chunk", F.floor(F.col("w_t") / chunk)).withColumn("w_i", F.col("w_t") % chunk)
+    term = F.when(F.col("w_t") == 0, F.lit(0.0)).otherwise(F.col("w_x") * weight)  # the seed comes in with its chunk
     inside = Window.partitionBy(*by, "w_chunk").orderBy("w_i").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("w_local", F.sum(F.col("w_term") * F.pow(F.lit(1 / keep), F.col("w_i"))).over(inside) * F.pow(F.lit(keep), F.col("w_i")))
-    back = max(1, math.ceil(18 / (-math.log10(keep) * chunk))) if keep < 1 else 1_000_000
-    ends = df.where("w_t is not null").groupBy(*by, "w_chunk").agg(F.max_by("w_local", "w_i").alias("w_end"), F.max("w_i").alias("w_last"))
+    if keep:
+        df = df.withColumn("w_local", F.sum(term * F.pow(F.lit(1 / keep), F.col("w_i"))).over(inside) * F.pow(F.lit(keep), F.col("w_i")))
+    else:
+        df = df.withColumn("w_local", term)
+    ends = df.where("w_t is not null").groupBy(*by, "w_chunk").agg(F.max_by("w_local", "w_i").alias("w_end"), F.max("w_i").alias("w_last")).join(seeds, list(by))
+    first = F.col("w_chunk") == 0
+    ends = ends.withColumn("w_end", F.when(first, F.col("w_end") + F.col("w_seed") * F.pow(F.lit(keep), F.col("w_last"))).otherwise(F.col("w_end")))
+    back = 1 if not keep else max(1, math.ceil(18 / (-math.log10(keep) * chunk))) if keep < 1 else 1_000_000
     before = Window.partitionBy(*by).orderBy("w_chunk").rowsBetween(-back, -1)
     step = keep**chunk  # all chunks before one are full
-    ends = ends.withColumn("w_in", F.aggregate(F.collect_list("w_end").over(before), F.lit(0.0), lambda s, v: s * step + v)).select(*by, "w_chunk", "w_in")
+    ends = ends.select(*by, "w_chunk", "w_seed", F.aggregate(F.collect_list("w_end").over(before), F.lit(0.0), lambda s, v: s * step + v).alias("w_in"))
     df = df.join(ends, [*by, "w_chunk"], "left")
-    value = F.col("w_local") + F.coalesce(F.col("w_in"), F.lit(0.0)) * F.pow(F.lit(keep), F.col("w_i") + 1)
-    return df.withColumn(out, F.when(F.col("w_t") >= 0, value)).drop("w_x", "w_no", "w_seed", "w_t", "w_term", "w_chunk", "w_i", "w_local", "w_in")
+    carried = F.when(F.col("w_chunk") == 0, F.col("w_seed") * F.pow(F.lit(keep), F.col("w_i"))).otherwise(F.col("w_in") * F.pow(F.lit(keep), F.col("w_i") + 1))
+    return df.withColumn(out, F.when(F.col("w_t") >= 0, F.col("w_local") + carried)).drop("w_x", "w_no", "w_seed", "w_t", "w_chunk", "w_i", "w_local", "w_in")
 
 
 def ema(df: DataFrame, out: str, x: Column, no: str, period: int, by: tuple[str, ...]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Resampling bars to several timeframes at once, with still-forming bars.
 
-Rows expand by timeframe with narrow columns, are dealt by key and timeframe once, and all windows and the closing
-aggregation share that partitioning. Bars are runs: a new bar begins when the bucket changes or when the row before closed its
+Rows expand by timeframe with narrow columns. The row before and the running bar number are found within (series, time cell), so that
+one long series spreads over tasks (see ``series``); the bars' own values are windows per bar. Bars are runs: a new bar begins when the bucket changes or when the row before closed its
 bucket, so that rows after the session's close each make a bar of their own under the same label.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickwork.functions.sessions import bucket_bounds
+from wickwork.operators.series import with_previous, with_running
 from wickwork.schema import KEY
 
 SERIES = (*KEY, "tf_seconds")
@@ -31,9 +32,9 @@ def forming(bars: DataFrame, instruments: DataFrame, timeframes: list[int], base
     same = F.col("tf_seconds") == base
     end = F.expr(f"timestampadd(SECOND, {base}, ts)")
     rows = rows.withColumn("open_utc", F.when(same, F.col("ts")).otherwise(F.col("open_utc"))).withColumn("w_closes", same | (end >= F.col("close_utc")))
-    series = Window.partitionBy(*SERIES).orderBy("ts")
-    begins = F.coalesce((F.col("open_utc") != F.lag("open_utc").over(series)) | F.lag("w_closes").over(series), F.lit(True))
-    rows = rows.withColumn("w_new", begins.cast("int")).withColumn("bar_no", F.sum("w_new").over(series.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = with_previous(rows, SERIES, "ts", {"w_last_open": "open_utc", "w_last_closes": "w_closes"})
+    begins = F.coalesce((F.col("open_utc") != F.col("w_last_open")) | F.col("w_last_closes"), F.lit(True))
+    rows = with_running(rows, SERIES, ["ts"], {"bar_no": begins.cast("int")})
     run = Window.partitionBy(*SERIES, "bar_no").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     return rows.select(
         *SERIES, F.col("ts").alias("step"), "bar_no", F.col("open_utc").alias("ts"), F.first("open").over(run).alias("open"), F.max("high").over(run).alias("high"),
@@ -47,8 +48,10 @@ def bars_of(steps: DataFrame) -> DataFrame:
     bars = steps.groupBy(*SERIES, "bar_no", "ts").agg(
         F.max_by("open", last).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", last).alias("close"), F.max("volume").alias("volume"), F.max("is_closed").alias("is_closed"), F.max("step").alias("last_step")
     )
-    newest = F.max("bar_no").over(Window.partitionBy(*SERIES))
-    return bars.withColumn("is_closed", F.col("is_closed") | (F.col("bar_no") < newest))
+    # a later bar exists where the one with the next number does
+    later = bars.select(*SERIES, (F.col("bar_no") - 1).alias("bar_no"), F.lit(True).alias("w_later"))
+    bars = bars.join(later, [*SERIES, "bar_no"], "left")
+    return bars.withColumn("is_closed", F.col("is_closed") | F.coalesce("w_later", F.lit(False))).drop("w_later")
 
 
 def closed(bars: DataFrame, instruments: DataFrame, timeframes: list[int], base: int) -> DataFrame:
