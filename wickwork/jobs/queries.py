@@ -925,8 +925,13 @@ def x2_stream_forming(spark, sf_dir):
 
 @job(
     "x3_stream_session_bars",
-    o.sql(o.bars(), o.steps([4 * HOUR], HOUR), final="SELECT source, ticker, tf_seconds, ts, open, high, low, close, volume FROM closed"),
-)
+    o.sql(
+        o.bars(), o.steps([4 * HOUR], HOUR), "cu AS (SELECT source, ticker, tf_seconds, bar_no, max(close_utc) AS cu FROM x8 GROUP BY ALL)",
+        # a last bar counts as well once the watermark, an hour behind, has passed its close
+        final="""SELECT source, ticker, tf_seconds, ts, open, high, low, close, volume FROM every JOIN cu USING (source, ticker, tf_seconds, bar_no)
+ WHERE cu < (SELECT max(ts) - INTERVAL 1 HOUR FROM bars) OR (source, ticker, tf_seconds, bar_no) IN (SELECT (source, ticker, tf_seconds, bar_no) FROM closed)""",
+    ),
+)
 def x3_stream_session_bars(spark, sf_dir):
     """Session-bounded four-hour bars with keyed state, over a stream of hourly bars written day by day."""
     b = _hours(spark, sf_dir)
