@@ -34,21 +34,16 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     """One row per input row: id, keep_id, group_size, kept, text_sha256 and, with ``carry``, the row itself as ``w_row``."""
     norm = normalised("w_text")
     rows = docs.select(F.col(id_col).alias("w_id"), F.col(text_col).alias("w_text"), *([F.struct("*").alias("w_row")] if carry else []))
-    keyed = rows.withColumn("w_hash", F.xxhash64(norm))
+    keyed = rows.select("*", F.xxhash64(norm).alias("w_hash"), F.substring(norm, 1, PREFIX).alias("w_prefix"))
     limit = max(MIN_HOT, docs.count() // HOT_PARTS)
     hot = keyed.groupBy("w_hash").count().where(F.col("count") > limit).select("w_hash", (F.col("count") / limit + 1).cast("int").alias("w_salts"))
-    keyed = (
-        keyed.join(F.broadcast(hot), "w_hash", "left")
-        .withColumn("w_prefix", F.substring(norm, 1, PREFIX))
-        .withColumn("w_salt", F.coalesce(F.pmod(F.xxhash64("w_id"), F.col("w_salts")), F.lit(-1)))
-    )
-    keyed = keyed.drop("w_salts")
+    keyed = keyed.join(F.broadcast(hot), "w_hash", "left").withColumn("w_salt", F.coalesce(F.pmod(F.xxhash64("w_id"), F.col("w_salts")), F.lit(-1))).drop("w_salts")
     # Whole hot groups: one row per text and task before the shuffle.
     heads = (
         keyed.where("w_salt >= 0")
         .groupBy("w_hash", norm.alias("w_norm"))
         .agg(F.min("w_id").alias("w_all_keep"), F.count(F.lit(1)).alias("w_all_n"))
-        .select("w_hash", F.sha2(F.col("w_norm").cast("binary"), 256).alias("text_sha256"), "w_all_keep", "w_all_n")
+        .select("w_hash", F.coalesce(F.sha2(F.col("w_norm").cast("binary"), 256), F.lit("")).alias("text_sha256"), "w_all_keep", "w_all_n")
     )
     if carry:  # the text is in the row already
         keyed = keyed.drop("w_text")
