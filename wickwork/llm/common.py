@@ -60,3 +60,19 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.n
 def held_out(doc_id: str = "doc_id"):
     """True for the rows that no model may learn from: crc32(doc_id as text) mod 4 is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def hash_sample(rows: DataFrame, n: int, hash_col: str, total: int, keep=None) -> list:
+    """The ``n`` rows (or all) of smallest hash among those that ``keep`` accepts.
+
+    Only a share of the rows by hash is looked at, widened until it holds enough, so that what tasks send to the
+    driver is bounded by ``n`` and not by the number of tasks.
+    """
+    share = min(1.0, 4 * n / max(1, total))
+    while True:
+        near = rows.where(F.pmod(F.col(hash_col), F.lit(1 << 30)) <= int(share * (1 << 30)))
+        near = near if keep is None else near.where(keep)
+        got = near.orderBy(F.pmod(F.col(hash_col), F.lit(1 << 30)), *rows.columns).limit(n).collect()
+        if len(got) >= n or share >= 1:
+            return got
+        share = min(1.0, 16 * share)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickwork.llm import words
-from wickwork.llm.common import held_out, small_batches, texts
+from wickwork.llm.common import hash_sample, held_out, small_batches, texts
 
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, RIDGE, LEAST = 80, 4, 64, 0.15, 1.0, 20
@@ -168,7 +168,9 @@ def _measured(rows: DataFrame, of) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Trees:
     chosen = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("w_id"), F.col(label_col).alias("w_label"))
-    chosen = chosen.orderBy(F.xxhash64("w_id"), "w_id", "w_label").limit(sample)
+    spark = docs.sparkSession
+    found = hash_sample(chosen.select("w_id", "w_label", F.xxhash64("w_id").alias("h")), sample, "h", labels.count())
+    chosen = spark.createDataFrame([(r["w_id"], r["w_label"]) for r in found], chosen.schema)
     rows = docs.select(F.col(id_col).alias("w_doc"), F.col(text_col).alias("w_text")).join(F.broadcast(chosen), F.col("w_doc") == F.col("w_id")).select("w_id", "w_label", "w_text")
     as_list = ("x", "array<double>", lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())))
     got = _measured(rows, as_list).collect()
