@@ -43,7 +43,7 @@ from wickwork.llm.components import components
 #: log2 of the cells of the count table, count beyond which a token is frequent (also at least 4 x the mean), most classes.
 BITS, FREQUENT, CLASSES = 22, 1000, 8
 #: Partners verified with one leader in a task, members of a small bucket, of a block of a larger one, 64-bit words of a sketch.
-CHUNK, SMALL, BLOCK, SKETCH = 128, 24, 512, 16
+CHUNK, SMALL, BLOCK, SKETCH = 128, 24, 2048, 16
 
 
 def slack(n, percent: int):
@@ -246,8 +246,14 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     state = placed.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.max("members").alias("m"))
     state = state.where("low <> high").groupBy("m", "who").agg(F.min("sig").alias("sig")).select("sig")  # one of the buckets with equal members
     open_ = placed.join(state, "sig", "left_semi").join(marks.select("node", "bits"), "node")
-    open_ = open_.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    units = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # A bucket's largest component has blocks of its own, which meet only blocks of other components.
+    sizes = open_.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy("sig").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("main_c"), F.sum("c").alias("all_c"))
+    open_ = open_.join(sizes, "sig").withColumn("main_b", F.ceil(F.col("main_c") / BLOCK)).withColumn("rest_b", F.ceil((F.col("all_c") - F.col("main_c")) / BLOCK))
+    in_main, hashed = F.col("label") == F.col("main"), F.xxhash64("node")
+    open_ = open_.withColumn("block", F.when(in_main, F.pmod(hashed, F.col("main_b"))).otherwise(F.col("main_b") + F.pmod(hashed, F.greatest("rest_b", F.lit(1)))))
+    others = F.when(in_main, F.sequence(F.col("main_b"), F.col("main_b") + F.col("rest_b") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("main_b") + F.col("rest_b") - 1))
+    units = open_.withColumn("other", F.explode(others))
     units = units.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "label", "bits")
     more = written(units.groupBy("sig", "i", "j").applyInPandas(lambda u: _block_pairs(u, percent), "a long, b long").distinct(), "ngram-pairs")
     if more.limit(1).count():
