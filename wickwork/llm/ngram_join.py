@@ -221,9 +221,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     key = ["n", "k1", "k2"]
     named = rows.where("n > 0 and id is not null").select("id", *key)
     nodes = written(named.groupBy(*key).agg(F.min("id").alias("node")), "ngram-nodes")
-    firsts = rows.where("size(sigs) > 0").join(nodes.withColumnRenamed("node", "id"), [*key, "id"], "left_semi").select(F.col("id").alias("node"), "n", "sigs", "bits")
+    firsts = rows.where("size(sigs) > 0").join(nodes.withColumnRenamed("node", "id"), [*key, "id"], "left_semi").dropDuplicates(["id", *key]).select(F.col("id").alias("node"), "n", "sigs", "bits")
     firsts = written(firsts, "ngram-firsts")
-    entries = firsts.select(F.explode("sigs").alias("sig"), "node", "n").distinct()
+    entries = firsts.select(F.explode("sigs").alias("sig"), "node", "n")
     buckets = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lead"))
     members = written(entries.join(buckets.where("members > 1"), "sig"), "ngram-members")
     marks = firsts.select("node", "n", "bits").dropDuplicates(["node"])
