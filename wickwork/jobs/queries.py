@@ -36,11 +36,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks.event_bars(spark, sf_dir, HOUR)
+    """Hourly bars, made once: later steps read them more than once."""
+    return written(ticks.event_bars(spark, sf_dir, HOUR), "hours")
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indicators.numbered(_hours(spark, sf_dir))
+    return written(indicators.numbered(ticks.event_bars(spark, sf_dir, HOUR)), "numbered")
 
 
 def _steps(spark: SparkSession, sf_dir: str, tfs: list[int]) -> DataFrame:
@@ -57,8 +58,8 @@ def _out(*names: str) -> str:
 
 @job("s4_base_bars", o.sql(o.bars(), final="SELECT * FROM bars"))
 def s4_base_bars(spark, sf_dir):
-    """Hourly bars from ticks, times in whole seconds."""
-    return _hours(spark, sf_dir)
+    """Hourly bars from ticks, times in whole seconds."""
+    return ticks.event_bars(spark, sf_dir, HOUR)
 
 
 @job(
@@ -324,7 +325,7 @@ def _swings(bars: DataFrame) -> DataFrame:
 )
 def j2_swings(spark, sf_dir):
     """Per bar the last swing low, the highest swing of the twelve hours before, and the next day's highest beyond its own high."""
-    b = written(_numbered(spark, sf_dir), "numbered")
+    b = _numbered(spark, sf_dir)
     s = written(_swings(b), "swings")
     lows, highs = s.where("fractal_down = 1").select(*KEY, F.col("ts").alias("swing_ts"), F.col("low").alias("last_low")), s.where("fractal_up = 1").select(*KEY, F.col("ts").alias("swing_ts"), F.col("high").alias("swing_high"))
     out = joins.asof(b.select(*KEY, "ts", "high"), lows, list(KEY), "ts", "swing_ts", ["last_low"])
@@ -375,7 +376,7 @@ def _trades(bars: DataFrame) -> DataFrame:
 
 
 def _exited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    bars = written(_numbered(spark, sf_dir), "numbered")
+    bars = _numbered(spark, sf_dir)
     return bars, written(fills.bracket_exits(_trades(bars), bars, KEY, ticks.event_bars(spark, sf_dir, 900), HOUR), "exits")
 
 
@@ -395,7 +396,7 @@ oh AS (SELECT order_id, min(b.ts) AS x FROM od t JOIN nb b ON t.source = b.sourc
  side = 'sell' AND length(od.ticker) % 3 <> 2 AS rejected FROM od LEFT JOIN oh USING (order_id) LEFT JOIN nb b ON b.source = od.source AND b.ticker = od.ticker AND b.ts = oh.x""".replace("THEN least(price, open) WHEN", "AND b.ts IS NOT NULL THEN least(price, open) WHEN")))
 def f2_resting_orders(spark, sf_dir):
     """Limit and stop orders until filled or cancelled, and sells rejected where shorting is not allowed."""
-    b = written(_numbered(spark, sf_dir), "numbered")
+    b = _numbered(spark, sf_dir)
     even, third = F.col("n") % 2 == 0, F.col("n") % 3 == 0
     orders = b.where("n % 5 = 0").select(
         F.concat_ws(":", *KEY, F.col("n").cast("string")).alias("order_id"), *KEY, F.when(even, "limit").otherwise("stop").alias("type"), F.when(third, "buy").otherwise("sell").alias("side"),
@@ -437,7 +438,7 @@ def f7_signal_close(spark, sf_dir):
 )
 def f8_moving_levels(spark, sf_dir):
     """F8: stops moved to the entry price four bars after the signal, over a day of bars."""
-    b = written(_numbered(spark, sf_dir), "numbered")
+    b = _numbered(spark, sf_dir)
     t = _trades(b)
     end = b.select(*KEY, (F.col("n") - 24).alias("n"), F.col("ts").alias("end_ts"))
     last = b.groupBy(*KEY).agg(F.max("ts").alias("last_ts"))
@@ -614,7 +615,7 @@ CROSS = "coalesce(fast - slow > 1e-9 AND close > trend, false)"
 
 def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars with fast and slow averages and the four-hour trend as seen at each bar."""
-    hours = written(_hours(spark, sf_dir), "hours")
+    hours = _hours(spark, sf_dir)
     steps = resample.forming(hours, instruments(hours), [4 * HOUR], HOUR)
     closed = resample.bars_of(steps).where("is_closed")
     trend = indicators.forming_sma(steps, closed, 20, out="trend").select(*KEY, F.col("step").alias("ts"), "trend")
@@ -659,7 +660,7 @@ GAP_SETUPS = (
 
 
 def _setups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    b = written(_numbered(spark, sf_dir), "numbered")
+    b = _numbered(spark, sf_dir)
     first = F.lag("ts", 2).over(Window.partitionBy(*KEY).orderBy("n"))
     gaps = written(indicators.fair_value_gap(b.withColumn("first_ts", first)).select(*KEY, "n", "ts", "first_ts", "bullish", "bearish", "gap_top", "gap_bottom"), "gaps")
     return b, signals.gap_setups(gaps, written(_swings(b), "swings"), HOUR, 0.5)
@@ -861,7 +862,7 @@ ky AS (SELECT *, sha256('["m1", "' || replace(replace(replace(replace(text, '\\'
 
 
 def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = written(_numbered(spark, sf_dir), "numbered")
+    b = _numbered(spark, sf_dir)
     lines = advisor.bar_lines(resample.forming(b, instruments(b), [4 * HOUR], HOUR)).select(*KEY, F.col("step").alias("signal_ts"), "lines")
     t = _trades(b).join(lines, [*KEY, "signal_ts"])
     text = advisor.context(F.col("side"), F.lit(1.0), F.col("stop_loss"), F.col("take_profit"), F.col("ref"), F.col("lines"), F.lit('é "trade"?'))
