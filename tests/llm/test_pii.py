@@ -92,3 +92,55 @@ def test_windows_cover_stretches():
     assert list(pii.stretches(text)) == [(500 - pii.REACH, 900 + pii.REACH)]
     t = pii.Tagger(1)
     assert t.added([text, "", "no number"], [[], [], []])[1:] == [[], []]
+
+
+def learned(rng):
+    make = [lambda: f"{prose(rng, 1)}.{prose(rng, 1)}@{prose(rng, 1)}.example.com", lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}", lambda: "4970008931099239"]
+    return [f"{prose(rng, 40)} {rng.choice(make)()} {prose(rng, 30)} {rng.randint(0, 9999)} {prose(rng, 5)} {rng.choice(make)()} {prose(rng, 90)}" for _ in range(200)]
+
+
+def whole(tagger, text):
+    """All windows of a text and one Viterbi pass over all of it."""
+    c, s, depth = pii.codes(text), np.zeros((len(text), pii.TAGS), np.float32), np.full(len(text), -1)
+    for w in range(0, max(1, len(c) - pii.STEP), pii.STEP):
+        row, n = np.zeros(pii.WINDOW, np.int64), min(pii.WINDOW, len(c) - w)
+        row[:n] = c[w : w + n]
+        deep = np.minimum(np.arange(n), np.arange(n)[::-1])
+        better = deep > depth[w : w + n]
+        s[w : w + n][better] = tagger.scores(row[None])[0][0, :n][better]
+        depth[w : w + n][better] = deep[better]
+    tags, prob, out, k = tagger.viterbi(s), np.exp(s - s.max(1, keepdims=True)), [], 0
+    prob = prob[np.arange(len(s)), tags] / prob.sum(1)
+    base = pii.base_spans(text)
+    while k < len(tags):
+        end = k + 1
+        if tags[k] % 2:
+            while end < len(tags) and tags[end] == tags[k] + 1:
+                end += 1
+            kind = (tags[k] - 1) // 2
+            if prob[k:end].mean() >= pii.SURE and tagger._plausible(text, kind, k, end) and all(end <= a or k >= b for _, a, b in base):
+                out.append((int(kind), k, end))
+        k = end
+    return sorted(out)
+
+
+def test_addresses_without_digits(spark):
+    rng = random.Random(11)
+    docs = spark.createDataFrame(list(enumerate(learned(rng))), "doc_id long, text string")
+    rows = [(i, f"{prose(rng, 60)} {prose(rng, 1)}.{prose(rng, 1)}{sign}{prose(rng, 1)}.example.com {prose(rng, 60)}") for i in range(20) for sign in ("(at)", "[at]", " @ ")]
+    tagger = pii.train(docs)
+    found = tagger.added([t for _, t in rows], [pii.base_spans(t) for _, t in rows])
+    assert sum(any(pii.KINDS[k] == "email" for k, _, _ in f) for f in found) > len(rows) / 2
+    texts = [t for _, t in rows] + [prose(rng, n) for n in (1, 30, 200)]
+    texts += [pii._varied(t, pii.base_spans(t), rng)[0] for t in learned(rng)[:40]] + ["a.bc" * 60 + "(at)" + "de.f" * 60, "1 " * 300 + "(at)" * 30]
+    texts += ["".join(rng.choice(["ab", " ", "(at)", "@", "7", "49", ".", "/"]) for _ in range(rng.randint(1, 300))) for _ in range(60)]
+    for t, f in zip(texts, tagger.added(texts, [pii.base_spans(t) for t in texts]), strict=True):
+        assert f == whole(tagger, t), t
+
+
+def test_learns_around_spans():
+    rng = random.Random(5)
+    text = f"{prose(rng, 10)} 12 {prose(rng, 400)} someone@host.example.com {prose(rng, 400)}"
+    got = pii.parts(text)
+    assert any("someone@host.example.com" in t and t[int(s.split(":")[1]) : int(s.split(":")[2])] == "someone@host.example.com" for t, s in zip(got[::2], got[1::2], strict=True) if s)
+    assert pii.parts("1234 @ 5.6") == []

@@ -4,16 +4,16 @@ The base spans are the four patterns of ``KINDS`` with their checks. The model,
 labelled spans, tags characters (outside, begin or inside of a kind); it adds spans that the patterns miss and
 never removes one.
 
-Every kind needs a digit, and a text of prose has few: the model reads all windows around digits and no
-others, which is exact for spans that hold a digit within ``REACH`` characters of each of their ends. Windows of
-``WINDOW`` characters overlap by half; where windows overlap, a character's tag scores are those of the window in
-which it lies deepest, and one Viterbi pass over the joined scores of each stretch reconciles all windows. An
-added span counts if its mean tag probability is at least ``SURE``, it does not touch a base span, and its digits are
-as many as its kind may have.
+The result is that of tagging every text in windows of ``WINDOW`` characters that overlap by half (a character's tag
+scores are those of the window in which it lies deepest) and one Viterbi pass over the joined scores of the whole text,
+wherever its spans lie. An added span counts if its mean tag probability is at least ``SURE``, it does not touch a base
+span and it is plausible: cards, phones and addresses of machines by their digits, e-mails by one of the signs ``AT``. As each of
+these needs a digit or a sign, only such windows are computed first, and then their neighbours for as long as a
+span might reach on: a text is cut only at characters that no best path tags as anything but outside (``_certain``).
 
-Learning: at most ``SAMPLE`` rows with base spans, chosen by a hash of the id (a documented, bounded sample),
-labelled with their base spans, half of them with the digits' separators changed so that forms
-beyond the patterns are seen.
+Learning: at most ``SAMPLE`` rows with base spans, chosen by a hash of the id (a documented, bounded sample), of each the parts
+around up to ``PARTS`` spans and around up to ``PARTS`` other digits and signs, spread over the text; labelled with their base spans, and once
+more with the spans' separators changed so that forms beyond the patterns are seen.
 
 Defined results: null and empty texts have no spans; ids may be null or repeat; with nothing to learn from
 no span is added; an empty table gives an empty result; other columns are not read. Offsets are code points.
@@ -43,6 +43,9 @@ PATTERNS = {
 }
 DIGITS = {"email": (0, 64), "ip": (4, 12), "card": (16, 19), "phone": (8, 15)}
 SAMPLE, WINDOW, REACH, SURE = 400, 96, 40, 0.95
+PARTS, GROUP = 4, 1 << 21  # spans and others of a row to learn from; characters tagged at a time
+AT = r"(?:@|(?i:[(\[{<]at[)\]}>]))"  # e-mails have one of these
+ANCHOR = re.compile(f"[0-9]+|{AT}")  # an added span has one of these
 HIDDEN, EMBED, EPOCHS, BATCH, RATE, CLASSES = 16, 12, 6, 32, 0.02, 48
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 
@@ -223,44 +226,93 @@ class Tagger:
 
     def added(self, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
         """Spans of the model that touch no base span, per text."""
-        jobs = [(i, a, b) for i, t in enumerate(texts) for a, b in stretches(t)]
+        out: list[list[tuple[int, int, int]]] = []
+        at = 0
+        while at < len(texts):
+            to, size = at + 1, len(texts[at])
+            while to < len(texts) and size + len(texts[to]) <= GROUP:
+                size += len(texts[to])
+                to += 1
+            out += self._added(texts[at:to], base[at:to])
+            at = to
+        return out
+
+    def _added(self, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        for at in range(0, len(jobs), 512):
-            part, rows, place = jobs[at : at + 512], [], []
-            for j, (i, a, b) in enumerate(part):
-                c = codes(texts[i][a:b])
-                for w in range(0, max(1, len(c) - WINDOW // 2), WINDOW // 2):
-                    row = np.zeros(WINDOW, np.int64)
-                    row[: len(c[w : w + WINDOW])] = c[w : w + WINDOW]
-                    rows.append(row)
-                    place.append((j, w, min(WINDOW, len(c) - w)))
-            scores = np.concatenate([self.scores(np.array(rows[k : k + 1024]))[0] for k in range(0, len(rows), 1024)]) if rows else []
-            joined = [np.zeros((b - a, TAGS), np.float32) for _, a, b in part]
-            depth = [np.full(b - a, -1) for _, a, b in part]
-            for (j, w, n), s in zip(place, scores, strict=True):
-                deep = np.minimum(np.arange(n), np.arange(n)[::-1])
-                better = deep > depth[j][w : w + n]
-                joined[j][w : w + n][better] = s[:n][better]
-                depth[j][w : w + n][better] = deep[better]
-            for (i, a, _), s in zip(part, joined, strict=True):
-                if (s.argmax(1) == 0).all():
-                    continue
-                tags = self.viterbi(s)
-                prob = np.exp(s - s.max(1, keepdims=True))
-                prob = prob[np.arange(len(s)), tags] / prob.sum(1)
-                k = 0
-                while k < len(tags):
-                    if tags[k] and tags[k] % 2:
-                        kind, end = (tags[k] - 1) // 2, k + 1
-                        while end < len(tags) and tags[end] == tags[k] + 1:
-                            end += 1
-                        if prob[k:end].mean() >= SURE and self._plausible(texts[i], kind, a + k, a + end) and all(a + end <= x or a + k >= y for _, x, y in base[i]):
-                            out[i].append((int(kind), a + k, a + end))
-                        k = end
-                    else:
-                        k += 1
+        code: dict[int, np.ndarray] = {}
+        known: dict[tuple[int, int], np.ndarray] = {}  # tag scores by text and window
+        todo = []  # text, first and last anchor, first and last window, windows to add at a time
+        for i, t in enumerate(texts):
+            for m in ANCHOR.finditer(t):
+                if i not in code:
+                    code[i] = codes(t)
+                a, b = _owner(m.start(), len(t)), _owner(m.end() - 1, len(t))
+                if todo and todo[-1][0] == i and todo[-1][4] + 1 >= a:
+                    todo[-1][2], todo[-1][4] = m.end() - 1, b
+                else:
+                    todo.append([i, m.start(), m.end() - 1, a, b, 1])
+        while todo:
+            self._score(code, known, sorted({(i, w) for i, _, _, a, b, _ in todo for w in range(a, b + 1)} - known.keys()))
+            more = []
+            for job in todo:
+                i, p, q, a, b, step = job
+                start, last = _owned(a, len(texts[i]))[0], _owner(len(texts[i]) - 1, len(texts[i]))
+                s = np.concatenate([known[i, w] for w in range(a, b + 1)])
+                sure = self._certain(s)
+                before, after = np.flatnonzero(sure[: p - start + 1]), np.flatnonzero(sure[q - start :])
+                left, right = a > 0 and not len(before), b < last and not len(after)
+                if left or right:
+                    more.append([i, p, q, max(0, a - step) if left else a, min(last, b + step) if right else b, 2 * step])
+                else:
+                    x, y = before[-1] if len(before) else 0, q - start + after[0] + 1 if len(after) else len(s)
+                    out[i] += self._spans(texts[i], base[i], s[x:y], start + x, sure[x:y])
+            todo = more
         return [sorted(set(o)) for o in out]
 
+    def _score(self, code: dict[int, np.ndarray], known: dict[tuple[int, int], np.ndarray], windows: list[tuple[int, int]]) -> None:
+        """Adds the tag scores of each window's own characters to ``known``."""
+        for at in range(0, len(windows), 1024):
+            part = windows[at : at + 1024]
+            rows = np.zeros((len(part), WINDOW), np.int64)
+            for row, (i, w) in zip(rows, part, strict=True):
+                c = code[i][w * STEP : w * STEP + WINDOW]
+                row[: len(c)] = c
+            for (i, w), s in zip(part, self.scores(rows)[0], strict=True):
+                a, b = _owned(w, len(code[i]))
+                known[i, w] = s[a - w * STEP : b - w * STEP].copy()
+
+    def _certain(self, s: np.ndarray) -> np.ndarray:
+        """True where every best path is outside, whatever its neighbours: no transition can make up for the scores."""
+        t = self.p["trans"]
+        gain = np.maximum(0, (t - t[:, :1]).max(0)) + np.maximum(0, (t - t[:1]).max(1))
+        return (s[:, :1] - s[:, 1:] > gain[1:] + 1e-3).all(1)
+
+    def _spans(self, text: str, base: list[tuple[int, int, int]], s: np.ndarray, start: int, sure: np.ndarray) -> list[tuple[int, int, int]]:
+        """Spans in the part of the text that begins at ``start`` and has the scores ``s``, cut where ``sure``."""
+        out, ends = [], np.unique(np.r_[0, np.flatnonzero(sure), len(s) - 1])
+        some = (np.diff(ends) > 1) | ~sure[ends[:-1]] | ~sure[ends[1:]]
+        for x, y in zip(ends[:-1][some].tolist(), ends[1:][some].tolist(), strict=True):
+            found = ANCHOR.findall(text, start + x, start + y + 1)
+            if all(f.isdigit() for f in found) and sum(map(len, found)) < 4:  # no kind has fewer digits
+                continue
+            part = s[x : y + 1]
+            tags = self.viterbi(part)
+            prob = np.exp(part - part.max(1, keepdims=True))
+            prob = prob[np.arange(len(part)), tags] / prob.sum(1)
+            k = 0
+            while k < len(tags):
+                if tags[k] and tags[k] % 2:
+                    kind, end = (tags[k] - 1) // 2, k + 1
+                    while end < len(tags) and tags[end] == tags[k] + 1:
+                        end += 1
+                    a, b = start + x + k, start + x + end
+                    if prob[k:end].mean() >= SURE and self._plausible(text, kind, a, b) and all(b <= u or a >= v for _, u, v in base):
+                        out.append((int(kind), a, b))
+                    k = end
+                else:
+                    k += 1
+        return out
+
     @staticmethod
     def _plausible(text: str, kind: int, start: int, end: int) -> bool:
         """A kind's number of digits, whole runs of letters and digits at both ends, and a card's check digit."""
@@ -272,14 +324,28 @@ class Tagger:
             return False
         letters = any(c.isalpha() for c in found)
         if name == "email":
-            return letters and bool(re.search(r"\w ?(@|\(at\)|\[at\]) ?\w", found))
+            return letters and bool(re.search(rf"\w ?{AT} ?\w", found))
         return not letters and (name != "card" or luhn(digits)) and (name != "ip" or len(re.findall("[0-9]+", found)) == 4 and all(int(p) <= 255 for p in re.findall("[0-9]+", found)))
 
 
+STEP = WINDOW // 2
+
+
+def _owner(at: int, size: int) -> int:
+    """The window, of those that begin every ``STEP`` characters, in which a character of a text of ``size`` lies deepest."""
+    return min(max(0, at - STEP // 2) // STEP, max(0, -(-size // STEP) - 2))
+
+
+def _owned(window: int, size: int) -> tuple[int, int]:
+    """The characters that lie deepest in a window."""
+    first = window * STEP + STEP // 2 if window else 0
+    return first, size if window == _owner(size - 1, size) else window * STEP + STEP // 2 + STEP
+
+
 def stretches(text: str) -> Iterator[tuple[int, int]]:
-    """The parts of a text within REACH of a digit."""
+    """The parts of a text within REACH of a digit or a sign of e-mails."""
     start = end = -1
-    for m in re.finditer("[0-9]+", text):
+    for m in ANCHOR.finditer(text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
         if a <= end:
             end = b
@@ -312,33 +378,52 @@ def _varied(text: str, spans: list[tuple[int, int, int]], rng: random.Random) ->
     return out + text[at:], moved
 
 
-def examples(texts: list[str], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of character classes and their tags."""
+def parts(text: str) -> list[str]:
+    """Parts of a text around base spans and other digits and signs, each followed by its base spans; none without base spans."""
+    spans = sorted(base_spans(text), key=lambda s: s[1])
+    if not spans:
+        return []
+    others = [(0, a, b) for a, b in stretches(text) if all(b <= x or a >= y for _, x, y in spans)]
+    some = [g[k * len(g) // PARTS] for g in (spans, others) if g for k in range(PARTS)]
+    cuts = sorted({(max(0, a - WINDOW), min(len(text), min(b, a + 4 * WINDOW) + WINDOW)) for _, a, b in some})
+    out: list[str] = []
+    for a, b in cuts:
+        inside = [(k, max(x, a) - a, min(y, b) - a) for k, x, y in spans if x < b and y > a]
+        out += [text[a:b], ",".join(f"{k}:{x}:{y}" for k, x, y in inside)]
+    return out
+
+
+def examples(found: list[tuple[str, list[tuple[int, int, int]]]], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of character classes and their tags, of labelled parts of texts."""
     rng, xs, ys = random.Random(seed), [], []
-    for t in texts:
-        spans = base_spans(t)
+    for t, spans in found:
         for text, labelled in ((t, spans), _varied(t, spans, rng)):
             tags = np.zeros(len(text), np.int64)
             for k, a, b in labelled:
                 tags[a:b] = 2 + 2 * k
                 tags[a] = 1 + 2 * k
             c = codes(text)
-            for a, b in stretches(text):
-                for w in range(a, max(a + 1, b - WINDOW // 2), WINDOW // 2):
-                    row, tag = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int64)
-                    n = min(WINDOW, b - w)
-                    row[:n], tag[:n] = c[w : w + n], tags[w : w + n]
-                    xs.append(row)
-                    ys.append(tag)
+            for w in range(0, max(1, len(text) - STEP), STEP):
+                row, tag = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int64)
+                n = min(WINDOW, len(text) - w)
+                row[:n], tag[:n] = c[w : w + n], tags[w : w + n]
+                xs.append(row)
+                ys.append(tag)
     return np.array(xs).reshape(-1, WINDOW), np.array(ys).reshape(-1, WINDOW)
 
 
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Labelled parts of at most ``SAMPLE`` rows with base spans."""
+    cut = F.pandas_udf(lambda t: t.map(lambda x: parts(x or "")), "array<string>")
+    rows = docs.select(F.xxhash64(id_col).alias("h"), cut(F.col(text_col)).alias("t"))
+    got = [r["t"] for r in hash_sample(rows, SAMPLE, "h", docs.count(), F.size("t") > 0)]
+    read = lambda s: [tuple(map(int, x.split(":"))) for x in s.split(",")] if s else []
+    return [(t, read(s)) for r in got for t, s in zip(r[::2], r[1::2], strict=True)]
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3000) -> Tagger | None:
-    """Fits on the bounded sample, of each text the part around its first digits; ``None`` without labelled spans."""
-    near = F.regexp_extract(text_col, r"(?s).{0,200}[0-9@].{0,400}", 0)
-    rows = docs.select(F.xxhash64(id_col).alias("h"), near.alias("t"), F.col(text_col).rlike(r"[0-9]{4}|@|[0-9]\.[0-9]").alias("k"))
-    found = [r["t"] for r in hash_sample(rows, SAMPLE, "h", docs.count(), F.col("k"))]
-    x, y = examples(found)
+    """Fits on the bounded sample; ``None`` without labelled spans."""
+    x, y = examples(sample(docs, id_col, text_col))
     if not y.any():
         return None
     keep = np.random.default_rng(0).permutation(len(x))[:most]
