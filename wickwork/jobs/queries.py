@@ -973,3 +973,37 @@ def strategy_sma_cross(spark, sf_dir):
     taken = signals.gate(x.join(no, [*KEY, "exit_time"], "left"))
     done = taken.where("exit_time is not null").withColumns({"size": F.lit(1.0), "contract_size": F.lit(1.0), "entry_commission": F.lit(0.0), "exit_commission": F.lit(0.0), "financing": F.lit(0.0)})
     return rounded(metrics.trade_stats(fills.blotter(done), list(KEY)))
+
+
+def _walked(s: DataFrame, leave=None, max_hold: int | None = None, cooldown: int = 0) -> DataFrame:
+    """The trades taken of all that ``s`` enters, with levels and closes at the open after a signal or a time, whichever comes first."""
+    c = s.where("enter and next_ts is not null").select(
+        F.concat_ws(":", *KEY, F.col("n").cast("string")).alias("trade_id"), *KEY, F.col("n").alias("signal_no"), F.lit("buy").alias("side"), F.col("next_ts").alias("entry_time"), F.col("next_open").alias("entry_price"), "stop_loss", "take_profit"
+    )
+    x = fills.with_signal_close(fills.signal_closes(fills.bracket_exits(c, s), s, leave, max_hold))
+    no = s.select(*KEY, F.col("ts").alias("exit_time"), F.col("n").cast("double").alias("exit_no"))
+    return signals.gate(x.join(no, [*KEY, "exit_time"], "left"), cooldown)
+
+
+def _stats(taken: DataFrame) -> DataFrame:
+    done = taken.where("exit_time is not null").withColumns({"size": F.lit(1.0), "contract_size": F.lit(1.0), "entry_commission": F.lit(0.0), "exit_commission": F.lit(0.0), "financing": F.lit(0.0)})
+    return rounded(metrics.trade_stats(fills.blotter(done), list(KEY)))
+
+
+@job("strategy_sma_cross_exits")
+def strategy_sma_cross_exits(spark, sf_dir):
+    """The flagship with its exit signal: trades close at the open after fast < slow, unless a level is reached first."""
+    return _stats(_walked(written(_cross(spark, sf_dir), "signals"), leave=F.col("leave")))
+
+
+def _drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = fills.with_next(_numbered(spark, sf_dir))
+    flags = g2_drop_with_regime(spark, sf_dir).select(*KEY, "ts", (F.col("dropped") & F.col("market_ok")).alias("enter"))
+    s = s.join(flags, [*KEY, "ts"])
+    return written(s.withColumns({"stop_loss": F.col("close") * 0.5, "take_profit": F.col("close") * 2.0}), "drops")
+
+
+@job("strategy_drop_recovery")
+def strategy_drop_recovery(spark, sf_dir):
+    """Drops while the market allows, closed at the open after 20 bars at the latest, and a rest of five bars after a stop."""
+    return _stats(_walked(_drops(spark, sf_dir), max_hold=20, cooldown=5))

@@ -90,6 +90,29 @@ def with_signal_close(exits: DataFrame, close_ts: str = "close_ts", close_open:
     )
 
 
+def signal_closes(trades: DataFrame, bars: DataFrame, leave: Column | None = None, max_hold: int | None = None, by=KEY) -> DataFrame:
+    """Adds ``close_ts`` and ``close_open``: the open after the first bar of the trade's life that says ``leave`` or, if earlier, after
+    ``max_hold`` bars from the first bar on which the trade was seen open; null where no bar follows.
+
+    ``trades``: key, signal_no, entry_time. ``bars``: key, ts, n, next_ts, next_open and the columns of ``leave``.
+    """
+    out, ends = trades, []
+    if leave is not None:
+        # the first bar at or after a time is the last one at or before it on a clock that runs backwards
+        back = lambda c: F.expr(f"timestampadd(SECOND, -timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01', {c}), TIMESTAMP_NTZ '1970-01-01')")
+        right = bars.where(leave).select(*by, back("ts").alias("w_back"), F.struct("next_ts", "next_open").alias("w_leave"))
+        out = joins.asof(out.withColumn("w_from", back("entry_time")), right, list(by), "w_from", "w_back", ["w_leave"]).drop("w_from")
+        ends.append("w_leave")
+    if max_hold is not None:
+        at = bars.select(*by, (F.col("n") - 1 - max_hold).alias("signal_no"), F.struct("next_ts", "next_open").alias("w_held"))
+        out = out.join(at, [*by, "signal_no"], "left")
+        ends.append("w_held")
+    for c in ends:
+        out = out.withColumn(c, F.when(F.col(f"{c}.next_ts").isNotNull(), F.col(c)))
+    first = F.array_min(F.filter(F.array(*ends), lambda e: e.isNotNull()))
+    return out.withColumn("w_end", first).select(*trades.columns, F.col("w_end.next_ts").alias("close_ts"), F.col("w_end.next_open").alias("close_open"))
+
+
 def moving_levels(trades: DataFrame, changes: DataFrame, bars: DataFrame, by=KEY) -> DataFrame:
     """Bars of each trade after its entry with the levels in force: the last change before the bar, null in a change leaves a level.
 

@@ -63,11 +63,12 @@ def gap_setups(gaps: DataFrame, swings: DataFrame, secs: int, rr: float, by=KEY)
     return g.withColumn("entry", gap_entry(bull, F.col("stop_loss"), F.col("take_profit"), F.col("gap_top"), F.col("gap_bottom"), rr))
 
 
-def gate(candidates: DataFrame, max_hold: int | None = None, cooldown: int = 0, by=KEY) -> DataFrame:
+def gate(candidates: DataFrame, cooldown: int = 0, by=KEY) -> DataFrame:
     """The candidate trades that a strategy with one position at a time takes, in order of their signal bars.
 
     ``candidates``: key, trade_id, signal_no and exit_no (bar numbers; the exit null while open), exit_reason. A candidate is taken when
-    flat at its signal bar and, after a stop, once ``cooldown`` bars have passed. A fold over the candidates of a key, not over bars.
+    flat at its signal bar and, after a stop, once ``cooldown`` bars have passed. Exits by signal or time (``fills.signal_closes``,
+    ``fills.with_signal_close``) come before: they move ``exit_no``. A fold over the candidates of a key, not over bars.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
