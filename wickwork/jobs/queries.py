@@ -692,9 +692,16 @@ def g5_gap_orders(spark, sf_dir):
 
 @job("g5_gap_orders_renewed")
 def g5_gap_orders_renewed(spark, sf_dir):
-    """G5, J4 with up to two renewals of the target; tested against a plain fold."""
+    """G5, J4 with up to two renewals of the target by confirmed swings, until an order is filled, tested or expired; tested against a plain fold."""
     b, s = _setups(spark, sf_dir)
-    return signals.gap_orders(s.withColumn("setup_id", F.concat_ws(":", *KEY, F.col("n").cast("string"))), b, 48, 0.5, max_renewals=2)
+    return signals.gap_orders(s.withColumn("setup_id", F.concat_ws(":", *KEY, F.col("n").cast("string"))), b, None, 0.5, max_renewals=2, swings=written(_swings(b), "swings"))
+
+
+@job("g5_gap_orders_to_the_end")
+def g5_gap_orders_to_the_end(spark, sf_dir):
+    """What becomes of each gap order, however late; without renewals."""
+    b, s = _setups(spark, sf_dir)
+    return signals.gap_orders(s.withColumn("setup_id", F.concat_ws(":", *KEY, F.col("n").cast("string"))), b, None, 0.5).drop("renewals")
 
 
 GATE = """cn AS (SELECT trade_id, source, ticker, n AS signal_no, exit_no, exit_reason, row_number() OVER (PARTITION BY source, ticker ORDER BY n) AS i FROM ex),

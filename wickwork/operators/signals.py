@@ -86,16 +86,33 @@ def gate(candidates: DataFrame, cooldown: int = 0, by=KEY) -> DataFrame:
     return candidates.groupBy(*by).applyInPandas(fold, candidates.schema)
 
 
-def gap_orders(setups: DataFrame, bars: DataFrame, horizon: int, rr: float, max_renewals: int = 0, by=KEY) -> DataFrame:
+def gap_orders(setups: DataFrame, bars: DataFrame, horizon: int | None, rr: float, max_renewals: int = 0, by=KEY, swings: DataFrame | None = None) -> DataFrame:
     """State of each gap order after up to ``horizon`` bars: ``filled``, ``tested``, ``expired`` (target passed) or ``resting``, with its bar.
 
     On a bar a fill comes first, then a test of the gap, then the target's passing, which cancels the order or, up to
     ``max_renewals`` times, waits for a new extreme beyond the old target and a new entry. A fold over each setup's bars.
+
+    Without ``horizon`` an order lives until one of these happens: no fill comes without a test, so its bars end with the first test
+    of the gap (found by a first-touch join), or with the series; each setup has a row. With ``swings`` (key, ts, confirmed_ts, fractal_up,
+    fractal_down, high, low) new extremes are swings at or after the setup's ``c3_end`` that the bar has seen confirmed, else those of all bars.
     """
     b = bars.select(*by, "n", "ts", "open", "high", "low")
     s = setups.where("entry is not null").select("setup_id", *by, "n", "bullish", "gap_top", "gap_bottom", "stop_loss", "take_profit", "entry")
-    near = s.select(*by, "setup_id", F.explode(F.sequence(F.col("n") + 1, F.col("n") + horizon)).alias("n")).join(b, [*by, "n"])
-    rows = near.join(s.drop("n", *by), "setup_id").select("setup_id", "n", "ts", "open", "high", "low", "bullish", "gap_top", "gap_bottom", "stop_loss", "take_profit", "entry")
+    confirmed = swings is not None
+    if confirmed:
+        up, down = F.max(F.when(F.col("fractal_up") == 1, F.col("high"))), F.max(F.when(F.col("fractal_down") == 1, F.col("low")))
+        b = b.join(swings.groupBy(*by, F.col("confirmed_ts").alias("ts")).agg(F.max("ts").alias("swing_ts"), up.alias("swing_high"), down.alias("swing_low")), [*by, "ts"], "left")
+        s = s.join(setups.select("setup_id", "c3_end"), "setup_id")
+    end = F.col("n") + F.lit(horizon)
+    ends = s
+    if horizon is None:
+        test = F.when(F.col("bullish") == 1, F.col("low") <= F.col("gap_top")).otherwise(F.col("high") >= F.col("gap_bottom"))
+        orders = setups.where("entry is not null").select("setup_id", *by, "bullish", "gap_top", "gap_bottom", F.col("ts").alias("w_after"))
+        hit = joins.first_touch(orders, bars, list(by), "setup_id", "w_after", None, test, test, ["ts", "n"]).select("setup_id", "hit_n")
+        ends = s.join(hit, "setup_id", "left").join(b.groupBy(*by).agg(F.max("n").alias("last_n")), list(by)).where("last_n > n")
+        end = F.coalesce("hit_n", "last_n")
+    near = ends.select(*by, "setup_id", F.explode(F.sequence(F.col("n") + 1, end)).alias("n")).join(b, [*by, "n"])
+    rows = near.join(s.drop("n", *by), "setup_id").drop(*by)
 
     def fold(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("n")
@@ -103,7 +120,10 @@ def gap_orders(setups: DataFrame, bars: DataFrame, horizon: int, rr: float, max_
         bull, tp, entry, sl, top, bottom = f.bullish == 1, f.take_profit, f.entry, f.stop_loss, f.gap_top, f.gap_bottom
         state, at, renewed, waiting, seen = "resting", None, 0, False, []
         for r in x.itertuples():
-            seen.append(r.high if bull else r.low)
+            if not confirmed:
+                seen.append(r.high if bull else r.low)
+            elif r.swing_ts >= f.c3_end:
+                seen.append(r.swing_high if bull else r.swing_low)
             if not waiting and ((r.low <= entry) if bull else (r.high >= entry)):
                 state, at = "filled", r.ts
                 break
@@ -128,7 +148,10 @@ def gap_orders(setups: DataFrame, bars: DataFrame, horizon: int, rr: float, max_
                     break
         return pd.DataFrame({"setup_id": [f.setup_id], "state": [state], "state_ts": pd.to_datetime(pd.Series([at])), "renewals": [renewed]})
 
-    return rows.groupBy("setup_id").applyInPandas(fold, "setup_id string, state string, state_ts timestamp_ntz, renewals int")
+    out = rows.groupBy("setup_id").applyInPandas(fold, "setup_id string, state string, state_ts timestamp_ntz, renewals int")
+    if horizon is not None:
+        return out
+    return s.select("setup_id").join(out, "setup_id", "left").fillna({"state": "resting", "renewals": 0})
 
 
 def scan(rows: DataFrame, step: Callable[[pd.DataFrame], pd.DataFrame], schema: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
