@@ -183,7 +183,11 @@ def _predict(rows: DataFrame, model: Model | None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose text has a language; those without any letter (or text) go."""
+    """The rows of ``docs`` whose text has a language; those without any letter (or text) go. The predicted language rejects nothing:
+    where no row can be learned from, the rows with letters stay as well."""
     small_batches(docs.sparkSession)
+    model = train(docs, id_col, text_col, lang_col)
+    if model is None:
+        return docs.where(docs[text_col].rlike("\\p{L}"))
     rows = docs.select(F.struct("*").alias("w_row"), docs[text_col].alias("w_text"))
-    return _predict(rows, train(docs, id_col, text_col, lang_col)).where("lang_pred <> 'und'").select("w_row.*")
+    return _predict(rows, model).where("lang_pred <> 'und'").select("w_row.*")
