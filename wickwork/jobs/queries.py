@@ -1014,3 +1014,20 @@ def _drops(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strategy_drop_recovery(spark, sf_dir):
     """Drops while the market allows, closed at the open after 20 bars at the latest, and a rest of five bars after a stop."""
     return _stats(_walked(_drops(spark, sf_dir), max_hold=20, cooldown=5))
+
+
+@job("f8_moving_levels_to_the_end")
+def f8_moving_levels_to_the_end(spark, sf_dir):
+    """F8: stops moved to the entry price four bars after the signal, until a level is reached: one first touch per stretch of equal levels."""
+    b = _numbered(spark, sf_dir)
+    move = b.select(*KEY, (F.col("n") - 4).alias("n"), F.col("ts").alias("move_ts"))
+    t = _trades(b).join(move, [*KEY, "n"], "left").select("trade_id", *KEY, "side", "entry_time", "entry_price", "stop_loss", "take_profit", "move_ts")
+    part = lambda k, after, until, stop: F.struct(F.concat_ws("/", "trade_id", F.lit(k)).alias("part_id"), F.col(after).alias("w_after"), until.alias("w_until"), F.col(stop).alias("w_stop"))
+    parts = F.array(part("0", "entry_time", F.col("move_ts"), "stop_loss"), part("1", "move_ts", F.lit(None).cast("timestamp_ntz"), "entry_price"))
+    p = t.select("trade_id", *KEY, "side", "take_profit", F.explode(parts).alias("w_p")).select("trade_id", *KEY, "side", "take_profit", "w_p.*").where("w_after is not null")
+    long = F.col("side") == "buy"
+    sl = lambda low, high: F.when(long, F.col(low) <= F.col("w_stop")).otherwise(F.col(high) >= F.col("w_stop"))
+    either = sl("low", "high") | F.when(long, F.col("high") >= F.col("take_profit")).otherwise(F.col("low") <= F.col("take_profit"))
+    hit = joins.first_touch(p, b, list(KEY), "part_id", "w_after", "w_until", either, either, ["ts", "high", "low"])
+    x = p.join(hit, "part_id")
+    return x.groupBy("trade_id").agg(F.min("hit_ts").alias("exit_time"), F.min_by(F.when(sl("hit_low", "hit_high"), "stop_loss").otherwise("take_profit"), "hit_ts").alias("exit_reason"))
