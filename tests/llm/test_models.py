@@ -1,6 +1,7 @@
 """Quality and language: held-out accuracy on small tables, and the defined results."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -70,3 +71,38 @@ def test_flat_trees_match_plain_walk():
         return 1 / (1 + np.exp(-f))
 
     assert np.allclose(t.score(x[:50]), [walk(r) for r in x[:50]])
+
+
+def test_every_language_is_learned(spark):
+    """Repeated and null ids, very uneven languages, letters far behind the beginning, more languages than the sample and landmarks."""
+    rng = random.Random(5)
+
+    def text(lang, n=30):
+        return " ".join(rng.choice(VOICES[lang]) + rng.choice("aeiou") for _ in range(n))
+
+    one = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(one, text("aa"), "aa") for _ in range(3000)] + [(5000 + 4 * k, text("ee"), "ee") for k in range(3)] + [(None, text("ru"), "ru")] * 40
+    rows += [(None, "7 ! " * 2000 + "ţş ţâţ şţâ", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    probe = spark.createDataFrame([(i, text(v), v) for i, v in enumerate(["aa", "ee", "ru"] * 30)] + [(99, "şţâ ţş", "zz")], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.langs == ["aa", "ee", "ru", "zz"]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(probe, model=model).collect()}
+    want = {r["doc_id"]: r["lang"] for r in probe.collect()}
+    assert np.mean([got[i] == want[i] for i in want]) > 0.95 and got[99] == "zz"
+    same = spark.createDataFrame([(one, "one text of all", "aa")] * 2000 + [(one, "another text", "bb")], "doc_id long, text string, lang string")
+    assert langid.train(same).langs == ["aa", "bb"]
+
+
+def test_more_languages_than_rows(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 20)
+    monkeypatch.setattr(langid, "LANDMARKS", 8)
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('text', char(97 + id % 40 % 26), ' ', char(97 + id % 40 div 26), 'x') as text", "concat('l', id % 40) as lang")
+    model = langid.train(docs)
+    assert len(model.langs) == 40 and model.marks.shape[1] == 40
+
+
+def test_batch_size_of_the_session_stays(spark, docs):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    langid.identify(docs).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wickwork.llm import pieces
-from wickwork.llm.common import small_batches
+from wickwork.llm.common import sliced
 
 #: Characters of a leaf, and tokens of the first window on each side of a join.
 LEAF, WINDOW = 512, 8
@@ -132,7 +132,6 @@ class Codec:
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, leaf: int = LEAF, ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: the id, ``keep`` columns, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, with ``ids``, the ids themselves."""
-    small_batches(docs.sparkSession)
     n_keep = 1 + len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +144,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             return [(len(x), " ".join([number[i] for i in x]), " ".join([name[i] for i in x]), x if ids else None) for x in codec.encode(batch)]
 
         cache = pieces.PieceCache(entries)
-        for batch in batches:
+        for batch in sliced(batches):
             found = batch.column(n_keep).to_pylist()
             n, lists = [0] * len(found), [[] for _ in found]
             coded, decoded = [hashlib.sha256() for _ in found], [hashlib.sha256() for _ in found]

@@ -11,9 +11,10 @@ training sample have codes of their own, other letters share hashed ones. A text
 windows of ``WINDOW`` characters, all of which are scored; a text's score for a language is the mean over
 its windows, weighted by their letters.
 
-Learning: at most ``PER_LANGUAGE`` rows of each language, ``SAMPLE`` in all, chosen by a hash of the id
-among rows that may be learned from (a documented, bounded sample), of each the first ``WINDOW`` characters.
-Prediction reads whole texts.
+Learning: at most ``PER_LANGUAGE`` rows of each language, ``SAMPLE`` in all but at least one of every language, chosen by a
+hash of id and text among rows that may be learned from (a documented, bounded sample); of each, ``WINDOW`` characters that
+begin somewhere in the whole text, folded to letters. Every language with a row to learn from is learned, whatever its
+number of rows; repeated rows count once. The model grows with the number of languages alone. Prediction reads whole texts.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; with nothing to learn
 from, every text is ``und``; ties go to the language that sorts first; ids may be null (never held out) or
@@ -30,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickwork.llm.common import held_out, small_batches
+from wickwork.llm.common import held_out, sliced
 
 WINDOW, PER_LANGUAGE, SAMPLE = 2048, 400, 8000
-#: Times the sample that is looked at per language, and most languages (the most frequent ones) that are learned.
-OVER, MAX_LANGUAGES = 4, 1000
-#: n-grams of the presence vectors, landmarks, ridge.
+#: Times the sample that is looked at per language.
+OVER = 4
+#: n-grams of the presence vectors, landmarks (at least one of every language), ridge.
 FEATURES, LANDMARKS, RIDGE = 4096, 192, 1e-3
 CODES = 64  # 0: no letter; 1 to 40: frequent letters; the rest: hashed
 FREQUENT = 40
@@ -82,7 +83,7 @@ class Model:
         x = self.presence([self.code[points(t)] for t in texts])
         y = np.where(np.array(langs)[:, None] == np.array(self.langs)[None, :], 1.0, -1.0)
         # landmarks: in turn from each language, in the sample's order
-        turn = np.lexsort((np.arange(len(langs)), self._turn(langs)))[:LANDMARKS]
+        turn = np.lexsort((np.arange(len(langs)), self._turn(langs)))[: max(LANDMARKS, len(self.langs))]
         self.marks = np.ascontiguousarray(x[turn].T)
         self.mark_norm = np.sqrt(np.maximum(x[turn].sum(1), 1))
         k = self.kernel(x)
@@ -149,21 +150,26 @@ class Model:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fits on the bounded sample; ``None`` if there is nothing to learn from."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
-    rows = rows.select(F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, WINDOW).alias("t"), F.col(lang_col).alias("l"))
-    counts = rows.groupBy("l").count().orderBy(F.col("count").desc(), "l").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return None
-    # a share of each language's rows by hash, about OVER times what is needed, so that no task gathers a whole language
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, OVER * PER_LANGUAGE / r["count"]))])
-    rows = rows.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < share[F.col("l")] * (1 << 20))
+    # the hash takes the text in, so that rows of one id are told apart
+    hashed = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40))
+    rows = rows.select(hashed.alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    # a share of each language's rows by hash, about OVER times what is needed, and its row of smallest hash: no task gathers a whole language
+    shares = rows.groupBy("l").agg(F.count(F.lit(1)).alias("c"), F.min("h").alias("low")).withColumnRenamed("l", "w_l")
+    some = F.least(F.lit(1.0), F.lit(float(OVER * PER_LANGUAGE)) / F.col("c")) * float(1 << 40)
+    rows = rows.join(shares, F.col("l") == F.col("w_l")).where((F.col("h") <= some) | (F.col("h") == F.col("low")))
+    letters_only = F.trim(F.regexp_replace("t", "[^\\p{L}]+", " "))
+    rows = rows.select("l", "h", letters_only.alias("t")).withColumn("w_at", F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.length("t") - WINDOW + 1)).cast("int") + 1)
+    rows = rows.select("l", "h", F.expr(f"substring(t, w_at, {WINDOW})").alias("t")).dropDuplicates(["l", "h"])
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("n") <= PER_LANGUAGE)
-    sample = rows.orderBy("n", "h", "l", "t").limit(SAMPLE).collect()
+    ranked = rows.orderBy("n", "h", "l", "t")
+    sample = ranked.limit(SAMPLE).collect()
+    if len(sample) == SAMPLE and sample[-1]["n"] == 1:  # more languages than rows: the first of each
+        sample = rows.where("n = 1").orderBy("h", "l", "t").collect()
     return Model([r["t"] for r in sample], [r["l"] for r in sample]) if sample else None
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
     """Per row: id, ``held_out``, ``lang_pred`` and ``score``."""
-    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), held_out(id_col).alias("held_out"), docs[text_col].alias("text"))
     return _predict(rows, model or train(docs, id_col, text_col, lang_col)).withColumnRenamed("id", id_col)
 
@@ -173,7 +179,7 @@ def _predict(rows: DataFrame, model: Model | None) -> DataFrame:
     before = rows.schema.fields[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             t = batch.column(len(before)).to_pylist()
             best, score = model.scores(t) if model else (np.full(len(t), -1), np.zeros(len(t)))
             pred = pa.array([model.langs[b] if b >= 0 else "und" for b in best], pa.string())
@@ -185,7 +191,6 @@ def _predict(rows: DataFrame, model: Model | None) -> DataFrame:
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose text has a language; those without any letter (or text) go. The predicted language rejects nothing:
     where no row can be learned from, the rows with letters stay as well."""
-    small_batches(docs.sparkSession)
     model = train(docs, id_col, text_col, lang_col)
     if model is None:
         return docs.where(docs[text_col].rlike("\\p{L}"))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickwork.llm import words
-from wickwork.llm.common import small_batches, texts, written
+from wickwork.llm.common import sliced, texts, written
 from wickwork.llm.components import components
 
 #: log2 of the cells of the count table, count beyond which a token is frequent (also at least 4 x the mean), most classes.
@@ -70,7 +70,7 @@ def token_counts(docs: DataFrame, k: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2**BITS, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             sets = list(document_sets(*texts(batch, "t"), k))
             if sets:
                 total += np.bincount((np.concatenate(sets) >> np.uint64(64 - BITS)).astype(np.int64), minlength=2**BITS)
@@ -142,7 +142,7 @@ def index(docs: DataFrame, k: int, percent: int) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(counts.astype(np.float32))  # 2**BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n, k1, k2, sigs, bits = [], [], [], [], []
             for s in document_sets(*texts(batch, "t"), k):
                 n.append(len(s))
@@ -215,7 +215,6 @@ def plausible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
     """Per row: id, ``n_shingles`` and ``component_id``."""
-    small_batches(docs.sparkSession)
     plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("t"))
     rows = written(index(plain, k, percent), "ngram-index")
     key = ["n", "k1", "k2"]

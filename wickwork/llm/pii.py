@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wickwork.llm.common import hash_sample, small_batches
+from wickwork.llm.common import hash_sample, sliced
 
 #: Fixed values of the contract.
 KINDS = ("email", "ip", "card", "phone")
@@ -436,11 +436,10 @@ def digest(spans: list[tuple[int, int, int]]) -> str:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Tagger | None = None, learn: bool = True) -> DataFrame:
     """Per row: id, counts of the base spans, ``base_sha256`` and all ``spans``."""
-    small_batches(docs.sparkSession)
     tagger = model or (train(docs, id_col, text_col) if learn else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             base = [base_spans(t) for t in texts]
             more = tagger.added(texts, base) if tagger else [[] for _ in texts]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickwork.llm import words
-from wickwork.llm.common import hash_sample, held_out, small_batches, texts
+from wickwork.llm.common import hash_sample, held_out, sliced, texts
 
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, RIDGE, LEAST = 80, 4, 64, 0.15, 1.0, 20
@@ -160,7 +160,7 @@ def _measured(rows: DataFrame, of) -> DataFrame:
     name, kind, make = of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], make(statistics(*texts(batch, "w_text")))], names=[*(f.name for f in before), name])
 
     return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in before), f"{name} {kind}"]))
@@ -180,7 +180,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", model: Trees | None = None, threshold: float = 0.7) -> DataFrame:
     """Per row: id, ``held_out``, ``score`` and ``predicted``."""
-    small_batches(docs.sparkSession)
     model = model or train(docs, labels, id_col, text_col)
     rows = docs.select(docs[id_col].alias("id"), held_out(id_col).alias("held_out"), docs[text_col].alias("w_text"))
     out = _measured(rows, ("score", "double", lambda x: pa.array(model.score(x), pa.float64())))

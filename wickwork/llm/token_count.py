@@ -16,12 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wickwork.llm import pieces
-from wickwork.llm.common import small_batches
+from wickwork.llm.common import sliced
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 2048) -> DataFrame:
     """Per row: the id, ``n_bytes``, ``n_tokens`` and ``over_limit``."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = pieces.load(path)
@@ -29,7 +28,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         tok.no_padding()
         batched = pieces.Batches(tok)
         cache = pieces.PieceCache(lambda b: [len(ids) for ids in batched.ids(b)])
-        for batch in batches:
+        for batch in sliced(batches):
             found = batch.column(1).to_pylist()
             n_bytes, n_tokens = [len((t or "").encode()) for t in found], [0] * len(found)
             for group in pieces.grouped(found):
