@@ -6,14 +6,16 @@ never removes one.
 
 The result is that of tagging every text in windows of ``WINDOW`` characters that overlap by half (a character's tag
 scores are those of the window in which it lies deepest) and one Viterbi pass over the joined scores of the whole text,
-wherever its spans lie. An added span counts if its mean tag probability is at least ``SURE``, it does not touch a base
-span and it is plausible: cards, phones and addresses of machines by their digits, e-mails by one of the signs ``AT``. As each of
-these needs a digit or a sign, only such windows are computed first, and then their neighbours for as long as a
+wherever its spans lie. An added span counts if its probability under the CRF (forward and backward sums, its bounds and its kind
+exactly) is at least ``SURE``, it does not touch a base span and it passes its kind's checks (``_plausible``): cards, phones and
+addresses of machines the pattern's checks of digits, e-mails a sign for "at" before a dot, one of ``AT`` and ``DOT`` among them. As each of these needs a digit or a sign,
+only such windows are computed first, and then their neighbours for as long as a
 span might reach on: a text is cut only at characters that no best path tags as anything but outside (``_certain``).
 
 Learning: at most ``SAMPLE`` rows with base spans, chosen by a hash of the id (a documented, bounded sample), of each the parts
-around up to ``PARTS`` spans and around up to ``PARTS`` other digits and signs, spread over the text; labelled with their base spans, and once
-more with the spans' separators changed so that forms beyond the patterns are seen.
+around up to ``PARTS`` spans and around up to ``PARTS`` other digits and signs, spread over the text; labelled with their base spans, and
+``VARIANTS`` times more (up to ten times that where the sample is small) with the spans replaced by made-up ones in forms beyond the patterns (``disguised``, labelled) or by
+numbers and words that only look alike (``decoy``, not labelled).
 
 Defined results: null and empty texts have no spans; ids may be null or repeat; with nothing to learn from
 no span is added; an empty table gives an empty result; other columns are not read. Offsets are code points.
@@ -24,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +44,13 @@ PATTERNS = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 DIGITS = {"email": (0, 64), "ip": (4, 12), "card": (16, 19), "phone": (8, 15)}
-SAMPLE, WINDOW, REACH, SURE = 400, 96, 40, 0.95
-PARTS, GROUP = 4, 1 << 21  # spans and others of a row to learn from; characters tagged at a time
+SAMPLE, WINDOW, REACH, SURE = 400, 96, 40, 0.6
+PARTS, VARIANTS, GROUP = 4, 3, 1 << 21  # spans and others of a row to learn from, made-up forms of each; characters tagged at a time
 AT = r"(?:@|(?i:[(\[{<]at[)\]}>]))"  # e-mails have one of these
-ANCHOR = re.compile(f"[0-9]+|{AT}")  # an added span has one of these
-HIDDEN, EMBED, EPOCHS, BATCH, RATE, CLASSES = 16, 12, 6, 32, 0.02, 48
+DOT = r"(?i:[(\[{<]dot[)\]}>]|(?<![^\W_])dot(?![^\W_]))"  # or this word
+ANCHOR = re.compile(f"[0-9]+|{AT}|{DOT}")  # an added span has one of these
+HIDDEN, EMBED, UPDATES, BATCH, RATE, CLASSES = 16, 12, 560, 96, 0.03, 56
+MOST, PLAIN = 3600, 900  # windows to learn from, with and without labelled characters
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 
 
@@ -103,14 +107,14 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 
 
 def codes(text: str) -> np.ndarray:
-    """Character classes: digits one, letters by case, signs each its own, beyond ASCII two."""
+    """Character classes: zero and other digits, letters by case and those of "at" and "dot", signs each its own, beyond ASCII one."""
     p = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     return _class[np.minimum(p, 128)]
 
 
 _class = np.zeros(129, np.int64)
 _class[48:58], _class[65:91], _class[97:123], _class[128] = 1, 2, 3, 4
-for _k, _c in enumerate([c for c in range(32, 127) if not chr(c).isalnum()]):
+for _k, _c in enumerate([*map(ord, "0atdoATDO"), *(c for c in range(32, 127) if not chr(c).isalnum())]):  # zero begins prefixes; the letters of "at" and "dot"
     _class[_c] = 5 + _k
 assert _class.max() < CLASSES
 
@@ -157,35 +161,37 @@ class Tagger:
         return hidden @ self.p["out"].astype(dtype) + self.p["bias"].astype(dtype), (e, hidden, sf, sb)
 
     def _crf(self, s: np.ndarray, y: np.ndarray):
-        """Gradients of the mean negative log-likelihood by scores and transitions."""
+        """Gradients of the mean negative log-likelihood by scores and transitions: forward and backward sums, scaled at each character."""
         n, t, k = s.shape
-        a = np.zeros((n, t, k))
-        b = np.zeros((n, t, k))
-        tr = self.p["trans"]
-        lse = lambda v, axis: (m := v.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(v - m).sum(axis))
-        a[:, 0] = s[:, 0]
+        tr, own = np.exp(self.p["trans"] - self.p["trans"].max()).astype(s.dtype), np.exp(s - s.max(2, keepdims=True))
+        a, b = np.empty_like(s), np.ones_like(s)
+        a[:, 0] = own[:, 0] / own[:, 0].sum(1, keepdims=True)
         for i in range(1, t):
-            a[:, i] = s[:, i] + lse(a[:, i - 1, :, None] + tr, 1)
+            x = (a[:, i - 1] @ tr) * own[:, i]
+            a[:, i] = x / x.sum(1, keepdims=True)
         for i in reversed(range(t - 1)):
-            b[:, i] = lse(tr + (s[:, i + 1] + b[:, i + 1])[:, None, :], 2)
-        z = lse(a[:, -1], 1)
-        g = np.exp(a + b - z[:, None, None])
+            x = (own[:, i + 1] * b[:, i + 1]) @ tr.T
+            b[:, i] = x / x.sum(1, keepdims=True)
+        g = a * b
+        g /= g.sum(2, keepdims=True)
         rows, cols = np.arange(n)[:, None], np.arange(t)[None, :]
         g[rows, cols, y] -= 1
-        pair = np.exp(a[:, :-1, :, None] + tr + (s[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]).sum((0, 1))
-        np.subtract.at(pair, (y[:, :-1], y[:, 1:]), 1)
+        later = own[:, 1:] * b[:, 1:]
+        weight = 1 / ((a[:, :-1] @ tr) * later).sum(2, keepdims=True)
+        pair = tr * np.tensordot(a[:, :-1] * weight, later, ((0, 1), (0, 1)))
+        pair = pair - np.bincount((y[:, :-1] * k + y[:, 1:]).ravel(), minlength=k * k).reshape(k, k)
         return g / n, pair / n
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict:
-        s, (e, hidden, sf, sb) = self.scores(x, True, np.float64)
+    def gradients(self, x: np.ndarray, y: np.ndarray, dtype=np.float64) -> dict:
+        s, (e, hidden, sf, sb) = self.scores(x, True, dtype)
         gs, gt = self._crf(s, y)
         g = {"trans": gt, "out": np.einsum("nth,ntk->hk", hidden, gs), "bias": gs.sum((0, 1))}
-        gh = gs @ self.p["out"].T
+        gh = gs @ self.p["out"].astype(dtype).T
         ge, h = np.zeros_like(e), HIDDEN
         for d, saved, part in (("f", sf, gh[:, :, :h]), ("b", sb, gh[:, :, h:])):
-            w = self.p[f"w{d}"]
-            gw, gv = np.zeros_like(w), np.zeros(4 * h)
-            dh, dc = np.zeros((len(x), h)), np.zeros((len(x), h))
+            w = self.p[f"w{d}"].astype(dtype)
+            gw, gv = np.zeros_like(w), np.zeros(4 * h, dtype)
+            dh, dc = np.zeros((len(x), h), dtype), np.zeros((len(x), h), dtype)
             for step, i, f, o, new, before, tc, old in reversed(saved):
                 dh = dh + part[:, step]
                 dc = dc + dh * o * (1 - tc**2)
@@ -196,21 +202,23 @@ class Tagger:
                 ge[:, step] += dz @ w[:EMBED].T
                 dh, dc = dz @ w[EMBED:].T, dc * f
             g |= {f"w{d}": gw, f"v{d}": gv}
-        g["emb"] = np.zeros_like(self.p["emb"])
-        np.add.at(g["emb"], x, ge)
+        flat, ge = x.ravel(), ge.reshape(-1, EMBED)
+        g["emb"] = np.stack([np.bincount(flat, c, CLASSES) for c in ge.T], 1)
         return g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 2) -> Tagger:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int | None = None, seed: int = 2) -> Tagger:
         """Adam over shuffled batches."""
         r, m, v, t = np.random.default_rng(seed), {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
+        epochs = epochs or -(-UPDATES // -(-len(x) // BATCH))
+        total = epochs * -(-len(x) // BATCH)
         for _ in range(epochs):
             order = r.permutation(len(x))
             for a in range(0, len(x), BATCH):
                 rows, t = order[a : a + BATCH], t + 1
-                for k, g in self.gradients(x[rows], y[rows]).items():
+                for k, g in self.gradients(x[rows], y[rows], np.float32).items():
                     g = np.clip(g, -5, 5)
                     m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
-                    self.p[k] = self.p[k] - RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+                    self.p[k] = self.p[k] - RATE * (1 - t / (total + 1)) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
         return self
 
     def viterbi(self, s: np.ndarray) -> np.ndarray:
@@ -297,35 +305,61 @@ class Tagger:
                 continue
             part = s[x : y + 1]
             tags = self.viterbi(part)
-            prob = np.exp(part - part.max(1, keepdims=True))
-            prob = prob[np.arange(len(part)), tags] / prob.sum(1)
-            k = 0
+            if not tags.any():
+                continue
+            chance, k = None, 0
             while k < len(tags):
+                end = k + 1
                 if tags[k] and tags[k] % 2:
-                    kind, end = (tags[k] - 1) // 2, k + 1
+                    kind = (tags[k] - 1) // 2
                     while end < len(tags) and tags[end] == tags[k] + 1:
                         end += 1
                     a, b = start + x + k, start + x + end
-                    if prob[k:end].mean() >= SURE and self._plausible(text, kind, a, b) and all(b <= u or a >= v for _, u, v in base):
-                        out.append((int(kind), a, b))
-                    k = end
-                else:
-                    k += 1
+                    if self._plausible(text, kind, a, b) and all(b <= u or a >= v for _, u, v in base):
+                        chance = chance or self._chances(part, bool(sure[x]), bool(sure[y]))
+                        if chance(k, end, int(tags[k])) >= SURE:
+                            out.append((int(kind), a, b))
+                k = end
         return out
 
+    def _chances(self, s: np.ndarray, first: bool, last: bool) -> Callable[[int, int, int], float]:
+        """The CRF's probability that a span begins at ``k`` with tag ``tag`` and ends before ``end``, in a part with scores ``s``;
+        ``first``, ``last``: the part's ends are outside for certain."""
+        s, tr = s.astype(float), self.p["trans"]
+        lse = lambda v, axis: (m := v.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(v - m).sum(axis))
+        only = np.where(np.arange(TAGS) == 0, 0.0, -1e9)
+        a, b = np.zeros_like(s), np.zeros_like(s)
+        a[0] = s[0] + only * first
+        for i in range(1, len(s)):
+            a[i] = s[i] + lse(a[i - 1][:, None] + tr, 0)
+        b[-1] = only * last
+        for i in reversed(range(len(s) - 1)):
+            b[i] = lse(tr + (s[i + 1] + b[i + 1])[None, :], 1)
+        z = lse(a[-1] + b[-1], 0)
+
+        def chance(k: int, end: int, tag: int) -> float:
+            total = a[k, tag] + (tr[tag, tag + 1] + s[k + 1, tag + 1] if end - k > 1 else 0.0) + (tr[tag + 1, tag + 1] * (end - k - 2) + s[k + 2 : end, tag + 1].sum() if end - k > 2 else 0.0)
+            now = tag + (end - k > 1)
+            if end == len(s):
+                return float(np.exp(total + b[end - 1, now] - z))
+            after = tr[now] + s[end] + b[end]
+            return float(np.exp(total + lse(np.delete(after, tag + 1), 0) - z))
+
+        return chance
+
     @staticmethod
     def _plausible(text: str, kind: int, start: int, end: int) -> bool:
-        """A kind's number of digits, whole runs of letters and digits at both ends, and a card's check digit."""
+        """Whole runs of letters and digits at both ends, and the kind's checks of digits, as for base spans; e-mails have signs for "at" and dot."""
         found, name = text[start:end], KINDS[kind]
-        digits = "".join(c for c in found if "0" <= c <= "9")
-        low, high = DIGITS[name]
         whole = not (start and text[start - 1].isalnum() and found[0].isalnum()) and not (end < len(text) and text[end].isalnum() and found[-1].isalnum())
-        if not whole or not low <= len(digits) <= high or any(c.isspace() and c != " " for c in found):
+        if not whole or any(c.isspace() and c != " " for c in found):
             return False
-        letters = any(c.isalpha() for c in found)
         if name == "email":
-            return letters and bool(re.search(rf"\w ?{AT} ?\w", found))
-        return not letters and (name != "card" or luhn(digits)) and (name != "ip" or len(re.findall("[0-9]+", found)) == 4 and all(int(p) <= 255 for p in re.findall("[0-9]+", found)))
+            return bool(re.search(rf"\w(?: ?{AT}| (?i:at)\b)(?=.*\w *(?:\.|{DOT}) *\w) ?\w", found)) and bool(ANCHOR.search(found)) and any(c.isalpha() for c in found)
+        if any(c.isalpha() for c in re.sub(DOT, "", found)):
+            return False
+        runs = re.findall("[0-9]+", found)
+        return len(runs) == 4 and fits(name, ".".join(runs)) if name == "ip" else fits(name, found)
 
 
 STEP = WINDOW // 2
@@ -357,23 +391,63 @@ def stretches(text: str) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+def _word(rng: random.Random, low: int = 2, high: int = 9) -> str:
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(low, high)))
+
+
+def _digits(rng: random.Random, n: int) -> str:
+    return "".join(rng.choice("0123456789") for _ in range(n))
+
+
+def disguised(kind: str, rng: random.Random) -> str:
+    """A made-up value of a kind in a form that the patterns miss, or (some) match in part or whole."""
+    if kind == "email":
+        name = rng.choice(["", _word(rng, 1) + rng.choice("._-")]) + rng.choice([_word(rng), _word(rng) + _digits(rng, rng.randint(1, 3)), _digits(rng, 2), _word(rng, 1, 3)])
+        at = rng.choice(["(at)", "[at]", "{at}", "<at>", " @ ", " (at) ", " [at] ", "(AT)", "[AT]", " at "])
+        dot = rng.choice([" dot ", "(dot)", "[dot]", " (dot) ", " [dot] "]) if at == " at " else rng.choice([".", ".", ".", " dot ", "(dot)", "[dot]", " (dot) "])
+        return name + at + dot.join([_word(rng) + rng.choice(["", _digits(rng, 1)]) for _ in range(rng.choice([1, 1, 2]))] + [rng.choice(["com", "org", "net", "de", "fr", "es", "info", "io"])])
+    if kind == "ip":
+        sep = rng.choice([",", " . ", "[.]", "(.)", "(dot)", "[dot]", " dot ", ". ", " ,", ", "])
+        return sep.join(str(rng.randint(0, 255)) for _ in range(4))
+    if kind == "card":
+        n = rng.choice([16, 16, 16, 17, 18, 19])
+        body = rng.choice("3456") + _digits(rng, n - 2)
+        body += next(d for d in "0123456789" if luhn(body + d))
+        step = rng.choice([4, 4, 4, 4, 5, 8])
+        return rng.choice([".", "/", "  ", "_", " - ", "--", " . ", ",", ":", " / ", "\u2013"]).join(body[i : i + step] for i in range(0, n, step))
+    sep = rng.choice(["/", ".", " / ", "_", " - ", ",", " . ", "\u2013", "  ", ":"])
+    head = rng.choice(["+", "+", "+ ", "00", "(+", "(00"])
+    code = str(rng.randint(1, 99)).zfill(rng.choice([1, 2]))
+    groups = [_digits(rng, rng.randint(2, 4)) for _ in range(rng.randint(2, 4))]
+    while sum(map(len, groups)) + len(code) + 2 * head.endswith("00") > 15 or sum(map(len, groups)) < 6:
+        groups = [_digits(rng, rng.randint(2, 4)) for _ in range(rng.randint(2, 3))]
+    return head + code + (")" if "(" in head else "") + rng.choice([sep, " ", ""] if "(" in head else [sep]) + sep.join(groups)
+
+
+def decoy(rng: random.Random) -> str:
+    """Numbers and signs that are no personal data."""
+    n, d = rng.randint, lambda k: _digits(rng, k)
+    return rng.choice([
+        f"{n(1900, 2099)}-{n(1, 12):02}-{n(1, 28):02}", f"{n(1, 28)}.{n(1, 12)}.{n(1900, 2099)}", f"{n(1, 28)}/{n(1, 12)}/{n(1900, 2099)}", f"{n(0, 23)}:{n(0, 59):02}:{n(0, 59):02}", f"{n(0, 99)}.{d(2)}", f"{n(1, 999)},{d(3)},{d(3)}",
+        d(n(1, 8)), f"{d(3)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"$ {n(1, 999)},{d(3)}.{d(2)}", f"{d(2)}%", f"@ {_word(rng)}", f"@{_word(rng)}", f"{_word(rng)} at {_word(rng)}", f"{_word(rng)} dot {_word(rng)}", f"{n(1, 9)}. {n(1, 9)}. {n(1, 9)}.", f"v{n(0, 9)}.{n(0, 99)}",
+        f"{d(4)} {d(4)}", f"{n(1, 99)} + {n(1, 99)} = {n(1, 99)}", f"{n(1, 99)} / {n(1, 99)}", f"[{n(1, 99)}]", f"({n(1, 99)})", f"{d(2)}, {d(2)}, {d(2)}", f"{n(1900, 2099)}/{d(2)}", f"#{d(6)}", f"{d(5)}-{d(4)}", f"{_word(rng)}_{d(3)}", f"{_word(rng)}.{_word(rng)}", "dot", "at",
+    ])
+
+
 def _varied(text: str, spans: list[tuple[int, int, int]], rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
-    """The text with some spans in other forms: cards in groups, phones with other separators."""
+    """The text with its spans replaced by disguised ones of any kind, in places by decoys."""
     out, moved, at = "", [], 0
-    for k, a, b in sorted(spans, key=lambda s: s[1]):
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
         if a < at:
             continue
-        found = text[a:b]
-        if KINDS[k] == "card" and found.isdigit():
-            sep = rng.choice([".", "/", "  "])
-            found = sep.join(found[i : i + 4] for i in range(0, len(found), 4))
-        elif KINDS[k] == "phone":
-            found = re.sub(r"[\x20().-]+", rng.choice(["/", " / ", "."]), found)
-        elif KINDS[k] == "email":
-            found = found.replace("@", rng.choice(["(at)", " @ ", "[at]"]))
         out += text[at:a]
-        moved.append((k, len(out), len(out) + len(found)))
-        out += found
+        if rng.random() < 0.3:
+            out += decoy(rng)
+        else:
+            k = rng.choice([0, 0, 0, 1, 2, 3])  # e-mails have the most forms
+            found = disguised(KINDS[k], rng)
+            moved.append((k, len(out), len(out) + len(found)))
+            out += found
         at = b
     return out + text[at:], moved
 
@@ -393,11 +467,19 @@ def parts(text: str) -> list[str]:
     return out
 
 
+def _gap(text: str, rng: random.Random) -> list[tuple[int, int, int]]:
+    """A place between two words."""
+    gaps = [m.start() + 1 for m in re.finditer(r"(?= \w)", text)] or [len(text)]
+    at = rng.choice(gaps)
+    return [(0, at, at)]
+
+
 def examples(found: list[tuple[str, list[tuple[int, int, int]]]], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Windows of character classes and their tags, of labelled parts of texts."""
     rng, xs, ys = random.Random(seed), [], []
+    variants = max(VARIANTS, min(10 * VARIANTS, MOST // max(1, sum(len(s) or 1 for _, s in found))))
     for t, spans in found:
-        for text, labelled in ((t, spans), _varied(t, spans, rng)):
+        for text, labelled in ((t, spans), *(_varied(t, spans or _gap(t, rng), rng) for _ in range(variants))):
             tags = np.zeros(len(text), np.int64)
             for k, a, b in labelled:
                 tags[a:b] = 2 + 2 * k
@@ -421,13 +503,18 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> l
     return [(t, read(s)) for r in got for t, s in zip(r[::2], r[1::2], strict=True)]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3000) -> Tagger | None:
+def chosen(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Windows to learn from, in a fixed random order: up to MOST with labelled characters, up to PLAIN others."""
+    order = np.random.default_rng(0).permutation(len(x))
+    some = y[order].any(1)
+    return np.sort(np.r_[order[some][:MOST], order[~some][:PLAIN]])
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Tagger | None:
     """Fits on the bounded sample; ``None`` without labelled spans."""
     x, y = examples(sample(docs, id_col, text_col))
-    if not y.any():
-        return None
-    keep = np.random.default_rng(0).permutation(len(x))[:most]
-    return Tagger().fit(x[keep], y[keep])
+    keep = chosen(x, y)
+    return Tagger().fit(x[keep], y[keep]) if y.any() else None
 
 
 def digest(spans: list[tuple[int, int, int]]) -> str:
