@@ -1,15 +1,15 @@
 """URL filters: host-suffix and path-prefix expressions, an equi-join on short hash prefixes, full digests and rule precedence.
 
 Each url becomes its (host suffix, path prefix) expressions, for the label counts and path lengths
-that occur among the rules (two small sets with checked sizes). Expressions meet the rules on the
+that occur among the rules (two sets; rules of so many bytes have at most the root of twice that number of different lengths). Expressions meet the rules on the
 first 32 bits of a SHA-256; the full digest and the rule's text confirm a match. The longest rule
 wins; between equally long ones the longer host, then ``block``.
 
 Rules of up to ``BROADCAST_RULES`` rows (counted) are broadcast; more are joined by shuffle, with
-salted copies of the rules so that a hot expression (``com/``) spreads over ``SALTS`` tasks.
+salted copies of the rules so that a hot expression (``com/``) spreads over as many tasks as a shuffle has partitions, ``SALTS`` at most.
 
 Defined results: a null url or one without ``://`` has empty host and path and no rule; a url
-without rule gets ``default``; null hosts or paths in rules count as empty; repeated and
+without rule gets ``default``; null hosts or paths in rules count as empty, and an empty host fits urls with an empty host; repeated and
 contradicting rules collapse by precedence; repeated pages stay; an empty table gives an empty result.
 """
 
@@ -19,9 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_RULES = 20_000
-SALTS = 16
-#: Most distinct label counts and path lengths among the rules.
-MAX_SHAPES = 4096
+SALTS = 256
 #: Fixed values of the contract.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -47,31 +45,30 @@ def _keyed(host, path):
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow") -> DataFrame:
     """``keep`` columns of ``pages`` with host, path, rule and verdict, one row per page row."""
     rank = F.struct(F.length("r_rule"), F.length("r_host"), (F.col("r_verdict") == "block").cast("int"), "r_rule", "r_verdict")
-    r = rules.select(F.coalesce("host", F.lit("")).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.coalesce("verdict", F.lit(default)).alias("r_verdict")).where("r_host <> ''").distinct()
+    r = rules.select(F.coalesce("host", F.lit("")).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.coalesce("verdict", F.lit(default)).alias("r_verdict")).distinct()
     digest, short = _keyed(F.col("r_host"), F.col("r_path"))
     r = r.withColumn("r_rule", F.concat("r_host", "r_path")).select(digest.alias("r_digest"), short.alias("w_short"), "r_host", "r_path", rank.alias("w_rank"))
     shapes = r.agg(F.collect_set(F.size(F.split("r_host", "\\."))).alias("labels"), F.collect_set(F.length("r_path")).alias("lengths"), F.count(F.lit(1)).alias("n")).first()
-    if len(shapes["labels"]) > MAX_SHAPES or len(shapes["lengths"]) > MAX_SHAPES:
-        raise ValueError(f"rules with more than {MAX_SHAPES} label counts or path lengths")
     host, path = parts(F.col(url_col))
-    p = pages.select(F.struct(*keep).alias("w_keep"), host.alias("w_host"), path.alias("w_path")).withColumn("w_row", F.monotonically_increasing_id())
-    labels = F.array(*[F.lit(x) for x in sorted(shapes["labels"])]).cast("array<int>")
-    lengths = F.array(*[F.lit(x) for x in sorted(shapes["lengths"])]).cast("array<int>")
+    p = pages.select(F.struct(*keep).alias("w_keep"), host.alias("w_host"), path.alias("w_path"), F.col(url_col).contains("://").alias("w_url")).withColumn("w_row", F.monotonically_increasing_id())
+    # one literal each, however many there are
+    labels, lengths = (F.split(F.lit(",".join(map(str, sorted(shapes[c])))), ",").cast("array<int>") if shapes[c] else F.array().cast("array<int>") for c in ("labels", "lengths"))
     p = p.withColumn("w_split", F.split("w_host", "\\."))
     suffixes = F.transform(F.filter(labels, lambda k: k <= F.size("w_split")), lambda k: F.array_join(F.slice("w_split", F.size("w_split") - k + 1, k), "."))
     prefixes = F.transform(F.filter(lengths, lambda k: k <= F.length("w_path")), lambda k: F.substring(F.col("w_path"), F.lit(1), k))
     p = p.withColumn("w_suffixes", suffixes).withColumn("w_prefixes", prefixes)
     pairs = F.flatten(F.transform("w_suffixes", lambda h: F.transform("w_prefixes", lambda q: F.struct(h.alias("h"), q.alias("q")))))
-    e = p.select("w_row", "w_keep", "w_host", "w_path", F.explode_outer(pairs).alias("w_e"))
+    e = p.select("w_row", "w_keep", "w_host", "w_path", F.explode_outer(F.when(F.col("w_url"), pairs)).alias("w_e"))
     digest, short = _keyed(F.col("w_e.h"), F.col("w_e.q"))
     e = e.withColumn("w_digest", F.when(F.col("w_e").isNotNull(), digest)).withColumn("w_short", F.when(F.col("w_e").isNotNull(), short))
     if shapes["n"] <= BROADCAST_RULES:
         hit = e.join(F.broadcast(r), "w_short", "left")
     else:
-        salted = r.withColumn("w_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        hit = e.withColumn("w_salt", F.pmod(F.xxhash64("w_row"), F.lit(SALTS)).cast("int"))
+        salts = max(1, min(SALTS, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        salted = r.withColumn("w_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        hit = e.withColumn("w_salt", F.pmod(F.xxhash64("w_row"), F.lit(salts)).cast("int"))
         hit = hit.withColumn("w_short", F.coalesce("w_short", -1 - F.col("w_row"))).join(salted, ["w_short", "w_salt"], "left")
-    sure = (F.col("w_digest") == F.col("r_digest")) & (F.col("w_e.h") == F.col("r_host")) & (F.col("w_e.q") == F.col("r_path"))
+    sure = (F.col("w_digest") == F.col("r_digest")) & (F.col("w_e.h") == F.col("r_host")) & (F.col("w_e.q") == F.col("r_path")) & ((F.col("r_host") != "") | (F.col("w_host") == ""))
     best = hit.groupBy("w_row").agg(F.first("w_keep").alias("w_keep"), F.first("w_host").alias("host"), F.first("w_path").alias("path"), F.max(F.when(sure, F.col("w_rank"))).alias("w_best"))
     return best.select("w_keep.*", "host", "path", F.col("w_best.r_rule").alias("rule"), F.coalesce(F.col("w_best.r_verdict"), F.lit(default)).alias("verdict"))
 
