@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pytest
 
-from wickwork.llm import mixing
+from wickwork.llm import common, mixing
 
 
 def level_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
@@ -65,3 +65,45 @@ def test_flight_keeps_totals():
     q = mixing.flight(p, size, rng.random)
     assert sum(0 < x < 1 for x in q) <= 2
     assert abs(sum(p) - sum(q)) < 1e-6 and abs(sum(a * b for a, b in zip(p, size, strict=True)) - sum(a * b for a, b in zip(q, size, strict=True))) < 1e-4
+
+
+def test_one_hot_row_and_many_sources(spark, monkeypatch):
+    """Equal rows in one partition or many, and sources by the thousand, at small limits."""
+    monkeypatch.setattr(common, "MIN_HOT", 16)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    rng = random.Random(8)
+    rows = [(1, "same words here", "hot")] * 500 + [(i, " ".join(["w"] * rng.randint(1, 9)), f"s{rng.randint(0, 300)}" if i % 50 else None) for i in range(2, 900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = level_targets(sizes)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    by = {r["source_size"]: r for r in got if r["doc_id"] == 1}
+    assert list(by) == [1500]
+    source = dict((r[0], r[2]) for r in rows)
+    assert all(abs(r["target"] - want[source[r["doc_id"]]]) < 1e-6 and r["taken"] <= 2 * r["size"] for r in got)
+    taken = defaultdict(int)
+    for r in got:
+        taken[source[r["doc_id"]]] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 9 for s in want)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(df.repartition(3)).collect()))
+    mixed = mixing.take(df)
+    assert mixed.where("doc_id = 1").count() == taken["hot"] // 3 and mixed.count() == sum(r["copies"] for r in got)
+
+
+def test_numbers_of_equals(spark):
+    df = spark.createDataFrame([(k % 7 if k % 3 else 0,) for k in range(1000)], "w_key long").repartition(6)
+    got = defaultdict(list)
+    for r in common.numbered_equals(df, "w_key", "n").collect():
+        got[r["w_key"]].append(r["w_no"])
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in got.values()) and sum(map(len, got.values())) == 1000
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_join(spark, monkeypatch, how):
+    monkeypatch.setattr(common, "MIN_HOT", 8)
+    left = common.written(spark.createDataFrame([(k % 5 if k % 2 else 0, k) for k in range(300)], "a long, x long"), "left")
+    right = spark.createDataFrame([(k, -k) for k in (0, 1, 2, 9)], "a long, y long")
+    assert sorted(map(str, common.hot_join(left, right, ["a"], how).select("a", "x", "y").collect())) == sorted(map(str, left.join(right, ["a"], how).select("a", "x", "y").collect()))

@@ -9,7 +9,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of whole texts that a function handles at a time.
@@ -77,3 +77,54 @@ def hash_sample(rows: DataFrame, n: int, hash_col: str, total: int, keep=None) -
         if len(got) >= n or share >= 1:
             return got
         share = min(1.0, 16 * share)
+
+
+#: Keys with so many rows, and at least this share of all (so at most HOT_PARTS keys), get salts.
+MIN_HOT, HOT_PARTS = 4096, 65536
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """``left.join(right, key, how)`` where a few keys may hold a large part of ``left``, and ``right`` has few rows a key.
+
+    The rows of a hot key (counted in each task first) are dealt over salts, and its right rows copied to each of them. The
+    hot keys are HOT_PARTS at most, a proven bound for their broadcast. ``left`` must give the same rows each time it is read.
+    """
+    counts = left.groupBy(*key).agg(F.count(F.lit(1)).alias("w_rows"))
+    total = left.count()
+    limit = max(MIN_HOT, total // HOT_PARTS)
+    if total <= limit:  # no key can be hot
+        return left.join(right, key, how)
+    hot = F.broadcast(counts.where(F.col("w_rows") > limit).select(*key, F.ceil(F.col("w_rows") / limit).cast("int").alias("w_salts")))
+    rows = left.join(hot, key, "left").withColumn("w_salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("w_salts", F.lit(1))).cast("int")).drop("w_salts")
+    copies = right.join(hot, key, "left").withColumn("w_salt", F.explode(F.sequence(F.lit(0), F.coalesce("w_salts", F.lit(1)) - 1))).drop("w_salts")
+    return rows.join(copies, [*key, "w_salt"], how).drop("w_salt")
+
+
+def before_each(df: DataFrame, order: list, sums: dict, name: str) -> DataFrame:
+    """Adds, under each name of ``sums``, the sum of that column over all rows before in the order ``order`` (columns, without ties).
+
+    The rows are range-partitioned and written, each range adds up on its own, and the ranges' totals (one row per range) go to those behind.
+    """
+    dealt = written(df.repartitionByRange(*order).withColumn("w_range", F.spark_partition_id()), name)
+    inside = Window.partitionBy("w_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = {n: F.lit(0).cast(dealt.select(c.alias(n)).schema[n].dataType) for n, c in sums.items()}
+    totals = dealt.groupBy("w_range").agg(*[F.sum(c).alias(f"w_{n}") for n, c in sums.items()])
+    ranges = Window.partitionBy(F.lit(0)).orderBy("w_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("w_range", *[F.coalesce(F.sum(f"w_{n}").over(ranges), zero[n]).alias(f"w_{n}") for n in sums])
+    out = dealt.withColumns({n: F.coalesce(F.sum(c).over(inside), zero[n]) for n, c in sums.items()}).join(F.broadcast(totals), "w_range")  # one row per range
+    return out.withColumns({n: F.col(n) + F.col(f"w_{n}") for n in sums}).drop("w_range", *[f"w_{n}" for n in sums])
+
+
+def numbered_equals(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Numbers rows of equal ``key`` from 1 as ``w_no``, whichever of them comes first; a key with very many rows is spread.
+
+    Rows are numbered within the partitions they were read in, behind those of the partitions before.
+    """
+    dealt = written(df.withColumn("w_part", F.spark_partition_id()), name)
+    counts = dealt.groupBy(key, "w_part").agg(F.count(F.lit(1)).alias("w_c"))
+    many = counts.groupBy(key).agg(F.count(F.lit(1)).alias("w_parts")).where("w_parts > 1").select(key)
+    before = Window.partitionBy(key).orderBy("w_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    shift = counts.join(many, key, "left_semi").select(key, "w_part", F.coalesce(F.sum("w_c").over(before), F.lit(0)).alias("w_shift"))
+    own = F.row_number().over(Window.partitionBy(key, "w_part").orderBy(key))
+    out = dealt.withColumn("w_no", own).join(shift, [key, "w_part"], "left")
+    return out.withColumn("w_no", (F.col("w_no") + F.coalesce("w_shift", F.lit(0))).cast("int")).drop("w_part", "w_shift")

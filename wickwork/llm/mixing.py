@@ -29,10 +29,10 @@ from functools import reduce
 from itertools import islice, product
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wickwork.llm.common import written
+from wickwork.llm.common import before_each, hot_join, numbered_equals, written
 
 #: Rows of a block, blocks whose rest meets at the next level, most sources that are broadcast.
 BLOCK = 2048
@@ -51,25 +51,22 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float =
     """(source, source_size, rows, target): ``share`` of all words by weight, at most ``cap`` times each source.
 
     The excess of sources at their cap is shared anew by weight until none is above: the targets are
-    ``min(cap * size, level * weight)`` for the level at which they add up. One row per source takes
-    part in the global order, after the rows were summed.
+    ``min(cap * size, level * weight)`` for the level at which they add up. Sources are ordered by name and by ratio in ranges, however many.
     """
     by = sizes.groupBy("w_source").agg(F.sum("w_size").alias("w_total"), F.count(F.lit(1)).alias("w_rows"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("w_source").asc_nulls_last())
+    by = before_each(by, [F.col("w_source").asc_nulls_last()], {"w_place": F.lit(1)}, "mix-sources")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    by = by.withColumn("w_weight", F.element_at(cycle, (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")))
+    by = by.withColumn("w_weight", F.element_at(cycle, (F.pmod(F.col("w_place"), F.lit(len(weights))) + 1).cast("int")))
     by = by.withColumn("w_full", F.col("w_total") * F.lit(float(cap))).withColumn("w_ratio", F.col("w_full") / F.col("w_weight"))
-    ratio = Window.partitionBy(F.lit(0)).orderBy("w_ratio", F.col("w_source").asc_nulls_last())
-    everything = Window.partitionBy(F.lit(0))
-    by = (
-        by.withColumn("w_goal", F.sum("w_total").over(everything) * F.lit(float(share)))
-        .withColumn("w_before", F.coalesce(F.sum("w_full").over(ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("w_after", F.sum("w_weight").over(ratio.rowsBetween(0, Window.unboundedFollowing)))
-    )
+    ratio = [F.col("w_ratio"), F.col("w_source").asc_nulls_last()]
+    by = written(before_each(by, ratio, {"w_before": F.col("w_full"), "w_lighter": F.col("w_weight")}, "mix-ratios"), "mix-levels")
+    all_ = by.agg(F.sum("w_total").alias("goal"), F.sum("w_weight").alias("weight")).first()
+    if not all_["weight"]:
+        return by.select("w_source", "w_total", "w_rows", F.lit(0.0).alias("w_target"))
     # the level if all sources before this one (by ratio) are at their cap; the first that fits holds
-    level = (F.col("w_goal") - F.col("w_before")) / F.col("w_after")
-    by = by.withColumn("w_level", F.min(F.when(level <= F.col("w_ratio"), F.struct(F.col("w_ratio").alias("r"), level.alias("l")))).over(everything)["l"])
-    target = F.least(F.col("w_full"), F.coalesce(F.col("w_level") * F.col("w_weight"), F.col("w_full")))
+    level = (F.lit(all_["goal"] * float(share)) - F.col("w_before")) / (F.lit(all_["weight"]) - F.col("w_lighter"))
+    held = by.where(level <= F.col("w_ratio")).agg(F.min(F.struct(F.col("w_ratio"), (-level).alias("l"))).alias("x")).first()["x"]  # of equal ratios the first, whose level is highest
+    target = F.least(F.col("w_full"), F.lit(-held["l"]) * F.col("w_weight")) if held else F.col("w_full")
     return by.select("w_source", "w_total", "w_rows", target.alias("w_target"))
 
 
@@ -117,10 +114,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """Per row: id, ``size``, ``source_size``, ``target`` and ``taken``; also ``copies`` and ``w_key``, a hash of id, text and source."""
     key = F.xxhash64(id_col, text_col, source_col)
     ids = docs.select(F.col(id_col).alias("w_id"), F.col(source_col).cast("string").alias("w_source"), n_words(text_col).alias("w_size"), key.alias("w_key"))
-    equal = Window.partitionBy("w_key").orderBy("w_id", "w_source", "w_size")
-    small = written(ids.withColumn("w_no", F.row_number().over(equal)), "mix-rows")
+    small = written(numbered_equals(ids, "w_key", "mix-ids"), "mix-rows")
     goal = written(targets(small, weights, share, cap), "mix-targets").withColumnRenamed("w_source", "w_goal_source")
-    rows = small.join(F.broadcast(goal) if goal.count() <= BROADCAST_SOURCES else goal, F.col("w_source").eqNullSafe(F.col("w_goal_source"))).drop("w_goal_source")
+    if goal.count() <= BROADCAST_SOURCES:
+        rows = small.join(F.broadcast(goal), F.col("w_source").eqNullSafe(F.col("w_goal_source"))).drop("w_goal_source")
+    else:
+        named = lambda c: F.concat(F.when(F.col(c).isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce(c, F.lit("")))
+        rows = hot_join(small.withColumn("w_name", named("w_source")), goal.select(named("w_goal_source").alias("w_name"), "w_total", "w_rows", "w_target"), ["w_name"]).drop("w_name")
     rate = F.when(F.col("w_total") > 0, F.col("w_target") / F.col("w_total")).otherwise(F.lit(0.0))
     rate = F.when(F.abs(rate - F.round(rate)) < EPS, F.round(rate)).otherwise(rate)  # else rounding errors were drawn on
     state = rows.withColumn("w_base", F.floor(rate)).withColumn("w_p", rate - F.floor(rate)).withColumn("w_blocks", F.greatest(F.lit(1).cast("long"), F.floor(F.col("w_rows") / BLOCK)))
@@ -145,10 +145,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    fate = mix(docs, id_col, text_col, source_col, **how).groupBy("w_key").agg(F.sum("copies").alias("w_sum"), F.count(F.lit(1)).alias("w_same"))
+    fate = written(mix(docs, id_col, text_col, source_col, **how).groupBy("w_key").agg(F.sum("copies").alias("w_sum"), F.count(F.lit(1)).alias("w_same")).where("w_sum > 0"), "mix-fate")
     rows = docs.select(F.struct("*").alias("w_row"), F.xxhash64(id_col, text_col, source_col).alias("w_key"))
-    found = rows.join(fate.where("w_sum > 0"), "w_key")
-    # equal rows share their copies
-    no = F.row_number().over(Window.partitionBy("w_key").orderBy("w_key"))
-    copies = F.floor(F.col("w_sum") / F.col("w_same")) + (F.col("w_no") <= F.col("w_sum") % F.col("w_same")).cast("long")
-    return found.withColumn("w_no", no).withColumn("w_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select("w_row.*")
+    several = fate.where("w_same > 1")
+    one = rows.join(fate.where("w_same = 1"), "w_key").select("w_row", F.col("w_sum").alias("w_copies"))
+    # equal rows share their copies; few rows, or few texts many times over
+    many = rows.join(several.select("w_key"), "w_key", "left_semi")
+    many = hot_join(numbered_equals(many, "w_key", "mix-equals"), several, ["w_key"])
+    many = many.select("w_row", (F.floor(F.col("w_sum") / F.col("w_same")) + (F.col("w_no") <= F.col("w_sum") % F.col("w_same")).cast("long")).alias("w_copies"))
+    return one.unionByName(many).withColumn("w_copy", F.explode(F.array_repeat(F.lit(1), F.col("w_copies").cast("int")))).select("w_row.*")
