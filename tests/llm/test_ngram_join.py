@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from wickwork.llm import ngram_join, words
+from wickwork.llm import common, components, ngram_join, words
 
 
 def shingle_set(text, k):
@@ -96,3 +96,22 @@ def test_long_text_in_slices(monkeypatch):
     whole = [x for *_, x, _ in words.hashes(data, offsets)][0]
     monkeypatch.setattr(words, "SLICE", 500)
     assert np.array_equal(whole, [x for *_, x, _ in words.hashes(data, offsets)][0]) and len(whole) == 4000
+
+
+def test_packed_sums():
+    rng = np.random.default_rng(2)
+    for sums in (np.zeros(50, np.int64), np.arange(50), np.where(np.arange(5000) % 701 == 3, 70_000, 0), rng.integers(0, 300, 64)):
+        assert (ngram_join._unpacked(ngram_join._packed(sums)) == sums).all()
+
+
+def test_hot_keys(spark, monkeypatch):
+    """One bucket, one leader and one label of nearly all nodes, at small limits."""
+    monkeypatch.setattr(common, "MIN_HOT", 16)
+    links = spark.createDataFrame([(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(1000, 1040)] + [(5, 5)], "a long, b long")
+    got = {r["node"]: r["label"] for r in components.components(links).collect()}
+    assert got == {k: 0 for k in range(400)} | {k: 1000 for k in range(1000, 1041)}
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join([*base[:59], f"x{i}"])) for i in range(120)] + [(500, "other text of four")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.linked(df).collect()}
+    assert got == {i: 0 for i in range(120)} | {500: 500}

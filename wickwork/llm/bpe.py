@@ -20,7 +20,6 @@ only where asked for.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 
@@ -85,9 +84,7 @@ class Codec:
         while max(map(len, level)) > self.leaf:
             level = [h for s in level for h in ((s[: len(s) // 2], s[len(s) // 2 :]) if len(s) > self.leaf else (s,))]
         texts = [s.encode() for s in level]
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
         ids = [e.ids for e in self.plain.encode_batch_fast(level, add_special_tokens=False)]
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         while len(ids) > 1:
             joined, bytes_ = [], []
             for k in range(0, len(ids) - 1, 2):

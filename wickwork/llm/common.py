@@ -83,18 +83,26 @@ def hash_sample(rows: DataFrame, n: int, hash_col: str, total: int, keep=None) -
 MIN_HOT, HOT_PARTS = 4096, 65536
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+def hot_keys(counts: DataFrame, key: list[str]) -> DataFrame | None:
+    """Of ``counts`` (key, w_rows) the keys that hold many of all rows, with their number of salts; HOT_PARTS at most, None if there are none."""
+    top = counts.agg(F.sum("w_rows").alias("total"), F.max("w_rows").alias("most")).first()
+    limit = max(MIN_HOT, (top["total"] or 0) // HOT_PARTS)
+    if (top["most"] or 0) <= limit:
+        return None
+    return written(counts.where(F.col("w_rows") > limit).select(*key, F.ceil(F.col("w_rows") / limit).cast("int").alias("w_salts")), "hot-keys")
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner", hot: DataFrame | None = None, known: bool = False) -> DataFrame:
     """``left.join(right, key, how)`` where a few keys may hold a large part of ``left``, and ``right`` has few rows a key.
 
-    The rows of a hot key (counted in each task first) are dealt over salts, and its right rows copied to each of them. The
-    hot keys are HOT_PARTS at most, a proven bound for their broadcast. ``left`` must give the same rows each time it is read.
+    The rows of a hot key are dealt over salts, and its right rows copied to each of them. The hot keys (``hot``, if ``known``; else counted,
+    in each task first) are HOT_PARTS at most, a proven bound for their broadcast.
     """
-    counts = left.groupBy(*key).agg(F.count(F.lit(1)).alias("w_rows"))
-    total = left.count()
-    limit = max(MIN_HOT, total // HOT_PARTS)
-    if total <= limit:  # no key can be hot
+    if not known:
+        hot = hot_keys(left.groupBy(*key).agg(F.count(F.lit(1)).alias("w_rows")), key)
+    if hot is None:
         return left.join(right, key, how)
-    hot = F.broadcast(counts.where(F.col("w_rows") > limit).select(*key, F.ceil(F.col("w_rows") / limit).cast("int").alias("w_salts")))
+    hot = F.broadcast(hot)
     rows = left.join(hot, key, "left").withColumn("w_salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("w_salts", F.lit(1))).cast("int")).drop("w_salts")
     copies = right.join(hot, key, "left").withColumn("w_salt", F.explode(F.sequence(F.lit(0), F.coalesce("w_salts", F.lit(1)) - 1))).drop("w_salts")
     return rows.join(copies, [*key, "w_salt"], how).drop("w_salt")

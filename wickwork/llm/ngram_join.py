@@ -18,7 +18,8 @@ A document's tokens are its distinct shingles (``k`` words, A-Z lowered). Two do
 * Verification compares whole sets, computed anew from the whole texts; the texts of nodes in shared buckets
   are gathered once. Groups of a bucket leader are dealt in chunks of ``CHUNK`` partners.
 
-Tokens are 64-bit hashes of shingles, node keys 128-bit digests of sets.
+Tokens are 64-bit hashes of shingles, also in verification, which compares sets of hashes and not words; node keys are 128-bit
+digests (two sums of mixed hashes) of sets, and sets of equal size and digest are taken as equal without a comparison.
 
 Defined results: null or empty texts, or texts without words, have no shingles and link with nothing (their
 component is their own id); rows with a null id link with nothing and have a null component; rows of
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickwork.llm import words
-from wickwork.llm.common import sliced, texts, written
+from wickwork.llm.common import hot_join, hot_keys, sliced, texts, written
 from wickwork.llm.components import components
 
 #: log2 of the cells of the count table, count beyond which a token is frequent (also at least 4 x the mean), most classes.
@@ -94,13 +95,21 @@ def token_counts(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _packed(sums: np.ndarray) -> bytes:
-    """Sums in as few bytes each as the largest needs, that number first."""
-    kind = np.min_scalar_type(int(sums.max()))
+    """Sums in as few bytes each as the largest needs, that number first; where most are 0, the others' places and sums (first number 0)."""
+    kind, some = np.min_scalar_type(int(sums.max())), np.flatnonzero(sums)
+    if len(some) * (4 + kind.itemsize) < len(sums) * kind.itemsize:
+        return bytes([0, kind.itemsize]) + np.r_[len(sums), some].astype(np.uint32).tobytes() + sums[some].astype(kind).tobytes()
     return bytes([kind.itemsize]) + sums.astype(kind).tobytes()
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.dtype(f"u{raw[0]}"), offset=1).astype(np.int64)
+    if raw[0]:
+        return np.frombuffer(raw, np.dtype(f"u{raw[0]}"), offset=1).astype(np.int64)
+    n = (len(raw) - 6) // (4 + raw[1])
+    places = np.frombuffer(raw[2 : 6 + 4 * n], np.uint32)
+    out = np.zeros(places[0], np.int64)
+    out[places[1:]] = np.frombuffer(raw[6 + 4 * n :], np.dtype(f"u{raw[1]}"))
+    return out
 
 
 def signatures(tokens: np.ndarray, count: np.ndarray, percent: int, frequent: float, n_classes: int) -> np.ndarray:
@@ -160,7 +169,7 @@ def index(docs: DataFrame, k: int, percent: int) -> DataFrame:
 def verify(pairs: DataFrame, held: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ``pairs`` that link; ``held``: (id, t) of all their nodes."""
     size = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c"))
-    dealt = pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / CHUNK)).alias("chunk"))
+    dealt = hot_join(pairs, size, ["a"]).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / CHUNK)).alias("chunk"))
     roles = dealt.select(F.col("b").alias("id"), "a", "chunk").union(dealt.select(F.col("a").alias("id"), "a", "chunk").distinct())
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -224,7 +233,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     firsts = written(firsts, "ngram-firsts")
     entries = firsts.select(F.explode("sigs").alias("sig"), "node", "n")
     buckets = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lead"))
-    members = written(entries.join(buckets.where("members > 1"), "sig"), "ngram-members")
+    buckets = written(buckets.where("members > 1"), "ngram-buckets")
+    hot = hot_keys(buckets.select("sig", F.col("members").alias("w_rows")), ["sig"])
+    members = written(hot_join(entries, buckets, ["sig"], hot=hot, known=True), "ngram-members")
     marks = firsts.select("node", "n", "bits").dropDuplicates(["node"])
     few = members.where(f"members <= {SMALL}").select("sig", "node", "n")
     one, two = few.select("sig", F.col("node").alias("a"), F.col("n").alias("n_a")), few.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"))
