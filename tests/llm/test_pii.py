@@ -112,33 +112,27 @@ def whole(tagger, text):
         better = deep > depth[w : w + n]
         s[w : w + n][better] = tagger.scores(row[None])[0][0, :n][better]
         depth[w : w + n][better] = deep[better]
-    sure, base, out = tagger._certain(s), pii.base_spans(text), []
-    ends = sorted({0, len(s) - 1, *np.flatnonzero(sure).tolist()})
-    for x, y in zip(ends, ends[1:], strict=False):
-        tags, k = tagger.viterbi(s[x : y + 1]), 0
-        while k < len(tags):
-            end = k + 1
-            if tags[k] % 2:
-                while end < len(tags) and tags[end] == tags[k] + 1:
-                    end += 1
-                kind, a, b = (tags[k] - 1) // 2, x + k, x + end
-                chance = tagger._chances(s[x : y + 1], sure[x], sure[y])(k, end, int(tags[k]))
-                if chance >= pii.SURE and tagger._plausible(text, kind, a, b) and all(b <= u or a >= v for _, u, v in base):
-                    out.append((int(kind), a, b))
-            k = end
+    base, out, tags, k = pii.base_spans(text), [], tagger.viterbi(s), 0
+    while k < len(tags):
+        end = k + 1
+        if tags[k] % 2:
+            while end < len(tags) and tags[end] == tags[k] + 1:
+                end += 1
+            kind, x = int((tags[k] - 1) // 2), max(0, k - pii.REACH)
+            if tagger._plausible(text, kind, k, end) and all(end <= a or k >= b for _, a, b in base) and tagger.chance(s[x : end + pii.REACH], k - x, end - x, kind) >= pii.SURE:
+                out.append((kind, k, end))
+        k = end
     return sorted(out)
 
 
-def test_chances_against_all_paths():
+def test_chance_against_all_paths():
     t, r = pii.Tagger(5), np.random.default_rng(1)
     t.p["trans"] = r.normal(0, 1, (pii.TAGS, pii.TAGS))
     s = r.normal(0, 1, (4, pii.TAGS))
     weight = {path: np.exp(sum(s[i, y] for i, y in enumerate(path)) + sum(t.p["trans"][a, b] for a, b in itertools.pairwise(path))) for path in itertools.product(range(pii.TAGS), repeat=4)}
-    for first, last in ((False, False), (True, False), (False, True), (True, True)):
-        may = {p: w for p, w in weight.items() if (not first or p[0] == 0) and (not last or p[-1] == 0)}
-        for k, end in ((1, 3), (1, 2), (0, 4), (0, 2), (2, 4)):
-            want = sum(w for p, w in may.items() if p[k:end] == (3, *[4] * (end - k - 1)) and (end == 4 or p[end] != 4)) / sum(may.values())
-            assert abs(t._chances(s, first, last)(k, end, 3) - want) < 1e-9
+    for k, end in ((1, 3), (1, 2), (0, 4), (0, 2), (2, 4)):
+        want = sum(w for p, w in weight.items() if p[k:end] == (3, *[4] * (end - k - 1)) and (end == 4 or p[end] != 4)) / sum(weight.values())
+        assert abs(t.chance(s, k, end, 1) - want) < 1e-9
 
 
 def test_adds_held_out_spans(spark):

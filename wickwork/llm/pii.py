@@ -6,8 +6,8 @@ never removes one.
 
 The result is that of tagging every text in windows of ``WINDOW`` characters that overlap by half (a character's tag
 scores are those of the window in which it lies deepest) and one Viterbi pass over the joined scores of the whole text,
-wherever its spans lie. An added span counts if its probability under the CRF (forward and backward sums, its bounds and its kind
-exactly) is at least ``SURE``, it does not touch a base span and it passes its kind's checks (``_plausible``): cards, phones and
+wherever its spans lie. An added span counts if its probability under the CRF (forward and backward sums over ``REACH`` characters around it, for its
+bounds and kind exactly) is at least ``SURE``, it does not touch a base span and it passes its kind's checks (``_plausible``): cards, phones and
 addresses of machines the pattern's checks of digits, e-mails a sign for "at" before a dot, one of ``AT`` and ``DOT`` among them. As each of these needs a digit or a sign,
 only such windows are computed first, and then their neighbours for as long as a
 span might reach on: a text is cut only at characters that no best path tags as anything but outside (``_certain``).
@@ -26,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,7 @@ AT = r"(?:@|(?i:[(\[{<]at[)\]}>]))"  # e-mails have one of these
 DOT = r"(?i:[(\[{<]dot[)\]}>]|(?<![^\W_])dot(?![^\W_]))"  # or this word
 ANCHOR = re.compile(f"[0-9]+|{AT}|{DOT}")  # an added span has one of these
 HIDDEN, EMBED, UPDATES, BATCH, RATE, CLASSES = 16, 12, 560, 96, 0.03, 56
+MARGIN = 3.0  # in training: scores far apart leave few characters uncertain
 MOST, PLAIN = 3600, 900  # windows to learn from, with and without labelled characters
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 
@@ -182,8 +183,10 @@ class Tagger:
         pair = pair - np.bincount((y[:, :-1] * k + y[:, 1:]).ravel(), minlength=k * k).reshape(k, k)
         return g / n, pair / n
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, dtype=np.float64) -> dict:
+    def gradients(self, x: np.ndarray, y: np.ndarray, dtype=np.float64, margin: float = 0.0) -> dict:
+        """Of the softmax-margin loss: the true path must win by ``margin`` at each character that differs."""
         s, (e, hidden, sf, sb) = self.scores(x, True, dtype)
+        s[np.arange(len(x))[:, None], np.arange(x.shape[1])[None, :], y] -= dtype(margin)
         gs, gt = self._crf(s, y)
         g = {"trans": gt, "out": np.einsum("nth,ntk->hk", hidden, gs), "bias": gs.sum((0, 1))}
         gh = gs @ self.p["out"].astype(dtype).T
@@ -215,7 +218,7 @@ class Tagger:
             order = r.permutation(len(x))
             for a in range(0, len(x), BATCH):
                 rows, t = order[a : a + BATCH], t + 1
-                for k, g in self.gradients(x[rows], y[rows], np.float32).items():
+                for k, g in self.gradients(x[rows], y[rows], np.float32, MARGIN).items():
                     g = np.clip(g, -5, 5)
                     m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
                     self.p[k] = self.p[k] - RATE * (1 - t / (total + 1)) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
@@ -275,7 +278,18 @@ class Tagger:
                     x, y = before[-1] if len(before) else 0, q - start + after[0] + 1 if len(after) else len(s)
                     out[i] += self._spans(texts[i], base[i], s[x:y], start + x, sure[x:y])
             todo = more
-        return [sorted(set(o)) for o in out]
+        # the spans that are probable enough, by the scores around them
+        around = {(i, *f): (max(0, f[1] - REACH), min(len(texts[i]), f[2] + REACH)) for i, o in enumerate(out) for f in o}
+        spans = {f: (_owner(x, len(texts[f[0]])), _owner(y - 1, len(texts[f[0]]))) for f, (x, y) in around.items()}
+        self._score(code, known, sorted({(f[0], w) for f, (a, b) in spans.items() for w in range(a, b + 1)} - known.keys()))
+        out = [[] for _ in texts]
+        for f, (x, y) in around.items():
+            i, kind, a, b = f
+            start = _owned(spans[f][0], len(texts[i]))[0]
+            s = np.concatenate([known[i, w] for w in range(spans[f][0], spans[f][1] + 1)])[x - start : y - start]
+            if self.chance(s, a - x, b - x, kind) >= SURE:
+                out[i].append((kind, a, b))
+        return [sorted(o) for o in out]
 
     def _score(self, code: dict[int, np.ndarray], known: dict[tuple[int, int], np.ndarray], windows: list[tuple[int, int]]) -> None:
         """Adds the tag scores of each window's own characters to ``known``."""
@@ -290,10 +304,13 @@ class Tagger:
                 known[i, w] = s[a - w * STEP : b - w * STEP].copy()
 
     def _certain(self, s: np.ndarray) -> np.ndarray:
-        """True where every best path is outside, whatever its neighbours: no transition can make up for the scores."""
+        """True where every best path is outside: no transition can make up for the scores, whatever the neighbours or because one of them is outside."""
         t = self.p["trans"]
-        gain = np.maximum(0, (t - t[:, :1]).max(0)) + np.maximum(0, (t - t[:1]).max(1))
-        return (s[:, :1] - s[:, 1:] > gain[1:] + 1e-3).all(1)
+        enter, leave = np.maximum(0, (t - t[:, :1]).max(0)), np.maximum(0, (t - t[:1]).max(1))
+        above = lambda gain: (s[:, :1] - s[:, 1:] > gain[1:] + 1e-3).all(1)
+        sure = above(enter + leave)
+        sure = _spread(sure, above(t[0] - t[0, 0] + leave))
+        return _spread(sure[::-1], above(enter + t[:, 0] - t[0, 0])[::-1])[::-1]
 
     def _spans(self, text: str, base: list[tuple[int, int, int]], s: np.ndarray, start: int, sure: np.ndarray) -> list[tuple[int, int, int]]:
         """Spans in the part of the text that begins at ``start`` and has the scores ``s``, cut where ``sure``."""
@@ -307,7 +324,7 @@ class Tagger:
             tags = self.viterbi(part)
             if not tags.any():
                 continue
-            chance, k = None, 0
+            k = 0
             while k < len(tags):
                 end = k + 1
                 if tags[k] and tags[k] % 2:
@@ -316,36 +333,25 @@ class Tagger:
                         end += 1
                     a, b = start + x + k, start + x + end
                     if self._plausible(text, kind, a, b) and all(b <= u or a >= v for _, u, v in base):
-                        chance = chance or self._chances(part, bool(sure[x]), bool(sure[y]))
-                        if chance(k, end, int(tags[k])) >= SURE:
-                            out.append((int(kind), a, b))
+                        out.append((int(kind), a, b))
                 k = end
         return out
 
-    def _chances(self, s: np.ndarray, first: bool, last: bool) -> Callable[[int, int, int], float]:
-        """The CRF's probability that a span begins at ``k`` with tag ``tag`` and ends before ``end``, in a part with scores ``s``;
-        ``first``, ``last``: the part's ends are outside for certain."""
-        s, tr = s.astype(float), self.p["trans"]
+    def chance(self, s: np.ndarray, k: int, end: int, kind: int) -> float:
+        """The CRF's probability, in a part of a text with scores ``s``, that a span of ``kind`` begins at ``k`` and ends before ``end``."""
+        s, tr, tag = s.astype(float), self.p["trans"], 2 * kind + 1
         lse = lambda v, axis: (m := v.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(v - m).sum(axis))
-        only = np.where(np.arange(TAGS) == 0, 0.0, -1e9)
         a, b = np.zeros_like(s), np.zeros_like(s)
-        a[0] = s[0] + only * first
+        a[0] = s[0]
         for i in range(1, len(s)):
             a[i] = s[i] + lse(a[i - 1][:, None] + tr, 0)
-        b[-1] = only * last
         for i in reversed(range(len(s) - 1)):
             b[i] = lse(tr + (s[i + 1] + b[i + 1])[None, :], 1)
-        z = lse(a[-1] + b[-1], 0)
-
-        def chance(k: int, end: int, tag: int) -> float:
-            total = a[k, tag] + (tr[tag, tag + 1] + s[k + 1, tag + 1] if end - k > 1 else 0.0) + (tr[tag + 1, tag + 1] * (end - k - 2) + s[k + 2 : end, tag + 1].sum() if end - k > 2 else 0.0)
-            now = tag + (end - k > 1)
-            if end == len(s):
-                return float(np.exp(total + b[end - 1, now] - z))
-            after = tr[now] + s[end] + b[end]
-            return float(np.exp(total + lse(np.delete(after, tag + 1), 0) - z))
-
-        return chance
+        path = [tag] + [tag + 1] * (end - k - 1)
+        total = a[k, tag] + sum(tr[u, v] for u, v in zip(path, path[1:], strict=False)) + s[k + 1 : end, tag + 1].sum() - lse(a[-1], 0)
+        if end == len(s):
+            return float(np.exp(total))
+        return float(np.exp(total + lse(np.delete(tr[path[-1]] + s[end] + b[end], tag + 1), 0)))
 
     @staticmethod
     def _plausible(text: str, kind: int, start: int, end: int) -> bool:
@@ -365,6 +371,12 @@ class Tagger:
 STEP = WINDOW // 2
 
 
+def _spread(seed: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """True at ``seed`` and where only ``ok`` lies between it and the last ``seed`` before."""
+    at = np.arange(len(seed))
+    return np.maximum.accumulate(np.where(seed, at, -1)) > np.maximum.accumulate(np.where(seed | ok, -1, at))
+
+
 def _owner(at: int, size: int) -> int:
     """The window, of those that begin every ``STEP`` characters, in which a character of a text of ``size`` lies deepest."""
     return min(max(0, at - STEP // 2) // STEP, max(0, -(-size // STEP) - 2))
