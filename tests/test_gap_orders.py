@@ -1,60 +1,30 @@
-"""Gap orders with renewals against a plain walk over each setup's bars."""
+"""Setups against a plain walk over the bars, and queries without oracle SQL."""
 
 import os
 
-from pyspark.sql import functions as F
-
 from wickwork.jobs import queries
-from wickwork.operators import signals
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-HORIZON, RR, RENEWALS = 48, 0.5, 2
-
-
-def entry(bull, sl, tp, top, bottom):
-    e = (tp + RR * sl) / (RR + 1)
-    if bull:
-        return top if e > top else e if e > bottom else None
-    return top if e < bottom else e if e < top else None
-
-
-def walk(s, bars):
-    bull, tp, price, left, waiting = s["bullish"] == 1, s["take_profit"], s["entry"], RENEWALS, False
-    extremes = []
-    for b in bars:
-        extremes.append(b["high"] if bull else b["low"])
-        if not waiting and (b["low"] <= price if bull else b["high"] >= price):
-            return "filled", b["ts"], RENEWALS - left
-        if b["low"] <= s["gap_top"] if bull else b["high"] >= s["gap_bottom"]:
-            return "tested", b["ts"], RENEWALS - left
-        if waiting:
-            further = [x for x in extremes if (x > tp) == bull and x != tp]
-            if further:
-                tp = max(further) if bull else min(further)
-                price = entry(bull, s["stop_loss"], tp, s["gap_top"], s["gap_bottom"])
-                if price is None:
-                    return "expired", b["ts"], RENEWALS - left
-                waiting, left = False, left - 1
-        elif b["high"] > tp if bull else b["low"] < tp:
-            if not left:
-                return "expired", b["ts"], RENEWALS - left
-            waiting = True
-    return "resting", None, RENEWALS - left
 
 
-def test_renewals(spark):
-    bars, setups = queries._setups(spark, SF)
-    setups = setups.withColumn("setup_id", F.concat_ws(":", "source", "ticker", F.col("n").cast("string")))
-    got = {r["setup_id"]: (r["state"], r["state_ts"], r["renewals"]) for r in signals.gap_orders(setups, bars, HORIZON, RR, max_renewals=RENEWALS).collect()}
+def test_setups_know_no_later_bar(spark):
+    """Setups of the bars so far are those of all bars, up to there: nothing is taken from what comes later."""
+    bars, setups, swings = queries._setups(spark, SF)
     by = {}
     for b in bars.orderBy("n").collect():
-        by.setdefault(b["ticker"], {})[b["n"]] = b
-    want = {}
-    for s in setups.where("entry is not null").collect():
-        later = [by[s["ticker"]][n] for n in range(s["n"] + 1, s["n"] + HORIZON + 1) if n in by[s["ticker"]]]
-        if later:
-            want[s["setup_id"]] = walk(s, later)
-    assert got == want and len({v[0] for v in got.values()}) > 1
+        by.setdefault(b["ticker"], []).append(b)
+    rows = setups.collect()
+    assert rows
+    for s in rows:
+        known = by[s["ticker"]][: s["n"]]  # up to the third bar
+        c1, c3, bull = known[-3], known[-1], s["bullish"] == 1
+        turns = [known[i - 1] for i in range(2, len(known)) if (known[i - 2]["high"] < known[i - 1]["high"] >= known[i]["high"])]
+        dips = [known[i - 1] for i in range(2, len(known)) if (known[i - 2]["low"] > known[i - 1]["low"] <= known[i]["low"])]
+        ends = c1["ts"] + (c3["c3_end"] - c3["ts"] if "c3_end" in c3 else s["c3_end"] - s["ts"])
+        stop = [b["low" if bull else "high"] for b in (dips if bull else turns) if b["ts"] <= ends]
+        inside = [b["high" if bull else "low"] for b in (turns if bull else dips) if b["ts"] >= c1["ts"]]
+        assert s["stop_loss"] == stop[-1] and s["take_profit"] == (max if bull else min)(inside)
+        assert (c1["high"] < c3["low"]) == bull and s["broken"] == (c3["high"] > s["take_profit"] if bull else c3["low"] < s["take_profit"])
 
 
 def test_every_query_runs(spark):

@@ -319,16 +319,16 @@ def _swings(bars: DataFrame) -> DataFrame:
     _ind(
         """SELECT b.source, b.ticker, b.ts, l.low AS last_low, (SELECT max(s.high) FROM sw s WHERE s.fractal_up = 1 AND s.source = b.source AND s.ticker = b.ticker AND s.swing_ts >= b.ts - INTERVAL 12 HOUR AND s.swing_ts < b.ts) AS top_12h,
  (SELECT max(s.high) FROM sw s WHERE s.fractal_up = 1 AND s.source = b.source AND s.ticker = b.ticker AND s.swing_ts >= b.ts AND s.swing_ts < b.ts + INTERVAL 1 DAY AND s.high > b.high) AS beyond_1d
- FROM nb b ASOF LEFT JOIN (SELECT * FROM sw WHERE fractal_down = 1) l ON b.source = l.source AND b.ticker = l.ticker AND b.ts >= l.swing_ts""",
+ FROM nb b ASOF LEFT JOIN (SELECT * FROM sw WHERE fractal_down = 1) l ON b.source = l.source AND b.ticker = l.ticker AND b.ts >= l.ts""",
         FRACTAL, SWINGS,
     ),
 )
 def j2_swings(spark, sf_dir):
-    """Per bar the last swing low, the highest swing of the twelve hours before, and the next day's highest beyond its own high."""
+    """Per bar the last swing low that it has seen confirmed, the highest swing of the twelve hours before, and the next day's highest beyond its own high."""
     b = _numbered(spark, sf_dir)
     s = written(_swings(b), "swings")
-    lows, highs = s.where("fractal_down = 1").select(*KEY, F.col("ts").alias("swing_ts"), F.col("low").alias("last_low")), s.where("fractal_up = 1").select(*KEY, F.col("ts").alias("swing_ts"), F.col("high").alias("swing_high"))
-    out = joins.asof(b.select(*KEY, "ts", "high"), lows, list(KEY), "ts", "swing_ts", ["last_low"])
+    lows, highs = s.where("fractal_down = 1").select(*KEY, "confirmed_ts", F.col("low").alias("last_low")), s.where("fractal_up = 1").select(*KEY, F.col("ts").alias("swing_ts"), F.col("high").alias("swing_high"))
+    out = joins.asof(b.select(*KEY, "ts", "high"), lows, list(KEY), "ts", "confirmed_ts", ["last_low"])
     out = out.withColumn("from_ts", F.expr("ts - INTERVAL '12' HOUR")).withColumn("to_ts", F.expr("ts + INTERVAL '1' DAY"))
     out = joins.interval_extreme(out, highs, list(KEY), "from_ts", "ts", "swing_ts", F.col("swing_high"), "top_12h", True)
     out = joins.interval_extreme(out, highs, list(KEY), "ts", "to_ts", "swing_ts", F.col("swing_high"), "top_1d", True)
@@ -352,7 +352,7 @@ def j6_sub_bars(spark, sf_dir):
 
 TRADES = f"""nx AS (SELECT *, lead(ts) OVER k AS next_ts, lead(open) OVER k AS next_open FROM nb WINDOW k AS ({o.W})),
 tr AS (SELECT source || ':' || ticker || ':' || n AS trade_id, source, ticker, n, ts AS signal_ts, close AS ref, CASE WHEN close >= open THEN 'buy' ELSE 'sell' END AS side, next_ts AS entry_time, next_open AS entry_price,
- CASE WHEN close >= open THEN close * 0.5 ELSE close * 1.5 END AS stop_loss, CASE WHEN close >= open THEN close * 2 ELSE close * 0.25 END AS take_profit FROM nx WHERE n % 7 = 0 AND next_ts IS NOT NULL AND next_open > 0)"""
+ CASE WHEN close >= open THEN close * 0.5 ELSE close * 1.5 END AS stop_loss, CASE WHEN close >= open THEN close * 2 ELSE close * 0.25 END AS take_profit FROM nx WHERE next_ts IS NOT NULL AND next_open > 0)"""
 EXITS = """hit AS (SELECT t.trade_id, min(b.ts) AS x FROM tr t JOIN nb b ON t.source = b.source AND t.ticker = b.ticker AND b.ts > t.entry_time
  AND (CASE WHEN side = 'buy' THEN b.low <= stop_loss OR b.high >= take_profit ELSE b.high >= stop_loss OR b.low <= take_profit END) GROUP BY 1),
 ex0 AS (SELECT t.*, b.ts AS exit_time, b.open AS xo, b.n AS exit_no, CASE WHEN side = 'buy' THEN b.low <= stop_loss ELSE b.high >= stop_loss END AS s, CASE WHEN side = 'buy' THEN b.high >= take_profit ELSE b.low <= take_profit END AS p
@@ -368,7 +368,7 @@ TRADE_BASE = (o.bars(), o.bars(900, name="fine"), o.NUMBERED, TRADES, EXITS)
 
 def _trades(bars: DataFrame) -> DataFrame:
     up = F.col("close") >= F.col("open")
-    b = fills.with_next(bars).where("n % 7 = 0 and next_ts is not null and next_open > 0")
+    b = fills.with_next(bars).where("next_ts is not null and next_open > 0")
     return b.select(
         F.concat_ws(":", *KEY, F.col("n").cast("string")).alias("trade_id"), *KEY, "n", F.col("ts").alias("signal_ts"), F.col("close").alias("ref"), F.when(up, "buy").otherwise("sell").alias("side"),
         F.col("next_ts").alias("entry_time"), F.col("next_open").alias("entry_price"), F.when(up, F.col("close") * 0.5).otherwise(F.col("close") * 1.5).alias("stop_loss"), F.when(up, F.col("close") * 2).otherwise(F.col("close") * 0.25).alias("take_profit"),
@@ -387,7 +387,7 @@ def f1_market_fills(spark, sf_dir):
 
 
 RESTING = """od AS (SELECT source || ':' || ticker || ':' || n AS order_id, source, ticker, CASE WHEN n % 2 = 0 THEN 'limit' ELSE 'stop' END AS type, CASE WHEN n % 3 = 0 THEN 'buy' ELSE 'sell' END AS side,
- CASE WHEN (n % 2 = 0) = (n % 3 = 0) THEN close * 0.8 ELSE close * 1.2 END AS price, ts AS created_at, CASE WHEN n % 4 = 0 THEN ts + INTERVAL 6 HOUR END AS cancelled_at FROM nb WHERE n % 5 = 0),
+ CASE WHEN (n % 2 = 0) = (n % 3 = 0) THEN close * 0.8 ELSE close * 1.2 END AS price, ts AS created_at, CASE WHEN n % 4 = 0 THEN ts + INTERVAL 6 HOUR END AS cancelled_at FROM nb),
 oh AS (SELECT order_id, min(b.ts) AS x FROM od t JOIN nb b ON t.source = b.source AND t.ticker = b.ticker AND b.ts > created_at AND (cancelled_at IS NULL OR b.ts <= cancelled_at)
  AND CASE WHEN (type = 'limit') = (side = 'buy') THEN b.low <= price ELSE b.high >= price END GROUP BY 1)"""
 
@@ -398,7 +398,7 @@ def f2_resting_orders(spark, sf_dir):
     """Limit and stop orders until filled or cancelled, and sells rejected where shorting is not allowed."""
     b = _numbered(spark, sf_dir)
     even, third = F.col("n") % 2 == 0, F.col("n") % 3 == 0
-    orders = b.where("n % 5 = 0").select(
+    orders = b.select(
         F.concat_ws(":", *KEY, F.col("n").cast("string")).alias("order_id"), *KEY, F.when(even, "limit").otherwise("stop").alias("type"), F.when(third, "buy").otherwise("sell").alias("side"),
         F.when(even == third, F.col("close") * 0.8).otherwise(F.col("close") * 1.2).alias("price"), F.col("ts").alias("created_at"), F.when(F.col("n") % 4 == 0, F.expr("ts + INTERVAL '6' HOUR")).alias("cancelled_at"),
     )
@@ -431,25 +431,28 @@ def f7_signal_close(spark, sf_dir):
     "f8_moving_levels",
     o.sql(
         *TRADE_BASE[:4],
-        "st AS (SELECT t.trade_id, t.side, b.ts, b.n - t.n AS age, b.open, b.high, b.low, CASE WHEN b.n - t.n > 4 THEN entry_price ELSE stop_loss END AS stop_loss, take_profit FROM tr t JOIN nb b ON b.source = t.source AND b.ticker = t.ticker AND b.ts > t.entry_time AND b.n <= t.n + 24)",
+        "st AS (SELECT t.trade_id, t.side, b.ts, b.n - t.n AS age, b.open, b.high, b.low, CASE WHEN b.n - t.n > 4 THEN entry_price ELSE stop_loss END AS stop_loss, take_profit FROM tr t JOIN nb b ON b.source = t.source AND b.ticker = t.ticker AND b.ts > t.entry_time)",
         final="""SELECT trade_id, min(ts) AS exit_time, arg_min(CASE WHEN CASE WHEN side = 'buy' THEN low <= stop_loss ELSE high >= stop_loss END THEN 'stop_loss' ELSE 'take_profit' END, ts) AS exit_reason FROM st
  WHERE CASE WHEN side = 'buy' THEN low <= stop_loss OR high >= take_profit ELSE high >= stop_loss OR low <= take_profit END GROUP BY 1""",
     ),
 )
 def f8_moving_levels(spark, sf_dir):
-    """F8: stops moved to the entry price four bars after the signal, over a day of bars."""
+    """F8: stops moved to the entry price four bars after the signal, until a level is reached: one first touch per stretch of equal levels."""
     b = _numbered(spark, sf_dir)
-    t = _trades(b)
-    end = b.select(*KEY, (F.col("n") - 24).alias("n"), F.col("ts").alias("end_ts"))
-    last = b.groupBy(*KEY).agg(F.max("ts").alias("last_ts"))
-    t = t.join(end, [*KEY, "n"], "left").join(last, list(KEY)).withColumn("until", F.coalesce("end_ts", "last_ts"))
     move = b.select(*KEY, (F.col("n") - 4).alias("n"), F.col("ts").alias("move_ts"))
-    changes = t.join(move, [*KEY, "n"]).select("trade_id", F.expr("move_ts + INTERVAL '1' SECOND").alias("ts"), F.col("entry_price").alias("stop_loss"), F.lit(None).cast("double").alias("take_profit"))
-    s = fills.moving_levels(t, changes, b)
+    t = _trades(b).join(move, [*KEY, "n"], "left").select("trade_id", *KEY, "side", "entry_time", "entry_price", "stop_loss", "take_profit", "move_ts")
+    part = lambda k, after, until, stop: F.struct(F.concat_ws("/", "trade_id", F.lit(k)).alias("part_id"), F.col(after).alias("w_after"), until.alias("w_until"), F.col(stop).alias("w_stop"))
+    parts = F.array(part("0", "entry_time", F.col("move_ts"), "stop_loss"), part("1", "move_ts", F.lit(None).cast("timestamp_ntz"), "entry_price"))
+    p = t.select("trade_id", *KEY, "side", "take_profit", F.explode(parts).alias("w_p")).select("trade_id", *KEY, "side", "take_profit", "w_p.*").where("w_after is not null")
     long = F.col("side") == "buy"
-    sl = F.when(long, F.col("low") <= F.col("stop_loss")).otherwise(F.col("high") >= F.col("stop_loss"))
-    tp = F.when(long, F.col("high") >= F.col("take_profit")).otherwise(F.col("low") <= F.col("take_profit"))
-    return s.where(sl | tp).groupBy("trade_id").agg(F.min("ts").alias("exit_time"), F.min_by(F.when(sl, "stop_loss").otherwise("take_profit"), "ts").alias("exit_reason"))
+    sl = lambda low, high: F.when(long, F.col(low) <= F.col("w_stop")).otherwise(F.col(high) >= F.col("w_stop"))
+    either = sl("low", "high") | F.when(long, F.col("high") >= F.col("take_profit")).otherwise(F.col("low") <= F.col("take_profit"))
+    hit = joins.first_touch(p, b, list(KEY), "part_id", "w_after", "w_until", either, either, ["ts", "high", "low"])
+    x = p.join(hit, "part_id")
+    return x.groupBy("trade_id").agg(F.min("hit_ts").alias("exit_time"), F.min_by(F.when(sl("hit_low", "hit_high"), "stop_loss").otherwise("take_profit"), "hit_ts").alias("exit_reason"))
+
+
+job("f8_moving_levels_to_the_end", ORACLES["f8_moving_levels"])(f8_moving_levels)
 
 
 COSTED = """cs AS (SELECT e.* EXCLUDE (entry_price, exit_price), 2.0::DOUBLE AS size, i.contract_size, i.leverage, i.tick_size, i.asset_class, i.price_basis,
@@ -646,62 +649,85 @@ def g2_drop_with_regime(spark, sf_dir):
     return signals.regime(signals.drop_from_peak(_numbered(spark, sf_dir), 24, 0.5), ref).select(*KEY, "ts", "peak", "dropped", "market_ok")
 
 
+TREND = (
+    o.steps([4 * HOUR], HOUR), "cl AS (SELECT *, bar_no + 1 AS nx, list(close) OVER (PARTITION BY source, ticker, tf_seconds ORDER BY bar_no) AS v FROM closed)",
+    f"""st AS (SELECT s.*, c.v, CASE WHEN len(c.v) >= 20 THEN {o.ema('c.v', 20)} END AS e FROM steps s LEFT JOIN cl c ON s.source = c.source AND s.ticker = c.ticker AND s.tf_seconds = c.tf_seconds AND s.bar_no = c.nx)""",
+    "tn AS (SELECT source, ticker, step AS ts, CASE WHEN bar_no = 20 THEN (list_sum(v[-19:]) + close) / 20 WHEN bar_no > 20 THEN close * (2.0::DOUBLE / 21) + e * (1 - 2.0::DOUBLE / 21) END AS trend FROM st)",
+)
 GAP_SETUPS = (
-    o.bars(), o.NUMBERED, FRACTAL, SWINGS, GAPS,
-    """gs0 AS (SELECT g.*, first_ts + INTERVAL 1 HOUR AS c1_end, ts + INTERVAL 1 HOUR AS c3_end FROM gap g WHERE bullish = 1 OR bearish = 1)""",
-    """gs AS (SELECT g.*, CASE WHEN bullish = 1 THEN lo.low ELSE hi.high END AS sl,
- CASE WHEN bullish = 1 THEN (SELECT max(s.high) FROM sw s WHERE fractal_up = 1 AND s.source = g.source AND s.ticker = g.ticker AND s.swing_ts >= g.first_ts AND s.swing_ts < g.c3_end)
- ELSE (SELECT min(s.low) FROM sw s WHERE fractal_down = 1 AND s.source = g.source AND s.ticker = g.ticker AND s.swing_ts >= g.first_ts AND s.swing_ts < g.c3_end) END AS tp
- FROM gs0 g ASOF LEFT JOIN (SELECT * FROM sw WHERE fractal_down = 1) lo ON g.source = lo.source AND g.ticker = lo.ticker AND g.c1_end >= lo.swing_ts
- ASOF LEFT JOIN (SELECT * FROM sw WHERE fractal_up = 1) hi ON g.source = hi.source AND g.ticker = hi.ticker AND g.c1_end >= hi.swing_ts)""",
+    o.bars(), o.NUMBERED, FRACTAL, SWINGS, GAPS, *TREND,
+    """gs0 AS (SELECT g.*, b.close, trend, first_ts + INTERVAL 1 HOUR AS c1_end FROM gap g JOIN nb b USING (source, ticker, n) JOIN tn ON tn.source = g.source AND tn.ticker = g.ticker AND tn.ts = g.ts WHERE bullish = 1 OR bearish = 1)""",
+    # swings are known from the bar behind them on
+    """gs AS (SELECT g.*, CASE WHEN bullish = 1 THEN (SELECT max_by(s.low, s.swing_ts) FROM sw s WHERE fractal_down = 1 AND s.source = g.source AND s.ticker = g.ticker AND s.swing_ts <= g.c1_end AND s.ts <= g.ts)
+ ELSE (SELECT max_by(s.high, s.swing_ts) FROM sw s WHERE fractal_up = 1 AND s.source = g.source AND s.ticker = g.ticker AND s.swing_ts <= g.c1_end AND s.ts <= g.ts) END AS sl,
+ CASE WHEN bullish = 1 THEN (SELECT max(s.high) FROM sw s WHERE fractal_up = 1 AND s.source = g.source AND s.ticker = g.ticker AND s.swing_ts >= g.first_ts AND s.ts <= g.ts)
+ ELSE (SELECT min(s.low) FROM sw s WHERE fractal_down = 1 AND s.source = g.source AND s.ticker = g.ticker AND s.swing_ts >= g.first_ts AND s.ts <= g.ts) END AS tp FROM gs0 g)""",
     """ge AS (SELECT *, (tp + 0.5::DOUBLE * sl) / 1.5::DOUBLE AS e FROM gs)""",
-    """setups AS (SELECT *, CASE WHEN bullish = 1 THEN CASE WHEN e > gap_top THEN gap_top WHEN e > gap_bottom THEN e END ELSE CASE WHEN e < gap_bottom THEN gap_top WHEN e < gap_top THEN e END END AS entry FROM ge)""",
+    """gf AS (SELECT *, CASE WHEN bullish = 1 THEN CASE WHEN e > gap_top THEN gap_top WHEN e > gap_bottom THEN e END ELSE CASE WHEN e < gap_bottom THEN gap_top WHEN e < gap_top THEN e END END AS entry FROM ge)""",
+    """setups AS (SELECT source || ':' || ticker || ':' || n AS setup_id, source, ticker, n, ts, bullish, gap_top, gap_bottom, sl, tp, entry, CASE WHEN bullish = 1 THEN high > tp ELSE low < tp END AS broken
+ FROM gf WHERE entry IS NOT NULL AND CASE WHEN bullish = 1 THEN close > trend ELSE close < trend END)""",
 )
 
 
-def _setups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _setups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bars, setups and swings."""
     b = _numbered(spark, sf_dir)
+    steps = written(resample.forming(b.drop("n"), instruments(b), [4 * HOUR], HOUR), "steps")
+    trend = indicators.forming_ema(steps, resample.bars_of(steps).where("is_closed"), 20, out="trend").select(*KEY, F.col("step").alias("ts"), "trend")
     first = F.lag("ts", 2).over(Window.partitionBy(*KEY).orderBy("n"))
-    gaps = written(indicators.fair_value_gap(b.withColumn("first_ts", first)).select(*KEY, "n", "ts", "first_ts", "bullish", "bearish", "gap_top", "gap_bottom"), "gaps")
-    return b, signals.gap_setups(gaps, written(_swings(b), "swings"), HOUR, 0.5)
+    gaps = indicators.fair_value_gap(b.withColumn("first_ts", first)).select(*KEY, "n", "ts", "first_ts", "high", "low", "close", "bullish", "bearish", "gap_top", "gap_bottom")
+    swings = written(_swings(b), "swings")
+    s = signals.gap_setups(written(gaps.join(trend, [*KEY, "ts"]), "gaps"), swings, HOUR, 0.5)
+    return b, written(s.withColumn("setup_id", F.concat_ws(":", *KEY, F.col("n").cast("string"))), "setups"), swings
 
 
 @job("g4_gap_setups", o.sql(*GAP_SETUPS, final=f"SELECT source, ticker, ts, bullish, {_out('gap_top', 'gap_bottom', 'sl', 'tp', 'entry')} FROM setups"))
 def g4_gap_setups(spark, sf_dir):
-    """Gap setups with stop, target and limit price."""
+    """Gap setups in the trend's direction with stop, target and limit price, from swings known at the third bar."""
     s = _setups(spark, sf_dir)[1]
     return rounded(s.select(*KEY, "ts", "bullish", "gap_top", "gap_bottom", F.col("stop_loss").alias("sl"), F.col("take_profit").alias("tp"), "entry"))
 
 
-@job(
-    "g5_gap_orders",
-    o.sql(
-        *GAP_SETUPS,
-        """lf AS (SELECT s.source || ':' || s.ticker || ':' || s.n AS setup_id, b.ts, b.n, CASE WHEN bullish = 1 THEN b.low <= entry ELSE b.high >= entry END AS f, CASE WHEN bullish = 1 THEN b.low <= gap_top ELSE b.high >= gap_bottom END AS t,
- CASE WHEN bullish = 1 THEN b.high > tp ELSE b.low < tp END AS x FROM setups s JOIN nb b ON b.source = s.source AND b.ticker = s.ticker AND b.n BETWEEN s.n + 1 AND s.n + 48 WHERE entry IS NOT NULL)""",
-        "fs AS (SELECT setup_id, min(n) FILTER (WHERE f OR t OR x) AS hit_n FROM lf GROUP BY 1)",
-        final="SELECT fs.setup_id, CASE WHEN fs.hit_n IS NULL THEN 'resting' WHEN f THEN 'filled' WHEN t THEN 'tested' ELSE 'expired' END AS state, ts AS state_ts FROM fs LEFT JOIN lf ON lf.setup_id = fs.setup_id AND lf.n = fs.hit_n",
-    ),
-)
+def _orders_sql(renewals: int) -> str:
+    """Orders by bar numbers: one set of steps for the first order and each renewal."""
+    beyond = "(bullish = 1 AND s.fractal_up = 1 AND s.high > tp OR bullish = 0 AND s.fractal_down = 1 AND s.low < tp)"
+    test, ctes, ends = "CASE WHEN bullish = 1 THEN b.low <= gap_top ELSE b.high >= gap_bottom END", ["a0 AS (SELECT *, n AS after FROM setups)"], []
+    for k in range(renewals + 1):
+        ctes.append(f"""h{k} AS (SELECT a.setup_id, min(b.n) AS x FROM a{k} a JOIN nb b ON a.source = b.source AND a.ticker = b.ticker AND b.n > after AND NOT broken AND ({test} OR CASE WHEN bullish = 1 THEN b.high > tp ELSE b.low < tp END) GROUP BY 1),
+g{k} AS (SELECT a.*, CASE WHEN broken THEN after ELSE x END AS at_n, CASE WHEN broken THEN 'expired' WHEN x IS NULL THEN 'resting' WHEN CASE WHEN bullish = 1 THEN b.low <= entry ELSE b.high >= entry END THEN 'filled' WHEN {test} THEN 'tested' ELSE 'expired' END AS state
+ FROM a{k} a LEFT JOIN h{k} USING (setup_id) LEFT JOIN nb b ON b.source = a.source AND b.ticker = a.ticker AND b.n = x)""")
+        ends.append(f"SELECT setup_id, source, ticker, state, at_n, {k} AS renewals FROM g{k}" + (" WHERE state <> 'expired'" if k < renewals else ""))
+        if k < renewals:
+            ctes.append(f"""w{k} AS (SELECT g.* EXCLUDE (state), (SELECT min(b.n) FROM nb b WHERE b.source = g.source AND b.ticker = g.ticker AND b.n > g.at_n AND {test}) AS t,
+ (SELECT min(b.n) FROM nb b WHERE b.source = g.source AND b.ticker = g.ticker AND b.n > g.at_n) AS nx, (SELECT min(s.n) FROM sw s WHERE s.source = g.source AND s.ticker = g.ticker AND s.n > g.n + 1 AND {beyond}) AS c FROM g{k} g WHERE state = 'expired'),
+v{k} AS (SELECT *, CASE WHEN nx IS NOT NULL AND c IS NOT NULL THEN greatest(nx, c) END AS r FROM w{k}),
+u{k} AS (SELECT v.* EXCLUDE (tp), CASE WHEN bullish = 1 THEN (SELECT max(s.high) FROM sw s WHERE s.source = v.source AND s.ticker = v.ticker AND s.fractal_up = 1 AND s.n > v.n + 1 AND s.n <= v.r)
+ ELSE (SELECT min(s.low) FROM sw s WHERE s.source = v.source AND s.ticker = v.ticker AND s.fractal_down = 1 AND s.n > v.n + 1 AND s.n <= v.r) END AS tp FROM v{k} v WHERE r IS NOT NULL AND (t IS NULL OR t > r)),
+p{k} AS (SELECT * EXCLUDE (entry), (tp + 0.5::DOUBLE * sl) / 1.5::DOUBLE AS e FROM u{k}),
+q{k} AS (SELECT *, CASE WHEN bullish = 1 THEN CASE WHEN e > gap_top THEN gap_top WHEN e > gap_bottom THEN e END ELSE CASE WHEN e < gap_bottom THEN gap_top WHEN e < gap_top THEN e END END AS entry FROM p{k}),
+a{k + 1} AS (SELECT setup_id, source, ticker, n, ts, bullish, gap_top, gap_bottom, sl, tp, entry, false AS broken, r AS after FROM q{k} WHERE entry IS NOT NULL)""")
+            ends.append(f"SELECT setup_id, source, ticker, CASE WHEN t IS NULL THEN 'resting' ELSE 'tested' END, t, {k} FROM v{k} WHERE t IS NOT NULL AND (r IS NULL OR t <= r) OR t IS NULL AND r IS NULL")
+            ends.append(f"SELECT setup_id, source, ticker, 'expired', r, {k} FROM q{k} WHERE entry IS NULL")
+    ctes.append("every_end AS (" + " UNION ALL ".join(ends) + ")")
+    more = ", renewals" if renewals else ""
+    return o.sql(*GAP_SETUPS, *ctes, final=f"SELECT setup_id, state, b.ts AS state_ts{more} FROM every_end e LEFT JOIN nb b ON b.source = e.source AND b.ticker = e.ticker AND b.n = e.at_n")
+
+
+@job("g5_gap_orders", _orders_sql(0))
 def g5_gap_orders(spark, sf_dir):
-    """What becomes of each gap order within two days."""
-    b, s = _setups(spark, sf_dir)
-    s = s.withColumn("setup_id", F.concat_ws(":", *KEY, F.col("n").cast("string")))
-    return signals.gap_orders(s, b, 48, 0.5).drop("renewals")
+    """What becomes of each gap order, however late; without renewals."""
+    b, s, swings = _setups(spark, sf_dir)
+    return signals.gap_orders(s, b, swings, 0.5).drop("renewals")
 
 
-@job("g5_gap_orders_renewed")
+@job("g5_gap_orders_renewed", _orders_sql(2))
 def g5_gap_orders_renewed(spark, sf_dir):
-    """G5, J4 with up to two renewals of the target by confirmed swings, until an order is filled, tested or expired; tested against a plain fold."""
-    b, s = _setups(spark, sf_dir)
-    return signals.gap_orders(s.withColumn("setup_id", F.concat_ws(":", *KEY, F.col("n").cast("string"))), b, None, 0.5, max_renewals=2, swings=written(_swings(b), "swings"))
+    """G5, J4 with up to two renewals of the target by confirmed swings."""
+    b, s, swings = _setups(spark, sf_dir)
+    return signals.gap_orders(s, b, swings, 0.5, max_renewals=2)
 
 
-@job("g5_gap_orders_to_the_end")
-def g5_gap_orders_to_the_end(spark, sf_dir):
-    """What becomes of each gap order, however late; without renewals."""
-    b, s = _setups(spark, sf_dir)
-    return signals.gap_orders(s.withColumn("setup_id", F.concat_ws(":", *KEY, F.col("n").cast("string"))), b, None, 0.5).drop("renewals")
+job("g5_gap_orders_to_the_end", _orders_sql(0))(g5_gap_orders)
 
 
 GATE = """cn AS (SELECT trade_id, source, ticker, n AS signal_no, exit_no, exit_reason, row_number() OVER (PARTITION BY source, ticker ORDER BY n) AS i FROM ex),
@@ -1014,20 +1040,3 @@ def _drops(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strategy_drop_recovery(spark, sf_dir):
     """Drops while the market allows, closed at the open after 20 bars at the latest, and a rest of five bars after a stop."""
     return _stats(_walked(_drops(spark, sf_dir), max_hold=20, cooldown=5))
-
-
-@job("f8_moving_levels_to_the_end")
-def f8_moving_levels_to_the_end(spark, sf_dir):
-    """F8: stops moved to the entry price four bars after the signal, until a level is reached: one first touch per stretch of equal levels."""
-    b = _numbered(spark, sf_dir)
-    move = b.select(*KEY, (F.col("n") - 4).alias("n"), F.col("ts").alias("move_ts"))
-    t = _trades(b).join(move, [*KEY, "n"], "left").select("trade_id", *KEY, "side", "entry_time", "entry_price", "stop_loss", "take_profit", "move_ts")
-    part = lambda k, after, until, stop: F.struct(F.concat_ws("/", "trade_id", F.lit(k)).alias("part_id"), F.col(after).alias("w_after"), until.alias("w_until"), F.col(stop).alias("w_stop"))
-    parts = F.array(part("0", "entry_time", F.col("move_ts"), "stop_loss"), part("1", "move_ts", F.lit(None).cast("timestamp_ntz"), "entry_price"))
-    p = t.select("trade_id", *KEY, "side", "take_profit", F.explode(parts).alias("w_p")).select("trade_id", *KEY, "side", "take_profit", "w_p.*").where("w_after is not null")
-    long = F.col("side") == "buy"
-    sl = lambda low, high: F.when(long, F.col(low) <= F.col("w_stop")).otherwise(F.col(high) >= F.col("w_stop"))
-    either = sl("low", "high") | F.when(long, F.col("high") >= F.col("take_profit")).otherwise(F.col("low") <= F.col("take_profit"))
-    hit = joins.first_touch(p, b, list(KEY), "part_id", "w_after", "w_until", either, either, ["ts", "high", "low"])
-    x = p.join(hit, "part_id")
-    return x.groupBy("trade_id").agg(F.min("hit_ts").alias("exit_time"), F.min_by(F.when(sl("hit_low", "hit_high"), "stop_loss").otherwise("take_profit"), "hit_ts").alias("exit_reason"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickwork.functions.sessions import epoch
 from wickwork.operators import joins
 from wickwork.operators.series import with_running
 from wickwork.schema import KEY
@@ -113,22 +112,6 @@ def signal_closes(trades: DataFrame, bars: DataFrame, leave: Column | None = Non
     return out.withColumn("w_end", first).select(*trades.columns, F.col("w_end.next_ts").alias("close_ts"), F.col("w_end.next_open").alias("close_open"))
 
 
-def moving_levels(trades: DataFrame, changes: DataFrame, bars: DataFrame, by=KEY) -> DataFrame:
-    """Bars of each trade after its entry with the levels in force: the last change before the bar, null in a change leaves a level.
-
-    ``changes``: trade_id, ts, stop_loss, take_profit. One row per trade and bar of its life, which ends at ``until``: the days of a
-    life meet the bars of each day.
-    """
-    day = lambda c: F.floor(epoch(c) / 86400)
-    lives = trades.where("until > entry_time").withColumn("w_day", F.explode(F.sequence(day("entry_time"), day("until"))))
-    steps = lives.join(bars.withColumn("w_day", day("ts")), [*by, "w_day"]).where((F.col("ts") > F.col("entry_time")) & (F.col("ts") <= F.col("until"))).select("trade_id", "side", "ts", "open", "high", "low", "stop_loss", "take_profit")
-    rows = steps.select("trade_id", "ts", F.lit(1).alias("w_o"), F.struct("side", "open", "high", "low").alias("w_bar"), F.lit(None).cast("double").alias("sl"), F.lit(None).cast("double").alias("tp"), F.col("stop_loss").alias("sl0"), F.col("take_profit").alias("tp0"))
-    rows = rows.unionByName(changes.select("trade_id", "ts", F.lit(0).alias("w_o"), F.lit(None).cast(rows.schema["w_bar"].dataType).alias("w_bar"), F.col("stop_loss").alias("sl"), F.col("take_profit").alias("tp"), F.lit(None).cast("double").alias("sl0"), F.lit(None).cast("double").alias("tp0")))
-    w = Window.partitionBy("trade_id").orderBy("ts", "w_o").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("stop_loss", F.coalesce(F.last("sl", ignorenulls=True).over(w), "sl0")).withColumn("take_profit", F.coalesce(F.last("tp", ignorenulls=True).over(w), "tp0"))
-    return rows.where("w_bar is not null").select("trade_id", "ts", "w_bar.*", "stop_loss", "take_profit")
-
-
 # sizes ---------------------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wickwork.operators import joins
 from wickwork.schema import KEY
+from wickwork.sources.scratch import written
 
 
 def sma_cross(base: DataFrame, risk: float = 0.01) -> DataFrame:
@@ -47,20 +49,26 @@ def gap_entry(bullish: Column, sl: Column, tp: Column, top: Column, bottom: Colu
 
 
 def gap_setups(gaps: DataFrame, swings: DataFrame, secs: int, rr: float, by=KEY) -> DataFrame:
-    """Gap bars with stop (the last opposite swing before the first bar's end), target (the extreme swing inside the pattern) and entry.
+    """Setups of gap bars: stop (the last opposite swing at or before the first bar's end), target (the extreme swing inside the pattern) and entry.
 
-    ``gaps``: key, ts (third bar), first_ts, bullish/bearish, gap_top, gap_bottom. ``swings``: key, ts, confirmed_ts, fractal_up, fractal_down, high, low,
-    where confirmed ones only count.
+    ``gaps``: key, ts (third bar), first_ts, high, low and close of the third bar, trend (a forming average as of it), bullish/bearish, gap_top,
+    gap_bottom. ``swings``: key, ts, confirmed_ts, fractal_up, fractal_down, high, low; only those count that the third bar has seen confirmed:
+    the swings before it. No setup without stop, target or entry, or against the trend (null: not warm). ``broken``: the third bar itself passes the target.
     """
     g = gaps.where("bullish = 1 or bearish = 1").withColumn("c1_end", F.expr(f"timestampadd(SECOND, {secs}, first_ts)")).withColumn("c3_end", F.expr(f"timestampadd(SECOND, {secs}, ts)"))
-    lows, highs = swings.where("fractal_down = 1").select(*by, F.col("ts").alias("swing_ts"), F.col("low").alias("swing_low"), "confirmed_ts"), swings.where("fractal_up = 1").select(*by, F.col("ts").alias("swing_ts"), F.col("high").alias("swing_high"), "confirmed_ts")
-    g = joins.asof(g, lows, list(by), "c1_end", "swing_ts", ["swing_low"])
-    g = joins.asof(g, highs, list(by), "c1_end", "swing_ts", ["swing_high"])
-    g = joins.interval_extreme(g, highs, list(by), "first_ts", "c3_end", "swing_ts", F.col("swing_high"), "top_in", True)
-    g = joins.interval_extreme(g, lows, list(by), "first_ts", "c3_end", "swing_ts", F.col("swing_low"), "low_in", False)
+    lows, highs = swings.where("fractal_down = 1").select(*by, F.col("ts").alias("swing_ts"), F.col("low").alias("swing_low")), swings.where("fractal_up = 1").select(*by, F.col("ts").alias("swing_ts"), F.col("high").alias("swing_high"))
+    # a swing is confirmed by the bar behind it, so that one before the third bar is known there
+    g = g.withColumn("w_until", F.least("c1_end", F.expr("timestampadd(MICROSECOND, -1, ts)")))
+    g = joins.asof(g, lows, list(by), "w_until", "swing_ts", ["swing_low"])
+    g = joins.asof(g, highs, list(by), "w_until", "swing_ts", ["swing_high"])
+    g = joins.interval_extreme(g, highs, list(by), "first_ts", "ts", "swing_ts", F.col("swing_high"), "top_in", True)
+    g = joins.interval_extreme(g, lows, list(by), "first_ts", "ts", "swing_ts", F.col("swing_low"), "low_in", False)
     bull = F.col("bullish") == 1
     g = g.withColumn("stop_loss", F.when(bull, F.col("swing_low")).otherwise(F.col("swing_high"))).withColumn("take_profit", F.when(bull, F.col("top_in")).otherwise(F.col("low_in")))
-    return g.withColumn("entry", gap_entry(bull, F.col("stop_loss"), F.col("take_profit"), F.col("gap_top"), F.col("gap_bottom"), rr))
+    g = g.withColumn("entry", gap_entry(bull, F.col("stop_loss"), F.col("take_profit"), F.col("gap_top"), F.col("gap_bottom"), rr))
+    with_trend = F.when(bull, F.col("close") > F.col("trend")).otherwise(F.col("close") < F.col("trend"))
+    broken = F.when(bull, F.col("high") > F.col("take_profit")).otherwise(F.col("low") < F.col("take_profit"))
+    return g.where(F.col("entry").isNotNull() & with_trend).withColumn("broken", broken).drop("w_until", "high", "low", "close", "trend")
 
 
 def gate(candidates: DataFrame, cooldown: int = 0, by=KEY) -> DataFrame:
@@ -86,72 +94,56 @@ def gate(candidates: DataFrame, cooldown: int = 0, by=KEY) -> DataFrame:
     return candidates.groupBy(*by).applyInPandas(fold, candidates.schema)
 
 
-def gap_orders(setups: DataFrame, bars: DataFrame, horizon: int | None, rr: float, max_renewals: int = 0, by=KEY, swings: DataFrame | None = None) -> DataFrame:
-    """State of each gap order after up to ``horizon`` bars: ``filled``, ``tested``, ``expired`` (target passed) or ``resting``, with its bar.
+def gap_orders(setups: DataFrame, bars: DataFrame, swings: DataFrame, rr: float, max_renewals: int = 0, by=KEY) -> DataFrame:
+    """What becomes of each setup's order: ``filled``, ``tested``, ``expired`` (target passed) or ``resting``, with the bar's time; and its renewals.
 
-    On a bar a fill comes first, then a test of the gap, then the target's passing, which cancels the order or, up to
-    ``max_renewals`` times, waits for a new extreme beyond the old target and a new entry. A fold over each setup's bars.
-
-    Without ``horizon`` an order lives until one of these happens: no fill comes without a test, so its bars end with the first test
-    of the gap (found by a first-touch join), or with the series; each setup has a row. With ``swings`` (key, ts, confirmed_ts, fractal_up,
-    fractal_down, high, low) new extremes are swings at or after the setup's ``c3_end`` that the bar has seen confirmed, else those of all bars.
+    On a bar after the setup's a fill comes first, then a test of the gap, then the target's passing (on the setup's own bar: ``broken``). A
+    passed target ends the order or, up to ``max_renewals`` times, leaves it waiting for swings beyond the old target, at or after
+    ``c3_end`` and confirmed, whose extreme is the new target; a test ends the waiting. A fill implies a test, so an order's next event is the first
+    touch of gap or target, however late; each renewal takes first touches of its own. ``swings`` as for ``gap_setups``.
     """
-    b = bars.select(*by, "n", "ts", "open", "high", "low")
-    s = setups.where("entry is not null").select("setup_id", *by, "n", "bullish", "gap_top", "gap_bottom", "stop_loss", "take_profit", "entry")
-    confirmed = swings is not None
-    if confirmed:
-        up, down = F.max(F.when(F.col("fractal_up") == 1, F.col("high"))), F.max(F.when(F.col("fractal_down") == 1, F.col("low")))
-        b = b.join(swings.groupBy(*by, F.col("confirmed_ts").alias("ts")).agg(F.max("ts").alias("swing_ts"), up.alias("swing_high"), down.alias("swing_low")), [*by, "ts"], "left")
-        s = s.join(setups.select("setup_id", "c3_end"), "setup_id")
-    end = F.col("n") + F.lit(horizon)
-    ends = s
-    if horizon is None:
-        test = F.when(F.col("bullish") == 1, F.col("low") <= F.col("gap_top")).otherwise(F.col("high") >= F.col("gap_bottom"))
-        orders = setups.where("entry is not null").select("setup_id", *by, "bullish", "gap_top", "gap_bottom", F.col("ts").alias("w_after"))
-        hit = joins.first_touch(orders, bars, list(by), "setup_id", "w_after", None, test, test, ["ts", "n"]).select("setup_id", "hit_n")
-        ends = s.join(hit, "setup_id", "left").join(b.groupBy(*by).agg(F.max("n").alias("last_n")), list(by)).where("last_n > n")
-        end = F.coalesce("hit_n", "last_n")
-    near = ends.select(*by, "setup_id", F.explode(F.sequence(F.col("n") + 1, end)).alias("n")).join(b, [*by, "n"])
-    rows = near.join(s.drop("n", *by), "setup_id").drop(*by)
-
-    def fold(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("n")
-        f = x.iloc[0]
-        bull, tp, entry, sl, top, bottom = f.bullish == 1, f.take_profit, f.entry, f.stop_loss, f.gap_top, f.gap_bottom
-        state, at, renewed, waiting, seen = "resting", None, 0, False, []
-        for r in x.itertuples():
-            if not confirmed:
-                seen.append(r.high if bull else r.low)
-            elif r.swing_ts >= f.c3_end:
-                seen.append(r.swing_high if bull else r.swing_low)
-            if not waiting and ((r.low <= entry) if bull else (r.high >= entry)):
-                state, at = "filled", r.ts
-                break
-            if (r.low <= top) if bull else (r.high >= bottom):
-                state, at = "tested", r.ts
-                break
-            if waiting:
-                beyond = [v for v in seen if (v > tp if bull else v < tp)]
-                if beyond:
-                    tp = max(beyond) if bull else min(beyond)
-                    e = (tp + rr * sl) / (rr + 1)
-                    entry = (top if e > top else e if e > bottom else None) if bull else (top if e < bottom else e if e < top else None)
-                    if entry is None:
-                        state, at = "expired", r.ts
-                        break
-                    renewed, waiting = renewed + 1, False
-            elif (r.high > tp) if bull else (r.low < tp):
-                if renewed < max_renewals:
-                    waiting = True
-                else:
-                    state, at = "expired", r.ts
-                    break
-        return pd.DataFrame({"setup_id": [f.setup_id], "state": [state], "state_ts": pd.to_datetime(pd.Series([at])), "renewals": [renewed]})
-
-    out = rows.groupBy("setup_id").applyInPandas(fold, "setup_id string, state string, state_ts timestamp_ntz, renewals int")
-    if horizon is not None:
-        return out
-    return s.select("setup_id").join(out, "setup_id", "left").fillna({"state": "resting", "renewals": 0})
+    by, bull, never = list(by), F.col("bullish") == 1, F.lit(None).cast("timestamp_ntz")
+    tested = F.when(bull, F.col("low") <= F.col("gap_top")).otherwise(F.col("high") >= F.col("gap_bottom"))
+    passed = F.when(bull, F.col("high") > F.col("take_profit")).otherwise(F.col("low") < F.col("take_profit"))
+    fixed = ["setup_id", *by, "bullish", "gap_top", "gap_bottom", "stop_loss", "ts", "c3_end"]
+    up, down = F.when(F.col("fractal_up") == 1, F.col("high")), F.when(F.col("fractal_down") == 1, F.col("low"))
+    turns = swings.select(*by, "ts", "confirmed_ts", up.alias("high"), down.alias("low"), F.lit(None).cast("double").alias("open"), F.lit(None).cast("double").alias("close"))
+    bars = bars.select(*by, "ts", "open", "high", "low", "close")
+    active = setups.select(*fixed, "take_profit", "entry", F.col("ts").alias("w_after"), "broken")
+    ended: list[DataFrame] = []
+
+    def end(rows: DataFrame, state: Column, at: Column, renewals: int) -> None:
+        ended.append(rows.select("setup_id", state.alias("state"), at.alias("state_ts"), F.lit(renewals).alias("renewals")))
+
+    for renewals in range(max_renewals + 1):
+        hit = joins.first_touch(active.where("not broken").drop("ts"), bars, by, "setup_id", "w_after", None, tested | passed, tested | passed, ["ts", "high", "low"])
+        got = active.join(hit, "setup_id", "left")
+        filled = F.when(bull, F.col("hit_low") <= F.col("entry")).otherwise(F.col("hit_high") >= F.col("entry"))
+        test = F.when(bull, F.col("hit_low") <= F.col("gap_top")).otherwise(F.col("hit_high") >= F.col("gap_bottom"))
+        state = F.when(F.col("broken"), "expired").when(F.col("hit_ts").isNull(), "resting").when(filled, "filled").when(test, "tested").otherwise("expired")
+        got = written(got.withColumn("w_state", state).withColumn("w_at", F.when(F.col("broken"), F.col("w_after")).otherwise(F.col("hit_ts"))), "gap-orders")
+        last = renewals == max_renewals
+        end(got if last else got.where("w_state <> 'expired'"), F.col("w_state"), F.col("w_at"), renewals)
+        if last:
+            break
+        wait = got.where("w_state = 'expired'").select(*fixed, "take_profit", "w_at")
+        asked = wait.withColumnRenamed("ts", "w_third")
+        of = lambda table, after, touch, keep, name: joins.first_touch(asked, table, by, "setup_id", after, None, touch, touch, [keep]).withColumnRenamed(f"hit_{keep}", name)
+        wait = wait.join(of(bars, "w_at", tested, "ts", "tested_ts"), "setup_id", "left").join(of(bars, "w_at", F.lit(True), "ts", "next_ts"), "setup_id", "left")
+        wait = wait.join(of(turns, "w_third", passed, "confirmed_ts", "known_ts"), "setup_id", "left")
+        again = F.when(F.col("next_ts").isNotNull() & F.col("known_ts").isNotNull(), F.greatest("next_ts", "known_ts"))
+        wait = written(wait.withColumn("w_again", again), "gap-waits")
+        stays = F.col("tested_ts").isNotNull() & (F.col("w_again").isNull() | (F.col("tested_ts") <= F.col("w_again")))
+        end(wait.where(stays), F.lit("tested"), F.col("tested_ts"), renewals)
+        end(wait.where(~stays & F.col("w_again").isNull()), F.lit("resting"), never, renewals)
+        new = wait.where(~stays & F.col("w_again").isNotNull())
+        new = joins.interval_extreme(new, turns.where("high is not null"), by, "c3_end", "w_again", "ts", F.col("high"), "w_top", True, cell=8 * 86400)
+        new = joins.interval_extreme(new, turns.where("low is not null"), by, "c3_end", "w_again", "ts", F.col("low"), "w_low", False, cell=8 * 86400)
+        new = new.withColumn("take_profit", F.when(bull, F.col("w_top")).otherwise(F.col("w_low")))
+        new = written(new.withColumn("entry", gap_entry(bull, F.col("stop_loss"), F.col("take_profit"), F.col("gap_top"), F.col("gap_bottom"), rr)), "gap-renewals")
+        end(new.where("entry is null"), F.lit("expired"), F.col("w_again"), renewals)
+        active = new.where("entry is not null").select(*fixed, "take_profit", "entry", F.col("w_again").alias("w_after"), F.lit(False).alias("broken"))
+    return reduce(DataFrame.unionByName, ended)
 
 
 def scan(rows: DataFrame, step: Callable[[pd.DataFrame], pd.DataFrame], schema: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
