@@ -100,11 +100,11 @@ def test_recurrence_in_chunks(spark, monkeypatch, chunk):
     values = [rng.uniform(-5, 100) for _ in range(900)]
     df = spark.createDataFrame([("a", i + 1, v) for i, v in enumerate(values)], "k string, n long, v double")
     for period in (1, 2, 14, 200):
-        got = [r["e"] for r in recurrence.ema(df, "e", F.col("v"), "n", period, ("k",)).orderBy("n").collect()]
+        got = [r["e"] for r in recurrence.ema(df, {"e": F.col("v")}, "n", period, ("k",)).orderBy("n").collect()]
         k = 2 / (period + 1)
         want = plain_smooth(values, period, 1 - k, k)
         assert all((a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)) for a, b in zip(got, want, strict=True))
-        got = [r["e"] for r in recurrence.wilder(df, "e", F.col("v"), "n", period, ("k",)).orderBy("n").collect()]
+        got = [r["e"] for r in recurrence.wilder(df, {"e": F.col("v")}, "n", period, ("k",)).orderBy("n").collect()]
         want = plain_smooth(values, period, (period - 1) / period, 1 / period)
         assert all(a is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) for a, b in zip(got, want, strict=True))
 

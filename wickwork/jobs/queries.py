@@ -279,6 +279,102 @@ def i2_forming_averages(spark, sf_dir):
     return rounded(out.select(*KEY, "step", "bar_no", "sma", "ema"))
 
 
+#: The closed bars of each series and the bar of each step behind them, as lists: every value is computed anew over its whole history.
+HISTORY = (
+    o.bars(), o.steps([4 * HOUR], HOUR),
+    "cl AS (SELECT *, list(close) OVER w AS v, list(high) OVER w AS vh, list(low) OVER w AS vl FROM closed WINDOW w AS (PARTITION BY source, ticker, tf_seconds ORDER BY bar_no))",
+    """fs AS (SELECT s.source, s.ticker, s.step, s.bar_no, list_append(coalesce(c.v, []), s.close) AS v, list_append(coalesce(c.vh, []), s.high) AS vh, list_append(coalesce(c.vl, []), s.low) AS vl
+ FROM steps s LEFT JOIN cl c ON s.source = c.source AND s.ticker = c.ticker AND s.tf_seconds = c.tf_seconds AND s.bar_no = c.bar_no + 1)""",
+)
+RANGES = "[greatest(vh[i] - vl[i], abs(vh[i] - v[i - 1]), abs(vl[i] - v[i - 1])) for i in range(2, len(v) + 1)]"
+
+
+def _forming(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Four-hour bars as they stand at every hourly step, and the closed ones."""
+    steps = written(_steps(spark, sf_dir, [4 * HOUR]), "steps")
+    return steps, written(resample.bars_of(steps).where("is_closed"), "closed")
+
+
+def _step_lines(df: DataFrame, *names: str) -> DataFrame:
+    return rounded(df.select(*KEY, "step", *names))
+
+
+@job(
+    "i3_forming_rsi",
+    o.sql(
+        *HISTORY, "ch AS (SELECT *, [greatest(v[i] - v[i - 1], 0) for i in range(2, len(v) + 1)] AS up, [greatest(v[i - 1] - v[i], 0) for i in range(2, len(v) + 1)] AS dn FROM fs)",
+        f"h AS (SELECT *, CASE WHEN bar_no >= 15 THEN {o.wilder('up', 14)} END AS u, CASE WHEN bar_no >= 15 THEN {o.wilder('dn', 14)} END AS d FROM ch)",
+        final="SELECT source, ticker, step, round(CASE WHEN d = 0 THEN 100 ELSE 100 - 100 / (1 + u / d) END, 6) AS rsi FROM h",
+    ),
+)
+def i3_forming_rsi(spark, sf_dir):
+    """I3 in its forming form."""
+    return _step_lines(indicators.forming_rsi(*_forming(spark, sf_dir)), "rsi")
+
+
+@job("i4_forming_atr", o.sql(*HISTORY, f"r AS (SELECT *, {RANGES} AS l FROM fs)", final=f"SELECT source, ticker, step, CASE WHEN bar_no >= 15 THEN round({o.wilder('l', 14)}, 6) END AS atr FROM r"))
+def i4_forming_atr(spark, sf_dir):
+    """I4 in its forming form."""
+    return _step_lines(indicators.forming_atr(*_forming(spark, sf_dir)), "atr")
+
+
+@job(
+    "i5_forming_macd",
+    o.sql(
+        *HISTORY, f"mc AS (SELECT source, ticker, bar_no, CASE WHEN bar_no >= 26 THEN {o.ema('v', 12)} - {o.ema('v', 26)} END AS macd FROM cl)",
+        "ml AS (SELECT source, ticker, bar_no + 1 AS bar_no, list(macd) FILTER (WHERE macd IS NOT NULL) OVER (PARTITION BY source, ticker ORDER BY bar_no) AS l FROM mc)",
+        f"mf AS (SELECT *, CASE WHEN bar_no >= 26 THEN {o.ema('v', 12)} - {o.ema('v', 26)} END AS macd FROM fs)", "mj AS (SELECT mf.source, mf.ticker, step, mf.bar_no, macd, list_append(coalesce(l, []), macd) AS l FROM mf LEFT JOIN ml USING (source, ticker, bar_no))",
+        f"ms AS (SELECT *, CASE WHEN bar_no >= 34 THEN {o.ema('l', 9)} END AS signal FROM mj)",
+        final="SELECT source, ticker, step, round(macd, 6) AS macd, round(signal, 6) AS signal, round(macd - signal, 6) AS hist FROM ms",
+    ),
+)
+def i5_forming_macd(spark, sf_dir):
+    """I5 in its forming form."""
+    return _step_lines(indicators.forming_macd(*_forming(spark, sf_dir)), "macd", "signal", "hist")
+
+
+@job("i6_forming_bollinger", o.sql(*HISTORY, "b AS (SELECT *, CASE WHEN bar_no >= 20 THEN list_avg(v[-20:]) END AS m, CASE WHEN bar_no >= 20 THEN list_stddev_pop(v[-20:]) END AS s FROM fs)", final="SELECT source, ticker, step, round(m - 2 * s, 6) AS lower, round(m, 6) AS middle, round(m + 2 * s, 6) AS upper FROM b"))
+def i6_forming_bollinger(spark, sf_dir):
+    """I6 in its forming form."""
+    return _step_lines(indicators.forming_bollinger(*_forming(spark, sf_dir)), "lower", "middle", "upper")
+
+
+@job("i7_forming_fractals", o.sql(*HISTORY, final="SELECT source, ticker, step, CASE WHEN bar_no >= 3 THEN (vh[-3] < vh[-2] AND vh[-1] <= vh[-2])::INT::DOUBLE END AS fractal_up, CASE WHEN bar_no >= 3 THEN (vl[-3] > vl[-2] AND vl[-1] >= vl[-2])::INT::DOUBLE END AS fractal_down FROM fs"))
+def i7_forming_fractals(spark, sf_dir):
+    """I7 in its forming form."""
+    return _step_lines(indicators.forming_fractals(*_forming(spark, sf_dir)), "fractal_up", "fractal_down")
+
+
+@job(
+    "i8_forming_gaps",
+    o.sql(
+        *HISTORY, "g AS (SELECT *, bar_no >= 3 AS f, vh[-3] < vl[-1] AS bull, NOT vh[-3] < vl[-1] AND vl[-3] > vh[-1] AS bear FROM fs)",
+        final="SELECT source, ticker, step, CASE WHEN f THEN bull::INT::DOUBLE END AS bullish, CASE WHEN f THEN bear::INT::DOUBLE END AS bearish, CASE WHEN f AND bull THEN vl[-1] WHEN f AND bear THEN vl[-3] END AS gap_top, CASE WHEN f AND bull THEN vh[-3] WHEN f AND bear THEN vh[-1] END AS gap_bottom FROM g",
+    ),
+)
+def i8_forming_gaps(spark, sf_dir):
+    """I8 in its forming form."""
+    return _step_lines(indicators.forming_fair_value_gap(*_forming(spark, sf_dir)), "bullish", "bearish", "gap_top", "gap_bottom")
+
+
+@job(
+    "i9_forming_adx",
+    o.sql(
+        *HISTORY, "al AS (SELECT source, ticker, NULL::TIMESTAMP AS step, bar_no, v, vh, vl FROM cl UNION ALL SELECT source, ticker, step, bar_no, v, vh, vl FROM fs)",
+        f"""mv AS (SELECT *, {RANGES} AS a, [CASE WHEN vh[i] - vh[i - 1] > vl[i - 1] - vl[i] AND vh[i] > vh[i - 1] THEN vh[i] - vh[i - 1] ELSE 0 END for i in range(2, len(v) + 1)] AS b,
+ [CASE WHEN vl[i - 1] - vl[i] > vh[i] - vh[i - 1] AND vl[i - 1] > vl[i] THEN vl[i - 1] - vl[i] ELSE 0 END for i in range(2, len(v) + 1)] AS c FROM al)""",
+        f"sm AS (SELECT source, ticker, step, bar_no, {o.wilder('a', 14)} AS sa, {o.wilder('b', 14)} AS sb, {o.wilder('c', 14)} AS sc FROM mv WHERE bar_no >= 15)",
+        "di AS (SELECT *, CASE WHEN sa = 0 THEN 0 ELSE 100 * sb / sa END AS pdi, CASE WHEN sa = 0 THEN 0 ELSE 100 * sc / sa END AS mdi FROM sm)", "dx AS (SELECT *, (CASE WHEN pdi + mdi = 0 THEN 0 ELSE 100 * abs(pdi - mdi) / (pdi + mdi) END)::DOUBLE AS dx FROM di)",
+        "dl AS (SELECT source, ticker, bar_no + 1 AS bar_no, list(dx) OVER (PARTITION BY source, ticker ORDER BY bar_no) AS l FROM dx WHERE step IS NULL)",
+        "dj AS (SELECT dx.* EXCLUDE (dx), list_append(coalesce(l, []), dx) AS l FROM dx LEFT JOIN dl USING (source, ticker, bar_no) WHERE step IS NOT NULL)",
+        final=f"SELECT fs.source, fs.ticker, fs.step, CASE WHEN fs.bar_no >= 28 THEN round({o.wilder('l', 14)}, 6) END AS adx, CASE WHEN fs.bar_no >= 28 THEN round(pdi, 6) END AS plus_di, CASE WHEN fs.bar_no >= 28 THEN round(mdi, 6) END AS minus_di FROM fs LEFT JOIN dj USING (source, ticker, step)",
+    ),
+)
+def i9_forming_adx(spark, sf_dir):
+    """I9 in its forming form."""
+    return _step_lines(indicators.forming_adx(*_forming(spark, sf_dir)), "adx", "plus_di", "minus_di")
+
+
 # joins ------------------------------------------------------------------------------------------------
 
 REF = """ref AS (SELECT ts, close, row_number() OVER (ORDER BY ts) AS n, avg(close) OVER (ORDER BY ts ROWS 1 PRECEDING) AS sma FROM ref_bars)"""

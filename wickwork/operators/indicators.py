@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickwork.operators.recurrence import ema as _ema
@@ -31,16 +31,24 @@ def sma(bars: DataFrame, period: int, source: str = "close", by=SERIES, out: str
 
 
 def ema(bars: DataFrame, period: int, source: str = "close", by=SERIES, out: str = "ema") -> DataFrame:
-    return _ema(bars, out, F.col(source), "n", period, by)
+    return _ema(bars, {out: F.col(source)}, "n", period, by)
 
 
-def rsi(bars: DataFrame, period: int = 14, by=SERIES, out: str = "rsi") -> DataFrame:
+def _gains(bars: DataFrame, period: int, by) -> DataFrame:
+    """``w_up`` and ``w_dn``, the gain and loss of each bar, and their averages ``w_gain`` and ``w_loss``."""
     change = F.col("close") - F.lag("close").over(_series(by))
     b = bars.withColumn("w_ch", change).withColumn("w_n1", F.when(F.col("n") > 1, F.col("n") - 1))
-    b = _wilder(b, "w_gain", F.greatest("w_ch", F.lit(0.0)), "w_n1", period, by)
-    b = _wilder(b, "w_loss", F.greatest(-F.col("w_ch"), F.lit(0.0)), "w_n1", period, by)
-    value = F.when(F.col("w_loss") == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + F.col("w_gain") / F.col("w_loss")))
-    return b.withColumn(out, F.when(F.col("w_loss").isNotNull(), value)).drop("w_ch", "w_n1", "w_gain", "w_loss")
+    b = b.withColumns({"w_up": F.greatest("w_ch", F.lit(0.0)), "w_dn": F.greatest(-F.col("w_ch"), F.lit(0.0))})
+    return _wilder(b, {"w_gain": F.col("w_up"), "w_loss": F.col("w_dn")}, "w_n1", period, by)
+
+
+def _strength(gain: Column, loss: Column) -> Column:
+    return F.when(loss == 0, F.lit(100.0)).when(loss.isNotNull(), 100 - 100 / (1 + gain / loss))
+
+
+def rsi(bars: DataFrame, period: int = 14, by=SERIES, out: str = "rsi") -> DataFrame:
+    b = _gains(bars, period, by)
+    return b.withColumn(out, _strength(F.col("w_gain"), F.col("w_loss"))).drop("w_ch", "w_n1", "w_up", "w_dn", "w_gain", "w_loss")
 
 
 def true_range(bars: DataFrame, by=SERIES, out: str = "true_range") -> DataFrame:
@@ -51,15 +59,15 @@ def true_range(bars: DataFrame, by=SERIES, out: str = "true_range") -> DataFrame
 
 def atr(bars: DataFrame, period: int = 14, by=SERIES, out: str = "atr") -> DataFrame:
     b = true_range(bars, by, "w_tr").withColumn("w_n1", F.when(F.col("n") > 1, F.col("n") - 1))
-    return _wilder(b, out, F.col("w_tr"), "w_n1", period, by).drop("w_tr", "w_n1")
+    return _wilder(b, {out: F.col("w_tr")}, "w_n1", period, by).drop("w_tr", "w_n1")
 
 
-def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, by=SERIES) -> DataFrame:
-    """``macd``, ``signal`` (seeded over the first macd values) and ``hist``."""
-    b = _ema(_ema(bars, "w_fast", F.col("close"), "n", fast, by), "w_slow", F.col("close"), "n", slow, by)
+def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, by=SERIES, keep: bool = False) -> DataFrame:
+    """``macd``, ``signal`` (seeded over the first macd values) and ``hist``; with ``keep`` the averages ``w_fast`` and ``w_slow`` stay."""
+    b = _ema(_ema(bars, {"w_fast": F.col("close")}, "n", fast, by), {"w_slow": F.col("close")}, "n", slow, by)
     b = b.withColumn("macd", F.col("w_fast") - F.col("w_slow")).withColumn("w_m", F.when(F.col("n") >= slow, F.col("n") - slow + 1))
-    b = _ema(b, "signal", F.col("macd"), "w_m", signal, by)
-    return b.withColumn("hist", F.col("macd") - F.col("signal")).drop("w_fast", "w_slow", "w_m")
+    b = _ema(b, {"signal": F.col("macd")}, "w_m", signal, by)
+    return b.withColumn("hist", F.col("macd") - F.col("signal")).drop(*([] if keep else ["w_fast", "w_slow"]), "w_m")
 
 
 def bollinger(bars: DataFrame, period: int = 20, width: float = 2.0, by=SERIES) -> DataFrame:
@@ -93,23 +101,35 @@ def fair_value_gap(bars: DataFrame, by=SERIES) -> DataFrame:
     )
 
 
-def adx(bars: DataFrame, period: int = 14, by=SERIES) -> DataFrame:
-    """``adx``, ``plus_di`` and ``minus_di``; the directional lines from ``2 * period`` bars on, like ``adx``."""
+def _moves(up: Column, down: Column) -> dict[str, Column]:
+    """Directional movements from the rise of the high and the fall of the low."""
+    return {"w_pdm": F.when((up > down) & (up > 0), up).otherwise(F.lit(0.0)), "w_mdm": F.when((down > up) & (down > 0), down).otherwise(F.lit(0.0))}
+
+
+def _directions(tr: Column, plus: Column, minus: Column) -> tuple[Column, Column, Column]:
+    """Directional lines and their difference in percent of their sum."""
+    di = lambda c: F.when(tr == 0, F.lit(0.0)).otherwise(100 * c / tr)
+    total = di(plus) + di(minus)
+    return di(plus), di(minus), F.when(total == 0, F.lit(0.0)).otherwise(100 * F.abs(di(plus) - di(minus)) / total)
+
+
+def _directed(bars: DataFrame, period: int, by) -> DataFrame:
+    """``w_tr``, ``w_pdm``, ``w_mdm`` and their averages ``w_str``, ``w_spdm``, ``w_smdm``; ``w_dx`` and its average ``adx``."""
     w = _series(by)
     up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
-    b = true_range(bars, by, "w_tr").withColumn("w_n1", F.when(F.col("n") > 1, F.col("n") - 1)).withColumn("w_up", up).withColumn("w_down", down)
-    b = b.withColumn("w_pdm", F.when((F.col("w_up") > F.col("w_down")) & (F.col("w_up") > 0), F.col("w_up")).otherwise(F.lit(0.0)))
-    b = b.withColumn("w_mdm", F.when((F.col("w_down") > F.col("w_up")) & (F.col("w_down") > 0), F.col("w_down")).otherwise(F.lit(0.0)))
-    for line in ("tr", "pdm", "mdm"):
-        b = _wilder(b, f"w_s{line}", F.col(f"w_{line}"), "w_n1", period, by)
-    di = lambda c: F.when(F.col("w_str") == 0, F.lit(0.0)).otherwise(100 * F.col(c) / F.col("w_str"))
-    b = b.withColumn("plus_di", di("w_spdm")).withColumn("minus_di", di("w_smdm"))
-    total = F.col("plus_di") + F.col("minus_di")
-    b = b.withColumn("w_dx", F.when(total == 0, F.lit(0.0)).otherwise(100 * F.abs(F.col("plus_di") - F.col("minus_di")) / total))
-    b = _wilder(b.withColumn("w_n2", F.when(F.col("n") > period, F.col("n") - period)), "adx", F.col("w_dx"), "w_n2", period, by)
-    warm = F.col("n") >= 2 * period
-    b = b.withColumn("plus_di", F.when(warm, F.col("plus_di"))).withColumn("minus_di", F.when(warm, F.col("minus_di"))).withColumn("adx", F.when(warm, F.least("adx", F.lit(100.0))))
-    return b.drop("w_tr", "w_n1", "w_n2", "w_up", "w_down", "w_pdm", "w_mdm", "w_str", "w_spdm", "w_smdm", "w_dx")
+    b = true_range(bars, by, "w_tr").withColumn("w_n1", F.when(F.col("n") > 1, F.col("n") - 1)).withColumn("w_u", up).withColumn("w_d", down)
+    b = b.withColumns(_moves(F.col("w_u"), F.col("w_d")))
+    b = _wilder(b, {f"w_s{line}": F.col(f"w_{line}") for line in ("tr", "pdm", "mdm")}, "w_n1", period, by)
+    plus, minus, dx = _directions(F.col("w_str"), F.col("w_spdm"), F.col("w_smdm"))
+    b = b.withColumns({"plus_di": plus, "minus_di": minus, "w_dx": dx, "w_n2": F.when(F.col("n") > period, F.col("n") - period)})
+    return _wilder(b, {"adx": F.col("w_dx")}, "w_n2", period, by).drop("w_n1", "w_n2", "w_u", "w_d")
+
+
+def adx(bars: DataFrame, period: int = 14, by=SERIES) -> DataFrame:
+    """``adx``, ``plus_di`` and ``minus_di``; the directional lines from ``2 * period`` bars on, like ``adx``."""
+    b, warm = _directed(bars, period, by), F.col("n") >= 2 * period
+    b = b.withColumns({"plus_di": F.when(warm, F.col("plus_di")), "minus_di": F.when(warm, F.col("minus_di")), "adx": F.when(warm, F.least("adx", F.lit(100.0)))})
+    return b.drop("w_tr", "w_pdm", "w_mdm", "w_str", "w_spdm", "w_smdm", "w_dx")
 
 
 def from_function(bars: DataFrame, fn: Callable[[pd.DataFrame], pd.Series | pd.DataFrame], outputs: list[str], lookback: int, by=SERIES) -> DataFrame:
@@ -144,3 +164,112 @@ def forming_ema(steps: DataFrame, closed: DataFrame, period: int, source: str =
     got = steps.join(state, [*by, "bar_no"], "left")
     seed = (F.coalesce("w_sum", F.lit(0.0)) + F.col(source)) / period
     return got.withColumn(out, F.when(F.col("bar_no") == period, seed).when(F.col("bar_no") > period, F.col(source) * k + F.col("w_ema") * (1 - k))).drop("w_sum", "w_ema")
+
+
+# forming forms: the bar of each base step after the closed bars before it ---------------------------------------
+
+
+def _seen(steps: DataFrame, closed: DataFrame, columns: dict[str, Column], by) -> DataFrame:
+    """``steps`` with columns (over ``closed``, numbered by ``n``) of the closed bar before theirs."""
+    return steps.join(closed.select(*by, (F.col("n") + 1).alias("bar_no"), *[c.alias(n) for n, c in columns.items()]), [*by, "bar_no"], "left")
+
+
+def _numbered_closed(closed: DataFrame) -> DataFrame:
+    return closed.withColumn("n", F.col("bar_no"))
+
+
+def _last(by, rows: int):
+    return _series(by).rowsBetween(1 - rows, 0)
+
+
+def _stepped(no: Column, period: int, x: Column, before: Column, total: Column, keep: float, weight: float) -> Column:
+    """One step of a smoothing: its seed (from the sum of the ``period - 1`` values before) at number ``period``, later from the value before."""
+    return F.when(no == period, (F.coalesce(total, F.lit(0.0)) + x) / period).when(no > period, before * keep + x * weight)
+
+
+def _sum_of(line: str, rows: int, by) -> Column:
+    return F.sum(line).over(_last(by, rows)) if rows else F.lit(0.0)
+
+
+def forming_rsi(steps: DataFrame, closed: DataFrame, period: int = 14, by=SERIES, out: str = "rsi") -> DataFrame:
+    """RSI as seen at each base step."""
+    c = _gains(_numbered_closed(closed), period, by)
+    got = _seen(steps, c, {"w_pc": F.col("close"), "w_g": F.col("w_gain"), "w_l": F.col("w_loss"), "w_gs": _sum_of("w_up", period - 1, by), "w_ls": _sum_of("w_dn", period - 1, by)}, by)
+    no, change = F.col("bar_no") - 1, F.col("close") - F.col("w_pc")
+    step = lambda x, before, total: _stepped(no, period, x, F.col(before), F.col(total), (period - 1) / period, 1 / period)
+    gain, loss = step(F.greatest(change, F.lit(0.0)), "w_g", "w_gs"), step(F.greatest(-change, F.lit(0.0)), "w_l", "w_ls")
+    return got.withColumn(out, _strength(gain, loss)).drop("w_pc", "w_g", "w_l", "w_gs", "w_ls")
+
+
+def _range(pc: str) -> Column:
+    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col(pc)), F.abs(F.col("low") - F.col(pc)))
+
+
+def forming_atr(steps: DataFrame, closed: DataFrame, period: int = 14, by=SERIES, out: str = "atr") -> DataFrame:
+    """ATR as seen at each base step."""
+    c = atr(true_range(_numbered_closed(closed), by, "w_r"), period, by, "w_a")
+    got = _seen(steps, c, {"w_pc": F.col("close"), "w_b": F.col("w_a"), "w_s": _sum_of("w_r", period - 1, by)}, by)
+    value = _stepped(F.col("bar_no") - 1, period, _range("w_pc"), F.col("w_b"), F.col("w_s"), (period - 1) / period, 1 / period)
+    return got.withColumn(out, value).drop("w_pc", "w_b", "w_s")
+
+
+def forming_macd(steps: DataFrame, closed: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, by=SERIES) -> DataFrame:
+    """``macd``, ``signal`` and ``hist`` as seen at each base step."""
+    c = macd(_numbered_closed(closed), fast, slow, signal, by, keep=True)
+    sums = {"w_fs": _sum_of("close", fast - 1, by), "w_ss": _sum_of("close", slow - 1, by), "w_ms": _sum_of("macd", signal - 1, by)}
+    got = _seen(steps, c, {"w_f": F.col("w_fast"), "w_s": F.col("w_slow"), "w_g": F.col("signal"), **sums}, by)
+    step = lambda no, p, x, before, total: _stepped(no, p, x, F.col(before), F.col(total), 1 - 2.0 / (p + 1), 2.0 / (p + 1))
+    no, close = F.col("bar_no"), F.col("close")
+    got = got.withColumn("macd", F.when(no >= slow, step(no, fast, close, "w_f", "w_fs") - step(no, slow, close, "w_s", "w_ss")))
+    got = got.withColumn("signal", step(no - slow + 1, signal, F.col("macd"), "w_g", "w_ms"))
+    return got.withColumn("hist", F.col("macd") - F.col("signal")).drop("w_f", "w_s", "w_g", *sums)
+
+
+def forming_bollinger(steps: DataFrame, closed: DataFrame, period: int = 20, width: float = 2.0, by=SERIES) -> DataFrame:
+    """``lower``, ``middle`` and ``upper`` as seen at each base step."""
+    before = F.collect_list("close").over(_last(by, period - 1)) if period > 1 else F.array().cast("array<double>")
+    got = _seen(steps, _numbered_closed(closed), {"w_v": before}, by)
+    got = got.withColumn("w_v", F.when(F.col("bar_no") >= period, F.concat(F.coalesce("w_v", F.array().cast("array<double>")), F.array("close"))))
+    got = got.withColumn("middle", F.aggregate("w_v", F.lit(0.0), lambda s, v: s + v) / period)
+    got = got.withColumn("w_sd", F.sqrt(F.aggregate(F.transform("w_v", lambda v: (v - F.col("middle")) * (v - F.col("middle"))), F.lit(0.0), lambda s, v: s + v) / period))
+    return got.withColumn("upper", F.col("middle") + width * F.col("w_sd")).withColumn("lower", F.col("middle") - width * F.col("w_sd")).drop("w_v", "w_sd")
+
+
+def _two_before(steps: DataFrame, closed: DataFrame, by) -> DataFrame:
+    w = _series(by)
+    return _seen(steps, _numbered_closed(closed), {"w_h1": F.col("high"), "w_l1": F.col("low"), "w_h2": F.lag("high").over(w), "w_l2": F.lag("low").over(w)}, by)
+
+
+def forming_fractals(steps: DataFrame, closed: DataFrame, by=SERIES) -> DataFrame:
+    """``fractal_up`` and ``fractal_down`` of the closed bar before the one of each base step."""
+    got = _two_before(steps, closed, by)
+    flag = lambda c: F.when(F.col("bar_no") >= 3, c.cast("double"))
+    up, down = (F.col("w_h2") < F.col("w_h1")) & (F.col("high") <= F.col("w_h1")), (F.col("w_l2") > F.col("w_l1")) & (F.col("low") >= F.col("w_l1"))
+    return got.withColumns({"fractal_up": flag(up), "fractal_down": flag(down)}).drop("w_h1", "w_l1", "w_h2", "w_l2")
+
+
+def forming_fair_value_gap(steps: DataFrame, closed: DataFrame, by=SERIES) -> DataFrame:
+    """``bullish``, ``bearish``, ``gap_top`` and ``gap_bottom`` of the bar of each base step and the two closed ones before."""
+    got, full = _two_before(steps, closed, by), F.col("bar_no") >= 3
+    bull = full & (F.col("w_h2") < F.col("low"))
+    bear = full & ~bull & (F.col("w_l2") > F.col("high"))
+    top, bottom = F.when(bull, F.col("low")).when(bear, F.col("w_l2")), F.when(bull, F.col("w_h2")).when(bear, F.col("high"))
+    return got.withColumns({"bullish": F.when(full, bull.cast("double")), "bearish": F.when(full, bear.cast("double")), "gap_top": top, "gap_bottom": bottom}).drop("w_h1", "w_l1", "w_h2", "w_l2")
+
+
+def forming_adx(steps: DataFrame, closed: DataFrame, period: int = 14, by=SERIES) -> DataFrame:
+    """``adx``, ``plus_di`` and ``minus_di`` as seen at each base step."""
+    c = _directed(_numbered_closed(closed), period, by)
+    lines = {"tr": "w_str", "pdm": "w_spdm", "mdm": "w_smdm"}
+    columns = {"w_ph": F.col("high"), "w_pl": F.col("low"), "w_pc": F.col("close"), "w_pa": F.col("adx"), "w_ds": _sum_of("w_dx", period - 1, by)}
+    columns |= {f"w_p{x}": F.col(s) for x, s in lines.items()} | {f"w_t{x}": _sum_of(f"w_{x}", period - 1, by) for x in lines}
+    got, no = _seen(steps, c, columns, by), F.col("bar_no")
+    moves = _moves(F.col("high") - F.col("w_ph"), F.col("w_pl") - F.col("low"))
+    now = {"tr": _range("w_pc"), "pdm": moves["w_pdm"], "mdm": moves["w_mdm"]}
+    step = lambda n, x, before, total: _stepped(n, period, x, F.col(before), F.col(total), (period - 1) / period, 1 / period)
+    got = got.withColumns({f"w_n{x}": step(no - 1, v, f"w_p{x}", f"w_t{x}") for x, v in now.items()})
+    plus, minus, dx = _directions(F.col("w_ntr"), F.col("w_npdm"), F.col("w_nmdm"))
+    warm = no >= 2 * period
+    got = got.withColumn("w_dx", dx)
+    out = {"plus_di": F.when(warm, plus), "minus_di": F.when(warm, minus), "adx": F.when(warm, F.least(step(no - period, F.col("w_dx"), "w_pa", "w_ds"), F.lit(100.0)))}
+    return got.withColumns(out).drop("w_dx", *columns, *[f"w_n{x}" for x in lines])
