@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickwork.llm.common import held_out, sliced
+from wickwork.llm.common import HOT_PARTS, held_out, sliced, written
 
 WINDOW, PER_LANGUAGE, SAMPLE = 2048, 400, 8000
 #: Times the sample that is looked at per language.
@@ -155,6 +155,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = rows.select(hashed.alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     # a share of each language's rows by hash, about OVER times what is needed, and its row of smallest hash: no task gathers a whole language
     shares = rows.groupBy("l").agg(F.count(F.lit(1)).alias("c"), F.min("h").alias("low")).withColumnRenamed("l", "w_l")
+    shares = written(shares, "languages")
+    shares = F.broadcast(shares) if shares.count() <= HOT_PARTS else shares  # one row per language
     some = F.least(F.lit(1.0), F.lit(float(OVER * PER_LANGUAGE)) / F.col("c")) * float(1 << 40)
     rows = rows.join(shares, F.col("l") == F.col("w_l")).where((F.col("h") <= some) | (F.col("h") == F.col("low")))
     letters_only = F.trim(F.regexp_replace("t", "[^\\p{L}]+", " "))
