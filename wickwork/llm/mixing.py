@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wickwork.llm.common import before_each, hot_join, numbered_equals, written
+from wickwork.llm.common import HOT_PARTS, before_each, hot_join, numbered_equals, written
 
 #: Rows of a block, blocks whose rest meets at the next level, most sources that are broadcast.
 BLOCK = 2048
@@ -148,9 +148,17 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     fate = written(mix(docs, id_col, text_col, source_col, **how).groupBy("w_key").agg(F.sum("copies").alias("w_sum"), F.count(F.lit(1)).alias("w_same")).where("w_sum > 0"), "mix-fate")
     rows = docs.select(F.struct("*").alias("w_row"), F.xxhash64(id_col, text_col, source_col).alias("w_key"))
     several = fate.where("w_same > 1")
-    one = rows.join(fate.where("w_same = 1"), "w_key").select("w_row", F.col("w_sum").alias("w_copies"))
-    # equal rows share their copies; few rows, or few texts many times over
-    many = rows.join(several.select("w_key"), "w_key", "left_semi")
+    n_several = several.count()
+    one = rows.join(fate.where("w_same = 1") if n_several else fate, "w_key").select("w_row", F.col("w_sum").alias("w_copies"))
+    if not n_several:
+        return _copied(one)
+    # equal rows share their copies: few rows, or few texts many times over
+    keys = several.select("w_key")
+    many = rows.join(F.broadcast(keys) if n_several <= HOT_PARTS else keys, "w_key", "left_semi")
     many = hot_join(numbered_equals(many, "w_key", "mix-equals"), several, ["w_key"])
     many = many.select("w_row", (F.floor(F.col("w_sum") / F.col("w_same")) + (F.col("w_no") <= F.col("w_sum") % F.col("w_same")).cast("long")).alias("w_copies"))
-    return one.unionByName(many).withColumn("w_copy", F.explode(F.array_repeat(F.lit(1), F.col("w_copies").cast("int")))).select("w_row.*")
+    return _copied(one.unionByName(many))
+
+
+def _copied(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("w_copy", F.explode(F.array_repeat(F.lit(1), F.col("w_copies").cast("int")))).select("w_row.*")
