@@ -626,10 +626,12 @@ eq0 AS (SELECT b.source, b.ticker, b.ts, b.close, sum(m.dc) AS dc, sum(m.da) AS
 eq AS (SELECT source, ticker, ts, round(1000000 + coalesce(sum(dc) OVER w, 0) + close * coalesce(sum(da) OVER w, 0) - coalesce(sum(db) OVER w, 0), 4) AS equity, coalesce(sum(dp) OVER w, 0) AS position FROM eq0 WINDOW w AS (PARTITION BY source, ticker ORDER BY ts ROWS UNBOUNDED PRECEDING))"""
 
 
-def _equity(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _equity(spark: SparkSession, sf_dir: str, shared: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Curves that start with 1,000,000 each, or with equal shares of it, and the trades."""
     bars, t = _blotter(spark, sf_dir)
+    cash = 1_000_000.0 / max(1, bars.select(*KEY).distinct().count()) if shared else 1_000_000.0
     # to a hundredth of a cent: the order of a sum's terms must not make returns of 1e-16
-    return written(rounded(fills.equity_curve(t, bars, 1_000_000.0), 4), "equity"), t
+    return written(rounded(fills.equity_curve(t, bars, cash), 4), "equity"), t
 
 
 @job("f19_equity", o.sql(*BLOTTER, EQUITY, final="SELECT source, ticker, ts, round(equity, 4) AS equity, round(position, 4) AS position FROM eq"))
@@ -684,19 +686,48 @@ def u2_universe_totals(spark, sf_dir):
     return rounded(metrics.universe_totals(m))
 
 
+ENTERED = (
+    "fe AS (SELECT source, ticker, arg_min(equity, ts) AS e0 FROM eq GROUP BY 1, 2)",
+    "en AS (SELECT b.source, b.ticker, b.n, b.exit_time, b.net_pnl, coalesce(e.equity, fe.e0) AS base FROM (SELECT * FROM blotter WHERE exit_time IS NOT NULL) b ASOF LEFT JOIN eq e ON b.source = e.source AND b.ticker = e.ticker AND b.entry_time >= e.ts JOIN fe ON fe.source = b.source AND fe.ticker = b.ticker)",
+)
+
+
+def _closed(t: DataFrame) -> DataFrame:
+    return t.where("exit_time is not null").select(*KEY, "entry_time", "exit_time", "net_pnl", F.col("n").alias("seq"))
+
+
 @job(
     "u3_combined_curve",
     o.sql(
-        *BLOTTER, EQUITY, "fe AS (SELECT source, ticker, arg_min(equity, ts) AS e0 FROM eq GROUP BY 1, 2)",
-        "en AS (SELECT b.source, b.ticker, b.n, b.exit_time, b.net_pnl, coalesce(e.equity, fe.e0) AS base FROM (SELECT * FROM blotter WHERE exit_time IS NOT NULL) b ASOF LEFT JOIN eq e ON b.source = e.source AND b.ticker = e.ticker AND b.entry_time >= e.ts JOIN fe ON fe.source = b.source AND fe.ticker = b.ticker)",
+        *BLOTTER, EQUITY, *ENTERED,
         final="SELECT exit_time AS ts, source, ticker, n AS seq, round((SELECT sum(e0) FROM fe) * product(1 + net_pnl / base) OVER (ORDER BY exit_time, source, ticker, n ROWS UNBOUNDED PRECEDING), 2) AS equity FROM en WHERE base > 0",
     ),
 )
 def u3_combined_curve(spark, sf_dir):
-    """The compounding curve of all sleeves from their closed trades."""
+    """The compounding curve of all sleeves from their closed trades."""
     eq, t = _equity(spark, sf_dir)
-    closed = t.where("exit_time is not null").select(*KEY, "entry_time", "exit_time", "net_pnl", F.col("n").alias("seq"))
-    return rounded(metrics.combined_curve(closed, eq, list(KEY)), 2)
+    return rounded(metrics.combined_curve(_closed(t), eq, list(KEY)), 2)
+
+
+@job(
+    "u4_combined_result",
+    o.sql(
+        *BLOTTER, EQUITY.replace("1000000 +", "1000000::DOUBLE / (SELECT count(*) FROM (SELECT DISTINCT source, ticker FROM bars)) +"), *ENTERED,
+        """cc AS (SELECT 0 AS rk, min(ts) AS ts, NULL AS source, NULL AS ticker, NULL AS n, round((SELECT sum(e0) FROM fe), 4) AS equity FROM eq
+ UNION ALL SELECT 1, exit_time, source, ticker, n, round((SELECT sum(e0) FROM fe) * product(1 + net_pnl / base) OVER (ORDER BY exit_time, source, ticker, n ROWS UNBOUNDED PRECEDING), 4) FROM en WHERE base > 0)""",
+        """c0 AS (SELECT *, lag(equity) OVER k AS prev, epoch_us(ts) // 1000000 - lag(epoch_us(ts) // 1000000) OVER k AS st, max(equity) OVER (k ROWS UNBOUNDED PRECEDING) AS peak, row_number() OVER k AS i FROM cc WINDOW k AS (ORDER BY ts, rk, source, ticker, n)),
+c1 AS (SELECT *, CASE WHEN prev > 0 THEN equity / prev - 1 END AS ret, CASE WHEN peak > 0 THEN equity / peak - 1 ELSE 0 END AS dd FROM c0),
+c2 AS (SELECT arg_min(equity, i) AS e0, arg_max(equity, i) AS e1, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 / 86400 AS days, avg(ret) AS mu, stddev_pop(ret) AS sd, sqrt(avg(ret * ret) FILTER (WHERE ret < 0)) AS dn, min(dd) AS mdd, list_sort(list(st) FILTER (WHERE st > 0)) AS sl FROM c1),
+ps AS (SELECT count(*) AS num_trades, avg((net_pnl > 0)::INT) AS win_rate, coalesce(sum(net_pnl) FILTER (WHERE net_pnl > 0), 0) / -sum(net_pnl) FILTER (WHERE net_pnl < 0) AS profit_factor, sum(net_pnl) AS net_pnl FROM blotter WHERE exit_time IS NOT NULL)""",
+        final="""SELECT round(e1 / e0 - 1, 6) + 0.0 AS total_return, CASE WHEN days >= 1 AND e1 > 0 THEN round(pow(e1 / e0, 365.25 / days) - 1, 6) + 0.0 END AS cagr, round(mu / sd * sqrt(31557600 / sl[len(sl) // 2 + 1]), 6) + 0.0 AS sharpe,
+ round(mu / dn * sqrt(31557600 / sl[len(sl) // 2 + 1]), 6) + 0.0 AS sortino, round(least(mdd, 0), 6) + 0.0 AS max_drawdown, num_trades, round(win_rate, 6) AS win_rate, round(profit_factor, 6) AS profit_factor, round(net_pnl, 2) + 0.0 AS net_pnl FROM c2, ps""",
+    ),
+)
+def u4_combined_result(spark, sf_dir):
+    """Metrics of the combined curve, whose sleeves start with equal shares of the cash, and statistics of all trades pooled."""
+    eq, t = _equity(spark, sf_dir, shared=True)
+    r = rounded(metrics.combined_result(_closed(t), eq, list(KEY)))
+    return r.withColumn("net_pnl", F.round("net_pnl", 2) + F.lit(0.0))
 
 
 # signals ------------------------------------------------------------------------------------------------
@@ -886,6 +917,27 @@ def u7_strategy_scan(spark, sf_dir):
     return rounded(good.withColumn("error", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True))
 
 
+@job(
+    "u2_universe_errors",
+    o.sql(
+        o.bars(symbol="user_id"), o.NUMBERED,
+        "hr AS (SELECT source, ticker, min(low) > 0.5 AS ok, arg_max(close, ts) / arg_min(close, ts) - 1 AS total_return, count(*) > 1 AS several FROM nb GROUP BY 1, 2)",
+        final="SELECT count(*) FILTER (WHERE ok) AS symbols, round(avg(total_return) FILTER (WHERE ok AND several), 6) AS mean_return, round(avg((total_return > 0)::INT) FILTER (WHERE ok AND several), 6) AS profitable, count(*) FILTER (WHERE ok AND several) AS trades, count(*) FILTER (WHERE NOT ok) AS errors FROM hr",
+    ),
+)
+def u2_universe_errors(spark, sf_dir):
+    """Totals over the runs of a user's buy-and-hold step, with the number of symbols that failed."""
+
+    def step(bars: pd.DataFrame) -> pd.DataFrame:
+        if bars["low"].min() <= 0.5:
+            raise ValueError("a price of at most 0.5")
+        held = len(bars) > 1
+        return pd.DataFrame({"total_return": [bars["close"].iloc[-1] / bars["close"].iloc[0] - 1 if held else None], "sharpe": [None], "num_trades": [int(held)]})
+
+    good, bad = signals.scan(ticks.event_bars(spark, sf_dir, HOUR, "user_id"), step, "total_return double, sharpe double, num_trades long", list(KEY))
+    return rounded(metrics.universe_totals(good, bad).drop("median_sharpe"))
+
+
 # ingest -------------------------------------------------------------------------------------------------
 
 

@@ -8,30 +8,43 @@ from pyspark.sql import functions as F
 from wickwork.functions.sessions import epoch
 
 
-def returns(equity: DataFrame, by: list[str]) -> DataFrame:
-    """Adds ``ret``, null on the first step and where the equity before is not positive, ``peak`` and ``drawdown`` (a ratio, at most 0)."""
-    w = Window.partitionBy(*by).orderBy("ts")
-    prev = F.lag("equity").over(w)
-    out = equity.withColumn("ret", F.when(prev > 0, F.col("equity") / prev - 1)).withColumn("step_sec", epoch("ts") - epoch_lag(w))
-    out = out.withColumn("peak", F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.withColumn("drawdown", F.when(F.col("peak") > 0, F.col("equity") / F.col("peak") - 1).otherwise(F.lit(0.0)))
+#: Seconds of a time cell of one symbol's curve, and of a curve that takes the trades of all symbols.
+CELL, POOLED_CELL = 64 * 86400, 6 * 3600
 
 
-def epoch_lag(w):
-    return F.lag(epoch("ts")).over(w)
+def returns(equity: DataFrame, by: list[str], order: tuple[str, ...] = ("ts",), cell: int = CELL) -> DataFrame:
+    """Adds ``ret``, null on the first step and where the equity before is not positive, ``peak`` and ``drawdown`` (a ratio, at most 0).
 
-
-def curve_metrics(equity: DataFrame, by: list[str]) -> DataFrame:
+    ``order`` begins with ``ts`` and tells points of one time apart. Rows are dealt by (curve, time cell); the point and the peak
+    before a cell come from a table with one row per cell, so that no task holds a whole curve.
+    """
+    held = F.struct("equity", epoch("ts").alias("sec"))
+    rows = equity.withColumn("w_cell", F.floor(epoch("ts") / cell))
+    ends = rows.groupBy(*by, "w_cell").agg(F.max_by(held, F.struct(*order)).alias("w_end"), F.max("equity").alias("w_top"))
+    cells = Window.partitionBy(*by).orderBy("w_cell")
+    ends = ends.select(*by, "w_cell", F.lag("w_end").over(cells).alias("w_in"), F.max("w_top").over(cells.rowsBetween(Window.unboundedPreceding, -1)).alias("w_peak"))
+    inside = Window.partitionBy(*by, "w_cell").orderBy(*order)
+    out = rows.withColumn("w_prev", F.lag(held).over(inside)).withColumn("peak", F.max("equity").over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(ends, [*by, "w_cell"])
+    out = out.withColumn("w_prev", F.coalesce("w_prev", "w_in")).withColumn("peak", F.greatest("peak", "w_peak"))
+    out = out.withColumn("ret", F.when(F.col("w_prev.equity") > 0, F.col("equity") / F.col("w_prev.equity") - 1)).withColumn("step_sec", epoch("ts") - F.col("w_prev.sec"))
+    out = out.withColumn("drawdown", F.when(F.col("peak") > 0, F.col("equity") / F.col("peak") - 1).otherwise(F.lit(0.0)))
+    return out.drop("w_cell", "w_prev", "w_in", "w_peak")
+
+
+def curve_metrics(equity: DataFrame, by: list[str], order: tuple[str, ...] = ("ts",), cell: int = CELL) -> DataFrame:
     """total_return, cagr, sharpe, sortino, max_drawdown per curve.
 
-    Steps a year come from the upper median of the positive step lengths, 252 where there are fewer than three points.
+    Steps a year come from the upper median of the positive step lengths, 252 where there are fewer than three points. The median
+    is read off a histogram of the lengths.
     """
-    r = returns(equity, by)
-    order = Window.partitionBy(*by).orderBy("step_sec")
-    steps = r.where("step_sec > 0").withColumn("k", F.row_number().over(order)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    mid = steps.where("k = floor(m / 2) + 1").select(*by, F.col("step_sec").alias("mid_sec"))
+    r = returns(equity, by, order, cell)
+    place = F.struct(*order)
+    lengths = r.where("step_sec > 0").groupBy(*by, "step_sec").agg(F.count(F.lit(1)).alias("k"))
+    upto = Window.partitionBy(*by).orderBy("step_sec").rowsBetween(Window.unboundedPreceding, 0)
+    lengths = lengths.withColumn("w_upto", F.sum("k").over(upto)).withColumn("w_all", F.sum("k").over(Window.partitionBy(*by)))
+    mid = lengths.where("w_upto >= floor(w_all / 2) + 1").groupBy(*by).agg(F.min("step_sec").alias("mid_sec"))
     a = r.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("points"), F.min_by("equity", "ts").alias("first"), F.max_by("equity", "ts").alias("last"), ((F.max(epoch("ts")) - F.min(epoch("ts"))) / 86400.0).alias("days"),
+        F.count(F.lit(1)).alias("points"), F.min_by("equity", place).alias("first"), F.max_by("equity", place).alias("last"), ((F.max(epoch("ts")) - F.min(epoch("ts"))) / 86400.0).alias("days"),
         F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("sd"), F.sqrt(F.avg(F.when(F.col("ret") < 0, F.col("ret") * F.col("ret")))).alias("down"), F.min("drawdown").alias("max_drawdown"),
     ).join(mid, by, "left")
     many = F.col("points") >= 2
@@ -65,15 +78,16 @@ def summary(curves: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def universe_totals(rows: DataFrame) -> DataFrame:
-    """symbols, mean return, median Sharpe, share of symbols with a gain, trades; nulls are skipped."""
-    return rows.agg(
+def universe_totals(rows: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """symbols, mean return, median Sharpe, share of symbols with a gain, trades; nulls are skipped. With ``failed``, a row for each symbol whose run failed, also errors."""
+    totals = rows.agg(
         F.count(F.lit(1)).alias("symbols"), F.avg("total_return").alias("mean_return"), F.median("sharpe").alias("median_sharpe"),
         F.avg((F.col("total_return") > 0).cast("double")).alias("profitable"), F.sum("num_trades").alias("trades"),
     )
+    return totals if failed is None else totals.join(failed.agg(F.count(F.lit(1)).alias("errors")))  # one row each
 
 
-def combined_curve(trades: DataFrame, equity: DataFrame, by: list[str], cell: int = 30 * 86400) -> DataFrame:
+def combined_curve(trades: DataFrame, equity: DataFrame, by: list[str], cell: int = POOLED_CELL) -> DataFrame:
     """The universe's compounding curve: from the sum of first equities, each closed trade multiplies by 1 + net / equity at its entry.
 
     ``trades``: key, entry_time, exit_time, net_pnl, seq. Products run per time cell and the cells' products in front of them, so
@@ -94,3 +108,16 @@ def combined_curve(trades: DataFrame, equity: DataFrame, by: list[str], cell: in
     total = first.agg(F.sum("first_equity").alias("w_total"), F.min("start").alias("w_start"))
     points = t.join(cells, "w_cell").crossJoin(F.broadcast(total))  # one row
     return points.select(F.col("exit_time").alias("ts"), *by, "seq", (F.col("w_total") * F.col("w_before") * F.col("w_in")).alias("equity"))
+
+
+def combined_result(trades: DataFrame, equity: DataFrame, by: list[str]) -> DataFrame:
+    """One row for the whole universe: the metrics of the combined curve, its first point included, and the statistics of all closed trades pooled.
+
+    ``trades`` and ``equity`` as for ``combined_curve``. Of points at one time the start comes first, then the symbols in order.
+    """
+    start = equity.groupBy(*by).agg(F.min_by("equity", "ts").alias("first_equity"), F.min("ts").alias("ts")).agg(F.min("ts").alias("ts"), F.sum("first_equity").alias("equity")).where("ts is not null")
+    points = combined_curve(trades, equity, by).withColumn("w_rank", F.lit(1)).unionByName(start.withColumn("w_rank", F.lit(0)), allowMissingColumns=True)
+    # to a hundredth of a cent, as the curves of single symbols
+    points = points.withColumn("equity", F.round("equity", 4)).withColumn("w_run", F.lit(0))
+    m = curve_metrics(points, ["w_run"], ("ts", "w_rank", *by, "seq"), POOLED_CELL)
+    return m.join(trade_stats(trades.withColumn("w_run", F.lit(0)), ["w_run"]), "w_run", "left").drop("w_run").withColumn("num_trades", F.coalesce("num_trades", F.lit(0)))
