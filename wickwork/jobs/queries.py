@@ -748,7 +748,7 @@ def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = _hours(spark, sf_dir)
     steps = resample.forming(hours, instruments(hours), [4 * HOUR], HOUR)
     closed = resample.bars_of(steps).where("is_closed")
-    trend = indicators.forming_sma(steps, closed, 20, out="trend").select(*KEY, F.col("step").alias("ts"), "trend")
+    trend = indicators.forming_sma(steps, closed, 20, out="trend").select(*KEY, F.col("step").alias("ts"), "trend", "bar_no")
     b = indicators.numbered(hours)
     b = indicators.sma(indicators.sma(b, 10, by=KEY, out="fast"), 30, by=KEY, out="slow").withColumn("slow", F.col("slow") + 1e-9)
     return signals.sma_cross(fills.with_next(b.join(trend, [*KEY, "ts"])))
@@ -761,6 +761,23 @@ def g1_sma_cross(spark, sf_dir):
     return rounded(s.select(*KEY, "ts", "enter", "leave", F.when(F.col("enter"), F.col("stop_loss")).alias("stop_loss"), F.when(F.col("enter"), F.col("take_profit")).alias("take_profit")))
 
 
+@job(
+    "t9_trading_window",
+    o.sql(
+        *CROSS_CTES, o.bars(DAY, "'all'", "ref_bars"), "rn AS (SELECT ts, row_number() OVER (ORDER BY ts) AS ref_no FROM ref_bars)",
+        final=f"""SELECT g.source, g.ticker, g.ts, {CROSS} AS enter, coalesce(fast - slow < 1e-9, false) AS leave FROM sg g JOIN (SELECT source, ticker, step AS ts, bar_no FROM steps) s USING (source, ticker, ts)
+ ASOF LEFT JOIN rn r ON g.ts >= r.ts WHERE g.ts >= TIMESTAMP '2024-01-10' AND n >= 30 AND s.bar_no >= 20 AND coalesce(ref_no, 0) >= 12""",
+    ),
+)
+def t9_trading_window(spark, sf_dir):
+    """Signals from a start on, once the hourly, four-hour and reference bars seen are as many as the longest lookbacks need."""
+    s = _cross(spark, sf_dir)
+    t = ticks.event_ticks(spark, sf_dir).withColumn("ticker", F.lit("all"))
+    ref = written(indicators.numbered(ticks.base_bars(t, DAY)).select(F.lit(1).alias("w_one"), "ts", F.col("n").alias("ref_no")), "reference")
+    seen = joins.asof(s.select(*KEY, "ts", "n", "bar_no", "enter", "leave", F.lit(1).alias("w_one")), ref, ["w_one"], "ts", "ts", ["ref_no"])
+    return signals.trading_window(seen, F.lit("2024-01-10").cast("timestamp_ntz"), {"n": 30, "bar_no": 20, "ref_no": 12}).select(*KEY, "ts", "enter", "leave")
+
+
 @job(
     "g2_drop_with_regime",
     o.sql(
@@ -1020,18 +1037,47 @@ def s10_universes(spark, sf_dir):
     return ingest.universes(lists.select(F.col("r_name").alias("name"), F.when(F.col("r_regionkey") % 2 == 0, whole).otherwise(F.to_json("tickers")).alias("text")))
 
 
-@job("s13_run_export", o.sql(*BLOTTER, final="SELECT source, ticker, count(*) FILTER (WHERE exit_time IS NOT NULL) AS trades, (SELECT count(*) FROM nb WHERE nb.source = blotter.source AND nb.ticker = blotter.ticker) AS points, 16 AS id_chars FROM blotter GROUP BY 1, 2"))
-def s13_run_export(spark, sf_dir):
-    """Each symbol's result as JSON with a content address; parsed back to count what it holds."""
+def _run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     eq, t = _equity(spark, sf_dir)
     cols = ["side", "size", "entry_price", "entry_time", "exit_price", "exit_time", "exit_reason", "stop_loss", "take_profit", "gross_pnl", "costs", "net_pnl"]
     closed = t.where("exit_time is not null")
     m = metrics.curve_metrics(eq, list(KEY)).join(metrics.trade_stats(closed, list(KEY)), list(KEY), "left")
-    r = ingest.run_results(m, eq, closed.select(*KEY, F.concat_ws(":", *KEY).alias("symbol"), *cols), list(KEY))
+    return ingest.run_results(m, eq, closed.select(*KEY, F.concat_ws(":", *KEY).alias("symbol"), *cols), list(KEY))
+
+
+@job("s13_run_export", o.sql(*BLOTTER, final="SELECT source, ticker, count(*) FILTER (WHERE exit_time IS NOT NULL) AS trades, (SELECT count(*) FROM nb WHERE nb.source = blotter.source AND nb.ticker = blotter.ticker) AS points, 16 AS id_chars FROM blotter GROUP BY 1, 2"))
+def s13_run_export(spark, sf_dir):
+    """Each symbol's result as JSON with a content address; parsed back to count what it holds."""
+    r = _run_results(spark, sf_dir)
     back = F.from_json("result", "trades array<struct<symbol:string>>, equity_curve array<struct<ts:string,equity:double>>")
     return r.select(*KEY, F.size(back["trades"]).cast("long").alias("trades"), F.size(back["equity_curve"]).cast("long").alias("points"), F.length("run_id").alias("id_chars"))
 
 
+@job(
+    "s13_run_contents",
+    o.sql(
+        *BLOTTER, EQUITY, METRICS, STATS,
+        "eb AS (SELECT source, ticker, count(*) AS points, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last_ts, arg_min(equity, ts) AS first_equity, arg_max(equity, ts) AS last_equity, sum(floor(equity * 1e6 + 0.5)::BIGINT)::BIGINT AS total_equity FROM eq GROUP BY 1, 2)",
+        "tb AS (SELECT source, ticker, count(*) FILTER (WHERE exit_reason = 'stop_loss') AS stops, sum(floor(entry_price * 1e6 + 0.5)::BIGINT)::BIGINT AS entries, sum(floor(exit_price * 1e6 + 0.5)::BIGINT)::BIGINT AS exits, sum(floor(costs * 1e6 + 0.5)::BIGINT)::BIGINT AS costs FROM blotter WHERE exit_time IS NOT NULL GROUP BY 1, 2)",
+        final=f"""SELECT source, ticker, {_out('total_return', 'max_drawdown', 'sharpe', 'win_rate')}, coalesce(num_trades, 0) AS num_trades, points, first_ts, last_ts, {_out('first_equity', 'last_equity')}, total_equity, coalesce(stops, 0) AS stops, coalesce(entries, 0) AS entries, coalesce(exits, 0) AS exits, coalesce(costs, 0) AS costs, source || ':' || ticker AS symbol, true AS id_ok FROM mt JOIN eb USING (source, ticker) LEFT JOIN ts USING (source, ticker) LEFT JOIN tb USING (source, ticker)""",
+    ),
+)
+def s13_run_contents(spark, sf_dir):
+    """What each result's JSON says of metrics, curve and trades, read back from it; its content address, computed again."""
+    back = F.from_json("result", "metrics struct<total_return:double,max_drawdown:double,sharpe:double,win_rate:double,num_trades:long>, equity_curve array<struct<ts:string,equity:double>>, trades array<struct<symbol:string,entry_price:double,exit_price:double,exit_reason:string,costs:double>>")
+    r = _run_results(spark, sf_dir).select(*KEY, "run_id", F.substring(F.sha2("result", 256), 1, 16).alias("again"), back.alias("x")).select(*KEY, (F.col("run_id") == F.col("again")).alias("id_ok"), "x.*")
+    # in whole millionths, whose sums do not depend on their order
+    total = lambda col, field: F.aggregate(col, F.lit(0).cast("long"), lambda a, t: a + F.floor(t[field] * 1e6 + 0.5))
+    curve, trades = F.col("equity_curve"), F.col("trades")
+    out = r.select(
+        *KEY, "metrics.total_return", "metrics.max_drawdown", "metrics.sharpe", "metrics.win_rate", F.coalesce("metrics.num_trades", F.lit(0)).alias("num_trades"), F.size(curve).cast("long").alias("points"),
+        curve[0]["ts"].alias("first_ts"), F.element_at(curve, -1)["ts"].alias("last_ts"), curve[0]["equity"].alias("first_equity"), F.element_at(curve, -1)["equity"].alias("last_equity"), total(curve, "equity").alias("total_equity"),
+        F.size(F.filter(trades, lambda t: t["exit_reason"] == "stop_loss")).cast("long").alias("stops"), *[total(trades, f).alias(name) for f, name in (("entry_price", "entries"), ("exit_price", "exits"), ("costs", "costs"))],
+        F.coalesce(F.get(trades, F.lit(0))["symbol"], F.concat_ws(":", *KEY)).alias("symbol"), "id_ok",
+    )
+    return rounded(out)
+
+
 # advisor ------------------------------------------------------------------------------------------------
 
 CONTEXT = """rw AS (SELECT *, strftime(ts, '%Y-%m-%d %H:%M') || ' ' || printf('%.4f,%.4f,%.4f,%.4f', open, high, low, close) || ' ' || volume::BIGINT AS line FROM steps),
@@ -1166,9 +1212,9 @@ def _walked(s: DataFrame, leave=None, max_hold: int | None = None, cooldown: int
     return signals.gate(x.join(no, [*KEY, "exit_time"], "left"), cooldown)
 
 
-def _stats(taken: DataFrame) -> DataFrame:
+def _stats(taken: DataFrame, by=KEY) -> DataFrame:
     done = taken.where("exit_time is not null").withColumns({"size": F.lit(1.0), "contract_size": F.lit(1.0), "entry_commission": F.lit(0.0), "exit_commission": F.lit(0.0), "financing": F.lit(0.0)})
-    return rounded(metrics.trade_stats(fills.blotter(done), list(KEY)))
+    return rounded(metrics.trade_stats(fills.blotter(done), list(by)))
 
 
 @job("strategy_sma_cross_exits")
@@ -1188,3 +1234,36 @@ def _drops(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strategy_drop_recovery(spark, sf_dir):
     """Drops while the market allows, closed at the open after 20 bars at the latest, and a rest of five bars after a stop."""
     return _stats(_walked(_drops(spark, sf_dir), max_hold=20, cooldown=5))
+
+
+SETS = [(5, 20), (10, 30), (20, 60)]
+
+
+@job(
+    "u8_sweep_trades",
+    "WITH RECURSIVE "
+    + ",\n".join([
+        o.bars(), o.NUMBERED,
+        *[f"a{p} AS (SELECT source, ticker, n, {p} AS p, CASE WHEN n >= {p} THEN avg(close) OVER ({o.W} ROWS {p - 1} PRECEDING) END AS a FROM nb)" for p in sorted({p for s in SETS for p in s})],
+        "al AS (" + " UNION ALL ".join(f"SELECT * FROM a{p}" for p in sorted({p for s in SETS for p in s})) + ")",
+        f"nx AS (SELECT *, lead(ts) OVER ({o.W}) AS next_ts, lead(open) OVER ({o.W}) AS next_open FROM nb)",
+        "sg AS (SELECT b.* EXCLUDE (ticker), b.ticker || '#' || fast_p || '/' || slow_p AS ticker, -1 AS trend, f.a AS fast, s.a AS slow FROM nx b JOIN (VALUES " + ", ".join(map(str, SETS)) + ") pm(fast_p, slow_p) ON true JOIN al f ON f.p = fast_p AND f.source = b.source AND f.ticker = b.ticker AND f.n = b.n JOIN al s ON s.p = slow_p AND s.source = b.source AND s.ticker = b.ticker AND s.n = b.n)",
+        FLAG,
+    ])
+    + """\nSELECT split_part(ticker, '#', 2) AS param_id, source, split_part(ticker, '#', 1) AS ticker, count(*) AS num_trades, round(avg((net_pnl > 0)::INT), 6) + 0.0 AS win_rate, round(CASE WHEN count(*) FILTER (WHERE net_pnl < 0) = 0 THEN 'inf'::DOUBLE ELSE coalesce(sum(net_pnl) FILTER (WHERE net_pnl > 0), 0) / -sum(net_pnl) FILTER (WHERE net_pnl < 0) END, 6) + 0.0 AS profit_factor,
+ round(sum(net_pnl), 6) + 0.0 AS net_pnl FROM bt GROUP BY ALL""",
+)
+def u8_sweep_trades(spark, sf_dir):
+    """Trade statistics per parameter set and symbol; bars and averages are made once, exits found for the trades of all sets in one join."""
+    b = indicators.numbered(ticks.event_bars(spark, sf_dir, HOUR))
+    for p in sorted({p for s in SETS for p in s}):
+        b = indicators.sma(b, p, by=KEY, out=f"a{p}")
+    b = written(fills.with_next(b), "sweep")
+    each = F.explode(F.array(*[F.struct(F.lit(f"{f}/{s}").alias("param_id"), (F.col(f"a{f}") - F.col(f"a{s}") > 1e-9).alias("enter")) for f, s in SETS]))
+    c = b.where("next_ts is not null").withColumn("x", each).where("x.enter").select(
+        "x.param_id", F.concat_ws(":", *KEY, F.col("n").cast("string"), "x.param_id").alias("trade_id"), *KEY, F.col("n").alias("signal_no"), F.lit("buy").alias("side"), F.col("next_ts").alias("entry_time"), F.col("next_open").alias("entry_price"),
+        (F.col("close") * 0.98).alias("stop_loss"), (F.col("close") * 1.04).alias("take_profit"),
+    )
+    no = b.select(*KEY, F.col("ts").alias("exit_time"), F.col("n").cast("double").alias("exit_no"))
+    by = ["param_id", *KEY]
+    return _stats(signals.gate(fills.bracket_exits(c, b).join(no, [*KEY, "exit_time"], "left"), by=by), by)

@@ -71,6 +71,15 @@ def gap_setups(gaps: DataFrame, swings: DataFrame, secs: int, rr: float, by=KEY)
     return g.where(F.col("entry").isNotNull() & with_trend).withColumn("broken", broken).drop("w_until", "high", "low", "close", "trend")
 
 
+def trading_window(rows: DataFrame, start, needs: dict[str, int]) -> DataFrame:
+    """The rows from ``start`` on at which every count of bars seen (a column per timeframe or reference) has reached what its indicators need.
+
+    Rows before feed the indicators and counts only. A null count is a count of none.
+    """
+    warm = [F.coalesce(F.col(c), F.lit(0)) >= n for c, n in needs.items()]
+    return rows.where(reduce(lambda a, b: a & b, warm, F.col("ts") >= start))
+
+
 def gate(candidates: DataFrame, cooldown: int = 0, by=KEY) -> DataFrame:
     """The candidate trades that a strategy with one position at a time takes, in order of their signal bars.
 
