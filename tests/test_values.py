@@ -1,6 +1,7 @@
 """Worked examples with known values."""
 
 import math
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -205,3 +206,38 @@ def test_failing_symbol(spark):
 
     good, bad = signals.scan(b, step, "close double", ["source", "ticker"])
     assert [r["close"] for r in good.collect()] == [2] and [(r["ticker"], r["error"]) for r in bad.collect()] == [("bad", "KeyError: 'no data'")]
+
+
+def test_returns_by_cell(spark):
+    rnd = random.Random(5)
+    rows = [("s", k, datetime(2024, 1, 1) + timedelta(hours=rnd.randrange(400)), i, float(rnd.randrange(-2, 50))) for k in ("a", "b") for i in range(300)]
+    e = spark.createDataFrame(rows, "source string, ticker string, ts timestamp_ntz, seq long, equity double")
+    got = {(r["ticker"], r["seq"]): (r["ret"], r["step_sec"], r["peak"], r["drawdown"]) for r in metrics.returns(e, ["source", "ticker"], ("ts", "seq"), 7200).collect()}
+    for k in ("a", "b"):
+        before, peak = None, -math.inf
+        for _, _, ts, seq, eq in sorted((r for r in rows if r[1] == k), key=lambda r: (r[2], r[3])):
+            peak = max(peak, eq)
+            ret = eq / before[1] - 1 if before and before[1] > 0 else None
+            assert got[k, seq] == (ret, (ts - before[0]).total_seconds() if before else None, peak, eq / peak - 1 if peak > 0 else 0.0)
+            before = (ts, eq)
+    wide = {r["ticker"]: r.asDict() for r in metrics.curve_metrics(e, ["source", "ticker"], ("ts", "seq")).collect()}
+    for r in metrics.curve_metrics(e, ["source", "ticker"], ("ts", "seq"), 7200).collect():
+        assert all(wide[r["ticker"]][c] == pytest.approx(v) for c, v in r.asDict().items())
+
+
+def test_combined_result(spark):
+    t = lambda h: datetime(2024, 1, 1, h)
+    eq = spark.createDataFrame([("s", "a", t(0), 100.0), ("s", "a", t(1), 110.0), ("s", "b", t(0), 100.0)], "source string, ticker string, ts timestamp_ntz, equity double")
+    trades = spark.createDataFrame([("s", "a", t(1), t(3), 11.0, 1), ("s", "b", t(0), t(3), -50.0, 1)], "source string, ticker string, entry_time timestamp_ntz, exit_time timestamp_ntz, net_pnl double, seq long")
+    r = metrics.combined_result(trades, eq, ["source", "ticker"]).first()
+    assert r["total_return"] == pytest.approx(1.1 * 0.5 - 1) and r["max_drawdown"] == pytest.approx(-0.5)  # 200, 220, 110
+    assert (r["num_trades"], r["win_rate"], r["net_pnl"]) == (2, 0.5, -39.0)
+    alone = metrics.combined_result(trades.limit(0), eq, ["source", "ticker"]).first()
+    assert alone["total_return"] is None and alone["num_trades"] == 0
+    assert metrics.combined_result(trades.limit(0), eq.limit(0), ["source", "ticker"]).count() == 0
+
+
+def test_trading_window(spark):
+    t = lambda h: datetime(2024, 1, 1, h)
+    rows = spark.createDataFrame([(t(1), 5, 5), (t(2), 3, None), (t(3), 3, 1), (t(4), 3, 2), (t(5), 2, 2)], "ts timestamp_ntz, n long, other long")
+    assert [r["ts"] for r in signals.trading_window(rows, F.lit(t(2)).cast("timestamp_ntz"), {"n": 3, "other": 2}).collect()] == [t(4)]
