@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wickwork.llm import bpe, exact_dedup, knn, langid, mixing, ngram_join, pii, quality, token_count, url_filter
+from wickwork.llm import bpe, exact_dedup, fingerprint, knn, langid, merkle, mixing, ngram_join, pii, quality, token_count, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,6 +51,14 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_read(spark, sf_dir, "documents"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_read(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_read(spark, sf_dir, "documents"), tamper=merkle.tampered()).drop("w_path")
+
+
 def queries() -> dict:
     return {
         "op1_voronoi_topk": op1_voronoi_topk,
@@ -63,6 +71,8 @@ def queries() -> dict:
         "op8_pii": op8_pii,
         "op9_mixing": op9_mixing,
         "op10_bpe_encode_decode": op10_bpe_encode_decode,
+        "op11_fingerprints": op11_fingerprints,
+        "op13_merkle": op13_merkle,
     }
 
 
@@ -71,4 +81,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_voronoi_topk": knn.ORACLE_SQL,
         "op4_url_filters": url_filter.ORACLE_SQL,
         "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op13_merkle": merkle.ORACLE_SQL,
     }
