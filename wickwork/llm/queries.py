@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wickwork.llm import bpe, exact_dedup, fingerprint, knn, langid, merkle, mixing, ngram_join, pii, quality, token_count, url_filter
+from wickwork.llm import alignment, bpe, exact_dedup, fingerprint, knn, langid, merkle, mixing, ngram_join, pii, quality, token_count, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_read(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_read(spark, sf_dir, "documents"), tamper=merkle.tampered()).drop("w_path")
 
@@ -72,6 +76,7 @@ def queries() -> dict:
         "op9_mixing": op9_mixing,
         "op10_bpe_encode_decode": op10_bpe_encode_decode,
         "op11_fingerprints": op11_fingerprints,
+        "op12_alignment": op12_alignment,
         "op13_merkle": op13_merkle,
     }
 
