@@ -157,12 +157,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = summed(single, ["w_key"], signed(paragraphs(F.col("w_text")), 1))
     own = own.select("w_key", plus("w_sum", _array(*[0] * NUMBERS)).alias("w_own"))
     own = written(own.withColumn("w_own2", sums("w_own")), "fingerprint-own")
-    # both sides of the texts read the same exchange; an opening and a fingerprint go to the document before
+    # both sides of the texts read the same exchange, and those of the fingerprints theirs; an opening and a fingerprint go to the document before
     asked = next_of.select(F.col("w_key").alias("w_for"), F.col("w_next").alias("w_key"), "w_take")
-    given = single.join(asked, "w_key").join(own, "w_key")
-    given = given.select(F.col("w_for").alias("w_key"), F.expr("substring(w_text, 1, w_take)").alias("w_open"), F.col("w_own").alias("w_next"), F.col("w_own2").alias("w_next2"))
+    opened = single.join(asked, "w_key").select(F.col("w_for").alias("w_key"), F.expr("substring(w_text, 1, w_take)").alias("w_open"))
+    given = own.join(asked.drop("w_take"), "w_key").select(F.col("w_for").alias("w_key"), F.col("w_own").alias("w_next"), F.col("w_own2").alias("w_next2"))
     n = F.char_length("w_text")
-    met = single.join(narrow.select("w_key", "w_id", "w_rows"), "w_key").join(given.select("w_key", "w_open"), "w_key").withColumn("n_chars", n.cast("long"))
+    met = single.join(narrow.select("w_key", "w_id", "w_rows"), "w_key").join(opened, "w_key").withColumn("n_chars", n.cast("long"))
     take = F.floor(F.col("n_chars") / 4).cast("int")
     # a repeated row is followed by its copy, except for the last
     last = F.struct(F.lit(False).alias("w_again"), F.col("w_open").alias("w_open"))
@@ -175,7 +175,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = met.withColumn("w_new", F.concat(F.substring(F.col("w_text"), F.lit(1), kept), F.col("w_case.w_open")))
     met = met.withColumn("edited_sha256", F.coalesce(F.sha2(F.col("w_new").cast("binary"), 256), F.lit(""))).withColumn("w_again", F.col("w_case.w_again"))
     edits = summed(met, ["w_key", "w_id", "w_rows", "w_again", "n_chars", "edited_sha256"], changes(F.col("w_text"), F.col("w_new"), kept))
-    rows = edits.join(own, "w_key").join(given.select("w_key", "w_next", "w_next2"), "w_key")
+    rows = edits.join(own, "w_key").join(given, "w_key")
     rows = rows.withColumn("w_edited", plus("w_own", "w_sum"))
     rows = rows.withColumn("w_next", F.when(F.col("w_again"), F.col("w_own")).otherwise(F.col("w_next"))).withColumn("w_next2", F.when(F.col("w_again"), F.col("w_own2")).otherwise(F.col("w_next2")))
     near = lambda other, other_sums: likeness(F.col("w_own"), F.col(other), F.col("w_own2"), other_sums, product("w_own", other))
