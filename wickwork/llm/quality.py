@@ -184,41 +184,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Trees(np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), np.array([r["w_label"] for r in got], float))
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        """Probability of label 1 per row: all rows walk all trees together."""
-        tree = np.arange(len(self.feature))[None, :]
-        node = np.zeros((len(x), len(self.feature)), np.int64)
-        row = np.arange(len(x))[:, None]
-        for _ in range(DEPTH):
-            node = 2 * node + 1 + (x[row, self.feature[tree, node]] > self.threshold[tree, node])
-        f = self.base + self.value[tree, node - (2**DEPTH - 1)].sum(1)
-        return 1 / (1 + np.exp(-f))
-
-
-def _measured(rows: DataFrame, of) -> DataFrame:
-    """``rows`` with their last column, a text, replaced by ``of(statistics)``."""
-    before = rows.schema.fields[:-1]
-    name, kind, make = of
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], make(statistics(*texts(batch, "w_text")))], names=[*(f.name for f in before), name])
-
-    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in before), f"{name} {kind}"]))
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Trees:
-    chosen = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("w_id"), F.col(label_col).alias("w_label"))
-    spark = docs.sparkSession
-    found = hash_sample(chosen.select("w_id", "w_label", F.xxhash64("w_id").alias("h")), sample, "h", labels.count())
-    chosen = spark.createDataFrame([(r["w_id"], r["w_label"]) for r in found], chosen.schema)
-    rows = docs.select(F.col(id_col).alias("w_doc"), F.col(text_col).alias("w_text")).join(F.broadcast(chosen), F.col("w_doc") == F.col("w_id")).select("w_id", "w_label", "w_text")
-    as_list = ("x", "array<double>", lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())))
-    got = _measured(rows, as_list).collect()
-    got.sort(key=lambda r: (r["w_id"], r["w_label"], r["x"]))
-    return Trees(np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), np.array([r["w_label"] for r in got], float))
-
-
 def score(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", model: Trees | None = None, threshold: float = 0.7) -> DataFrame:
     """Per row: id, ``held_out``, ``score`` and ``predicted``."""
     model = model or train(docs, labels, id_col, text_col)
