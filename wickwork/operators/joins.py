@@ -8,22 +8,24 @@ instead of its bars.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickwork.functions.sessions import epoch
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str], strict: bool = False, prefix: str = "", cell: int = 30 * 86400) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str], strict: bool = False, prefix: str = "", cell: int = 30 * 86400, axis: Callable = epoch) -> DataFrame:
     """``left`` with ``values`` of the latest right row at or before (``strict``: before) its time, null if none.
 
     Rows are dealt by (key, time cell), so that one long series spreads over tasks; what a cell inherits comes from a small
-    table of each cell's last right row.
+    table of each cell's last right row. ``axis`` makes a number of a time; for times that are numbers it is ``F.col``.
     """
     keys = [f"w_{c}" for c in by]
     r = right.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(right_ts).alias("w_ts"), F.struct(right_ts, *values).alias("w_right"), F.lit(1 if strict else 0).alias("w_o"))
     lr = left.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(left_ts).alias("w_ts"), F.struct(*left.columns).alias("w_left"), F.lit(None).cast(r.schema["w_right"].dataType).alias("w_right"), F.lit(0 if strict else 1).alias("w_o"))
-    rows = lr.unionByName(r.withColumn("w_left", F.lit(None).cast(lr.schema["w_left"].dataType))).withColumn("w_cell", F.floor(epoch("w_ts") / cell))
+    rows = lr.unionByName(r.withColumn("w_left", F.lit(None).cast(lr.schema["w_left"].dataType))).withColumn("w_cell", F.floor(axis("w_ts") / cell))
     ends = rows.groupBy(*keys, "w_cell").agg(F.max_by("w_right", F.when(F.col("w_right").isNotNull(), F.col("w_ts"))).alias("w_end"))
     before = Window.partitionBy(*keys).orderBy("w_cell").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*keys, "w_cell", F.last("w_end", ignorenulls=True).over(before).alias("w_in"))

@@ -32,9 +32,9 @@ def with_previous(df: DataFrame, by: tuple[str, ...], ts: str, columns: dict[str
     return out.withColumn("w_prev", F.coalesce("w_prev", "w_in")).withColumns({new: F.col(f"w_prev.{new}") for new in columns}).drop("w_cell", "w_prev", "w_in")
 
 
-def with_running(df: DataFrame, by: tuple[str, ...], order: list[str], sums: dict[str, Column]) -> DataFrame:
-    """Adds running sums, this row included, in the order of ``order`` (the first of which is a time)."""
-    rows = _with_cell(df, order[0]).withColumns({f"w_v_{n}": c for n, c in sums.items()})
+def with_running(df: DataFrame, by: tuple[str, ...], order: list[str], sums: dict[str, Column], cell: Column | None = None) -> DataFrame:
+    """Adds running sums, this row included, in the order of ``order`` (the first of which is a time, or ``cell`` says in which cell of it a row lies)."""
+    rows = (_with_cell(df, order[0]) if cell is None else df.withColumn("w_cell", cell)).withColumns({f"w_v_{n}": c for n, c in sums.items()})
     ends = rows.groupBy(*by, "w_cell").agg(*[F.sum(f"w_v_{n}").alias(f"w_t_{n}") for n in sums])
     before = Window.partitionBy(*by).orderBy("w_cell").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*by, "w_cell", *[F.sum(f"w_t_{n}").over(before).alias(f"w_b_{n}") for n in sums])

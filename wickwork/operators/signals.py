@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickwork.operators import joins
+from wickwork.operators import chains, joins, series
 from wickwork.schema import KEY
 from wickwork.sources.scratch import written
 
+#: Bars of a cell in which candidates are numbered.
+NO_CELL = 1 << 16
+
 
 def sma_cross(base: DataFrame, risk: float = 0.01) -> DataFrame:
     """Entry and exit flags, stop and target from ``fast``, ``slow`` and ``trend`` columns; null averages give none."""
@@ -85,22 +88,18 @@ def gate(candidates: DataFrame, cooldown: int = 0, by=KEY) -> DataFrame:
 
     ``candidates``: key, trade_id, signal_no and exit_no (bar numbers; the exit null while open), exit_reason. A candidate is taken when
     flat at its signal bar and, after a stop, once ``cooldown`` bars have passed. Exits by signal or time (``fills.signal_closes``,
-    ``fills.with_signal_close``) come before: they move ``exit_no``. A fold over the candidates of a key, not over bars.
+    ``fills.with_signal_close``) come before: they move ``exit_no``. Each candidate points at the first one that may follow it, and the path
+    through these pointers is doubled (``chains.on_path``), so that a key spreads over tasks.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, free, cool = [], -1, -1
-        for r in rows.sort_values(["signal_no", "trade_id"]).itertuples():
-            if r.signal_no >= free and r.signal_no >= cool:
-                taken.append(r.trade_id)
-                if pd.isna(r.exit_no):
-                    break
-                free = r.exit_no
-                if r.exit_reason == "stop_loss":
-                    cool = r.exit_no + cooldown
-        return rows[rows["trade_id"].isin(taken)]
-
-    return candidates.groupBy(*by).applyInPandas(fold, candidates.schema)
+    by = list(by)
+    free = F.col("exit_no") + F.when(F.col("exit_reason") == "stop_loss", F.lit(cooldown)).otherwise(F.lit(0))
+    rows = series.with_running(candidates.withColumn("w_free", free.cast("long")), tuple(by), ["signal_no", "trade_id"], {"w_rank": F.lit(1).cast("long")}, F.floor(F.col("signal_no") / NO_CELL))
+    rows = written(rows.withColumn("w_rank", F.col("w_rank") - 1), "candidates")
+    last = rows.groupBy(*by, F.col("signal_no").cast("long").alias("w_no")).agg(F.max("w_rank").alias("w_before"))
+    leads = joins.asof(rows.where("w_free is not null").select(*by, "w_rank", "w_free"), last, by, "w_free", "w_no", ["w_before"], strict=True, cell=NO_CELL, axis=F.col)
+    leads = leads.select(*by, "w_rank", F.greatest(F.coalesce("w_before", F.lit(-1)) + 1, F.col("w_rank") + 1).alias("w_to"))
+    rows = rows.drop("w_free").join(leads, [*by, "w_rank"], "left")
+    return chains.on_path(rows, by, "w_rank", "w_to").select(*candidates.columns)
 
 
 def gap_orders(setups: DataFrame, bars: DataFrame, swings: DataFrame, rr: float, max_renewals: int = 0, by=KEY) -> DataFrame:
