@@ -65,7 +65,7 @@ def rows(seed=1, n=250):
     return out + [(1000 + i, "the same text as others") for i in range(40)]
 
 
-@pytest.mark.parametrize(("size", "call", "cache"), [(1 << 24, 1 << 18, 600_000), (400, 64, 50)])
+@pytest.mark.parametrize(("size", "call", "cache"), [(1 << 21, 1 << 18, 300_000), (400, 64, 50)])
 def test_matches_whole_encodings(spark, monkeypatch, files, size, call, cache):
     for name, v in (("BLOCK_BYTES", size), ("CALL_BYTES", call), ("CACHE_WORDS", cache)):
         monkeypatch.setattr(alignment, name, v)

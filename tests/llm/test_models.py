@@ -106,3 +106,37 @@ def test_batch_size_of_the_session_stays(spark, docs):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     langid.identify(docs).count()
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_repeated_ids_send_no_more_rows_than_the_sample(spark, monkeypatch):
+    """Rows of statistics that reach the driver are bounded where ids repeat as well."""
+    rows = [(i % 3, f"text number {i} " * (1 + i % 9)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "Trees", lambda x, y: seen.append((x.shape, len(y))))
+    quality.train(docs, labels, sample=50)
+    ((shape, n),) = seen
+    assert shape == (n, len(quality.FEATURES)) and 0 < n <= 50
+
+
+def test_statistics_by_hand():
+    """The counted statistics against plain Python on small texts."""
+    names = quality.FEATURES
+    for text in ["Two words.", "A b\nC d e!\n12 ,, x", "één été", "one one one two", "", "UPPER lower 123"]:
+        raw = text.encode()
+        got = dict(zip(names, quality.statistics(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0], strict=True))
+        n = len(raw)
+        if not n:
+            assert not any(got.values())
+            continue
+        w = text.split()
+        share = lambda f: sum(map(f, raw)) / n
+        want = {
+            "log bytes": np.log1p(n), "log words": np.log1p(len(w)), "bytes a word": n / len(w), "upper": share(lambda b: 65 <= b <= 90), "lower": share(lambda b: 97 <= b <= 122), "digits": share(lambda b: 48 <= b <= 57),
+            "space": share(lambda b: b in (32, 9, 13)), "line feeds": share(lambda b: b == 10), "full stops and commas": share(lambda b: b in b".,;:"), "exclamation and question marks": share(lambda b: b in b"!?"),
+            "beyond ASCII": share(lambda b: b >= 128), "distinct words": len(set(w)) / len(w), "distinct lines": len(set(text.split("\n"))) / len(text.split("\n")),
+            "commonest word": max(w.count(x) for x in w) / len(w), "one-letter words": sum(len(x.encode()) == 1 for x in w) / len(w), "bytes a line": n / len(text.split("\n")), "capital words": sum("A" <= x[0] <= "Z" for x in w) / len(w),
+        }
+        for name, v in want.items():
+            assert got[name] == pytest.approx(v), (text, name)

@@ -115,3 +115,10 @@ def test_hot_keys(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.linked(df).collect()}
     assert got == {i: 0 for i in range(120)} | {500: 500}
+
+
+def test_one_of_each_with_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, "x", 5), (2, text + " more", "y", 6), (3, "something else", "z", 7)], "doc_id long, text string, w_gone string, component_id int")
+    got = ngram_join.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 3]

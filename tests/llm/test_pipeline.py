@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from wickwork.llm import pieces
+from wickwork.llm import langid, pieces
 
 WORDS = [f"{a}{b}{c}" for a in "bdgklm" for b in "aeiou" for c in "nrst"]
 
@@ -48,7 +48,10 @@ def test_pipeline(spark, sf_dir):
             now = corpus_pipeline.written(now, f"test-{name}")
         steps.append(now)
     language, exact, near, mixed, coded = steps
-    want = {i for i, r in rows.items() if re.search(r"[^\W\d_]", r["text"] or "")}
+    ids = sorted(rows)
+    best, score = langid.train(docs).scores([rows[i]["text"] for i in ids])
+    letters = [len(re.findall(r"[^\W\d_]", rows[i]["text"] or "")) for i in ids]
+    want = {i for i, b, s, n in zip(ids, best, score, letters, strict=True) if b >= 0 and (n < langid.LETTERS or s > langid.CLAIM)}
     assert {r["doc_id"] for r in language.collect()} == want
     first = {}
     for i in sorted(want):

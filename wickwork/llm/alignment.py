@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from wickwork.llm.common import hot_join, written
 
 #: Bytes of texts in a block, of words in one encoder call, words that a worker keeps.
-BLOCK_BYTES, CALL_BYTES, CACHE_WORDS = 1 << 24, 1 << 18, 600_000
+BLOCK_BYTES, CALL_BYTES, CACHE_WORDS = 1 << 21, 1 << 18, 300_000
 CUT = re.compile(r" (?=\S)(?<=\S )")
 #: Byte-level vocabularies write printable bytes as themselves and the others as 256 + their rank.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]

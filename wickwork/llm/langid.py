@@ -36,6 +36,8 @@ from wickwork.llm.common import HOT_PARTS, held_out, sliced, written
 WINDOW, PER_LANGUAGE, SAMPLE = 2048, 400, 8000
 #: Times the sample that is looked at per language.
 OVER = 4
+#: A score that no classifier's yes reaches, and letters that a text must have to be rejected by its score.
+CLAIM, LETTERS = 0.5, 200
 #: n-grams of the presence vectors, landmarks (at least one of every language), ridge.
 FEATURES, LANDMARKS, RIDGE = 4096, 192, 1e-3
 CODES = 64  # 0: no letter; 1 to 40: frequent letters; the rest: hashed
@@ -190,11 +192,21 @@ def _predict(rows: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in before), "lang_pred string, score double"]))
 
 
-def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose text has a language; those without any letter (or text) go. The predicted language rejects nothing:
-    where no row can be learned from, the rows with letters stay as well."""
-    model = train(docs, id_col, text_col, lang_col)
+def accepted(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", wanted: tuple[str, ...] | None = None, min_score: float = CLAIM, min_letters: int = LETTERS, model: Model | None = None
+) -> DataFrame:
+    """The rows of ``docs`` whose language is told and wanted.
+
+    Rejected are texts without any letter; texts whose predicted language is not among ``wanted`` (None: all that are learned); and texts of ``min_letters`` letters or more
+    that no classifier claims: the best score is ``min_score`` or less, so that even its language speaks rather against it (another language or script, a word said over and over).
+    A shorter text is too short to be judged by its score and stays. Where no row can be learned from, the rows with letters stay, unless languages are ``wanted``.
+    """
+    model = model or train(docs, id_col, text_col, lang_col)
     if model is None:
-        return docs.where(docs[text_col].rlike("\\p{L}"))
-    rows = docs.select(F.struct("*").alias("w_row"), docs[text_col].alias("w_text"))
-    return _predict(rows, model).where("lang_pred <> 'und'").select("w_row.*")
+        return docs.where(docs[text_col].rlike("\\p{L}") & F.lit(wanted is None))
+    letters_of = F.length(F.regexp_replace(docs[text_col], "[^\\p{L}]+", ""))
+    rows = docs.select(F.struct("*").alias("w_row"), letters_of.alias("w_letters"), docs[text_col].alias("w_text"))
+    told = F.col("lang_pred") != "und"
+    if wanted is not None:
+        told &= F.col("lang_pred").isin(*wanted)
+    return _predict(rows, model).where(told & ((F.col("w_letters") < min_letters) | (F.col("score") > min_score))).select("w_row.*")

@@ -277,4 +277,5 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest id, and rows without id."""
     gone = linked(docs, id_col, text_col, k, percent).where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("w_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("w_gone"), "left_anti")
+    rows = docs.select(F.struct("*").alias("w_row"), F.col(id_col).alias("w_of"))  # other columns may have any name
+    return rows.join(gone, F.col("w_of") == F.col("w_gone"), "left_anti").select("w_row.*")
