@@ -156,7 +156,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     single = base.select("w_key", "w_text") if most <= 1 else base.select("w_key", "w_text").dropDuplicates(["w_key"])
     own = summed(single, ["w_key"], signed(paragraphs(F.col("w_text")), 1))
     own = own.select("w_key", plus("w_sum", _array(*[0] * NUMBERS)).alias("w_own"))
-    own = written(own.withColumn("w_own2", sums("w_own")), "fingerprint-own")
+    own = own.withColumn("w_own2", sums("w_own"))
     # both sides of the texts read the same exchange, and those of the fingerprints theirs; an opening and a fingerprint go to the document before
     asked = next_of.select(F.col("w_key").alias("w_for"), F.col("w_next").alias("w_key"), "w_take")
     opened = single.join(asked, "w_key").select(F.col("w_for").alias("w_key"), F.expr("substring(w_text, 1, w_take)").alias("w_open"))
