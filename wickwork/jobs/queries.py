@@ -444,7 +444,7 @@ def j6_sub_bars(spark, sf_dir):
 
 
 # trades -------------------------------------------------------------------------------------------------
-# A fixed rule makes candidate trades from every seventh bar, so that fills and roll-ups have something to work on.
+# Every bar that a bar follows makes a candidate trade, up or down by its own direction.
 
 TRADES = f"""nx AS (SELECT *, lead(ts) OVER k AS next_ts, lead(open) OVER k AS next_open FROM nb WINDOW k AS ({o.W})),
 tr AS (SELECT source || ':' || ticker || ':' || n AS trade_id, source, ticker, n, ts AS signal_ts, close AS ref, CASE WHEN close >= open THEN 'buy' ELSE 'sell' END AS side, next_ts AS entry_time, next_open AS entry_price,
@@ -548,9 +548,6 @@ def f8_moving_levels(spark, sf_dir):
     return x.groupBy("trade_id").agg(F.min("hit_ts").alias("exit_time"), F.min_by(F.when(sl("hit_low", "hit_high"), "stop_loss").otherwise("take_profit"), "hit_ts").alias("exit_reason"))
 
 
-job("f8_moving_levels_to_the_end", ORACLES["f8_moving_levels"])(f8_moving_levels)
-
-
 COSTED = """cs AS (SELECT e.* EXCLUDE (entry_price, exit_price), 2.0::DOUBLE AS size, i.contract_size, i.leverage, i.tick_size, i.asset_class, i.price_basis,
  CASE WHEN asset_class = 'crypto' THEN 0.001 ELSE 0 END::DOUBLE AS rate, CASE WHEN asset_class = 'cfd' THEN 2 * tick_size ELSE 0 END AS points, CASE WHEN asset_class = 'crypto' THEN 0 ELSE 1 END AS ticks,
  CASE WHEN asset_class = 'crypto' THEN 0.0002 ELSE 0 END::DOUBLE AS pct, CASE WHEN asset_class = 'cfd' THEN 0.05 ELSE 0 END::DOUBLE AS annual, entry_price AS p0, exit_price AS p1, CASE WHEN side = 'buy' THEN 'sell' ELSE 'buy' END AS back FROM ex e JOIN inst i USING (source, ticker)),
@@ -583,11 +580,11 @@ def _blotter(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return bars, written(fills.blotter(t), "blotter")
 
 
-@job("f17_blotter", o.sql(*BLOTTER, final="SELECT trade_id, side, entry_time, exit_time, exit_reason, " + ", ".join(f"round({n}, 4) + 0.0 AS {n}" for n in ("entry_price", "exit_price", "financing", "gross_pnl", "costs", "net_pnl")) + " FROM blotter WHERE exit_time IS NOT NULL"))
+@job("f17_blotter", o.sql(*BLOTTER, final="SELECT trade_id, side, entry_time, exit_time, exit_reason, " + ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in ("entry_price", "exit_price", "financing", "gross_pnl", "costs", "net_pnl")) + " FROM blotter WHERE exit_time IS NOT NULL"))
 def f17_blotter(spark, sf_dir):
     """Closed trades with spread, slippage, commissions and financing."""
     t = _blotter(spark, sf_dir)[1].where("exit_time is not null")
-    return rounded(t.select("trade_id", "side", "entry_time", "exit_time", "exit_reason", "entry_price", "exit_price", "financing", "gross_pnl", "costs", "net_pnl"), 4)
+    return rounded(t.select("trade_id", "side", "entry_time", "exit_time", "exit_reason", "entry_price", "exit_price", "financing", "gross_pnl", "costs", "net_pnl"))
 
 
 @job("f20_open_trades", o.sql(*BLOTTER, final=f"SELECT trade_id, side, entry_time, {_out('entry_price', 'stop_loss', 'take_profit')} FROM blotter WHERE exit_time IS NULL"))
@@ -871,9 +868,6 @@ def g5_gap_orders_renewed(spark, sf_dir):
     return signals.gap_orders(s, b, swings, 0.5, max_renewals=2)
 
 
-job("g5_gap_orders_to_the_end", _orders_sql(0))(g5_gap_orders)
-
-
 GATE = """cn AS (SELECT trade_id, source, ticker, n AS signal_no, exit_no, exit_reason, row_number() OVER (PARTITION BY source, ticker ORDER BY n) AS i FROM ex),
 walk AS (SELECT source, ticker, i, trade_id, true AS taken, CASE WHEN exit_no IS NULL THEN 1000000000 WHEN exit_reason = 'stop_loss' THEN exit_no + 5 ELSE exit_no END AS free FROM cn WHERE i = 1
  UNION ALL SELECT c.source, c.ticker, c.i, c.trade_id, c.signal_no >= w.free, CASE WHEN c.signal_no < w.free THEN w.free WHEN c.exit_no IS NULL THEN 1000000000 WHEN c.exit_reason = 'stop_loss' THEN c.exit_no + 5 ELSE c.exit_no END
@@ -1217,12 +1211,6 @@ def _stats(taken: DataFrame, by=KEY) -> DataFrame:
     return rounded(metrics.trade_stats(fills.blotter(done), list(by)))
 
 
-@job("strategy_sma_cross_exits")
-def strategy_sma_cross_exits(spark, sf_dir):
-    """The flagship with its exit signal: trades close at the open after fast < slow, unless a level is reached first."""
-    return _stats(_walked(written(_cross(spark, sf_dir), "signals"), leave=F.col("leave")))
-
-
 def _drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fills.with_next(_numbered(spark, sf_dir))
     flags = g2_drop_with_regime(spark, sf_dir).select(*KEY, "ts", (F.col("dropped") & F.col("market_ok")).alias("enter"))
@@ -1230,12 +1218,6 @@ def _drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(s.withColumns({"stop_loss": F.col("close") * 0.5, "take_profit": F.col("close") * 2.0}), "drops")
 
 
-@job("strategy_drop_recovery")
-def strategy_drop_recovery(spark, sf_dir):
-    """Drops while the market allows, closed at the open after 20 bars at the latest, and a rest of five bars after a stop."""
-    return _stats(_walked(_drops(spark, sf_dir), max_hold=20, cooldown=5))
-
-
 SETS = [(5, 20), (10, 30), (20, 60)]
 
 
@@ -1267,3 +1249,6 @@ def u8_sweep_trades(spark, sf_dir):
     no = b.select(*KEY, F.col("ts").alias("exit_time"), F.col("n").cast("double").alias("exit_no"))
     by = ["param_id", *KEY]
     return _stats(signals.gate(fills.bracket_exits(c, b).join(no, [*KEY, "exit_time"], "left"), by=by), by)
+
+
+from wickwork.jobs import accounts as _accounts  # noqa: E402, F401  registers its queries
