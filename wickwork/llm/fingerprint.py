@@ -83,23 +83,20 @@ def minus(a: str, b: str) -> Column:
     return F.expr(f"transform({a}, (x, k) -> ((x | get({GUARDED}, k)) - get({b}, k)) & get({MASKS}, k))")
 
 
-def _added(terms: list[str]) -> str:
-    """A sum as a balanced tree."""
-    while len(terms) > 1:
-        terms = [f"({' + '.join(terms[i : i + 2])})" for i in range(0, len(terms), 2)]
-    return terms[0]
+def _counts(v: str) -> str:
+    return f"slice({v}, {2 + WIDE}, {SEEDS * BITS})"
 
 
 def product(a: str, b: str) -> Column:
     """The scalar product of the counts of two fingerprints."""
-    low, high = (lambda v, k: f"double({v}[{k}] & {SLOT}L)"), (lambda v, k: f"double({v}[{k}] >> 31)")
-    return F.expr(_added([f"{low(a, k)} * {low(b, k)} + {high(a, k)} * {high(b, k)}" for k in range(1 + WIDE, NUMBERS)]))
+    both = f"double(x & {SLOT}L) * double(y & {SLOT}L) + double(x >> 31) * double(y >> 31)"
+    return F.expr(f"aggregate(zip_with({_counts(a)}, {_counts(b)}, (x, y) -> {both}), 0D, (p, q) -> p + q)")
 
 
 def sums(v: str) -> Column:
     """Of a fingerprint ``one``, the sum of its counts, and ``two``, their scalar product with themselves."""
-    one = _added([f"(({v}[{k}] & {SLOT}L) + ({v}[{k}] >> 31))" for k in range(1 + WIDE, NUMBERS)])
-    return F.struct(F.expr(one).cast("double").alias("one"), product(v, v).alias("two"))
+    one = F.expr(f"aggregate({_counts(v)}, 0D, (p, x) -> p + double(x & {SLOT}L) + double(x >> 31))")
+    return F.struct(one.alias("one"), product(v, v).alias("two"))
 
 
 def likeness(a: Column, b: Column, a_sums: Column, b_sums: Column, ab: Column) -> Column:
