@@ -75,7 +75,7 @@ def test_queries(spark):
     for b in bars.orderBy("n").collect():
         by.setdefault((b["source"], b["ticker"]), []).append(b)
     rows = setups.collect()
-    for left, name in ((0, "g5_gap_orders_to_the_end"), (2, "g5_gap_orders_renewed")):
+    for left, name in ((0, "g5_gap_orders"), (2, "g5_gap_orders_renewed")):
         got = {r["setup_id"]: (r["state"], r["state_ts"]) for r in queries.QUERIES[name](spark, SF).collect()}
         want = {f"{s['source']}:{s['ticker']}:{s['n']}": walk(s, by[s["source"], s["ticker"]], left)[:2] for s in rows}
         assert got == want

@@ -21,5 +21,5 @@ def test_walk(spark):
                 if stop or target:
                     want[t["trade_id"]] = (r["ts"], "stop_loss" if stop else "take_profit")
                     break
-    got = {r["trade_id"]: (r["exit_time"], r["exit_reason"]) for r in queries.QUERIES["f8_moving_levels_to_the_end"](spark, SF).collect()}
+    got = {r["trade_id"]: (r["exit_time"], r["exit_reason"]) for r in queries.QUERIES["f8_moving_levels"](spark, SF).collect()}
     assert got == want and want

@@ -176,3 +176,105 @@ def f4_open_at_order(spark, sf_dir):
     orders = bars.select(F.concat_ws(":", *KEY, F.col("n").cast("string")).alias("order_id"), *KEY, side.alias("side"), F.col("ts").alias("created_at"))
     got = account.open_as_of(orders, trades).join(instruments(bars).select(*KEY, "can_short"), list(KEY))
     return q.rounded(got.select("order_id", "side", "open_trades", "used_margin", fills.rejected(F.col("side"), F.col("can_short"), F.col("open_trades") > 0).alias("rejected")), 4)
+
+
+# levels, sweeps, stored bars ---------------------------------------------------------------------------
+
+_CHANGES = """ch AS (SELECT trade_id, b.ts AS moved, CASE WHEN (side = 'buy') = (b.close > t.entry_price) AND b.close <> t.entry_price THEN b.close * CASE WHEN side = 'buy' THEN 0.7 ELSE 1.3 END::DOUBLE END AS stop_loss,
+ CASE WHEN (side = 'buy') <> (b.close > t.entry_price) AND b.n > t.n + 6 THEN t.entry_price * CASE WHEN side = 'buy' THEN 1.2 ELSE 0.8 END::DOUBLE END AS take_profit FROM tr t JOIN nb b ON b.source = t.source AND b.ticker = t.ticker AND b.n BETWEEN t.n + 1 AND t.n + 12),
+ev AS (SELECT trade_id, b.ts, 1 AS k, b.open, b.high, b.low, NULL::DOUBLE AS sl, NULL::DOUBLE AS tp FROM tr t JOIN nb b ON b.source = t.source AND b.ticker = t.ticker AND b.ts > t.entry_time
+ UNION ALL SELECT trade_id, moved, 2, NULL, NULL, NULL, stop_loss, take_profit FROM ch WHERE stop_loss IS NOT NULL OR take_profit IS NOT NULL UNION ALL SELECT trade_id, entry_time, 0, NULL, NULL, NULL, stop_loss, take_profit FROM tr),
+lv AS (SELECT *, last_value(sl IGNORE NULLS) OVER w AS stop, last_value(tp IGNORE NULLS) OVER w AS target FROM ev WINDOW w AS (PARTITION BY trade_id ORDER BY ts, k ROWS UNBOUNDED PRECEDING)),
+hx AS (SELECT trade_id, arg_min({'ts': ts, 'o': open, 's': CASE WHEN side = 'buy' THEN low <= stop ELSE high >= stop END, 'stop': stop, 'target': target}, ts) AS h FROM lv JOIN (SELECT trade_id, side FROM tr) USING (trade_id)
+ WHERE k = 1 AND CASE WHEN side = 'buy' THEN low <= stop OR high >= target ELSE high >= stop OR low <= target END GROUP BY 1)"""
+
+
+@q.job(
+    "f8_level_changes",
+    o.sql(
+        *q.TRADE_BASE[:4], _CHANGES,
+        final="""SELECT trade_id, side, h.ts AS exit_time, CASE WHEN h.s THEN 'stop_loss' WHEN h.ts IS NOT NULL THEN 'take_profit' END AS exit_reason, round(h.stop, 6) AS stop_loss, round(h.target, 6) AS take_profit,
+ round(CASE WHEN h.s THEN CASE WHEN side = 'buy' THEN least(h.stop, h.o) ELSE greatest(h.stop, h.o) END ELSE CASE WHEN side = 'buy' THEN greatest(h.target, h.o) ELSE least(h.target, h.o) END END, 6) AS exit_price FROM tr LEFT JOIN hx USING (trade_id)""",
+    ),
+)
+def f8_level_changes(spark, sf_dir):
+    """F8: levels moved by a table of changes (any number a trade, a null leaves a level as it is), the first touch of each stretch of constant levels."""
+    b = q._numbered(spark, sf_dir)
+    t = written(q._trades(b), "moved-trades")
+    near = b.select(*KEY, F.col("n").alias("w_n"), F.col("ts").alias("at"), F.col("close").alias("w_close"))
+    up, won = F.col("side") == "buy", F.when(F.col("side") == "buy", F.col("w_close") > F.col("entry_price")).otherwise(F.col("w_close") < F.col("entry_price"))
+    lost = F.when(F.col("side") == "buy", F.col("w_close") <= F.col("entry_price")).otherwise(F.col("w_close") > F.col("entry_price"))
+    ch = t.withColumn("w_n", F.explode(F.sequence(F.col("n") + 1, F.col("n") + 12))).join(near, [*KEY, "w_n"]).select(
+        "trade_id", "at", F.when(won, F.col("w_close") * F.when(up, F.lit(0.7)).otherwise(F.lit(1.3))).alias("stop_loss"),
+        F.when(lost & (F.col("w_n") > F.col("n") + 6), F.col("entry_price") * F.when(up, F.lit(1.2)).otherwise(F.lit(0.8))).alias("take_profit"),
+    )
+    x = fills.moving_exits(t, written(ch.where("stop_loss is not null or take_profit is not null"), "level-changes"), b)
+    return q.rounded(x.select("trade_id", "side", "exit_time", "exit_reason", "stop_loss", "take_profit", "exit_price"))
+
+
+SETS = [(5, 20), (10, 30), (20, 60), (5, 60)]
+_PERIODS = sorted({p for s in SETS for p in s})
+
+
+@q.job(
+    "u8_sweep_curves",
+    o.sql(
+        o.bars(), o.NUMBERED, *[f"a{p} AS (SELECT source, ticker, n, {p} AS p, CASE WHEN n >= {p} THEN avg(close) OVER ({o.W} ROWS {p - 1} PRECEDING) END AS a FROM nb)" for p in _PERIODS],
+        "al AS (" + " UNION ALL ".join(f"SELECT * FROM a{p}" for p in _PERIODS) + ")",
+        "ps AS (SELECT b.source, b.ticker || '#' || fp || '/' || sp AS ticker, b.ts, b.close, coalesce(f.a - s.a > 1e-9, false)::INT * 0.001::DOUBLE AS held FROM nb b JOIN (VALUES " + ", ".join(map(str, SETS)) + ") pm(fp, sp) ON true JOIN al f ON f.p = fp AND f.source = b.source AND f.ticker = b.ticker AND f.n = b.n JOIN al s ON s.p = sp AND s.source = b.source AND s.ticker = b.ticker AND s.n = b.n)",
+        "rt AS (SELECT *, lag(held) OVER k * (close / nullif(lag(close) OVER k, 0) - 1) AS r FROM ps WINDOW k AS (PARTITION BY source, ticker ORDER BY ts))",
+        "eq AS (SELECT source, ticker, ts, r, exp(sum(ln(greatest(1 + coalesce(r, 0), 1e-300))) OVER (PARTITION BY source, ticker ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS equity FROM rt)", q.METRICS.replace("CASE WHEN prev > 0 THEN equity / prev - 1 END AS ret", "r AS ret"),
+        final=f"SELECT source, split_part(ticker, '#', 1) AS ticker, split_part(ticker, '#', 2) AS param_id, {q._out('total_return', 'cagr', 'sharpe', 'sortino', 'max_drawdown')} FROM mt",
+    ),
+)
+def u8_sweep_curves(spark, sf_dir):
+    """U8, M1 to M6 per parameter set: a thousandth of the equity long while the fast average is above the slow one; all sets' curves side by side on one row per bar."""
+    from wickwork.operators import indicators, metrics
+
+    b = q._numbered(spark, sf_dir)
+    for p in _PERIODS:
+        b = indicators.sma(b, p, by=KEY, out=f"a{p}")
+    held = F.array(*[F.coalesce((F.col(f"a{f}") - F.col(f"a{s}") > 1e-9).cast("double") * 0.001, F.lit(0.0)) for f, s in SETS])
+    return q.rounded(metrics.sweep_metrics(b, held, [f"{f}/{s}" for f, s in SETS], list(KEY)))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A bars table built by three appends: the past, a later stretch, and a correction of part of both; with the bars themselves."""
+    from wickwork.sources import ingest, ticks
+    from wickwork.sources.scratch import path
+
+    b = written(ticks.base_bars(ticks.order_ticks(spark, sf_dir), q.DAY), "order-bars")
+    table = path(spark, "bars-table")
+    ingest.append_bars(table, b.where("ts < TIMESTAMP_NTZ '1999-01-01 00:00:00'"), 1)
+    ingest.append_bars(table, b.where("ts >= TIMESTAMP_NTZ '1998-11-01 00:00:00'"), 2)
+    ingest.append_bars(table, b.where("ts >= TIMESTAMP_NTZ '1998-12-15 00:00:00' and ts < TIMESTAMP_NTZ '1999-02-10 00:00:00'").withColumn("close", F.col("close") + 1), 3)
+    return table, b
+
+
+_CORRECTED = "CASE WHEN ts >= TIMESTAMP '1998-12-15' AND ts < TIMESTAMP '1999-02-10' THEN close + 1 ELSE close END AS close"
+
+
+@q.job("s1_appended_table", o.sql(o.order_bars(), final=f"SELECT source, ticker, tf_seconds, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM (SELECT * REPLACE ({_CORRECTED.removesuffix(' AS close')} AS close) FROM bars)"))
+def s1_appended_table(spark, sf_dir):
+    """A bars table appended to and corrected by the months that change; read back whole."""
+    table, b = _stored(spark, sf_dir)
+    return q.rounded(spark.read.parquet(table).select(*b.columns))
+
+
+@q.job(
+    "s2_pruned_read",
+    o.sql(
+        o.order_bars(), o.INST, "h AS (SELECT source, ticker, TIMESTAMP '1999-06-01' - to_seconds(floor(1.5 * CASE WHEN close_sec IS NULL THEN 65 * 86400 ELSE 65 * 86400 / greatest((close_sec - open_sec) / 86400.0, 0.05) * 7 / 5 END)::BIGINT) AS start FROM inst)",
+        final=f"SELECT b.source, b.ticker, ts, round({_CORRECTED.removesuffix(' AS close')}, 6) AS close, volume FROM bars b JOIN h USING (source, ticker) WHERE ts >= start AND ts <= TIMESTAMP '1999-08-31'",
+    ),
+)
+def s2_pruned_read(spark, sf_dir):
+    """A stored table read from each key's own lead-in start on, both ends included; months outside are pruned."""
+    from wickwork.functions import timeframe
+    from wickwork.sources import ingest
+
+    table, b = _stored(spark, sf_dir)
+    inst = instruments(b).withColumn("s", timeframe.lead_in_seconds(F.lit(50), F.lit(q.DAY), F.lit(q.DAY), F.col("open_sec"), F.col("close_sec")))
+    starts = written(inst.select(*KEY, F.expr("timestampadd(SECOND, -cast(floor(s) as bigint), TIMESTAMP_NTZ'1999-06-01 00:00:00')").alias("start")), "starts")
+    got = ingest.read_from(table, starts, "1999-08-31 00:00:00", spark.read.parquet(table).schema)
+    return q.rounded(got.select(*KEY, "ts", "close", "volume"))

@@ -47,17 +47,17 @@ def rejected(side: Column, can_short: Column, has_open_trade: Column) -> Column:
     return (side == "sell") & ~can_short & ~has_open_trade
 
 
-def bracket_exits(trades: DataFrame, bars: DataFrame, by=KEY, fine: DataFrame | None = None, secs: int | None = None) -> DataFrame:
+def bracket_exits(trades: DataFrame, bars: DataFrame, by=KEY, fine: DataFrame | None = None, secs: int | None = None, until: str | None = None) -> DataFrame:
     """Trades with ``exit_time``, ``exit_price`` and ``exit_reason`` of the first later bar that reaches a level.
 
-    ``trades``: trade_id, key, side (buy or sell), entry_time, stop_loss, take_profit (either may be null). Where a bar
+    ``trades``: trade_id, key, side (buy or sell), entry_time, stop_loss, take_profit (either may be null); ``until``: a column with the last bar that counts (null: no end). Where a bar
     reaches both, the finer bars decide if given (stop first within one), else the stop counts.
     """
     long = F.col("side") == "buy"
     sl = F.when(long, F.col("low") <= F.col("stop_loss")).otherwise(F.col("high") >= F.col("stop_loss"))
     tp = F.when(long, F.col("high") >= F.col("take_profit")).otherwise(F.col("low") <= F.col("take_profit"))
     either = F.coalesce(sl, F.lit(False)) | F.coalesce(tp, F.lit(False))
-    hit = joins.first_touch(trades, bars, list(by), "trade_id", "entry_time", None, either, either, ["ts", "open", "high", "low"])
+    hit = joins.first_touch(trades, bars, list(by), "trade_id", "entry_time", until, either, either, ["ts", "open", "high", "low"])
     out = trades.join(hit, "trade_id", "left")
     at = lambda c: F.col(f"hit_{c}")
     hit_sl = F.coalesce(F.when(long, at("low") <= F.col("stop_loss")).otherwise(at("high") >= F.col("stop_loss")), F.lit(False))
@@ -79,6 +79,33 @@ def bracket_exits(trades: DataFrame, bars: DataFrame, by=KEY, fine: DataFrame |
     return out.drop("w_sl", "w_tp", "w_fine", "hit_ts", "hit_open", "hit_high", "hit_low")
 
 
+def level_stretches(trades: DataFrame, changes: DataFrame) -> DataFrame:
+    """Stretches of constant levels of each trade: trade_id, part_id, ``w_after``, ``w_until`` (null: to the end), stop_loss and take_profit.
+
+    ``changes``: trade_id, at, stop_loss, take_profit. A null leaves that level as it is; a change counts for the bars after ``at``, the last one
+    (by ``seq``, if there is such a column) of several at one time; changes before the entry bar are ignored. A trade may have any number of changes.
+    """
+    seq = F.col("seq").cast("long") if "seq" in changes.columns else F.lit(0).cast("long")
+    first = trades.select("trade_id", F.col("entry_time").alias("w_after"), F.lit(None).cast("long").alias("w_seq"), "stop_loss", "take_profit", F.col("entry_time").alias("w_entry"))
+    later = changes.select("trade_id", F.col("at").alias("w_after"), seq.alias("w_seq"), "stop_loss", "take_profit").join(trades.select("trade_id", F.col("entry_time").alias("w_entry")), "trade_id")
+    rows = first.unionByName(later.where("w_after >= w_entry"))
+    order = Window.partitionBy("trade_id").orderBy("w_after", F.col("w_seq").asc_nulls_first())
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in ("stop_loss", "take_profit")}).withColumns({"w_until": F.lead("w_after").over(order), "w_no": F.row_number().over(order)})
+    rows = rows.where("w_until is null or w_until > w_after")  # of changes at one time the last
+    return rows.select("trade_id", F.concat_ws("/", "trade_id", "w_no").alias("part_id"), "w_after", "w_until", "stop_loss", "take_profit")
+
+
+def moving_exits(trades: DataFrame, changes: DataFrame, bars: DataFrame, by=KEY, fine: DataFrame | None = None, secs: int | None = None) -> DataFrame:
+    """Trades whose levels ``changes`` (see ``level_stretches``) move, with exit_time, exit_price, exit_reason and the levels then in force: one first touch per stretch."""
+    parts = level_stretches(trades, changes).join(trades.select("trade_id", *by, "side"), "trade_id")
+    parts = parts.select(F.col("trade_id").alias("w_trade"), F.col("part_id").alias("trade_id"), *by, "side", F.col("w_after").alias("entry_time"), "w_until", "stop_loss", "take_profit")
+    x = bracket_exits(parts, bars, by, fine, secs, "w_until").where("exit_time is not null")
+    hit = x.groupBy(F.col("w_trade").alias("trade_id")).agg(F.min_by(F.struct("exit_time", "exit_price", "exit_reason", "stop_loss", "take_profit"), "exit_time").alias("w_x"))
+    out = trades.drop("stop_loss", "take_profit").join(hit, "trade_id", "left")
+    return out.select(*[c for c in trades.columns if c not in ("stop_loss", "take_profit")], *[F.col(f"w_x.{c}").alias(c) for c in ("exit_time", "exit_price", "exit_reason", "stop_loss", "take_profit")])
+
+
 def with_signal_close(exits: DataFrame, close_ts: str = "close_ts", close_open: str = "close_open") -> DataFrame:
     """A signal close at a bar's open comes before that bar's levels; it wins ties."""
     first = F.col(close_ts).isNotNull() & (F.col("exit_time").isNull() | (F.col(close_ts) <= F.col("exit_time")))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickwork.functions.sessions import epoch
-
+from wickwork.operators import series
 
 #: Seconds of a time cell of one symbol's curve, and of a curve that takes the trades of all symbols.
 CELL, POOLED_CELL = 64 * 86400, 6 * 3600
@@ -31,22 +31,16 @@ def returns(equity: DataFrame, by: list[str], order: tuple[str, ...] = ("ts",),
     return out.drop("w_cell", "w_prev", "w_in", "w_peak")
 
 
-def curve_metrics(equity: DataFrame, by: list[str], order: tuple[str, ...] = ("ts",), cell: int = CELL) -> DataFrame:
-    """total_return, cagr, sharpe, sortino, max_drawdown per curve.
-
-    Steps a year come from the upper median of the positive step lengths, 252 where there are fewer than three points. The median
-    is read off a histogram of the lengths.
-    """
-    r = returns(equity, by, order, cell)
-    place = F.struct(*order)
-    lengths = r.where("step_sec > 0").groupBy(*by, "step_sec").agg(F.count(F.lit(1)).alias("k"))
+def middle_step(steps: DataFrame, by: list[str]) -> DataFrame:
+    """Per curve ``mid_sec``, the upper median of its positive ``step_sec``, read off a histogram of the lengths."""
+    lengths = steps.where("step_sec > 0").groupBy(*by, "step_sec").agg(F.count(F.lit(1)).alias("k"))
     upto = Window.partitionBy(*by).orderBy("step_sec").rowsBetween(Window.unboundedPreceding, 0)
     lengths = lengths.withColumn("w_upto", F.sum("k").over(upto)).withColumn("w_all", F.sum("k").over(Window.partitionBy(*by)))
-    mid = lengths.where("w_upto >= floor(w_all / 2) + 1").groupBy(*by).agg(F.min("step_sec").alias("mid_sec"))
-    a = r.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("points"), F.min_by("equity", place).alias("first"), F.max_by("equity", place).alias("last"), ((F.max(epoch("ts")) - F.min(epoch("ts"))) / 86400.0).alias("days"),
-        F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("sd"), F.sqrt(F.avg(F.when(F.col("ret") < 0, F.col("ret") * F.col("ret")))).alias("down"), F.min("drawdown").alias("max_drawdown"),
-    ).join(mid, by, "left")
+    return lengths.where("w_upto >= floor(w_all / 2) + 1").groupBy(*by).agg(F.min("step_sec").alias("mid_sec"))
+
+
+def _from_moments(a: DataFrame, by: list[str]) -> DataFrame:
+    """Metrics from points, days, mid_sec, first and last value, mean, deviation and downside of the returns, and the largest drawdown."""
     many = F.col("points") >= 2
     year = F.sqrt(F.when((F.col("points") >= 3) & F.col("mid_sec").isNotNull(), 31557600.0 / F.col("mid_sec")).otherwise(F.lit(252.0)))
     cagr = F.pow(F.col("last") / F.col("first"), 365.25 / F.col("days")) - 1
@@ -60,6 +54,45 @@ def curve_metrics(equity: DataFrame, by: list[str], order: tuple[str, ...] = ("t
     )
 
 
+def sweep_metrics(bars: DataFrame, held: Column, names: list[str], by: list[str]) -> DataFrame:
+    """Curve metrics per key and parameter set (``param_id``, one of ``names``), with one row per bar whatever the number of sets.
+
+    ``bars``: key, ts, close; ``held``: an array with each set's position (1: all of the equity long, -1: short, 0: none) from a bar's close to the next one's. The
+    sets' positions, returns and equities travel side by side on their bar's row; only the last step, a row per key, is dealt over the sets.
+    A bar after a close of 0 has no return; a position that loses everything stays at 0.
+    """
+    rows = series.with_previous(bars.select(*by, "ts", "close", held.alias("held")), tuple(by), "ts", {"w_close": "close", "w_held": "held", "w_ts": "ts"})
+    move = F.when(F.col("w_close") > 0, F.col("close") / F.col("w_close") - 1)
+    ids = range(len(names))
+    rows = rows.withColumn("step_sec", epoch("ts") - epoch("w_ts"))
+    rows = rows.select(*by, "ts", "step_sec", *[(F.get("w_held", F.lit(k)) * move).alias(f"r{k}") for k in ids])
+    growth = {f"e{k}": F.ln(F.greatest(1 + F.coalesce(f"r{k}", F.lit(0.0)), F.lit(1e-300))) for k in ids}
+    rows = series.with_running(rows, tuple(by), ["ts"], growth)
+    rows = series.with_running_max(rows, tuple(by), "ts", {f"p{k}": F.col(f"e{k}") for k in ids})
+    each = lambda k: F.struct(
+        F.lit(names[k]).alias("param_id"), F.exp(F.max_by(f"e{k}", "ts")).alias("last"), F.avg(f"r{k}").alias("mean"), F.stddev_pop(f"r{k}").alias("sd"),
+        F.sqrt(F.avg(F.when(F.col(f"r{k}") < 0, F.col(f"r{k}") * F.col(f"r{k}")))).alias("down"), (F.exp(F.min(F.col(f"e{k}") - F.col(f"p{k}"))) - 1).alias("max_drawdown"),
+    )
+    a = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("points"), ((F.max(epoch("ts")) - F.min(epoch("ts"))) / 86400.0).alias("days"), *[each(k).alias(f"s{k}") for k in ids])
+    a = a.join(middle_step(rows, by), by, "left").select(*by, "points", "days", "mid_sec", F.lit(1.0).alias("first"), F.inline(F.array(*[f"s{k}" for k in ids])))
+    return _from_moments(a, [*by, "param_id"])
+
+
+def curve_metrics(equity: DataFrame, by: list[str], order: tuple[str, ...] = ("ts",), cell: int = CELL) -> DataFrame:
+    """total_return, cagr, sharpe, sortino, max_drawdown per curve.
+
+    Steps a year come from the upper median of the positive step lengths, 252 where there are fewer than three points. The median
+    is read off a histogram of the lengths.
+    """
+    r = returns(equity, by, order, cell)
+    place = F.struct(*order)
+    a = r.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("points"), F.min_by("equity", place).alias("first"), F.max_by("equity", place).alias("last"), ((F.max(epoch("ts")) - F.min(epoch("ts"))) / 86400.0).alias("days"),
+        F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("sd"), F.sqrt(F.avg(F.when(F.col("ret") < 0, F.col("ret") * F.col("ret")))).alias("down"), F.min("drawdown").alias("max_drawdown"),
+    ).join(middle_step(r, by), by, "left")
+    return _from_moments(a, by)
+
+
 def trade_stats(trades: DataFrame, by: list[str]) -> DataFrame:
     """num_trades, win_rate, profit_factor (infinite without losses)."""
     won, lost = F.sum(F.when(F.col("net_pnl") > 0, F.col("net_pnl")).otherwise(0.0)), F.sum(F.when(F.col("net_pnl") < 0, -F.col("net_pnl")).otherwise(0.0))

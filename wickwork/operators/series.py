@@ -44,6 +44,17 @@ def with_running(df: DataFrame, by: tuple[str, ...], order: list[str], sums: dic
     return out.drop("w_cell", *[f"w_{k}_{n}" for k in "vsb" for n in sums])
 
 
+def with_running_max(df: DataFrame, by: tuple[str, ...], ts: str, values: dict[str, Column]) -> DataFrame:
+    """Adds running maxima, this row included, by time."""
+    rows = _with_cell(df, ts).withColumns({f"w_v_{n}": c for n, c in values.items()})
+    ends = rows.groupBy(*by, "w_cell").agg(*[F.max(f"w_v_{n}").alias(f"w_t_{n}") for n in values])
+    before = Window.partitionBy(*by).orderBy("w_cell").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*by, "w_cell", *[F.max(f"w_t_{n}").over(before).alias(f"w_b_{n}") for n in values])
+    inside = Window.partitionBy(*by, "w_cell").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({f"w_s_{n}": F.max(f"w_v_{n}").over(inside) for n in values}).join(ends, [*by, "w_cell"])
+    return out.withColumns({n: F.greatest(f"w_b_{n}", f"w_s_{n}") for n in values}).drop("w_cell", *[f"w_{k}_{n}" for k in "vsb" for n in values])
+
+
 def in_chunks(bars: DataFrame, lookback: int, fn: Callable[[DataFrame, tuple[str, ...]], DataFrame], by: tuple[str, ...], rows: int | None = None) -> DataFrame:
     """``fn(bars, by)`` for a function that looks back at most ``lookback`` rows of a series numbered by ``n``.
 

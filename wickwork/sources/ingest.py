@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wickwork.schema import KEY
+from wickwork.sources.scratch import written
 
 BAR_KEY = (*KEY, "tf_seconds", "ts")
 
@@ -27,6 +29,57 @@ def write_bars(bars: DataFrame, path: str) -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "ticker", "month").parquet(path)
 
 
+def merge_table(path: str, new: DataFrame, key: list[str], newest: list[str], partitions: list[str]) -> None:
+    """Merges rows into a Parquet table by ``key``: the one that is largest by ``newest`` stays, and only the partitions that ``new`` touches are read and written.
+
+    The old side is read through a join with the touched partitions, so that files of others are pruned; the merged rows are written beside the table before
+    they replace these partitions, each of which becomes one file. The same rows merged twice change nothing. A table that is not there yet is begun.
+    """
+    spark = new.sparkSession
+    order = Window.partitionBy(*key).orderBy(*[F.col(c).desc_nulls_last() for c in newest])
+    rows = new
+    if _there(spark, path):
+        new = written(new, "merge-new")
+        old = spark.read.schema(new.schema).option("basePath", path).parquet(path)
+        rows = new.unionByName(old.join(new.select(*partitions).distinct(), partitions, "left_semi"))
+    merged = written(rows.withColumn("w_rn", F.row_number().over(order)).where("w_rn = 1").drop("w_rn"), "merge")
+    merged.repartition(*partitions).sortWithinPartitions(*key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
+
+
+MONTH = ["source", "ticker", "month"]
+
+
+def with_month(bars: DataFrame) -> DataFrame:
+    return bars.withColumn("month", F.date_format("ts", "yyyy-MM"))
+
+
+def append_bars(path: str, new: DataFrame, gen: int) -> None:
+    """Upserts ``new`` (key, tf_seconds, ts and values; generation ``gen``) into the bars table at ``path``; later generations win, months without new bars keep their files."""
+    merge_table(path, with_month(new).withColumn("gen", F.lit(gen).cast("long")), list(BAR_KEY), ["gen"], MONTH)
+
+
+def read_from(path: str, starts: DataFrame, end: str, schema) -> DataFrame:
+    """Bars of the table at ``path`` from each key's own ``start`` (key, start) to ``end``, both included.
+
+    The months that keys need are few rows; joined on the partition columns they prune the scan while it is planned and run.
+    """
+    spark = starts.sparkSession
+    last = F.lit(end).cast("timestamp_ntz")
+    months = F.sequence(F.trunc(F.col("start").cast("date"), "month"), F.trunc(last.cast("date"), "month"), F.expr("interval 1 month"))
+    wanted = starts.where(F.col("start") <= last).select(*KEY, "start", F.explode(months).alias("w_m")).select(*KEY, "start", F.date_format("w_m", "yyyy-MM").alias("month"))
+    return spark.read.schema(schema).parquet(path).join(wanted, MONTH).where((F.col("ts") >= F.col("start")) & (F.col("ts") <= last)).drop("start", "month", "gen")
+
+
 def in_range(bars: DataFrame, start: str, end: str) -> DataFrame:
     """``start <= ts <= end``, both included; literal bounds reach the Parquet scan."""
     return bars.where((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") <= F.lit(end).cast("timestamp_ntz")))
