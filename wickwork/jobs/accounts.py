@@ -278,3 +278,35 @@ def s2_pruned_read(spark, sf_dir):
     starts = written(inst.select(*KEY, F.expr("timestampadd(SECOND, -cast(floor(s) as bigint), TIMESTAMP_NTZ'1999-06-01 00:00:00')").alias("start")), "starts")
     got = ingest.read_from(table, starts, "1999-08-31 00:00:00", spark.read.parquet(table).schema)
     return q.rounded(got.select(*KEY, "ts", "close", "volume"))
+
+
+@q.job("d3_work_list", o.sql(o.bars(), o.NUMBERED, o.steps([4 * q.HOUR], q.HOUR), q.TRADES, q.CONTEXT, final="SELECT DISTINCT key FROM ky WHERE side = 'buy' AND key NOT IN (SELECT key FROM ky WHERE side = 'sell')"))
+def d3_work_list(spark, sf_dir):
+    """D3: the distinct keys without a stored decision, which need a call."""
+    from wickwork.operators import advisor
+
+    c = written(q._contexts(spark, sf_dir).select("trade_id", "side", "key"), "contexts")
+    stored = c.where("side = 'sell'").select("key", F.lit(True).alias("approved"), F.lit("m1").alias("model_id"))
+    return advisor.lookup(c, stored)[1]
+
+
+@q.job("m6_drawdown_series", o.sql(*q.BLOTTER, q.EQUITY, q.METRICS, final="SELECT source, ticker, ts, round(peak, 4) + 0.0 AS peak, round(equity - peak, 4) + 0.0 AS below_peak FROM r1"))
+def m6_drawdown_series(spark, sf_dir):
+    """M6: the plotted series, equity less its running peak."""
+    from wickwork.operators import metrics
+
+    r = metrics.returns(q._equity(spark, sf_dir)[0], list(KEY))
+    return q.rounded(r.select(*KEY, "ts", "peak", (F.col("equity") - F.col("peak")).alias("below_peak")), 4)
+
+
+@q.job(
+    "t9_equity_window",
+    o.sql(*q.BLOTTER, q.EQUITY, final="SELECT source, ticker, ts, round(equity, 4) AS equity FROM eq JOIN (SELECT source, ticker, ts, n FROM nb) USING (source, ticker, ts) WHERE ts >= TIMESTAMP '2024-01-10' AND n >= 30"),
+)
+def t9_equity_window(spark, sf_dir):
+    """Equity rows of the trading window alone, once the bars seen are as many as the longest lookback needs."""
+    from wickwork.operators import signals
+
+    bars, _ = q._blotter(spark, sf_dir)
+    rows = q._equity(spark, sf_dir)[0].select(*KEY, "ts", "equity").join(bars.select(*KEY, "ts", "n"), [*KEY, "ts"])
+    return q.rounded(signals.trading_window(rows, F.lit("2024-01-10").cast("timestamp_ntz"), {"n": 30}).select(*KEY, "ts", "equity"), 4)

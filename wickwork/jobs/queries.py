@@ -771,7 +771,10 @@ def t9_trading_window(spark, sf_dir):
     s = _cross(spark, sf_dir)
     t = ticks.event_ticks(spark, sf_dir).withColumn("ticker", F.lit("all"))
     ref = written(indicators.numbered(ticks.base_bars(t, DAY)).select(F.lit(1).alias("w_one"), "ts", F.col("n").alias("ref_no")), "reference")
-    seen = joins.asof(s.select(*KEY, "ts", "n", "bar_no", "enter", "leave", F.lit(1).alias("w_one")), ref, ["w_one"], "ts", "ts", ["ref_no"])
+    s = written(s.select(*KEY, "ts", "n", "bar_no", "enter", "leave"), "signals")
+    # the reference as of distinct times, then an equi-join: the bars of all symbols do not meet in one task
+    times = joins.asof(s.select(F.lit(1).alias("w_one"), "ts").distinct(), ref, ["w_one"], "ts", "ts", ["ref_no"]).drop("w_one")
+    seen = s.join(times, "ts")
     return signals.trading_window(seen, F.lit("2024-01-10").cast("timestamp_ntz"), {"n": 30, "bar_no": 20, "ref_no": 12}).select(*KEY, "ts", "enter", "leave")
 
 
@@ -1134,15 +1137,11 @@ def x1_stream_bars(spark, sf_dir):
     o.sql(o.bars(), final="SELECT source, ticker, ts, open, high, low, close, volume FROM bars"),
 )
 def x2_stream_forming(spark, sf_dir):
-    """Still-forming hourly bars in update mode; the last update of each bar, which a sink keyed by bar would hold."""
+    """Still-forming hourly bars in update mode, merged into a table that holds one row per key and bar."""
     out, state = path(spark, "stream"), path(spark, "stream-state")
     bars = streaming.tumbling(_tick_stream(spark, sf_dir).withWatermark("ts", "10 minutes"), HOUR)
-    keep = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(out)
-    bars.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    seen = spark.read.schema(bars.schema.add("batch", "long")).parquet(out)
-    row = F.struct("open", "high", "low", "close", "volume")
-    last = seen.groupBy(*KEY, "ts").agg(F.max_by(row, F.struct("volume", "batch")).alias("b"))
-    return last.select(*KEY, F.col("ts").cast("timestamp_ntz").alias("ts"), "b.*")
+    bars.writeStream.outputMode("update").foreachBatch(streaming.upsert_sink(out)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(*KEY, F.col("ts").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume")
 
 
 @job(

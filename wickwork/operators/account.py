@@ -32,8 +32,8 @@ def carried(bars: DataFrame, by=KEY) -> DataFrame:
 
     ``bars``: key, ts, n, close, prev_close, new_day.
     """
-    rows = with_running(bars, tuple(by), ["ts"], {"paid": F.when(F.col("new_day"), F.abs("prev_close")).otherwise(F.lit(0.0))})
-    return rows.select(*by, "n", "paid")
+    day = F.when(F.col("new_day"), F.abs("prev_close")).otherwise(F.lit(0.0)).cast("decimal(38,9)")  # exact, so that differences are
+    return with_running(bars, tuple(by), ["ts"], {"paid": day}).select(*by, "n", F.col("paid").cast("double").alias("paid"))
 
 
 def _events(orders: DataFrame, by: list[str]) -> DataFrame:

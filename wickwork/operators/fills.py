@@ -9,14 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickwork.operators import joins
-from wickwork.operators.series import with_running
+from wickwork.operators.series import with_following, with_previous, with_running
 from wickwork.schema import KEY
 
 
 def with_next(bars: DataFrame, by=KEY) -> DataFrame:
     """Adds ``next_ts`` and ``next_open``: where a market order or signal close of this bar fills."""
-    w = Window.partitionBy(*by).orderBy("ts")
-    return bars.withColumn("next_ts", F.lead("ts").over(w)).withColumn("next_open", F.lead("open").over(w))
+    return with_following(bars, tuple(by), "ts", {"next_ts": "ts", "next_open": "open"})
 
 
 def touched(kind: Column, side: Column, price: Column) -> Column:
@@ -218,15 +217,15 @@ def financing(trades: DataFrame, bars: DataFrame, by=KEY) -> DataFrame:
 
     ``bars`` with ``local_date``; ``trades`` with size, contract_size, annual_rate, entry_time, exit_time (null: open).
     """
-    w = Window.partitionBy(*by).orderBy("ts")
-    days = bars.withColumn("prev_close", F.lag("close").over(w)).withColumn("w_new", F.col("local_date") != F.lag("local_date").over(w)).where("w_new")
-    # running sums up to the exit less those up to the entry: two as-of joins instead of a range join
-    total = F.sum(F.abs("prev_close")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    days = days.select(*by, F.col("ts").alias("day_ts"), total.alias("paid"))
+    days = with_previous(bars.select(*by, "ts", "close", "local_date"), tuple(by), "ts", {"prev_close": "close", "w_date": "local_date"}).where("local_date <> w_date")
+    # exact running sums up to the exit less those up to the entry: two as-of joins instead of a range join, and no error that grows with the history
+    days = with_running(days, tuple(by), ["ts"], {"paid": F.abs("prev_close").cast("decimal(38,9)")})
+    days = days.select(*by, F.col("ts").alias("day_ts"), F.col("paid"))
     life = trades.select("trade_id", *by, "size", "contract_size", "annual_rate", "entry_time", F.coalesce("exit_time", F.expr("TIMESTAMP_NTZ'9999-12-31 00:00:00'")).alias("w_end"))
     life = joins.asof(life, days, list(by), "entry_time", "day_ts", ["paid"], prefix="entry_")
     life = joins.asof(life, days, list(by), "w_end", "day_ts", ["paid"], prefix="exit_")
-    days_paid = F.coalesce("exit_paid", F.lit(0.0)) - F.coalesce("entry_paid", F.lit(0.0))
+    zero = F.lit(0).cast("decimal(38,9)")
+    days_paid = (F.coalesce("exit_paid", zero) - F.coalesce("entry_paid", zero)).cast("double")
     return life.select("trade_id", (days_paid * F.abs(F.col("size") * F.col("contract_size")) * F.col("annual_rate") / 365).alias("financing"))
 
 

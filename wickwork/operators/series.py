@@ -32,6 +32,28 @@ def with_previous(df: DataFrame, by: tuple[str, ...], ts: str, columns: dict[str
     return out.withColumn("w_prev", F.coalesce("w_prev", "w_in")).withColumns({new: F.col(f"w_prev.{new}") for new in columns}).drop("w_cell", "w_prev", "w_in")
 
 
+def with_following(df: DataFrame, by: tuple[str, ...], ts: str, columns: dict[str, str]) -> DataFrame:
+    """Adds for each ``new: old`` the value of ``old`` in the series' next row."""
+    rows = _with_cell(df, ts)
+    held = F.struct(*[F.col(old).alias(new) for new, old in columns.items()])
+    begins = rows.groupBy(*by, "w_cell").agg(F.min_by(held, ts).alias("w_begin"))
+    begins = begins.select(*by, "w_cell", F.lead("w_begin").over(Window.partitionBy(*by).orderBy("w_cell")).alias("w_out"))
+    inside = Window.partitionBy(*by, "w_cell").orderBy(ts)
+    out = rows.withColumn("w_then", F.lead(held).over(inside)).join(begins, [*by, "w_cell"])
+    return out.withColumn("w_then", F.coalesce("w_then", "w_out")).withColumns({new: F.col(f"w_then.{new}") for new in columns}).drop("w_cell", "w_then", "w_out")
+
+
+def with_later_product(df: DataFrame, by: tuple[str, ...], ts: str, factor: Column, out: str) -> DataFrame:
+    """Adds the product of ``factor`` over all rows after this one: inside its cell, times the product of the cells behind."""
+    rows = _with_cell(df, ts).withColumn("w_f", factor)
+    after = Window.partitionBy(*by).orderBy("w_cell").rowsBetween(1, Window.unboundedFollowing)
+    ends = rows.groupBy(*by, "w_cell").agg(F.product("w_f").alias("w_p"))
+    ends = ends.select(*by, "w_cell", F.coalesce(F.product("w_p").over(after), F.lit(1.0)).alias("w_p"))
+    inside = Window.partitionBy(*by, "w_cell").orderBy(ts).rowsBetween(1, Window.unboundedFollowing)
+    got = rows.withColumn("w_in", F.coalesce(F.product("w_f").over(inside), F.lit(1.0))).join(ends, [*by, "w_cell"])
+    return got.withColumn(out, F.col("w_in") * F.col("w_p")).drop("w_cell", "w_f", "w_in", "w_p")
+
+
 def with_running(df: DataFrame, by: tuple[str, ...], order: list[str], sums: dict[str, Column], cell: Column | None = None) -> DataFrame:
     """Adds running sums, this row included, in the order of ``order`` (the first of which is a time, or ``cell`` says in which cell of it a row lies)."""
     rows = (_with_cell(df, order[0]) if cell is None else df.withColumn("w_cell", cell)).withColumns({f"w_v_{n}": c for n, c in sums.items()})

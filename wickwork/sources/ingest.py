@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wickwork.operators import series
 from wickwork.schema import KEY
 from wickwork.sources.scratch import written
 
@@ -138,10 +139,9 @@ def decode_trendbars(raw: DataFrame, offset_minutes: int = 0) -> DataFrame:
 
 def adjust_splits(bars: DataFrame, split: str = "split") -> DataFrame:
     """Prices divided and volume multiplied by the product of all splits after the row; 0 or null is no split."""
-    w = Window.partitionBy(*KEY, "tf_seconds").orderBy("ts").rowsBetween(1, Window.unboundedFollowing)
     s = F.coalesce(F.when(F.col(split) != 0, F.col(split)), F.lit(1.0))
-    out = bars.withColumn("w_f", F.coalesce(F.product(s).over(w), F.lit(1.0)))
-    return out.withColumns({c: F.col(c) / F.col("w_f") for c in ("open", "high", "low", "close")} | {"volume": F.col("volume") * F.col("w_f")}).drop("w_f", split)
+    out = series.with_later_product(bars, (*KEY, "tf_seconds"), "ts", s, "w_after")
+    return out.withColumns({c: F.col(c) / F.col("w_after") for c in ("open", "high", "low", "close")} | {"volume": F.col("volume") * F.col("w_after")}).drop("w_after", split)
 
 
 def drop_bad(bars: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wickwork.schema import KEY
+from wickwork.sources.ingest import merge_table
 
 
 def unique_ticks(ticks: DataFrame, delay: str) -> DataFrame:
@@ -30,6 +31,19 @@ def tumbling(ticks: DataFrame, secs: int) -> DataFrame:
     return bars.select(*KEY, F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
+def upsert_sink(path: str):
+    """A ``foreachBatch`` function that keeps one row per key and bar in a Parquet table by day: the latest batch's.
+
+    A batch merges only the days that it touches. Rows carry the number of the batch that wrote them, so a batch that is replayed, alone or after later ones, changes nothing.
+    """
+
+    def merge(rows: DataFrame, batch: int) -> None:
+        dated = rows.withColumns({"day": F.date_format("ts", "yyyy-MM-dd"), "batch": F.lit(batch).cast("long")})
+        merge_table(path, dated, [*KEY, "ts"], ["batch", "volume"], ["day"])
+
+    return merge
+
+
 STATE = "open_utc timestamp, close_utc timestamp, open double, high double, low double, close double, volume double, last timestamp"
 OUT = "source string, ticker string, tf_seconds long, ts timestamp, open double, high double, low double, close double, volume double"
 
