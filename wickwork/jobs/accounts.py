@@ -310,3 +310,29 @@ def t9_equity_window(spark, sf_dir):
     bars, _ = q._blotter(spark, sf_dir)
     rows = q._equity(spark, sf_dir)[0].select(*KEY, "ts", "equity").join(bars.select(*KEY, "ts", "n"), [*KEY, "ts"])
     return q.rounded(signals.trading_window(rows, F.lit("2024-01-10").cast("timestamp_ntz"), {"n": 30}).select(*KEY, "ts", "equity"), 4)
+
+
+@q.job(
+    "x3_stream_indicators",
+    o.sql(
+        o.bars(), o.NUMBERED, q.LISTS, q.CHANGES, q.RSI, f"h AS (SELECT *, CASE WHEN n >= 15 THEN {o.wilder('up', 14)} END AS u, CASE WHEN n >= 15 THEN {o.wilder('dn', 14)} END AS d FROM g)",
+        final=f"""SELECT v.source, v.ticker, v.ts, v.n, CASE WHEN v.n >= 20 THEN round(list_sum(v.v[-20:]) / 20, 6) END AS sma, CASE WHEN v.n >= 20 THEN round({o.ema('v.v', 20)}, 6) END AS ema,
+ round(CASE WHEN d = 0 THEN 100 ELSE 100 - 100 / (1 + u / d) END, 6) AS rsi FROM v JOIN h USING (source, ticker, ts) WHERE v.ts <= (SELECT max(ts) - INTERVAL 3 HOUR FROM bars)""",
+    ),
+)
+def x3_stream_indicators(spark, sf_dir):
+    """SMA, EMA and RSI with keyed state over a stream of hourly bars, a third of which arrive two hours late; every bar that the watermark has passed."""
+    from wickwork.sources import ticks
+    from wickwork.sources.scratch import path
+    from wickwork.streaming import indicators as live
+
+    b = written(ticks.event_bars(spark, sf_dir, q.HOUR), "hours")
+    late = F.when(F.pmod(F.xxhash64(*KEY, "ts"), F.lit(3)) == 0, F.expr("ts + INTERVAL '2' HOUR")).otherwise(F.col("ts"))
+    b = b.select(*KEY, F.col("ts").cast("timestamp").alias("ts"), "close", F.floor(F.datediff(late, F.lit("2024-01-01").cast("date")) / 12).alias("part"))
+    where = path(spark, "stream-in")
+    # the bars that arrive in a stretch of days are a folder, in the order of the stretches
+    b.repartition("part").sortWithinPartitions(F.xxhash64(*KEY, "ts")).write.partitionBy("part").parquet(where)
+    with live.with_rocksdb(spark):
+        stream = spark.readStream.schema(b.schema).parquet(where).withWatermark("ts", "3 hours")
+        out = q._drained(spark, live.running(stream, 20, 14))
+    return q.rounded(out.select(*KEY, F.col("ts").cast("timestamp_ntz").alias("ts"), "n", "sma", "ema", "rsi"))
