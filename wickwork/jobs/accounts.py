@@ -336,3 +336,26 @@ def x3_stream_indicators(spark, sf_dir):
         stream = spark.readStream.schema(b.schema).parquet(where).withWatermark("ts", "3 hours")
         out = q._drained(spark, live.running(stream, 20, 14))
     return q.rounded(out.select(*KEY, F.col("ts").cast("timestamp_ntz").alias("ts"), "n", "sma", "ema", "rsi"))
+
+
+@q.job(
+    "i10_forming_function",
+    o.sql(
+        o.bars(), o.steps([4 * q.HOUR], q.HOUR),
+        "cp AS (SELECT source, ticker, tf_seconds, bar_no + 1 AS nx, max(high) OVER k AS h, min(low) OVER k AS l, avg(close) OVER k AS m, count(*) OVER k AS c FROM closed WINDOW k AS (PARTITION BY source, ticker, tf_seconds ORDER BY bar_no ROWS 8 PRECEDING))",
+        final="""SELECT s.source, s.ticker, s.step, CASE WHEN s.bar_no >= 10 THEN round(greatest(h, s.high), 6) END AS top, CASE WHEN s.bar_no >= 10 THEN round(least(l, s.low), 6) END AS bottom, CASE WHEN s.bar_no >= 10 THEN round((m * c + s.close) / (c + 1), 6) END AS middle
+ FROM steps s LEFT JOIN cp ON cp.source = s.source AND cp.ticker = s.ticker AND cp.tf_seconds = s.tf_seconds AND cp.nx = s.bar_no""",
+    ),
+)
+def i10_forming_function(spark, sf_dir):
+    """A user's pandas function (a channel with its middle) as seen at every hourly step of four-hour bars."""
+    import pandas as pd
+
+    from wickwork.operators import indicators, resample
+
+    def channel(bars):
+        return pd.DataFrame({"hi": bars["high"].rolling(10).max(), "lo": bars["low"].rolling(10).min(), "mid": bars["close"].rolling(10).mean()})
+
+    steps = written(q._steps(spark, sf_dir, [4 * q.HOUR]), "steps")
+    got = indicators.forming_function(steps, resample.bars_of(steps).where("is_closed"), channel, ["top", "bottom", "middle"], 10)
+    return q.rounded(got.select(*KEY, "step", "top", "bottom", "middle"))

@@ -254,12 +254,12 @@ def i9_adx(spark, sf_dir):
 
 @job("i10_library_function", _ind(f"SELECT source, ticker, ts, CASE WHEN n >= 10 THEN round(max(high) OVER w, 6) END AS top, CASE WHEN n >= 10 THEN round(min(low) OVER w, 6) END AS bottom FROM nb WINDOW w AS ({o.W} ROWS 9 PRECEDING)"))
 def i10_library_function(spark, sf_dir):
-    """A user's pandas function of the whole series (here a ten-bar channel)."""
+    """A user's pandas function (here a ten-bar channel, which looks back nine bars) over chunks of each series."""
 
     def channel(bars: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"hi": bars["high"].rolling(10).max(), "lo": bars["low"].rolling(10).min()})
 
-    return _lines(indicators.from_function(_numbered(spark, sf_dir), channel, ["top", "bottom"], 10), "top", "bottom")
+    return _lines(indicators.from_function(_numbered(spark, sf_dir), channel, ["top", "bottom"], 10, history=9), "top", "bottom")
 
 
 @job(

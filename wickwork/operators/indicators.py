@@ -6,17 +6,20 @@ tasks themselves; for those with a fixed lookback ``series.in_chunks`` does it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wickwork.operators import series
 from wickwork.operators.recurrence import ema as _ema
 from wickwork.operators.recurrence import wilder as _wilder
 from wickwork.operators.resample import SERIES
 from wickwork.operators.series import with_running
 
+OHLCV = ("open", "high", "low", "close", "volume")
+
 
 def numbered(bars: DataFrame, by=SERIES, order: str = "ts") -> DataFrame:
     return with_running(bars, tuple(by), [order], {"n": F.lit(1)})
@@ -132,12 +135,18 @@ def adx(bars: DataFrame, period: int = 14, by=SERIES) -> DataFrame:
     return b.drop("w_tr", "w_pdm", "w_mdm", "w_str", "w_spdm", "w_smdm", "w_dx")
 
 
-def from_function(bars: DataFrame, fn: Callable[[pd.DataFrame], pd.Series | pd.DataFrame], outputs: list[str], lookback: int, by=SERIES) -> DataFrame:
-    """A user's causal function of a series' OHLCV frame: its columns by position become ``outputs``; NaN and rows before ``lookback`` are null."""
+def from_function(bars: DataFrame, fn: Callable[[pd.DataFrame], pd.Series | pd.DataFrame], outputs: list[str], lookback: int, by=SERIES, history: int | None = None, rows: int | None = None) -> DataFrame:
+    """A user's causal function of a series' OHLCV frame: its columns by position become ``outputs``; NaN and rows before ``lookback`` are null.
+
+    With ``history``, the rows before a row that the function looks at, a series is dealt in chunks of ``rows``, each with the ``history`` rows before it; without it the function gets
+    a whole series at once.
+    """
+    if history is not None:
+        return series.in_chunks(bars, history, lambda b, keys: from_function(b, fn, outputs, lookback, keys), tuple(by), rows)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n").reset_index(drop=True)
-        got = fn(pdf[["open", "high", "low", "close", "volume"]])
+        got = fn(pdf[list(OHLCV)])
         got = got.to_frame() if isinstance(got, pd.Series) else got
         for k, name in enumerate(outputs):
             pdf[name] = got.iloc[:, k].astype(float).where(pdf["n"] >= lookback).to_numpy()
@@ -147,6 +156,37 @@ def from_function(bars: DataFrame, fn: Callable[[pd.DataFrame], pd.Series | pd.D
     return bars.groupBy(*by).applyInPandas(run, schema).withColumns({o: F.when(~F.isnan(o), F.col(o)) for o in outputs})
 
 
+def forming_function(steps: DataFrame, closed: DataFrame, fn: Callable[[pd.DataFrame], pd.Series | pd.DataFrame], outputs: list[str], lookback: int, by=SERIES) -> DataFrame:
+    """A user's function as seen at each base step: called with the last ``lookback - 1`` closed bars and the forming one, the last row is its value.
+
+    Each step meets the window of closed bars that ends one bar before by an equi-join; the windows go through the function batch by batch. Null while fewer bars are
+    visible, and for NaN.
+    """
+    bar = F.struct(*[F.col(c).cast("double").alias(c) for c in OHLCV])
+    w = Window.partitionBy(*by).orderBy("bar_no").rowsBetween(2 - lookback, 0)
+    none = F.array().cast("array<struct<open:double,high:double,low:double,close:double,volume:double>>")
+    state = closed.select(*by, (F.col("bar_no") + 1).alias("bar_no"), (F.collect_list(bar).over(w) if lookback > 1 else none).alias("w_bars"))
+    seen = steps.join(state, [*by, "bar_no"], "left").withColumn("w_bars", F.when(F.col("bar_no") >= lookback, F.concat(F.coalesce("w_bars", none), F.array(bar))))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            values = []
+            for bars in pdf["w_bars"]:
+                if bars is None:
+                    values.append([None] * len(outputs))
+                    continue
+                got = fn(pd.DataFrame.from_records([tuple(b[c] for c in OHLCV) for b in bars], columns=list(OHLCV)))
+                got = got.to_frame() if isinstance(got, pd.Series) else got
+                values.append([float(got.iloc[-1, k]) for k in range(len(outputs))])
+            pdf = pdf.drop(columns="w_bars")
+            for k, name in enumerate(outputs):
+                pdf[name] = pd.Series([v[k] for v in values], index=pdf.index, dtype="float64")
+            yield pdf
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in steps.select(*by, "bar_no", *[c for c in steps.columns if c not in (*by, "bar_no")]).schema.fields), *(f"`{o}` double" for o in outputs)])
+    return seen.mapInPandas(run, schema).withColumns({o: F.when(~F.isnan(o), F.col(o)) for o in outputs})
+
+
 def forming_sma(steps: DataFrame, closed: DataFrame, period: int, source: str = "close", by=SERIES, out: str = "sma") -> DataFrame:
     """SMA as seen at each base step: the last ``period - 1`` closed bars and the forming one, by a join on the bar before."""
     w = Window.partitionBy(*by).orderBy("bar_no").rowsBetween(2 - period, 0)
