@@ -221,20 +221,20 @@ _PERIODS = sorted({p for s in SETS for p in s})
     o.sql(
         o.bars(), o.NUMBERED, *[f"a{p} AS (SELECT source, ticker, n, {p} AS p, CASE WHEN n >= {p} THEN avg(close) OVER ({o.W} ROWS {p - 1} PRECEDING) END AS a FROM nb)" for p in _PERIODS],
         "al AS (" + " UNION ALL ".join(f"SELECT * FROM a{p}" for p in _PERIODS) + ")",
-        "ps AS (SELECT b.source, b.ticker || '#' || fp || '/' || sp AS ticker, b.ts, b.close, coalesce(f.a - s.a > 1e-9, false)::INT * 0.001::DOUBLE AS held FROM nb b JOIN (VALUES " + ", ".join(map(str, SETS)) + ") pm(fp, sp) ON true JOIN al f ON f.p = fp AND f.source = b.source AND f.ticker = b.ticker AND f.n = b.n JOIN al s ON s.p = sp AND s.source = b.source AND s.ticker = b.ticker AND s.n = b.n)",
+        "ps AS (SELECT b.source, b.ticker || '#' || fp || '/' || sp AS ticker, b.ts, b.close, coalesce(f.a - s.a > 1e-9, false)::INT * 0.0001::DOUBLE AS held FROM nb b JOIN (VALUES " + ", ".join(map(str, SETS)) + ") pm(fp, sp) ON true JOIN al f ON f.p = fp AND f.source = b.source AND f.ticker = b.ticker AND f.n = b.n JOIN al s ON s.p = sp AND s.source = b.source AND s.ticker = b.ticker AND s.n = b.n)",
         "rt AS (SELECT *, lag(held) OVER k * (close / nullif(lag(close) OVER k, 0) - 1) AS r FROM ps WINDOW k AS (PARTITION BY source, ticker ORDER BY ts))",
         "eq AS (SELECT source, ticker, ts, r, exp(sum(ln(greatest(1 + coalesce(r, 0), 1e-300))) OVER (PARTITION BY source, ticker ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS equity FROM rt)", q.METRICS.replace("CASE WHEN prev > 0 THEN equity / prev - 1 END AS ret", "r AS ret"),
         final=f"SELECT source, split_part(ticker, '#', 1) AS ticker, split_part(ticker, '#', 2) AS param_id, {q._out('total_return', 'cagr', 'sharpe', 'sortino', 'max_drawdown')} FROM mt",
     ),
 )
 def u8_sweep_curves(spark, sf_dir):
-    """U8, M1 to M6 per parameter set: a thousandth of the equity long while the fast average is above the slow one; all sets' curves side by side on one row per bar."""
+    """U8, M1 to M6 per parameter set: a ten-thousandth of the equity long while the fast average is above the slow one; all sets' curves side by side on one row per bar."""
     from wickwork.operators import indicators, metrics
 
     b = q._numbered(spark, sf_dir)
     for p in _PERIODS:
         b = indicators.sma(b, p, by=KEY, out=f"a{p}")
-    held = F.array(*[F.coalesce((F.col(f"a{f}") - F.col(f"a{s}") > 1e-9).cast("double") * 0.001, F.lit(0.0)) for f, s in SETS])
+    held = F.array(*[F.coalesce((F.col(f"a{f}") - F.col(f"a{s}") > 1e-9).cast("double") * 0.0001, F.lit(0.0)) for f, s in SETS])
     return q.rounded(metrics.sweep_metrics(b, held, [f"{f}/{s}" for f, s in SETS], list(KEY)))
 
 

@@ -580,11 +580,11 @@ def _blotter(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return bars, written(fills.blotter(t), "blotter")
 
 
-@job("f17_blotter", o.sql(*BLOTTER, final="SELECT trade_id, side, entry_time, exit_time, exit_reason, " + ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in ("entry_price", "exit_price", "financing", "gross_pnl", "costs", "net_pnl")) + " FROM blotter WHERE exit_time IS NOT NULL"))
+@job("f17_blotter", o.sql(*BLOTTER, final="SELECT trade_id, side, entry_time, exit_time, exit_reason, " + ", ".join(f"round({n}, 9) + 0.0 AS {n}" for n in ("entry_price", "exit_price", "financing", "gross_pnl", "costs", "net_pnl")) + " FROM blotter WHERE exit_time IS NOT NULL"))
 def f17_blotter(spark, sf_dir):
     """Closed trades with spread, slippage, commissions and financing."""
     t = _blotter(spark, sf_dir)[1].where("exit_time is not null")
-    return rounded(t.select("trade_id", "side", "entry_time", "exit_time", "exit_reason", "entry_price", "exit_price", "financing", "gross_pnl", "costs", "net_pnl"))
+    return rounded(t.select("trade_id", "side", "entry_time", "exit_time", "exit_reason", "entry_price", "exit_price", "financing", "gross_pnl", "costs", "net_pnl"), 9)  # as many digits as products of prices, slippage and fees have: no ties
 
 
 @job("f20_open_trades", o.sql(*BLOTTER, final=f"SELECT trade_id, side, entry_time, {_out('entry_price', 'stop_loss', 'take_profit')} FROM blotter WHERE exit_time IS NULL"))
