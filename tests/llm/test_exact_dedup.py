@@ -52,6 +52,23 @@ def test_hot_group_spreads(spark, monkeypatch):
     assert {(x["keep_id"], x["group_size"]) for x in r} == {(0, 1000)} and [x["doc_id"] for x in r if x["kept"]] == [0]
 
 
+def test_one_id_of_many_rows_spreads(spark, monkeypatch):
+    """A third of all rows with one text and one id (or null): rows are combined before the sort, and each comes back once."""
+    monkeypatch.setattr(exact_dedup, "MIN_HOT", 50)
+    rows = [(1, "same  text", i) for i in range(1000)] + [(None, "null\tids", i) for i in range(700)] + [(9, "null ids", -1), (3, "same text", -2), (0, "other", -3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, w_part int").repartition(6)
+    got = exact_dedup.grouped(df).collect()
+    want, texts = brute([r[:2] for r in rows])
+    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in got) == want
+    assert sorted(r["doc_id"] for r in got if r["kept"]) == [0, 1, 9] and texts == 3
+    stay = exact_dedup.drop_copies(df)
+    assert stay.columns == df.columns and sorted(r["doc_id"] for r in stay.collect()) == [0, 1, 9]
+    only = spark.createDataFrame([(None, "a  b")] * 400, "doc_id long, text string").repartition(5)
+    got = exact_dedup.grouped(only).collect()
+    assert len(got) == 400 and sum(r["kept"] for r in got) == 1 and {(r["keep_id"], r["group_size"]) for r in got} == {(None, 400)}
+    assert exact_dedup.drop_copies(only).count() == 1
+
+
 def test_native(spark):
     plan = exact_dedup.grouped(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
