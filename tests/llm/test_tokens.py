@@ -47,6 +47,19 @@ def test_long_runs():
         assert codec_of(bpe.LEAF).encode([text])[0] == lib(text)
 
 
+def test_threads_share_long_runs(monkeypatch):
+    """More leaves than SPREAD: parts of leaves side by side, in any number, give the library's ids."""
+    import random
+
+    random.seed(4)
+    codec = bpe.Codec(leaf=16)
+    for leaves in (65, 127, 301):
+        text = "".join(random.choice(["the", "ing", "a", "é", "中", "!", "7", "'s"]) for _ in range(8 * leaves))
+        for threads in (2, 3, 4):
+            monkeypatch.setattr(bpe, "THREADS", threads)
+            assert codec.encode([text])[0] == lib(text)
+
+
 CASES = [(1, "Hello  World's <|endoftext|> x"), (2, None), (2, ""), (None, "a" * 5000), (3, "naïve é " * 3000), (3, "naïve é " * 3000)]
 
 

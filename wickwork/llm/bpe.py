@@ -2,7 +2,8 @@
 
 Texts are cut at ASCII white space, where this tokenizer always splits, and pieces are encoded in
 batches. A piece beyond ``LEAF`` characters has no such cut: it is normalised, halved again and
-again, its leaves are encoded as one batch, and the halves are joined bottom-up. At each join a
+again, its leaves are encoded (beyond ``SPREAD`` leaves by ``THREADS`` threads side by side; the encoder
+lets go of Python's lock) and the halves are joined bottom-up. At each join a
 window around the cut is encoded anew and grows until both sides agree exactly: it begins with
 the left side's token at the window's start, and it holds a token of the right side at the same
 place. A BPE token sequence is the encoding of its text exactly when each adjacent pair of tokens
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +33,8 @@ from wickwork.llm.common import sliced
 
 #: Characters of a leaf, and tokens of the first window on each side of a join.
 LEAF, WINDOW = 512, 8
+#: Leaves of a text beyond which threads share its leaves and joins, and their number.
+SPREAD, THREADS = 64, 4
 
 
 class Codec:
@@ -83,18 +87,25 @@ class Codec:
         level = [run]
         while max(map(len, level)) > self.leaf:
             level = [h for s in level for h in ((s[: len(s) // 2], s[len(s) // 2 :]) if len(s) > self.leaf else (s,))]
-        texts = [s.encode() for s in level]
-        ids = [e.ids for e in self.plain.encode_batch_fast(level, add_special_tokens=False)]
-        while len(ids) > 1:
-            joined, bytes_ = [], []
-            for k in range(0, len(ids) - 1, 2):
-                joined.append(self.join(texts[k], ids[k], texts[k + 1], ids[k + 1]))
-                bytes_.append(texts[k] + texts[k + 1])
-            if len(ids) % 2:
-                joined.append(ids[-1])
-                bytes_.append(texts[-1])
-            ids, texts = joined, bytes_
-        return ids[0]
+        if len(level) <= SPREAD:
+            return self.joined(level)[1]
+        # Halves side by side, down to as many parts as there are threads; then the joins between the parts.
+        size = -(-len(level) // THREADS)
+        with ThreadPoolExecutor(THREADS) as pool:
+            parts = list(pool.map(self.joined, [level[k : k + size] for k in range(0, len(level), size)]))
+        return self.rising(parts)[1]
+
+    def joined(self, leaves: list[str]) -> tuple[bytes, list[int]]:
+        """Neighbouring leaves as one text and its ids."""
+        found = self.plain.encode_batch_fast(leaves, add_special_tokens=False)
+        return self.rising([(s.encode(), e.ids) for s, e in zip(leaves, found, strict=True)])
+
+    def rising(self, parts: list[tuple[bytes, list[int]]]) -> tuple[bytes, list[int]]:
+        """Joins of neighbours by levels."""
+        while len(parts) > 1:
+            pairs = [(x[0] + y[0], self.join(*x, *y)) for x, y in zip(parts[::2], parts[1::2])]
+            parts = pairs + parts[len(parts) & ~1 :]
+        return parts[0]
 
     def join(self, left: bytes, a: list[int], right: bytes, b: list[int]) -> list[int]:
         text, cut = left + right, len(left)
