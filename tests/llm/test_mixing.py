@@ -107,3 +107,11 @@ def test_hot_join(spark, monkeypatch, how):
     left = common.written(spark.createDataFrame([(k % 5 if k % 2 else 0, k) for k in range(300)], "a long, x long"), "left")
     right = spark.createDataFrame([(k, -k) for k in (0, 1, 2, 9)], "a long, y long")
     assert sorted(map(str, common.hot_join(left, right, ["a"], how).select("a", "x", "y").collect())) == sorted(map(str, left.join(right, ["a"], how).select("a", "x", "y").collect()))
+
+
+def test_equals_are_numbered_by_their_other_columns(spark):
+    """Rows with equal id, text and source but other columns: the same ones stay, however a task orders them."""
+    rows = [(1, "a b c", "s", k) for k in range(9)] + [(k, "w w", "s", 0) for k in range(2, 40)]
+    first = spark.createDataFrame(rows, "doc_id long, text string, source string, other int").coalesce(1)
+    second = spark.createDataFrame(rows[::-1], first.schema).coalesce(1)
+    assert sorted(map(tuple, mixing.take(first).collect())) == sorted(map(tuple, mixing.take(second).collect()))

@@ -9,7 +9,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of whole texts that a function handles at a time.
@@ -92,18 +92,19 @@ def hot_keys(counts: DataFrame, key: list[str]) -> DataFrame | None:
     return written(counts.where(F.col("w_rows") > limit).select(*key, F.ceil(F.col("w_rows") / limit).cast("int").alias("w_salts")), "hot-keys")
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner", hot: DataFrame | None = None, known: bool = False) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner", hot: DataFrame | None = None, known: bool = False, spread: Column | None = None) -> DataFrame:
     """``left.join(right, key, how)`` where a few keys may hold a large part of ``left``, and ``right`` has few rows a key.
 
     The rows of a hot key are dealt over salts, and its right rows copied to each of them. The hot keys (``hot``, if ``known``; else counted,
-    in each task first) are HOT_PARTS at most, a proven bound for their broadcast.
+    in each task first) are HOT_PARTS at most, a proven bound for their broadcast. Salts come from ``spread``, which
+    tells the rows of a key apart, or from the rows' places, which only a written ``left`` keeps if a task runs again.
     """
     if not known:
         hot = hot_keys(left.groupBy(*key).agg(F.count(F.lit(1)).alias("w_rows")), key)
     if hot is None:
         return left.join(right, key, how)
     hot = F.broadcast(hot)
-    rows = left.join(hot, key, "left").withColumn("w_salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("w_salts", F.lit(1))).cast("int")).drop("w_salts")
+    rows = left.join(hot, key, "left").withColumn("w_salt", F.pmod(F.monotonically_increasing_id() if spread is None else spread, F.coalesce("w_salts", F.lit(1))).cast("int")).drop("w_salts")
     copies = right.join(hot, key, "left").withColumn("w_salt", F.explode(F.sequence(F.lit(0), F.coalesce("w_salts", F.lit(1)) - 1))).drop("w_salts")
     return rows.join(copies, [*key, "w_salt"], how).drop("w_salt")
 
@@ -123,8 +124,8 @@ def before_each(df: DataFrame, order: list, sums: dict, name: str) -> DataFrame:
     return out.withColumns({n: F.col(n) + F.col(f"w_{n}") for n in sums}).drop("w_range", *[f"w_{n}" for n in sums])
 
 
-def numbered_equals(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Numbers rows of equal ``key`` from 1 as ``w_no``, whichever of them comes first; a key with very many rows is spread.
+def numbered_equals(df: DataFrame, key: str, name: str, tie: Column | None = None) -> DataFrame:
+    """Numbers rows of equal ``key`` from 1 as ``w_no``, by ``tie`` where they differ; a key with very many rows is spread.
 
     Rows are numbered within the partitions they were read in, behind those of the partitions before.
     """
@@ -133,6 +134,6 @@ def numbered_equals(df: DataFrame, key: str, name: str) -> DataFrame:
     many = counts.groupBy(key).agg(F.count(F.lit(1)).alias("w_parts")).where("w_parts > 1").select(key)
     before = Window.partitionBy(key).orderBy("w_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     shift = counts.join(many, key, "left_semi").select(key, "w_part", F.coalesce(F.sum("w_c").over(before), F.lit(0)).alias("w_shift"))
-    own = F.row_number().over(Window.partitionBy(key, "w_part").orderBy(key))
+    own = F.row_number().over(Window.partitionBy(key, "w_part").orderBy(F.col(key) if tie is None else tie))
     out = dealt.withColumn("w_no", own).join(shift, [key, "w_part"], "left")
     return out.withColumn("w_no", (F.col("w_no") + F.coalesce("w_shift", F.lit(0))).cast("int")).drop("w_part", "w_shift")

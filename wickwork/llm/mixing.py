@@ -120,7 +120,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         rows = small.join(F.broadcast(goal), F.col("w_source").eqNullSafe(F.col("w_goal_source"))).drop("w_goal_source")
     else:
         named = lambda c: F.concat(F.when(F.col(c).isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce(c, F.lit("")))
-        rows = hot_join(small.withColumn("w_name", named("w_source")), goal.select(named("w_goal_source").alias("w_name"), "w_total", "w_rows", "w_target"), ["w_name"]).drop("w_name")
+        rows = hot_join(small.withColumn("w_name", named("w_source")), goal.select(named("w_goal_source").alias("w_name"), "w_total", "w_rows", "w_target"), ["w_name"], spread=F.xxhash64("w_key", "w_no")).drop("w_name")
     rate = F.when(F.col("w_total") > 0, F.col("w_target") / F.col("w_total")).otherwise(F.lit(0.0))
     rate = F.when(F.abs(rate - F.round(rate)) < EPS, F.round(rate)).otherwise(rate)  # else rounding errors were drawn on
     state = rows.withColumn("w_base", F.floor(rate)).withColumn("w_p", rate - F.floor(rate)).withColumn("w_blocks", F.greatest(F.lit(1).cast("long"), F.floor(F.col("w_rows") / BLOCK)))
@@ -155,7 +155,7 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     # equal rows share their copies: few rows, or few texts many times over
     keys = several.select("w_key")
     many = rows.join(F.broadcast(keys) if n_several <= HOT_PARTS else keys, "w_key", "left_semi")
-    many = hot_join(numbered_equals(many, "w_key", "mix-equals"), several, ["w_key"])
+    many = hot_join(numbered_equals(many, "w_key", "mix-equals", F.xxhash64(F.to_json("w_row"))), several, ["w_key"], spread=F.col("w_no"))
     many = many.select("w_row", (F.floor(F.col("w_sum") / F.col("w_same")) + (F.col("w_no") <= F.col("w_sum") % F.col("w_same")).cast("long")).alias("w_copies"))
     return _copied(one.unionByName(many))
 
