@@ -50,3 +50,32 @@ def test_forming_steps(spark):
         want = spread(seen).iloc[-1]
         for v, w in zip(got[row[3], row[4]], want, strict=True):
             assert (v is None) == (row[3] < 5) and (v is None or abs(v - w) < 1e-12)
+
+
+def test_fixed_lookbacks_spread(spark, monkeypatch):
+    """One symbol over many chunks gives the rows of one window over its whole series, closed and forming."""
+    from pyspark.sql import functions as F
+
+    from wickwork.operators import series, signals
+
+    r = random.Random(9)
+    rows = [("s", "x", 3600, T0 + dt.timedelta(hours=k), *(r.random() + 1 for _ in range(5)), k + 1) for k in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    closed = df.withColumn("bar_no", F.col("n")).drop("n")
+    steps = closed.withColumn("close", F.col("close") * 1.01)
+    by = ("source", "ticker", "tf_seconds")
+
+    def rows_of():
+        made = [
+            indicators.averages(df, {"a": (5, "close"), "b": (20, "volume")}),
+            *[f(df) for f in (indicators.rsi, indicators.atr, indicators.bollinger, indicators.fractals, indicators.fair_value_gap, indicators.adx)],
+            signals.drop_from_peak(df, 12, 0.1, by),
+            *[f(steps, closed, *a) for f, a in ((indicators.forming_sma, (20,)), (indicators.forming_ema, (5,)), (indicators.forming_rsi, ()), (indicators.forming_bollinger, ()), (indicators.forming_fractals, ()), (indicators.forming_adx, ()))],
+        ]
+        return [sorted(tuple(round(v, 9) if isinstance(v, float) else str(v) for v in x) for x in m.drop("ts").collect()) for m in made]
+
+    whole = rows_of()
+    monkeypatch.setattr(series, "CHUNK_ROWS", 8)
+    assert rows_of() == whole and all(len(x) == 300 for x in whole)
+    seen = series.in_chunks(df, 2, lambda b, keys: b.withColumn("task", F.col("w_chunk")), by).select("task").distinct().count()
+    assert seen == 38

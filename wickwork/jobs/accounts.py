@@ -232,8 +232,7 @@ def u8_sweep_curves(spark, sf_dir):
     from wickwork.operators import indicators, metrics
 
     b = q._numbered(spark, sf_dir)
-    for p in _PERIODS:
-        b = indicators.sma(b, p, by=KEY, out=f"a{p}")
+    b = indicators.averages(b, {f"a{p}": (p, "close") for p in _PERIODS}, KEY)
     held = F.array(*[F.coalesce((F.col(f"a{f}") - F.col(f"a{s}") > 1e-9).cast("double") * 0.0001, F.lit(0.0)) for f, s in SETS])
     return q.rounded(metrics.sweep_metrics(b, held, [f"{f}/{s}" for f, s in SETS], list(KEY)))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wickwork.functions import sessions, timeframe
 from wickwork.jobs import oracle as o
-from wickwork.operators import advisor, fills, indicators, joins, metrics, resample, signals
+from wickwork.operators import advisor, fills, indicators, joins, metrics, resample, series, signals
 from wickwork.schema import KEY, instruments
 from wickwork.sources import ingest, ticks
 from wickwork.sources.scratch import path, written
@@ -170,7 +170,7 @@ LISTS = f"v AS (SELECT *, list(close) OVER ({o.W}) AS v FROM nb)"
 @job("i1_sma", _ind(f"SELECT source, ticker, ts, CASE WHEN n >= 20 THEN round(avg(close) OVER ({o.W} ROWS 19 PRECEDING), 6) END AS sma, CASE WHEN n >= 5 THEN round(avg(volume) OVER ({o.W} ROWS 4 PRECEDING), 6) END AS volume_sma FROM nb"))
 def i1_sma(spark, sf_dir):
     """I1."""
-    return _lines(indicators.sma(indicators.sma(_numbered(spark, sf_dir), 20), 5, "volume", out="volume_sma"), "sma", "volume_sma")
+    return _lines(indicators.averages(_numbered(spark, sf_dir), {"sma": (20, "close"), "volume_sma": (5, "volume")}), "sma", "volume_sma")
 
 
 @job("i2_ema", _ind(f"SELECT source, ticker, ts, CASE WHEN n >= 20 THEN round({o.ema('v', 20)}, 6) END AS ema, CASE WHEN n >= 200 THEN round({o.ema('v', 200)}, 6) END AS slow_ema FROM v", LISTS))
@@ -393,8 +393,8 @@ def j1_reference_asof(spark, sf_dir):
     b = _hours(spark, sf_dir)
     t = ticks.event_ticks(spark, sf_dir).withColumn("ticker", F.lit("all"))
     ref = indicators.sma(indicators.numbered(ticks.base_bars(t, DAY)), 1)
-    w = Window.partitionBy(*KEY).orderBy("n").rowsBetween(-1, 0)
-    ref = written(ref.withColumn("ema", F.avg("close").over(w)).select("ts", "close", "ema"), "reference")
+    ref = series.looking_back(ref, 1, lambda w: {"ema": F.avg("close").over(w.rowsBetween(-1, 0))}, KEY)
+    ref = written(ref.select("ts", "close", "ema"), "reference")
     out = signals.regime(b, ref).select(*KEY, "ts", "ref_close", F.col("ref_ema").alias("ref_sma"))
     safe = signals.regime(b, ref, available_at="close", secs=DAY).select(*KEY, "ts", F.col("ref_close").alias("safe_close"))
     return rounded(out.join(safe, [*KEY, "ts"]))
@@ -405,9 +405,12 @@ SWINGS = """sw AS (SELECT source, ticker, ts, n, lag(ts) OVER k AS swing_ts, lag
 
 def _swings(bars: DataFrame) -> DataFrame:
     """Confirmed swings: the bar before the one that confirms it."""
-    w = Window.partitionBy(*KEY).orderBy("n")
-    f = indicators.fractals(bars)
-    return f.select(*KEY, F.lag("ts").over(w).alias("ts"), F.col("ts").alias("confirmed_ts"), F.lag("low").over(w).alias("low"), F.lag("high").over(w).alias("high"), "fractal_up", "fractal_down").where("fractal_up = 1 or fractal_down = 1")
+
+    def of(b: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        return series.looking_back(indicators.fractals(b, keys), 2, lambda w: {f"before_{c}": F.lag(c).over(w) for c in ("ts", "low", "high")}, keys)
+
+    f = series.in_chunks(bars, 2, of, KEY)
+    return f.select(*KEY, F.col("before_ts").alias("ts"), F.col("ts").alias("confirmed_ts"), F.col("before_low").alias("low"), F.col("before_high").alias("high"), "fractal_up", "fractal_down").where("fractal_up = 1 or fractal_down = 1")
 
 
 @job(
@@ -747,7 +750,7 @@ def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     closed = resample.bars_of(steps).where("is_closed")
     trend = indicators.forming_sma(steps, closed, 20, out="trend").select(*KEY, F.col("step").alias("ts"), "trend", "bar_no")
     b = indicators.numbered(hours)
-    b = indicators.sma(indicators.sma(b, 10, by=KEY, out="fast"), 30, by=KEY, out="slow").withColumn("slow", F.col("slow") + 1e-9)
+    b = indicators.averages(b, {"fast": (10, "close"), "slow": (30, "close")}, KEY).withColumn("slow", F.col("slow") + 1e-9)
     return signals.sma_cross(fills.with_next(b.join(trend, [*KEY, "ts"])))
 
 
@@ -818,8 +821,8 @@ def _setups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     b = _numbered(spark, sf_dir)
     steps = written(resample.forming(b.drop("n"), instruments(b), [4 * HOUR], HOUR), "steps")
     trend = indicators.forming_ema(steps, resample.bars_of(steps).where("is_closed"), 20, out="trend").select(*KEY, F.col("step").alias("ts"), "trend")
-    first = F.lag("ts", 2).over(Window.partitionBy(*KEY).orderBy("n"))
-    gaps = indicators.fair_value_gap(b.withColumn("first_ts", first)).select(*KEY, "n", "ts", "first_ts", "high", "low", "close", "bullish", "bearish", "gap_top", "gap_bottom")
+    first = series.looking_back(b, 2, lambda w: {"first_ts": F.lag("ts", 2).over(w)}, KEY)
+    gaps = indicators.fair_value_gap(first).select(*KEY, "n", "ts", "first_ts", "high", "low", "close", "bullish", "bearish", "gap_top", "gap_bottom")
     swings = written(_swings(b), "swings")
     s = signals.gap_setups(written(gaps.join(trend, [*KEY, "ts"]), "gaps"), swings, HOUR, 0.5)
     return b, written(s.withColumn("setup_id", F.concat_ws(":", *KEY, F.col("n").cast("string"))), "setups"), swings
@@ -905,8 +908,7 @@ def u8_parameter_sweep(spark, sf_dir):
     """U8, G1 per parameter set: each distinct average once, whatever number of sets uses it."""
     b = indicators.numbered(ticks.event_bars(spark, sf_dir, HOUR, "user_id"))
     sets = [(5, 20), (10, 30), (20, 60)]
-    for p in sorted({p for s in sets for p in s}):
-        b = indicators.sma(b, p, out=f"a{p}")
+    b = indicators.averages(b, {f"a{p}": (p, "close") for s in sets for p in s})
     rows = b.select(*KEY, F.explode(F.array(*[F.struct(F.lit(f"{f}/{s}").alias("param_id"), F.col(f"a{f}").alias("fast"), F.col(f"a{s}").alias("slow")) for f, s in sets])).alias("x")).select(*KEY, "x.*")
     return rows.groupBy("param_id", *KEY).agg(F.count_if(F.col("fast") - F.col("slow") > 1e-9).alias("long_bars"), F.count("slow").alias("warm_bars"))
 
@@ -1237,8 +1239,7 @@ SETS = [(5, 20), (10, 30), (20, 60)]
 def u8_sweep_trades(spark, sf_dir):
     """Trade statistics per parameter set and symbol; bars and averages are made once, exits found for the trades of all sets in one join."""
     b = indicators.numbered(ticks.event_bars(spark, sf_dir, HOUR))
-    for p in sorted({p for s in SETS for p in s}):
-        b = indicators.sma(b, p, by=KEY, out=f"a{p}")
+    b = indicators.averages(b, {f"a{p}": (p, "close") for s in SETS for p in s}, KEY)
     b = written(fills.with_next(b), "sweep")
     each = F.explode(F.array(*[F.struct(F.lit(f"{f}/{s}").alias("param_id"), (F.col(f"a{f}") - F.col(f"a{s}") > 1e-9).alias("enter")) for f, s in SETS]))
     c = b.where("next_ts is not null").withColumn("x", each).where("x.enter").select(

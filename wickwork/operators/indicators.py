@@ -1,7 +1,7 @@
 """Indicators over closed bars: one row per bar, null until enough bars have been seen.
 
-``bars`` have a number ``n`` per series (``numbered``). ``by`` are the columns of a series. Averages with memory spread a long series over
-tasks themselves; for those with a fixed lookback ``series.in_chunks`` does it.
+``bars`` have a number ``n`` per series (``numbered``). ``by`` are the columns of a series. All spread a long series over tasks: averages with
+memory by chained chunks (``recurrence``), those with a fixed lookback by chunks that hold it (``series.looking_back``).
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from wickwork.operators import series
 from wickwork.operators.recurrence import ema as _ema
 from wickwork.operators.recurrence import wilder as _wilder
 from wickwork.operators.resample import SERIES
-from wickwork.operators.series import with_running
+from wickwork.operators.series import looking_back, with_running
 
 OHLCV = ("open", "high", "low", "close", "volume")
 
@@ -25,12 +26,14 @@ def numbered(bars: DataFrame, by=SERIES, order: str = "ts") -> DataFrame:
     return with_running(bars, tuple(by), [order], {"n": F.lit(1)})
 
 
-def _series(by):
-    return Window.partitionBy(*by).orderBy("n")
+def averages(bars: DataFrame, lines: dict[str, tuple[int, str]], by=SERIES) -> DataFrame:
+    """Simple averages (name: period, source) that share one shuffle."""
+    value = lambda w, p, source: F.when(F.col("n") >= p, F.avg(source).over(w.rowsBetween(1 - p, 0)))
+    return looking_back(bars, max(p for p, _ in lines.values()), lambda w: {out: value(w, p, source) for out, (p, source) in lines.items()}, by)
 
 
 def sma(bars: DataFrame, period: int, source: str = "close", by=SERIES, out: str = "sma") -> DataFrame:
-    return bars.withColumn(out, F.when(F.col("n") >= period, F.avg(source).over(_series(by).rowsBetween(1 - period, 0))))
+    return averages(bars, {out: (period, source)}, by)
 
 
 def ema(bars: DataFrame, period: int, source: str = "close", by=SERIES, out: str = "ema") -> DataFrame:
@@ -39,8 +42,7 @@ def ema(bars: DataFrame, period: int, source: str = "close", by=SERIES, out: str
 
 def _gains(bars: DataFrame, period: int, by) -> DataFrame:
     """``w_up`` and ``w_dn``, the gain and loss of each bar, and their averages ``w_gain`` and ``w_loss``."""
-    change = F.col("close") - F.lag("close").over(_series(by))
-    b = bars.withColumn("w_ch", change).withColumn("w_n1", F.when(F.col("n") > 1, F.col("n") - 1))
+    b = looking_back(bars, 1, lambda w: {"w_ch": F.col("close") - F.lag("close").over(w)}, by).withColumn("w_n1", F.when(F.col("n") > 1, F.col("n") - 1))
     b = b.withColumns({"w_up": F.greatest("w_ch", F.lit(0.0)), "w_dn": F.greatest(-F.col("w_ch"), F.lit(0.0))})
     return _wilder(b, {"w_gain": F.col("w_up"), "w_loss": F.col("w_dn")}, "w_n1", period, by)
 
@@ -56,8 +58,12 @@ def rsi(bars: DataFrame, period: int = 14, by=SERIES, out: str = "rsi") -> DataF
 
 def true_range(bars: DataFrame, by=SERIES, out: str = "true_range") -> DataFrame:
     """From the second bar on."""
-    pc = F.lag("close").over(_series(by))
-    return bars.withColumn(out, F.when(F.col("n") > 1, F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc))))
+
+    def of(w) -> dict[str, Column]:
+        pc = F.lag("close").over(w)
+        return {out: F.when(F.col("n") > 1, F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc)))}
+
+    return looking_back(bars, 1, of, by)
 
 
 def atr(bars: DataFrame, period: int = 14, by=SERIES, out: str = "atr") -> DataFrame:
@@ -75,32 +81,36 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, by=SE
 
 def bollinger(bars: DataFrame, period: int = 20, width: float = 2.0, by=SERIES) -> DataFrame:
     """``lower``, ``middle`` and ``upper``: mean and population deviation of closes."""
-    w = _series(by).rowsBetween(1 - period, 0)
     full = F.col("n") >= period
-    b = bars.withColumn("middle", F.when(full, F.avg("close").over(w))).withColumn("w_sd", F.when(full, F.stddev_pop("close").over(w)))
+    lines = {"middle": F.avg("close"), "w_sd": F.stddev_pop("close")}
+    b = looking_back(bars, period, lambda w: {n: F.when(full, c.over(w.rowsBetween(1 - period, 0))) for n, c in lines.items()}, by)
     return b.withColumn("upper", F.col("middle") + width * F.col("w_sd")).withColumn("lower", F.col("middle") - width * F.col("w_sd")).drop("w_sd")
 
 
 def fractals(bars: DataFrame, by=SERIES) -> DataFrame:
     """``fractal_up`` and ``fractal_down`` (1.0 or 0.0) of the bar before, known one bar later; null before the third bar."""
-    w = _series(by)
-    h1, h2, l1, l2 = F.lag("high", 1).over(w), F.lag("high", 2).over(w), F.lag("low", 1).over(w), F.lag("low", 2).over(w)
     flag = lambda c: F.when(F.col("n") >= 3, c.cast("double"))
-    return bars.withColumn("fractal_up", flag((h2 < h1) & (F.col("high") <= h1))).withColumn("fractal_down", flag((l2 > l1) & (F.col("low") >= l1)))
+
+    def of(w) -> dict[str, Column]:
+        h1, h2, l1, l2 = F.lag("high", 1).over(w), F.lag("high", 2).over(w), F.lag("low", 1).over(w), F.lag("low", 2).over(w)
+        return {"fractal_up": flag((h2 < h1) & (F.col("high") <= h1)), "fractal_down": flag((l2 > l1) & (F.col("low") >= l1))}
+
+    return looking_back(bars, 2, of, by)
 
 
 def fair_value_gap(bars: DataFrame, by=SERIES) -> DataFrame:
     """``bullish`` and ``bearish`` (1.0 or 0.0), ``gap_top`` and ``gap_bottom`` of three bars; null before the third."""
-    w = _series(by)
-    h, lo = F.lag("high", 2).over(w), F.lag("low", 2).over(w)
+    b = looking_back(bars, 2, lambda w: {"w_h2": F.lag("high", 2).over(w), "w_l2": F.lag("low", 2).over(w)}, by)
+    h, lo = F.col("w_h2"), F.col("w_l2")
     full = F.col("n") >= 3
     bull = full & (h < F.col("low"))
     bear = full & ~bull & (lo > F.col("high"))
     return (
-        bars.withColumn("bullish", F.when(full, bull.cast("double")))
+        b.withColumn("bullish", F.when(full, bull.cast("double")))
         .withColumn("bearish", F.when(full, bear.cast("double")))
         .withColumn("gap_top", F.when(bull, F.col("low")).when(bear, lo))
         .withColumn("gap_bottom", F.when(bull, h).when(bear, F.col("high")))
+        .drop("w_h2", "w_l2")
     )
 
 
@@ -118,9 +128,12 @@ def _directions(tr: Column, plus: Column, minus: Column) -> tuple[Column, Column
 
 def _directed(bars: DataFrame, period: int, by) -> DataFrame:
     """``w_tr``, ``w_pdm``, ``w_mdm`` and their averages ``w_str``, ``w_spdm``, ``w_smdm``; ``w_dx`` and its average ``adx``."""
-    w = _series(by)
-    up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
-    b = true_range(bars, by, "w_tr").withColumn("w_n1", F.when(F.col("n") > 1, F.col("n") - 1)).withColumn("w_u", up).withColumn("w_d", down)
+
+    def of(b: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        moved = {"w_u": lambda w: F.col("high") - F.lag("high").over(w), "w_d": lambda w: F.lag("low").over(w) - F.col("low")}
+        return looking_back(true_range(b, keys, "w_tr"), 1, lambda w: {n: c(w) for n, c in moved.items()}, keys)
+
+    b = series.in_chunks(bars, 1, of, tuple(by)).withColumn("w_n1", F.when(F.col("n") > 1, F.col("n") - 1))
     b = b.withColumns(_moves(F.col("w_u"), F.col("w_d")))
     b = _wilder(b, {f"w_s{line}": F.col(f"w_{line}") for line in ("tr", "pdm", "mdm")}, "w_n1", period, by)
     plus, minus, dx = _directions(F.col("w_str"), F.col("w_spdm"), F.col("w_smdm"))
@@ -163,10 +176,9 @@ def forming_function(steps: DataFrame, closed: DataFrame, fn: Callable[[pd.DataF
     visible, and for NaN.
     """
     bar = F.struct(*[F.col(c).cast("double").alias(c) for c in OHLCV])
-    w = Window.partitionBy(*by).orderBy("bar_no").rowsBetween(2 - lookback, 0)
     none = F.array().cast("array<struct<open:double,high:double,low:double,close:double,volume:double>>")
-    state = closed.select(*by, (F.col("bar_no") + 1).alias("bar_no"), (F.collect_list(bar).over(w) if lookback > 1 else none).alias("w_bars"))
-    seen = steps.join(state, [*by, "bar_no"], "left").withColumn("w_bars", F.when(F.col("bar_no") >= lookback, F.concat(F.coalesce("w_bars", none), F.array(bar))))
+    state = lambda w: {"w_bars": F.collect_list(bar).over(w.rowsBetween(2 - lookback, 0)) if lookback > 1 else none}
+    seen = _seen(steps, _numbered_closed(closed), state, by, lookback).withColumn("w_bars", F.when(F.col("bar_no") >= lookback, F.concat(F.coalesce("w_bars", none), F.array(bar))))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -189,19 +201,15 @@ def forming_function(steps: DataFrame, closed: DataFrame, fn: Callable[[pd.DataF
 
 def forming_sma(steps: DataFrame, closed: DataFrame, period: int, source: str = "close", by=SERIES, out: str = "sma") -> DataFrame:
     """SMA as seen at each base step: the last ``period - 1`` closed bars and the forming one, by a join on the bar before."""
-    w = Window.partitionBy(*by).orderBy("bar_no").rowsBetween(2 - period, 0)
-    state = closed.select(*by, (F.col("bar_no") + 1).alias("bar_no"), (F.sum(source).over(w) if period > 1 else F.lit(0.0)).alias("w_sum"))
-    got = steps.join(state, [*by, "bar_no"], "left")
+    got = _seen(steps, _numbered_closed(closed), lambda w: {"w_sum": _sum_of(source, period - 1, w)}, by, period)
     return got.withColumn(out, F.when(F.col("bar_no") >= period, (F.coalesce("w_sum", F.lit(0.0)) + F.col(source)) / period)).drop("w_sum")
 
 
 def forming_ema(steps: DataFrame, closed: DataFrame, period: int, source: str = "close", by=SERIES, out: str = "ema") -> DataFrame:
     """EMA as seen at each base step: one more step from the closed bar before."""
-    c = ema(closed.withColumn("n", F.col("bar_no")), period, source, by, "w_ema")
-    w = Window.partitionBy(*by).orderBy("bar_no").rowsBetween(2 - period, 0)
-    state = c.select(*by, (F.col("bar_no") + 1).alias("bar_no"), "w_ema", (F.sum(source).over(w) if period > 1 else F.lit(0.0)).alias("w_sum"))
+    c = ema(_numbered_closed(closed), period, source, by, "w_ema")
     k = 2.0 / (period + 1)
-    got = steps.join(state, [*by, "bar_no"], "left")
+    got = _seen(steps, c, lambda w: {"w_ema": F.col("w_ema"), "w_sum": _sum_of(source, period - 1, w)}, by, period)
     seed = (F.coalesce("w_sum", F.lit(0.0)) + F.col(source)) / period
     return got.withColumn(out, F.when(F.col("bar_no") == period, seed).when(F.col("bar_no") > period, F.col(source) * k + F.col("w_ema") * (1 - k))).drop("w_sum", "w_ema")
 
@@ -209,17 +217,17 @@ def forming_ema(steps: DataFrame, closed: DataFrame, period: int, source: str =
 # forming forms: the bar of each base step after the closed bars before it ---------------------------------------
 
 
-def _seen(steps: DataFrame, closed: DataFrame, columns: dict[str, Column], by) -> DataFrame:
-    """``steps`` with columns (over ``closed``, numbered by ``n``) of the closed bar before theirs."""
-    return steps.join(closed.select(*by, (F.col("n") + 1).alias("bar_no"), *[c.alias(n) for n, c in columns.items()]), [*by, "bar_no"], "left")
+def _seen(steps: DataFrame, closed: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]], by, back: int) -> DataFrame:
+    """``steps`` with columns (over ``closed``, numbered by ``n``, looking back at most ``back`` bars) of the closed bar before theirs."""
 
+    def of(b: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        return b.select(*keys, "n", *[c.alias(n) for n, c in columns(Window.partitionBy(*keys).orderBy("n")).items()])
 
-def _numbered_closed(closed: DataFrame) -> DataFrame:
-    return closed.withColumn("n", F.col("bar_no"))
+    return steps.join(series.in_chunks(closed, back, of, tuple(by)).withColumn("bar_no", F.col("n") + 1).drop("n"), [*by, "bar_no"], "left")
 
 
-def _last(by, rows: int):
-    return _series(by).rowsBetween(1 - rows, 0)
+def _numbered_closed(closed: DataFrame) -> DataFrame:
+    return closed.withColumn("n", F.col("bar_no"))
 
 
 def _stepped(no: Column, period: int, x: Column, before: Column, total: Column, keep: float, weight: float) -> Column:
@@ -227,14 +235,15 @@ def _stepped(no: Column, period: int, x: Column, before: Column, total: Column,
     return F.when(no == period, (F.coalesce(total, F.lit(0.0)) + x) / period).when(no > period, before * keep + x * weight)
 
 
-def _sum_of(line: str, rows: int, by) -> Column:
-    return F.sum(line).over(_last(by, rows)) if rows else F.lit(0.0)
+def _sum_of(line: str, rows: int, w: WindowSpec) -> Column:
+    return F.sum(line).over(w.rowsBetween(1 - rows, 0)) if rows else F.lit(0.0)
 
 
 def forming_rsi(steps: DataFrame, closed: DataFrame, period: int = 14, by=SERIES, out: str = "rsi") -> DataFrame:
     """RSI as seen at each base step."""
     c = _gains(_numbered_closed(closed), period, by)
-    got = _seen(steps, c, {"w_pc": F.col("close"), "w_g": F.col("w_gain"), "w_l": F.col("w_loss"), "w_gs": _sum_of("w_up", period - 1, by), "w_ls": _sum_of("w_dn", period - 1, by)}, by)
+    held = lambda w: {"w_pc": F.col("close"), "w_g": F.col("w_gain"), "w_l": F.col("w_loss"), "w_gs": _sum_of("w_up", period - 1, w), "w_ls": _sum_of("w_dn", period - 1, w)}
+    got = _seen(steps, c, held, by, period)
     no, change = F.col("bar_no") - 1, F.col("close") - F.col("w_pc")
     step = lambda x, before, total: _stepped(no, period, x, F.col(before), F.col(total), (period - 1) / period, 1 / period)
     gain, loss = step(F.greatest(change, F.lit(0.0)), "w_g", "w_gs"), step(F.greatest(-change, F.lit(0.0)), "w_l", "w_ls")
@@ -248,7 +257,7 @@ def _range(pc: str) -> Column:
 def forming_atr(steps: DataFrame, closed: DataFrame, period: int = 14, by=SERIES, out: str = "atr") -> DataFrame:
     """ATR as seen at each base step."""
     c = atr(true_range(_numbered_closed(closed), by, "w_r"), period, by, "w_a")
-    got = _seen(steps, c, {"w_pc": F.col("close"), "w_b": F.col("w_a"), "w_s": _sum_of("w_r", period - 1, by)}, by)
+    got = _seen(steps, c, lambda w: {"w_pc": F.col("close"), "w_b": F.col("w_a"), "w_s": _sum_of("w_r", period - 1, w)}, by, period)
     value = _stepped(F.col("bar_no") - 1, period, _range("w_pc"), F.col("w_b"), F.col("w_s"), (period - 1) / period, 1 / period)
     return got.withColumn(out, value).drop("w_pc", "w_b", "w_s")
 
@@ -256,8 +265,9 @@ def forming_atr(steps: DataFrame, closed: DataFrame, period: int = 14, by=SERIES
 def forming_macd(steps: DataFrame, closed: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, by=SERIES) -> DataFrame:
     """``macd``, ``signal`` and ``hist`` as seen at each base step."""
     c = macd(_numbered_closed(closed), fast, slow, signal, by, keep=True)
-    sums = {"w_fs": _sum_of("close", fast - 1, by), "w_ss": _sum_of("close", slow - 1, by), "w_ms": _sum_of("macd", signal - 1, by)}
-    got = _seen(steps, c, {"w_f": F.col("w_fast"), "w_s": F.col("w_slow"), "w_g": F.col("signal"), **sums}, by)
+    sums = {"w_fs": ("close", fast), "w_ss": ("close", slow), "w_ms": ("macd", signal)}
+    held = lambda w: {"w_f": F.col("w_fast"), "w_s": F.col("w_slow"), "w_g": F.col("signal"), **{n: _sum_of(line, p - 1, w) for n, (line, p) in sums.items()}}
+    got = _seen(steps, c, held, by, max(fast, slow, signal))
     step = lambda no, p, x, before, total: _stepped(no, p, x, F.col(before), F.col(total), 1 - 2.0 / (p + 1), 2.0 / (p + 1))
     no, close = F.col("bar_no"), F.col("close")
     got = got.withColumn("macd", F.when(no >= slow, step(no, fast, close, "w_f", "w_fs") - step(no, slow, close, "w_s", "w_ss")))
@@ -267,8 +277,8 @@ def forming_macd(steps: DataFrame, closed: DataFrame, fast: int = 12, slow: int
 
 def forming_bollinger(steps: DataFrame, closed: DataFrame, period: int = 20, width: float = 2.0, by=SERIES) -> DataFrame:
     """``lower``, ``middle`` and ``upper`` as seen at each base step."""
-    before = F.collect_list("close").over(_last(by, period - 1)) if period > 1 else F.array().cast("array<double>")
-    got = _seen(steps, _numbered_closed(closed), {"w_v": before}, by)
+    before = lambda w: F.collect_list("close").over(w.rowsBetween(2 - period, 0)) if period > 1 else F.array().cast("array<double>")
+    got = _seen(steps, _numbered_closed(closed), lambda w: {"w_v": before(w)}, by, period)
     got = got.withColumn("w_v", F.when(F.col("bar_no") >= period, F.concat(F.coalesce("w_v", F.array().cast("array<double>")), F.array("close"))))
     got = got.withColumn("middle", F.aggregate("w_v", F.lit(0.0), lambda s, v: s + v) / period)
     got = got.withColumn("w_sd", F.sqrt(F.aggregate(F.transform("w_v", lambda v: (v - F.col("middle")) * (v - F.col("middle"))), F.lit(0.0), lambda s, v: s + v) / period))
@@ -276,8 +286,8 @@ def forming_bollinger(steps: DataFrame, closed: DataFrame, period: int = 20, wid
 
 
 def _two_before(steps: DataFrame, closed: DataFrame, by) -> DataFrame:
-    w = _series(by)
-    return _seen(steps, _numbered_closed(closed), {"w_h1": F.col("high"), "w_l1": F.col("low"), "w_h2": F.lag("high").over(w), "w_l2": F.lag("low").over(w)}, by)
+    held = lambda w: {"w_h1": F.col("high"), "w_l1": F.col("low"), "w_h2": F.lag("high").over(w), "w_l2": F.lag("low").over(w)}
+    return _seen(steps, _numbered_closed(closed), held, by, 1)
 
 
 def forming_fractals(steps: DataFrame, closed: DataFrame, by=SERIES) -> DataFrame:
@@ -301,9 +311,10 @@ def forming_adx(steps: DataFrame, closed: DataFrame, period: int = 14, by=SERIES
     """``adx``, ``plus_di`` and ``minus_di`` as seen at each base step."""
     c = _directed(_numbered_closed(closed), period, by)
     lines = {"tr": "w_str", "pdm": "w_spdm", "mdm": "w_smdm"}
-    columns = {"w_ph": F.col("high"), "w_pl": F.col("low"), "w_pc": F.col("close"), "w_pa": F.col("adx"), "w_ds": _sum_of("w_dx", period - 1, by)}
-    columns |= {f"w_p{x}": F.col(s) for x, s in lines.items()} | {f"w_t{x}": _sum_of(f"w_{x}", period - 1, by) for x in lines}
-    got, no = _seen(steps, c, columns, by), F.col("bar_no")
+    columns = {"w_ph": "high", "w_pl": "low", "w_pc": "close", "w_pa": "adx"} | {f"w_p{x}": s for x, s in lines.items()}
+    sums = {"w_ds": "w_dx"} | {f"w_t{x}": f"w_{x}" for x in lines}
+    held = lambda w: {n: F.col(c) for n, c in columns.items()} | {n: _sum_of(c, period - 1, w) for n, c in sums.items()}
+    got, no = _seen(steps, c, held, by, period), F.col("bar_no")
     moves = _moves(F.col("high") - F.col("w_ph"), F.col("w_pl") - F.col("low"))
     now = {"tr": _range("w_pc"), "pdm": moves["w_pdm"], "mdm": moves["w_mdm"]}
     step = lambda n, x, before, total: _stepped(n, period, x, F.col(before), F.col(total), (period - 1) / period, 1 / period)
@@ -312,4 +323,4 @@ def forming_adx(steps: DataFrame, closed: DataFrame, period: int = 14, by=SERIES
     warm = no >= 2 * period
     got = got.withColumn("w_dx", dx)
     out = {"plus_di": F.when(warm, plus), "minus_di": F.when(warm, minus), "adx": F.when(warm, F.least(step(no - period, F.col("w_dx"), "w_pa", "w_ds"), F.lit(100.0)))}
-    return got.withColumns(out).drop("w_dx", *columns, *[f"w_n{x}" for x in lines])
+    return got.withColumns(out).drop("w_dx", *columns, *sums, *[f"w_n{x}" for x in lines])

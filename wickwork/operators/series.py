@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from wickwork.functions.sessions import epoch
 
@@ -80,8 +81,11 @@ def with_running_max(df: DataFrame, by: tuple[str, ...], ts: str, values: dict[s
 def in_chunks(bars: DataFrame, lookback: int, fn: Callable[[DataFrame, tuple[str, ...]], DataFrame], by: tuple[str, ...], rows: int | None = None) -> DataFrame:
     """``fn(bars, by)`` for a function that looks back at most ``lookback`` rows of a series numbered by ``n``.
 
-    Each chunk of rows gets the last ``lookback`` rows of the chunk before as well; these copies are dropped afterwards.
+    Each chunk of rows gets the last ``lookback`` rows of the chunk before as well; these copies are dropped afterwards. Calls inside ``fn``
+    share its chunks, and so one shuffle, if all of them together look back no further.
     """
+    if "w_chunk" in by:  # inside a chunk already
+        return fn(bars, by)
     size = rows or max(CHUNK_ROWS, 4 * lookback)
     if lookback >= size:
         raise ValueError("a chunk must be longer than the lookback")
@@ -89,3 +93,8 @@ def in_chunks(bars: DataFrame, lookback: int, fn: Callable[[DataFrame, tuple[str
     copies = F.when((F.col("n") - 1) % size >= size - lookback, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
     out = fn(bars.withColumn("w_chunk", F.explode(copies)), (*by, "w_chunk"))
     return out.where(F.col("w_chunk") == chunk).drop("w_chunk")
+
+
+def looking_back(bars: DataFrame, rows: int, columns: Callable[[WindowSpec], dict[str, Column]], by: tuple[str, ...]) -> DataFrame:
+    """Adds window columns over the series in the order of ``n`` that look back at most ``rows`` rows, chunk by chunk."""
+    return in_chunks(bars, rows, lambda b, keys: b.withColumns(columns(Window.partitionBy(*keys).orderBy("n"))), tuple(by))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wickwork.operators import chains, joins, series
@@ -25,8 +25,7 @@ def sma_cross(base: DataFrame, risk: float = 0.01) -> DataFrame:
 
 def drop_from_peak(bars: DataFrame, lookback: int, drop: float, by=KEY) -> DataFrame:
     """``peak`` of the last closes, this one included, and ``dropped``."""
-    w = Window.partitionBy(*by).orderBy("n").rowsBetween(1 - lookback, 0)
-    b = bars.withColumn("peak", F.when(F.col("n") >= lookback, F.max("close").over(w)))
+    b = series.looking_back(bars, lookback, lambda w: {"peak": F.when(F.col("n") >= lookback, F.max("close").over(w.rowsBetween(1 - lookback, 0)))}, by)
     return b.withColumn("dropped", F.coalesce((F.col("peak") > 0) & ((F.col("peak") - F.col("close")) / F.col("peak") >= drop), F.lit(False)))
 
 
