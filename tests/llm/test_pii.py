@@ -178,3 +178,60 @@ def test_learns_around_spans():
     got = pii.parts(text)
     assert any("someone@host.example.com" in t and t[int(s.split(":")[1]) : int(s.split(":")[2])] == "someone@host.example.com" for t, s in zip(got[::2], got[1::2], strict=True) if s)
     assert pii.parts("1234 @ 5.6") == []
+
+
+SIGNS = st.sampled_from(["a", "at", "AT", "dot", "Dot", "(", "[", "{", "<", ")", "]", "}", ">", "@", "7", "49", " ", "_", "é", "²", "٣", "\n", ".", "1.2.3.4"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(SIGNS, max_size=20).map("".join))
+def test_anchors(text):
+    assert [m.span() for m in pii.ANCHOR.finditer(text)] == [m.span() for m in re.finditer(f"[0-9]+|{pii.AT}|{pii.DOT}", text)]
+
+
+def unsure(seed, lead):
+    """A model whose scores lead by less than its transitions gain, so that no character is certain by itself."""
+    t, r = pii.Tagger(seed), np.random.default_rng(seed)
+    inside = np.arange(2, pii.TAGS, 2)
+    t.p["out"] *= 4
+    t.p["bias"][0] = lead
+    t.p["trans"] = r.normal(0, 0.5, (pii.TAGS, pii.TAGS))
+    t.p["trans"][inside, inside], t.p["trans"][inside - 1, inside], t.p["trans"][1:, 0] = 2, 2, -6
+    return t
+
+
+def test_few_windows_of_an_unsure_model(monkeypatch):
+    t, rng, count, score = unsure(1, 5), random.Random(6), [], pii.Tagger._score
+    monkeypatch.setattr(pii.Tagger, "_score", lambda self, code, known, windows: (count.extend(windows), score(self, code, known, windows)))
+    text = f"{prose(rng, 2000)} 2024 {prose(rng, 2000)}"
+    t.added([text], [[]])
+    assert len(text) // pii.STEP > 400 and len(count) < 20
+
+
+def test_unsure_models_against_whole_texts(monkeypatch):
+    rng, spans = random.Random(7), 0
+    monkeypatch.setattr(pii, "SURE", 0.0)
+    monkeypatch.setattr(pii.Tagger, "_plausible", staticmethod(lambda text, kind, start, end: len(re.findall("[0-9]", text[start:end])) >= 4))
+    texts = ["".join(rng.choice(["ab", " cde ", "(at)", "@", "7", "4970", ".", "/", "fgh ij"]) for _ in range(rng.randint(1, 150))) for _ in range(15)]
+    texts += [f"{prose(rng, 40)} 20{rng.randint(10, 99)} {prose(rng, 40)}" for _ in range(10)]
+    for seed, lead in itertools.product((1, 2, 3), (0.5, 2)):
+        t = unsure(seed, lead)
+        for text, found in zip(texts, t.added(texts, [pii.base_spans(x) for x in texts]), strict=True):
+            assert found == whole(t, text), (seed, text)
+            spans += len(found)
+    assert spans > 20
+
+
+def test_at_as_a_word_beside_few_digits():
+    text, t = "write bob7 at host.org today", pii.Tagger()
+    a, b = text.index("bob7"), text.index(" today")
+    s = np.zeros((len(text), pii.TAGS), np.float32)
+    s[:, 0], s[a, 1], s[a + 1 : b, 2] = 10, 20, 20
+    assert t._spans(text, [], s, 0, t._certain(s)) == [(0, a, b)]
+
+
+def test_gradients_without_underflow():
+    t, r = pii.Tagger(3), np.random.default_rng(0)
+    t.p["out"], t.p["trans"] = t.p["out"] * 1e4, r.normal(0, 100, (pii.TAGS, pii.TAGS))
+    x, y = r.integers(0, pii.CLASSES, (20, 30)), r.integers(0, pii.TAGS, (20, 30))
+    assert all(np.isfinite(g).all() for g in t.gradients(x, y, np.float32, pii.MARGIN).values())

@@ -10,7 +10,8 @@ wherever its spans lie. An added span counts if its probability under the CRF (f
 bounds and kind exactly) is at least ``SURE``, it does not touch a base span and it passes its kind's checks (``_plausible``): cards, phones and
 addresses of machines the pattern's checks of digits, e-mails a sign for "at" before a dot, one of ``AT`` and ``DOT`` among them. As each of these needs a digit or a sign,
 only such windows are computed first, and then their neighbours for as long as a
-span might reach on: a text is cut only at characters that no best path tags as anything but outside (``_certain``).
+span might reach on: a text is cut only at characters that no best path tags as anything but outside (``_certain`` by each character's
+own scores; where these do not tell, ``_carried`` by all scores at hand, so that the windows computed hardly depend on how sure a trained model is).
 
 Learning: at most ``SAMPLE`` rows with base spans, chosen by a hash of the id (a documented, bounded sample), of each the parts
 around up to ``PARTS`` spans and around up to ``PARTS`` other digits and signs, spread over the text; labelled with their base spans, and
@@ -48,10 +49,13 @@ SAMPLE, WINDOW, REACH, SURE = 400, 96, 40, 0.6
 PARTS, VARIANTS, GROUP = 4, 3, 1 << 21  # spans and others of a row to learn from, made-up forms of each; characters tagged at a time
 AT = r"(?:@|(?i:[(\[{<]at[)\]}>]))"  # e-mails have one of these
 DOT = r"(?i:[(\[{<]dot[)\]}>]|(?<![^\W_])dot(?![^\W_]))"  # or this word
-ANCHOR = re.compile(f"[0-9]+|{AT}|{DOT}")  # an added span has one of these
+#: An added span has one of these: [0-9]+, AT or DOT, written so that a search passes quickly over other characters.
+ANCHOR = re.compile(r"[0-9@(\[{<dD](?:(?<=[0-9])[0-9]*|(?<=@)|(?<=[(\[{<])(?:[aA][tT]|[dD][oO][tT])[)\]}>]|(?<=[dD])(?<![^\W_][dD])[oO][tT](?![^\W_]))")
+AT_WORD = re.compile(r"(?i: at)\b")  # or, in e-mails with digits, this word
 HIDDEN, EMBED, UPDATES, BATCH, RATE, CLASSES = 16, 12, 560, 96, 0.03, 56
 MARGIN = 3.0  # in training: scores far apart leave few characters uncertain
 MOST, PLAIN = 3600, 900  # windows to learn from, with and without labelled characters
+CELLS = 1 << 16  # characters whose bounds are carried at a time
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 
 
@@ -85,7 +89,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: The same matches as the pattern, which begin where a run of digits begins; linear in long runs.
-_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -164,7 +168,8 @@ class Tagger:
     def _crf(self, s: np.ndarray, y: np.ndarray):
         """Gradients of the mean negative log-likelihood by scores and transitions: forward and backward sums, scaled at each character."""
         n, t, k = s.shape
-        tr, own = np.exp(self.p["trans"] - self.p["trans"].max()).astype(s.dtype), np.exp(s - s.max(2, keepdims=True))
+        least = lambda v: np.exp(np.maximum(v, -40))  # noqa: E731  # no sum underflows, which would leave no number in the model
+        tr, own = least(self.p["trans"] - self.p["trans"].max()).astype(s.dtype), least(s - s.max(2, keepdims=True))
         a, b = np.empty_like(s), np.ones_like(s)
         a[:, 0] = own[:, 0] / own[:, 0].sum(1, keepdims=True)
         for i in range(1, t):
@@ -264,12 +269,22 @@ class Tagger:
                     todo.append([i, m.start(), m.end() - 1, a, b, 1])
         while todo:
             self._score(code, known, sorted({(i, w) for i, _, _, a, b, _ in todo for w in range(a, b + 1)} - known.keys()))
-            more = []
+            more, doubtful = [], []
             for job in todo:
-                i, p, q, a, b, step = job
+                i, p, q, a, b, _ = job
                 start, last = _owned(a, len(texts[i]))[0], _owner(len(texts[i]) - 1, len(texts[i]))
                 s = np.concatenate([known[i, w] for w in range(a, b + 1)])
                 sure = self._certain(s)
+                sides = []  # parts around the first and the last anchor, where no character of the side is certain
+                if a > 0 and not sure[: p - start + 1].any():
+                    sides.append((0, s[: p - start + 1 + REACH], False, b == last and p - start + 1 + REACH >= len(s)))
+                if b < last and not sure[q - start :].any():
+                    sides.append((max(0, q - start - REACH), s[max(0, q - start - REACH) :], a == 0 and q - start <= REACH, False))
+                doubtful.append((job, start, last, s, sure, sides))
+            carried = iter(self._carried([side[1:] for *_, sides in doubtful for side in sides]))
+            for (i, p, q, a, b, step), start, last, s, sure, sides in doubtful:
+                for x, part, *_ in sides:
+                    sure[x : x + len(part)] |= next(carried)
                 before, after = np.flatnonzero(sure[: p - start + 1]), np.flatnonzero(sure[q - start :])
                 left, right = a > 0 and not len(before), b < last and not len(after)
                 if left or right:
@@ -312,15 +327,44 @@ class Tagger:
         sure = _spread(sure, above(t[0] - t[0, 0] + leave))
         return _spread(sure[::-1], above(enter + t[:, 0] - t[0, 0])[::-1])[::-1]
 
+    def _carried(self, parts: list[tuple[np.ndarray, bool, bool]]) -> list[np.ndarray]:
+        """As ``_certain``, of parts of texts (scores, whether the text begins, whether it ends there), by bounds carried over the characters from both ends."""
+        out, order = [np.zeros(0, bool)] * len(parts), sorted(range(len(parts)), key=lambda k: len(parts[k][0]))
+        while order:
+            some = order[-max(1, CELLS // max(1, len(parts[order[-1]][0]))) :]
+            del order[-len(some) :]
+            ahead = self._leads([parts[k][0] for k in some], [parts[k][1] for k in some], self.p["trans"])
+            back = self._leads([parts[k][0][::-1] for k in some], [parts[k][2] for k in some], self.p["trans"].T)
+            for row, k in enumerate(some):
+                s = parts[k][0]
+                lead = ahead[: len(s), 1:, row] + back[: len(s), 1:, row][::-1] - (s[:, :1] - s[:, 1:])  # both have the character's own scores
+                out[k] = (lead > 1e-3).all(1)
+        return out
+
+    @staticmethod
+    def _leads(parts: list[np.ndarray], begins: list[bool], t: np.ndarray) -> np.ndarray:
+        """By character, tag and part: by how much at least the best path that is outside there beats the best one with that tag, whatever lies before the part."""
+        ahead = np.zeros((max(map(len, parts)), TAGS, len(parts)))
+        for row, s in enumerate(parts):
+            ahead[: len(s), :, row] = s[:, :1] - s
+        first, lead = ahead[0].copy(), np.full((TAGS, len(parts)), -np.inf)
+        for i in range(len(ahead)):  # a path that comes to the tag from j does so to outside too, or from outside, which leads j
+            lead = ahead[i] + (np.maximum(t[:, :1], t[0, 0] + lead)[:, None] - t[:, :, None]).min(0)
+            if not i:
+                lead = np.where(begins, first, lead)
+            ahead[i] = lead
+        return ahead
+
     def _spans(self, text: str, base: list[tuple[int, int, int]], s: np.ndarray, start: int, sure: np.ndarray) -> list[tuple[int, int, int]]:
         """Spans in the part of the text that begins at ``start`` and has the scores ``s``, cut where ``sure``."""
         out, ends = [], np.unique(np.r_[0, np.flatnonzero(sure), len(s) - 1])
         some = (np.diff(ends) > 1) | ~sure[ends[:-1]] | ~sure[ends[1:]]
         for x, y in zip(ends[:-1][some].tolist(), ends[1:][some].tolist(), strict=True):
             found = ANCHOR.findall(text, start + x, start + y + 1)
-            if all(f.isdigit() for f in found) and sum(map(len, found)) < 4:  # no kind has fewer digits
+            if all(f.isdigit() for f in found) and sum(map(len, found)) < 4 and not AT_WORD.search(text, start + x, start + y + 1):  # only e-mails have fewer digits
                 continue
-            part = s[x : y + 1]
+            part = s[x : y + 1].astype(float)
+            part[[k for k in (0, -1) if sure[(x, y)[k]]], 1:] = -np.inf
             tags = self.viterbi(part)
             if not tags.any():
                 continue
